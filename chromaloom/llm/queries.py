@@ -6,17 +6,51 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chromaloom.llm import bpe_transducer, token_counts
+from chromaloom.llm import bpe_transducer, decontamination, line_dedup, secrets, simhash, token_counts, topk, warc
 from chromaloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write a WARC record per page with its index, and read all records back by coalesced ranges."""
+    pages = table(spark, sf_dir, "pages")
+    folder = warc.archive_folder(pages)
+    index = warc.write_archives(pages, folder)
+    return warc.read_records(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside occurrences of benchmark windows."""
+    return decontamination.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document under the byte-level vocabulary."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, and how many of them are boilerplate of its source."""
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest inner products of every fiftieth vector against all others."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document by the base patterns and the Markov ratio."""
+    docs = table(spark, sf_dir, "documents")
+    return secrets.find_secrets(docs, secrets.MarkovRatio(*secrets.labelled_samples(docs)))
+
 
 def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by the transducer, and the digest of what they decode to."""
@@ -25,9 +59,75 @@ def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_warc": op3_warc,
+    "op4_decontamination": op4_decontamination,
     "op5_token_counts": op5_token_counts,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_topk": op7_topk,
+    "op8_simhash": op8_simhash,
+    "op9_secrets": op9_secrets,
     "op10_bpe_transducer": op10_bpe_transducer,
 }
 
+_OP3 = """
+with p as (
+  select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) || '0' as hex
+  from pages where page_id is not null),
+k as (select *, max(page_id) over (partition by html) as keeper from p)
+select page_id, cast(payload_bytes as bigint) as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    cast(((((strpos('0123456789abcdef', substr(hex, cast(i * 5 // 4 as int) + 1, 1)) - 1) * 16
+         + strpos('0123456789abcdef', substr(hex, cast(i * 5 // 4 as int) + 2, 1)) - 1) >> cast(3 - (i * 5) % 4 as int)) & 31) as int) + 1, 1)), '') as payload_digest,
+  case when keeper = page_id then 'response' else 'revisit' end as record_type,
+  case when keeper = page_id then null else keeper end as refers_to
+from k
+"""
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+_OP4 = f"""
+with d as (select row_number() over () as row, doc_id, {_WORDS} as w from documents),
+b as (select coalesce(cast(item_id as varchar), '') as item, {_WORDS} as w from benchmark),
+bw as (
+  select distinct item, size, array_to_string(list_slice(w, k, k + size - 1), ' ') as words
+  from (select item, w, size, unnest(range(1, len(w) - size + 2)) as k from (select *, least(10, len(w)) as size from b where len(w) > 0))),
+sizes as (select distinct size from bw),
+dw as (
+  select row, size, k, array_to_string(list_slice(w, k, k + size - 1), ' ') as words
+  from (select row, w, size, unnest(range(1, len(w) - size + 2)) as k from d, sizes where len(w) >= size)),
+m as (select dw.row, dw.size, dw.k, bw.item from dw join bw on dw.size = bw.size and dw.words = bw.words),
+hit as (select row, count(distinct k) as n_hit from (select row, unnest(range(k, k + size)) as k from m) group by row),
+items as (select row, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct row, item from m) group by row)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+  sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit using (row) left join items using (row)
+"""
+
+_OP6 = f"""
+with d as (select row_number() over () as row, doc_id, coalesce(source, '') as host, text, string_split(text, chr(10)) as lines from documents),
+l as (select row, doc_id, host, unnest(lines) as line, unnest(range(len(lines))) as k from d where text is not null),
+pages as (select host, count(*) as pages from d group by host),
+held as (select host, trim(line) as line, count(distinct row) as holding from l where trim(line) <> '' group by 1, 2),
+plate as (select host, line from held join pages using (host) where holding >= {line_dedup.MIN_PAGES} and holding > cast({line_dedup.RATIO} as double) * pages),
+marked as (select l.*, plate.line is not null as dropped from l left join plate on l.host = plate.host and trim(l.line) = plate.line),
+sums as (
+  select row, count(*) as n_lines, count_if(dropped) as n_dropped, string_agg(case when not dropped then line end, chr(10) order by k) as kept
+  from marked group by row)
+select doc_id, cast(coalesce(n_lines, 0) as bigint) as n_lines, cast(coalesce(n_dropped, 0) as bigint) as n_dropped, sha256(coalesce(kept, '')) as kept_sha256
+from d left join sums using (row)
+"""
+
+_OP7 = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as x
+  from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+q as (select vec_id as query_id, unnest(x) as a, unnest(range(len(x))) as k from v where vec_id % 50 = 0),
+c as (select vec_id, unnest(x) as b, unnest(range(len(x))) as k from v),
+s as (select query_id, vec_id, cast(sum(a * b) as bigint) as score from q join c using (k) where query_id <> vec_id group by query_id, vec_id)
+select query_id, cast(rank as int) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5
+"""
+
 #: DuckDB text for the queries that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_warc": _OP3, "op4_decontamination": _OP4, "op6_line_dedup": _OP6, "op7_topk": _OP7}
