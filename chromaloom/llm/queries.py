@@ -8,12 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromaloom.llm import bpe_transducer, decontamination, line_dedup, secrets, simhash, token_counts, topk, warc
-from chromaloom.llm.common import table
+from chromaloom.llm import bpe_transducer, decontamination, language_model, line_dedup, quality, secrets, simhash, token_counts, topk, warc
+from chromaloom.llm.common import id_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document under the Pitman-Yor model of the training documents."""
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by a factorisation machine fitted on the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    machine = quality.fit_machine(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score_documents(docs.select("doc_id", "text", "n_chars"), machine)
+    return scored.select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write a WARC record per page with its index, and read all records back by coalesced ranges."""
     pages = table(spark, sf_dir, "pages")
@@ -59,6 +72,8 @@ def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_language_model": op1_language_model,
+    "op2_quality": op2_quality,
     "op3_warc": op3_warc,
     "op4_decontamination": op4_decontamination,
     "op5_token_counts": op5_token_counts,
