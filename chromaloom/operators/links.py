@@ -181,7 +181,7 @@ def group_links(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
 
 def local_ids(clusters: DataFrame) -> DataFrame:
     """``cluster_id, tid, local_id``: the rank of a contig in its cluster, from 0."""
-    return clusters.select("cluster_id", "tid", (F.row_number().over(Window.partitionBy("cluster_id").orderBy("tid")) - 1).alias("local_id"))
+    return clusters.select("cluster_id", "tid", (F.row_number().over(Window.partitionBy("cluster_id").orderBy("tid")) - 1).cast("bigint").alias("local_id"))
 
 
 def oriented_distances(grouped: DataFrame, contigs: DataFrame, offset: int = 100) -> DataFrame:

@@ -34,7 +34,7 @@ VIEWS = {
         from clusters c join truth t on c.tid = t.tid where c.tid % 10 <> 3""",
     "intervals": """select event_id as id, cast(user_id % 24 as int) as chr_id, cast(floor(value * 100) as bigint) as a,
         cast(floor(value * 100) as bigint) + 50 + event_id % 400 as b, cast(event_id % 4 as int) as cn from events""",
-    "sequences": """select doc_id as sid, upper(text) as seq from documents""",
+    "sequences": """select doc_id as sid, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') as seq from documents""",
     "observations": """select user_id as seq_id, cast(row_number() over (partition by user_id order by ts, event_id) - 1 as int) as t,
         event_type as symbol from events""",
     "hits": """select cast(l_partkey as int) as query_id, cast(l_suppkey % 24 as int) as target, l_orderkey as hit,
@@ -45,6 +45,17 @@ VIEWS = {
 _DEPENDS = {name: [v for v in VIEWS if v != name and re.search(rf"\b(from|join) {v}\b", text)] for name, text in VIEWS.items()}
 
 
+def _counted(text: str) -> str:
+    """``count_if(x)`` as a filtered count, whose type is a plain long."""
+    while (at := text.find("count_if(")) >= 0:
+        depth, end = 1, at + len("count_if(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[end], 0)
+            end += 1
+        text = f"{text[:at]}count(*) filter (where {text[at + len('count_if(') : end - 1]}){text[end:]}"
+    return text
+
+
 def _spelled(text: str, engine: str) -> str:
     string = {"spark": "string", "duckdb": "varchar"}[engine]
     truncate = {"spark": r"cast(\1 as bigint)", "duckdb": r"cast(trunc(\1) as bigint)"}[engine]
@@ -72,4 +83,4 @@ def duckdb_text(query: str, **more: str) -> str:
     whole = " ".join([*more.values(), query])
     names = _needed([v for v in VIEWS if re.search(rf"\b{v}\b", whole)])
     parts = [f"{n} as ({VIEWS[n]})" for n in names] + [f"{n} as ({t})" for n, t in more.items()]
-    return _spelled(f"with {', '.join(parts)} {query}" if parts else query, "duckdb")
+    return _counted(_spelled(f"with {', '.join(parts)} {query}" if parts else query, "duckdb"))
