@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = ("link_queries", "interval_queries", "ordering_queries", "size_queries")
+_MODULES = ("link_queries", "interval_queries", "ordering_queries", "size_queries", "graph_queries")
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
