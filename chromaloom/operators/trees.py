@@ -238,7 +238,9 @@ def pair_table(cells: DataFrame) -> DataFrame:
     half = cells.where("c1 < c2")
     ll = -F.log(F.col("dist").cast("double"))
     sums = [F.sum(F.when((F.col("rc1") == a) & (F.col("rc2") == b), ll)).alias(name) for name, a, b in (("ff", False, False), ("fr", False, True), ("rf", True, False), ("rr", True, True))]
-    return half.groupBy("cluster_id", "c1", "c2").agg(F.count_if(~F.col("rc1") & ~F.col("rc2")).alias("n"), *sums)
+    summed = half.groupBy("cluster_id", "c1", "c2").agg(F.count_if(~F.col("rc1") & ~F.col("rc2")).alias("n"), *sums)
+    # a fresh column, as the groups it meets may stem from the same table
+    return summed.withColumn("cluster_id", F.col("cluster_id").cast("int").alias("cluster_id"))
 
 
 def _group(contigs: pd.DataFrame, pairs: pd.DataFrame) -> Group:
@@ -255,7 +257,7 @@ def group_orderings(cells: DataFrame, clusters: DataFrame, contigs: DataFrame, m
 
     A group without links has no rows.
     """
-    members = local_ids(clusters).join(contigs.select("tid", "re"), "tid").select("cluster_id", "local_id", "re")
+    members = local_ids(clusters).join(contigs.select("tid", "re"), "tid").select(F.col("cluster_id").cast("int").alias("cluster_id"), "local_id", "re")
     shred_sites = min_sites if full_min_sites is None else full_min_sites
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -274,7 +276,7 @@ def group_orderings(cells: DataFrame, clusters: DataFrame, contigs: DataFrame, m
 
 def group_trees(cells: DataFrame, clusters: DataFrame, contigs: DataFrame, min_sites: int = 15, smoothed: bool = False) -> DataFrame:
     """``cluster_id, a, b``: edges of each group's spanning tree, with thorns smoothed if asked."""
-    members = local_ids(clusters).join(contigs.select("tid", "re"), "tid").select("cluster_id", "local_id", "re")
+    members = local_ids(clusters).join(contigs.select("tid", "re"), "tid").select(F.col("cluster_id").cast("int").alias("cluster_id"), "local_id", "re")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
