@@ -118,15 +118,14 @@ def call_stats(rows: DataFrame, chrom: str, a: str, b: str, value: str) -> DataF
 
 
 def best_target(hits: DataFrame) -> DataFrame:
-    """``query_id, target, unique_len, alignability_len``: by bases that one target alone covers.
+    """``query_id, target, best_len, unique_len, specificity``: by the bases of a query that one hit alone covers.
 
     Bases are never listed: hits turn into steps of a running depth, and the
-    stretches where just one target lies are summed.  Ties go to the lowest
-    target.
+    stretches where just one hit lies are summed.  Ties go to the lowest target.
     """
-    merged_hits = merged(hits.select("query_id", "target", "q_start", "q_end"), "query_id", "q_start", "q_end", same=["target"])
-    steps = merged_hits.select("query_id", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d"), F.col("target").alias("t")), F.struct(F.col("stop").alias("at"), F.lit(-1).alias("d"), F.col("target").alias("t")))).alias("s"))
-    # depth counts targets, and the sum of the open targets is the target itself where there is one
+    ends = F.array(F.struct(F.col("q_start").alias("at"), F.lit(1).alias("d"), F.col("target").alias("t")), F.struct(F.col("q_end").alias("at"), F.lit(-1).alias("d"), F.col("target").alias("t")))
+    steps = hits.select("query_id", F.explode(ends).alias("s"))
+    # where the depth is one, the sum of the open hits' targets is the target itself
     summed = steps.groupBy("query_id", F.col("s.at").alias("at")).agg(F.sum("s.d").alias("d"), F.sum(F.col("s.d") * F.col("s.t")).alias("t"))
     order = Window.partitionBy("query_id").orderBy("at")
     run = summed.select("query_id", "at", F.sum("d").over(order).alias("depth"), F.sum("t").over(order).alias("target"), F.lead("at").over(order).alias("next"))
@@ -134,3 +133,28 @@ def best_target(hits: DataFrame) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.desc("len"), "target")
     ranked = unique.select("query_id", "target", "len", F.sum("len").over(Window.partitionBy("query_id")).alias("unique_len"), F.row_number().over(best).alias("k"))
     return ranked.where("k = 1").select("query_id", F.col("target").cast("int").alias("target"), F.col("len").alias("best_len"), "unique_len", (F.col("len") / F.col("unique_len")).alias("specificity"))
+
+
+def grown_region(hits: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``query_id, target, start, stop``: the place of a query on each of its targets.
+
+    ``hits`` has ``query_id, target, hit, t_start, t_end`` (an end before the
+    start: the other strand), ``sizes`` the length of each query.  From the
+    longest hit on, hits are taken in while the region is no longer than the
+    query; of equally long ones only the first counts.  Start and stop change
+    places if the first hit is on the other strand.
+    """
+    low = F.least("t_start", "t_end")
+    rows = hits.select("query_id", "target", "hit", low.alias("low"), (F.greatest("t_start", "t_end") - low).alias("len"), (F.col("t_end") < F.col("t_start")).alias("turned"))
+    longest = rows.groupBy("query_id", "target", "len").agg(F.min_by("low", "hit").alias("low"), F.min(F.struct("hit", "turned")).alias("first"))
+    grouped = longest.groupBy("query_id", "target").agg(F.array_sort(F.collect_list(F.struct((-F.col("len")).alias("shorter"), "low"))).alias("x"), F.min("first").alias("first")).join(sizes.select("query_id", "size"), "query_id")
+    seed = F.struct(F.col("x")[0]["low"].alias("a"), (F.col("x")[0]["low"] - F.col("x")[0]["shorter"]).alias("b"))
+
+    def grow(region, hit):
+        a, b = F.least(region["a"], hit["low"]), F.greatest(region["b"], hit["low"] - hit["shorter"])
+        fits = b - a <= F.col("size")
+        return F.struct(F.when(fits, a).otherwise(region["a"]).alias("a"), F.when(fits, b).otherwise(region["b"]).alias("b"))
+
+    region = grouped.withColumn("r", F.aggregate("x", seed, grow))
+    turned = F.col("first.turned")
+    return region.select("query_id", "target", F.when(turned, F.col("r.b")).otherwise(F.col("r.a")).alias("start"), F.when(turned, F.col("r.a")).otherwise(F.col("r.b")).alias("stop"))

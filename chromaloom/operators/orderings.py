@@ -265,7 +265,7 @@ def genome_order(truth: DataFrame) -> DataFrame:
     sizes = rows.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("c", (F.sum("n").over(Window.orderBy("c")) - F.col("n")).alias("before"))
     own = F.row_number().over(Window.partitionBy("c").orderBy("mid", "tid")) - 1
-    return rows.withColumn("own", own).join(F.broadcast(before), "c").select("tid", (F.col("own") + F.col("before")).alias("rank"))
+    return rows.withColumn("own", own).join(before, "c").select("tid", (F.col("own") + F.col("before")).alias("rank"))
 
 
 def top_contigs(contigs: DataFrame, n: int) -> DataFrame:

@@ -14,7 +14,7 @@ def symbol_ids(observations: DataFrame) -> DataFrame:
 
 def encode(observations: DataFrame) -> DataFrame:
     """``seq_id, t, sid``: symbols by their numbers."""
-    return observations.join(F.broadcast(symbol_ids(observations).drop("shown")), "symbol").select("seq_id", "t", "sid")
+    return observations.join(symbol_ids(observations).drop("shown"), "symbol").select("seq_id", "t", "sid")
 
 
 def transition_matrix(observations: DataFrame) -> DataFrame:

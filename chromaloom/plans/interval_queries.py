@@ -62,6 +62,12 @@ def _extent(s, d):
     return rows.select("id", e["start"].alias("start"), e["stop"].alias("stop"))
 
 
+def _grown(s, d):
+    turned = F.col("hit") % 3 == 0
+    hits = view(s, d, "hits").select("query_id", "target", (F.col("hit") * 10000 + F.col("q_start")).alias("hit"), F.when(turned, F.col("q_end")).otherwise(F.col("q_start")).alias("t_start"), F.when(turned, F.col("q_start")).otherwise(F.col("q_end")).alias("t_end"))
+    return I.grown_region(hits, view(s, d, "contigs").select(F.col("tid").alias("query_id"), F.lit(2500).alias("size")))
+
+
 REGISTRY = {
     "interval_overlap_join": (lambda s, d: I.overlap_join(*_sides(s, d), "chr_id").select("id1", "id2", "start", "stop"), duckdb_text("""select x.id as id1, y.id as id2, greatest(x.a, y.a) as start, least(x.b, y.b) as stop
       from intervals x join intervals y on x.chr_id = y.chr_id and x.a < y.b and y.a < x.b where x.cn = 0 and y.cn = 1""")),
@@ -84,7 +90,8 @@ REGISTRY = {
     "interval_sort": (lambda s, d: view(s, d, "intervals").orderBy("chr_id", "a", "b", "id").select("id", "chr_id", "a", "b"), duckdb_text("select id, chr_id, a, b from intervals order by chr_id, a, b, id")),
     "best_target": (lambda s, d: I.best_target(view(s, d, "hits")), duckdb_text("""select query_id, target, best_len, unique_len, cast(best_len as double) / unique_len as specificity from (
       select query_id, target, n as best_len, cast(sum(n) over (partition by query_id) as bigint) as unique_len, row_number() over (partition by query_id order by n desc, target) as k from (
-        select query_id, target, count(*) as n from (select query_id, base, min(target) as target from (select query_id, target, unnest(range(q_start, q_end)) as base from hits) x group by 1, 2 having min(target) = max(target)) y group by 1, 2) z) u where k = 1""")),
+        select query_id, target, count(*) as n from (select query_id, base, min(target) as target from (select query_id, target, unnest(range(q_start, q_end)) as base from hits) x group by 1, 2 having count(*) = 1) y group by 1, 2) z) u where k = 1""")),
+    "grow_region": (_grown, None),
     "motif_count": (lambda s, d: _seqs(s, d).select("sid", S.motif_count(F.col("seq"), "THRE_ANDT").cast("bigint").alias("n")), duckdb_text("select sid, cast(len(regexp_extract_all(seq, 'T[ACT][AG]E')) + len(regexp_extract_all(seq, 'A[ACGT][AGT]T')) as bigint) as n from sequences")),
     "motif_windows": (lambda s, d: S.motif_windows(_seqs(s, d), "sid", "seq", "EE", 30).select("sid", F.col("start").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("stop")), duckdb_text("""select sid, greatest(min(p) - 30, 0) as start, least(max(p) + 30, max(length(seq))) as stop from (
       select *, sum(new) over (partition by sid order by p) as island from (select *, case when p - lag(p) over (partition by sid order by p) <= 60 then 0 else 1 end as new from (

@@ -10,6 +10,7 @@ from chromaloom.operators import sequences_of_states as Q
 from chromaloom.plans.adapters import duckdb_text, view
 from chromaloom.plans.link_queries import GROUPED, LOCAL
 from chromaloom.plans.ordering_queries import CELLS, cells
+from chromaloom.sources import genome
 from chromaloom.sources import records as R
 
 BINS = """select cast(k as int) as bin, cast(floor(4096 * pow(2.0e0, k // 16) * pow(2.0e0, (k % 16) / 16.0e0)) as bigint) as start,
@@ -97,7 +98,10 @@ def _near_sites(s, d):
     return overlap_join(reads, sites, "chr_id").select("id1", "chr_id").distinct()
 
 
+_CHROMS = ", ".join(f"({k}, '{n}', {size}, {genome.CENTROMERES[n]})" for k, (n, size) in enumerate(genome.LENGTHS))
+
 REGISTRY = {
+    "chrom_dim": (lambda s, d: genome.chromosomes(s).join(genome.centromeres(s), "name").select("chrom_id", "name", F.col("len").alias("size"), "start", "middle"), duckdb_text(f"select chrom_id, name, cast(size as bigint) as size, cast(start as bigint) as start, cast(start + 1500000 as bigint) as middle from (values {_CHROMS}) x(chrom_id, name, size, start)")),
     "lsd_bins": (lambda s, d: Z.bins(s), duckdb_text("select * from bins", bins=BINS)),
     "link_bin": (lambda s, d: view(s, d, "intervals").select("id", Z.link_bin(F.col("a") * 7 + 1).alias("bin")), duckdb_text("select id, cast(case when a * 7 + 1 < 4096 then -1 else floor(16 * log2((a * 7 + 1) / 4096.0e0)) end as int) as bin from intervals")),
     "link_size_hist": (lambda s, d: Z.histogram(far_pairs(s, d)), duckdb_text("select * from hist", numbered=NUMBERED, far=FAR, hist=HIST)),

@@ -73,7 +73,7 @@ def blast_hits(lines: DataFrame) -> DataFrame:
     # headers are counted within a file and shifted by those of the files before
     counts = lines.groupBy("file").agg(F.sum(header).alias("n"))
     before = counts.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
-    marked = lines.withColumn("own", F.sum(header).over(by_file)).where(~F.col("value").startswith("#")).join(F.broadcast(before), "file")
+    marked = lines.withColumn("own", F.sum(header).over(by_file)).where(~F.col("value").startswith("#")).join(before, "file")
     f = F.split("value", "\t")
     columns = []
     for k, field in enumerate(_BLAST.split()):

@@ -157,3 +157,24 @@ def test_streamed_matrix_equals_the_whole(spark, tmp_path):
     query = link_stream.running_matrix(stream).writeStream.outputMode("complete").format("memory").queryName("links_now").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sum(r.z for r in spark.table("links_now").collect()) * 2 == sum(r[2] for r in whole)
+
+
+def test_regions_grow_from_the_longest_hit(spark):
+    from chromaloom.functions.intervals import grown_region
+
+    rng = random.Random(4)
+    hits = [(q, t, n, a, a + s) if rng.random() < 0.5 else (q, t, n, a + s, a) for n, (q, t, a, s) in enumerate((rng.randrange(4), rng.randrange(2), rng.randrange(500), rng.randint(1, 60)) for _ in range(80))]
+    found = grown_region(spark.createDataFrame(hits, "query_id int, target int, hit int, t_start int, t_end int"), spark.createDataFrame([(q, 150 + 40 * q) for q in range(4)], "query_id int, size int")).collect()
+    assert len(found) == len({(h[0], h[1]) for h in hits})
+    for r in found:
+        own = [h for h in hits if (h[0], h[1]) == (r.query_id, r.target)]
+        lengths = {}
+        for h in own:
+            lengths.setdefault(abs(h[4] - h[3]), min(h[3], h[4]))
+        ordered = sorted(lengths.items(), reverse=True)
+        a, b = ordered[0][1], ordered[0][1] + ordered[0][0]
+        for size, low in ordered:
+            x, y = min(a, low), max(b, low + size)
+            if y - x <= 150 + 40 * r.query_id:
+                a, b = x, y
+        assert (r.start, r.stop) == ((b, a) if own[0][4] < own[0][3] else (a, b))
