@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chromaloom.llm.common import written
+from chromaloom.llm.common import shared_path, written
 
 K = 5
 SCALE = 256
@@ -140,7 +140,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, pivots:
     queries = written(table.join(queries, "id", "left_semi"), "queries")
     n_queries = queries.count()
     blocks = max(1, -(-n_queries // query_block))
-    parts = []
+    folder, found = shared_path(spark, "top-k"), None
     for block in range(blocks):
         chosen = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
         asked = chosen.collect()
@@ -171,9 +171,12 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, pivots:
                     out[2] += scores
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["query_id", id_column, "score"])
 
-        parts.append(table.select("id", "x", "d").mapInArrow(run, f"query_id long, {id_column} long, score long"))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+        found = table.select("id", "x", "d").mapInArrow(run, f"query_id long, {id_column} long, score long")
+        if blocks > 1:
+            # each block is a job of its own, so neither the plan nor the broadcasts add up
+            found.write.parquet(f"{folder}/block={block}")
+            shared.unpersist()
+    if blocks > 1:
+        found = spark.read.parquet(folder).drop("block")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_column))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", id_column, "score")
