@@ -86,7 +86,7 @@ def linkage(links: DataFrame, clusters: DataFrame, tids: DataFrame) -> DataFrame
     # every contig against every cluster is the result itself; clusters are few
     grid = tids.select("tid").crossJoin(size).join(sums, ["tid", "cluster_id"], "left")
     scored = grid.select("tid", "cluster_id", (F.coalesce("z", F.lit(0)) / F.col("n")).alias("linkage"))
-    return scored.withColumn("k", F.row_number().over(Window.partitionBy("tid").orderBy(F.desc("linkage"), "cluster_id")))
+    return scored.withColumn("k", F.row_number().over(Window.partitionBy("tid").orderBy(F.desc("linkage"), "cluster_id")).cast("bigint"))
 
 
 def assign_noninformative(links: DataFrame, clusters: DataFrame, contigs: DataFrame, ratio: float) -> DataFrame:
@@ -109,7 +109,7 @@ def assign_noninformative(links: DataFrame, clusters: DataFrame, contigs: DataFr
 def canonical(clusters: DataFrame, contigs: DataFrame) -> DataFrame:
     """``old_id, new_id``: clusters numbered by falling length; ties by the old number."""
     sums = clusters.join(contigs, "tid").groupBy(F.col("cluster_id").alias("old_id")).agg(F.sum("len").alias("len"))
-    return sums.select("old_id", (F.row_number().over(Window.orderBy(F.desc("len"), "old_id")) - 1).alias("new_id"))
+    return sums.select("old_id", (F.row_number().over(Window.orderBy(F.desc("len"), "old_id")) - 1).cast("bigint").alias("new_id"))
 
 
 def sorted_members(clusters: DataFrame) -> DataFrame:
@@ -120,12 +120,12 @@ def sorted_members(clusters: DataFrame) -> DataFrame:
 def sort_by_median(clusters: DataFrame) -> DataFrame:
     """``cluster_id, median, new_id``: clusters by the upper median of their sorted members; ties by number."""
     medians = sorted_members(clusters).select("cluster_id", F.col("members")[F.floor(F.size("members") / 2).cast("int")].alias("median"))
-    return medians.withColumn("new_id", F.row_number().over(Window.orderBy("median", "cluster_id")) - 1)
+    return medians.withColumn("new_id", (F.row_number().over(Window.orderBy("median", "cluster_id")) - 1).cast("bigint"))
 
 
 def sort_by_smallest(clusters: DataFrame) -> DataFrame:
     """``cluster_id, new_id``: clusters in the lexicographic order of their sorted members."""
-    return sorted_members(clusters).select("cluster_id", (F.row_number().over(Window.orderBy("members")) - 1).alias("new_id"))
+    return sorted_members(clusters).select("cluster_id", (F.row_number().over(Window.orderBy("members")) - 1).cast("bigint").alias("new_id"))
 
 
 def without_singletons(clusters: DataFrame) -> DataFrame:
@@ -147,5 +147,5 @@ def cluster_lines(clusters: DataFrame, names: DataFrame | None = None) -> DataFr
 def dense_ids(clusters: DataFrame) -> DataFrame:
     """Clusters numbered by their least member, as sets come up when contigs are read in order."""
     first = clusters.groupBy("cluster_id").agg(F.min("tid").alias("first"))
-    numbered = first.select("cluster_id", (F.row_number().over(Window.orderBy("first")) - 1).alias("new_id"))
+    numbered = first.select("cluster_id", (F.row_number().over(Window.orderBy("first")) - 1).cast("bigint").alias("new_id"))
     return clusters.join(numbered, "cluster_id").select("tid", F.col("new_id").alias("cluster_id"))
