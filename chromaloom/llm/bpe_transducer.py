@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from chromaloom.llm.common import TwoGenerationCache, arrow_map, string_list
 from chromaloom.llm.pretokens import piece_finder
 
-CACHED_PIECES = 300_000
+CACHED_PIECES = 120_000
 #: The determinised states are dropped and built anew beyond this number.
-CACHED_STATES = 250_000
+CACHED_STATES = 120_000
 #: Remembered answers whether two tokens may stand side by side.
-CACHED_PAIRS = 1_500_000
+CACHED_PAIRS = 250_000
 #: Ids that a decoder takes at once.
 IDS_AT_ONCE = 8192
 
@@ -51,26 +51,29 @@ class Transducer:
         self._reset()
 
     def _spell(self) -> None:
-        """The trie: a dictionary of children a node, and the token that ends there or -1."""
-        self.children: list[dict[int, int]] = [{}]
+        """The trie: children by ``node * 256 + byte``, and for each node its token or -1 and whether it goes on."""
+        self.below: dict[int, int] = {}
         self.token: list[int] = [-1]
         for spelled, rank in self.ranks.items():
             node = 0
             for byte in spelled:
-                below = self.children[node].get(byte)
-                if below is None:
-                    below = self.children[node][byte] = len(self.token)
-                    self.children.append({})
+                at = node << 8 | byte
+                node = self.below.get(at, -1)
+                if node < 0:
+                    node = self.below[at] = len(self.token)
                     self.token.append(-1)
-                node = below
             self.token[node] = rank
+        self.goes_on = bytearray(len(self.token))
+        for at in self.below:
+            self.goes_on[at >> 8] = 1
 
     def _reset(self) -> None:
         # a state: boundaries (tokens not yet emitted, token before the walk, trie node)
         start = (((), -1, 0),)
         self.number = {start: 0}
         self.states = [start]
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        #: by ``state * 256 + byte``: the next state and the tokens that are now certain
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a byte or a token that merging never makes."""
@@ -125,10 +128,10 @@ class Transducer:
         """Determinise one transition: the state after ``byte`` and the tokens that are now certain."""
         reached = []
         for held, before, node in self.states[state]:
-            below = self.children[node].get(byte)
+            below = self.below.get(node << 8 | byte)
             if below is None:
                 continue
-            if self.children[below]:
+            if self.goes_on[below]:
                 reached.append((held, before, below))
             token = self.token[below]
             if token >= 0:
@@ -143,8 +146,7 @@ class Transducer:
         if after not in self.number:
             self.number[after] = len(self.states)
             self.states.append(after)
-            self.moves.append({})
-        move = self.moves[state][byte] = (self.number[after], first[:sure])
+        move = self.moves[state << 8 | byte] = (self.number[after], first[:sure])
         return move
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
@@ -156,7 +158,7 @@ class Transducer:
             self._reset()
         state, out, moves = 0, [], self.moves
         for byte in piece:
-            move = moves[state].get(byte)
+            move = moves.get(state << 8 | byte)
             state, sure = move if move is not None else self._step(state, byte)
             if sure:
                 out.extend(sure)
@@ -213,6 +215,7 @@ class Codec:
         self.pieces = piece_finder(pattern)
         self.bytes_of = self.transducer.bytes_of
         self.known = TwoGenerationCache(CACHED_PIECES)
+        self.written = [str(k) for k in range(max(self.bytes_of) + 1)]
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of each text."""
@@ -294,7 +297,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_column: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_for(shared.value, pattern)
-        written = [str(k) for k in range(max(codec.bytes_of) + 1)]
+        written = codec.written
         for batch in batches:
             texts = string_list(batch, "text")
             counts, id_digests, byte_digests, same = [], [], [], []

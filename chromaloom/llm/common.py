@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 FALLBACK_CHECKPOINT_DIR = "/tmp/checkpoints/chromaloom"
 
 #: Rows of one Arrow batch; long texts make a batch heavy, so it is kept short.
-ARROW_ROWS = 1000
+ARROW_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

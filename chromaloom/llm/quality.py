@@ -29,7 +29,7 @@ TRAINING_ROWS = 8_000
 #: Scores from here on are good.
 THRESHOLD = 0.3
 EPOCHS, RATE, SHRINK = 6, 0.05, 1e-5
-_HASHES_KEPT = 500_000
+_HASHES_KEPT = 100_000
 _PUNCTUATION = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
 _UPPER, _LOWER, _DIGITS = bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)), bytes(range(0x30, 0x3A))
 _MARKS = b"#$%&*|!<>{}[]=_@~^\\"

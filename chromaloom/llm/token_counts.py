@@ -23,7 +23,7 @@ from chromaloom.llm.common import TwoGenerationCache, arrow_map, string_list
 from chromaloom.llm.pretokens import piece_finder
 
 #: Pre-tokens kept with their counts by a Python worker, and bytes merged at once.
-CACHED_PIECES = 400_000
+CACHED_PIECES = 250_000
 BYTES_AT_ONCE = 1 << 20
 _NO_RANK = np.iinfo(np.int64).max
 
