@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from chromaloom.llm.common import arrow_map, utf8_list, written
 
@@ -257,22 +258,37 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
     A span of more than ``max_span`` words goes from the text.  A document whose
     spans cover more than ``max_coverage`` of its words goes as a whole.  Texts
-    without hits, null and empty ones stay as they are.  A benchmark of more
-    than ``block_bytes`` is applied block by block, each to what the ones
-    before have left.
+    without hits, null and empty ones stay as they are.  Spans are those of the
+    whole benchmark on the unchanged text: where it is scanned in several
+    blocks, the spans are carried from block to block and cut after the last.
     """
     spark = docs.sparkSession
-    place = docs.columns.index(text_column)
-    for block in _blocks(benchmark, "item_id", "text", block_bytes):
+    columns, place = docs.columns, docs.columns.index(text_column)
+    carried = "__spans"
+    span = StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])
+    schema, with_spans = docs.schema, StructType([*docs.schema.fields, StructField(carried, ArrayType(span))])
+    spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    blocks = _blocks(benchmark, "item_id", "text", block_bytes)
+    block, first = next(blocks), True
+    while block is not None:
+        following = next(blocks, None)
         shared = spark.sparkContext.broadcast(pickle.dumps(SuffixAutomaton(block, window)))
+        last = following is None
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first, last=last) -> Iterator[pa.RecordBatch]:
             automaton = pickle.loads(shared.value)
             for batch in batches:
                 texts = utf8_list(batch, text_column)
                 words = [words_of(t) for t in texts]
+                before = [()] * len(texts) if first else batch.column(len(columns)).to_pylist()
+                found = [_joined([*((s["start"], s["end"]) for s in old), *spans]) for (spans, _), old in zip(automaton.scan_texts(words), before, strict=True)]
+                batch = batch.select(range(len(columns)))
+                if not last:
+                    spans = pa.array([[{"start": a, "end": b} for a, b in held] for held in found], spans_type)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, spans], names=[*columns, carried])
+                    continue
                 keep, changed = [], {}
-                for k, (spans, _) in enumerate(automaton.scan_texts(words)):
+                for k, spans in enumerate(found):
                     covered = sum(b - a for a, b in spans)
                     keep.append(not spans or covered <= max_coverage * len(words[k]))
                     if keep[k] and (long := [(a, b) for a, b in spans if b - a > max_span]):
@@ -285,5 +301,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
                     batch = batch.set_column(place, batch.schema.field(place), pa.array(whole, pa.binary()).cast(old.type))
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = arrow_map(docs, run, docs.schema)
+        docs = arrow_map(docs, run, schema if last else with_spans)
+        if not last:
+            docs = written(docs, "decontamination")
+        block, first = following, False
     return docs

@@ -63,3 +63,15 @@ def test_spans_are_cut_and_covered_documents_go(spark):
     kept = dc.decontaminate(spark.createDataFrame(rows, "doc_id long, text string, spans int"), bench).collect()
     assert {r.doc_id: r.text for r in kept} == {1: "Before this. ! After it came a long and clean sentence of many words.", 3: "Clean text.", 4: None}
     assert {r.doc_id: r.spans for r in kept} == {1: 5, 3: 7, 4: 8}
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
+def test_blocks_cut_what_the_whole_benchmark_cuts(spark, block_bytes):
+    words = [f"w{k}" for k in range(1, 16)]
+    items = [(k, " ".join(words[:10])) for k in range(4)] + [(k, " ".join(words[5:])) for k in range(4, 8)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert block_bytes > 60 or sum(1 for b in dc._blocks(bench, "item_id", "text", block_bytes) if b) > 1
+    around = [f"clean{k}" for k in range(30)]
+    rows = [(1, " ".join([*around, *words])), (2, " ".join([*words[:10], "x", *words[5:], "y"])), (3, None)]
+    kept = dc.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench, block_bytes=block_bytes).collect()
+    assert {r.doc_id: r.text for r in kept} == {1: " ".join(around) + " ", 3: None}
