@@ -1,0 +1,144 @@
+"""Near copies by the Jaccard similarity of word shingles: MinHash bands find pairs, the whole shingle sets decide.
+
+A text's signature holds the least of its shingles under each of many hash
+functions; texts that agree in all hashes of a band share a bucket.  In a bucket
+every text is compared with up to 16 leaders, by the similarity of the shingle sets
+themselves, not of the signatures.  Texts that no leader links meet again with
+four times as many leaders, until none is left.  Leaders are drawn in several
+orders, so that two texts that one leader separates meet in another bucket.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from chromaloom.llm.common import arrow_map, utf8_list, written
+from chromaloom.llm.components import components
+
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
+#: A pair of similarity 0.8 shares one of the buckets with probability 1 - (1 - 0.8 ** 6) ** 30 = 0.9999.
+BANDS, BAND_ROWS = 30, 6
+#: Orders in which leaders are drawn, by band.
+ORDERS = 4
+#: Leaders of a bucket in the first round; in buckets of one text more all pairs are compared.
+LEADERS = 16
+SEED = 42
+#: Shingles whose hashes are held together while bucket keys are made.
+SHINGLES_AT_ONCE = 1 << 16
+
+
+def shingle_hashes(text: bytes, words_each: int = SHINGLE_WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a UTF-8 text; a shorter text is one shingle."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    joined, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+    starts = np.r_[0, ends[:-1] + 1]
+    each = min(words_each, len(words))
+    digest = xxhash.xxh64_intdigest
+    at = zip(starts[: len(words) - each + 1].tolist(), ends[each - 1 :].tolist(), strict=True)
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in at], dtype=np.uint64))
+
+
+def band_keys(sets: list[np.ndarray], bands: int = BANDS, band_rows: int = BAND_ROWS) -> np.ndarray:
+    """A row of bucket keys, one for each band, for each set; sets are not empty."""
+    rng = np.random.default_rng(SEED)
+    together = np.concatenate(sets)
+    heads = np.r_[0, np.cumsum([len(s) for s in sets])[:-1]]
+    keys = np.zeros((len(sets), bands), dtype=np.uint64)
+    for band in range(bands):
+        key = np.full(len(sets), band + 1, dtype=np.uint64)
+        for _ in range(band_rows):
+            turn, factor = rng.integers(0, 1 << 64, 2, dtype=np.uint64)
+            key = (key ^ np.minimum.reduceat((together ^ turn) * (factor | np.uint64(1)), heads)) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        keys[:, band] = key
+    return keys
+
+
+def _banded(rows: DataFrame, words_each: int) -> DataFrame:
+    """``id, row_key, node, bands`` for rows of ``id, row_key, node, text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sets, held = [], [], 0
+            for text in utf8_list(batch, "text"):
+                sets.append(shingle_hashes(text, words_each))
+                held += len(sets[-1])
+                if held >= SHINGLES_AT_ONCE:
+                    keys += band_keys(sets).view(np.int64).tolist()
+                    sets, held = [], 0
+            if sets:
+                keys += band_keys(sets).view(np.int64).tolist()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "row_key", "node")), pa.array(keys, pa.list_(pa.int64()))], names=["id", "row_key", "node", "bands"])
+
+    return arrow_map(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, row_key long, node long, bands array<long>")
+
+
+def _sets(rows: DataFrame, words_each: int) -> DataFrame:
+    """``node, shingles`` for rows of ``node, text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(t, words_each).view(np.int64) for t in utf8_list(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return arrow_map(rows, run, "node long, shingles array<long>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``u, v`` whose shingle sets have that similarity at least."""
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    return both.where(common >= F.lit(similarity) * (F.size("a") + F.size("b") - common)).select("u", "v")
+
+
+def _links(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``u, v``: verified links between the nodes of the buckets ``key, order, node``."""
+    left, leaders, found = buckets, LEADERS, None
+    while True:
+        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", "order"), "node"))
+        ranked = written(left.withColumn("rank", rank), "ranked")
+        heads = ranked.where(F.col("rank") <= leaders).select("key", F.col("node").alias("u"), F.col("rank").alias("head"))
+        met = written(ranked.join(heads, "key").where("rank > head").select("key", "order", "rank", "u", F.col("node").alias("v")), "met")
+        if met.isEmpty():
+            return found if found is not None else met.select("u", "v")
+        links = written(_verified(met.select("u", "v").distinct(), sets, similarity), "links")
+        found = links if found is None else found.unionByName(links)
+        reached = met.join(links, ["u", "v"], "left_semi").select("key", F.col("v").alias("node")).distinct()
+        left = ranked.where(F.col("rank") > leaders).join(reached, ["key", "node"], "left_anti").select("key", "order", "node")
+        leaders *= 4
+
+
+def drop_near_copies(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of each component of texts whose shingle sets have that similarity at least; all columns are kept.
+
+    The row with the least id stays, rows without an id only where the component
+    has no other, and of rows that repeat both id and text one.  Null, empty and
+    wordless texts all stay.  Texts and rows are told apart by 64-bit hashes.
+    """
+    text = F.col(text_column).cast("string")
+    row_key = F.xxhash64(F.col(id_column).cast("string"), text)
+    worded = F.coalesce(text.rlike(r"\S"), F.lit(False))
+    rows = docs.where(worded).select(F.col(id_column).alias("id"), row_key.alias("row_key"), F.xxhash64(text).alias("node"), text.alias("text"))
+    banded = written(_banded(rows, shingle_words), "banded")
+    buckets = banded.select("node", F.posexplode("bands").alias("band", "key")).select("key", (F.col("band") % ORDERS).alias("order"), "node").distinct()
+    shared = buckets.groupBy("key").count().where("count > 1").select("key")
+    buckets = written(buckets.join(shared.hint("merge"), "key", "left_semi"), "buckets")
+    # one row of each text that shares a bucket; by a shuffle at every size, as the list grows with the documents
+    chosen = banded.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key"))
+    chosen = written(chosen.select("row_key"), "chosen")
+    candidates = rows.select("row_key", "node", "text").join(chosen.hint("merge"), "row_key", "left_semi")
+    sets = written(_sets(candidates.dropDuplicates(["row_key"]), shingle_words), "sets")
+    roots = components(_links(buckets, sets, similarity)).withColumnRenamed("node", "linked")
+    placed = banded.select("id", "row_key", "node").join(roots, F.col("node") == F.col("linked"), "left").withColumn("root", F.coalesce("root", "node"))
+    least = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key")).alias("least"))
+    kept = written(least.select(F.col("least.row_key").alias("__row_key")), "kept")
+    stays = docs.where(worded).withColumn("__row_key", row_key).join(kept.hint("merge"), "__row_key", "left_semi").dropDuplicates(["__row_key"])
+    return docs.where(~worded).unionByName(stays.select(*docs.columns))
