@@ -10,6 +10,8 @@ from chromaloom.functions.numbers import floor_log2
 #: Bins are a sixteenth of an octave wide, from the least to the most distance.
 LEAST, OCTAVES, PER_OCTAVE = 4096, 16, 16
 PER_AREA = 1e6
+#: Gaps are tried in steps of GAP_STEP below MOST_GAP.
+GAP_STEP, MOST_GAP = 1000, 10_000_000
 
 
 def link_bin(distance: Column) -> Column:
@@ -97,7 +99,7 @@ def contig_enrichment(pairs: DataFrame, contigs: DataFrame, lsd: DataFrame) -> D
     return rows.select("tid", F.when(F.col("len") < LEAST, 1.0).when(F.col("n").isNull(), 0.0).otherwise(F.col("n") / F.col("expected")).alias("enrichment"))
 
 
-def gap_likelihood(links: DataFrame, lsd: DataFrame, step: int = 1000, most: int | None = None) -> DataFrame:
+def gap_likelihood(links: DataFrame, lsd: DataFrame, step: int = GAP_STEP, most: int | None = None) -> DataFrame:
     """``pair, gap, ll`` for gaps from 0 in steps: the Poisson log-likelihood of the links of a pair of contigs.
 
     ``links`` has a row per link: ``pair, len1, len2, enrichment, dist``.  Bins
@@ -108,7 +110,10 @@ def gap_likelihood(links: DataFrame, lsd: DataFrame, step: int = 1000, most: int
     per_pair = links.groupBy("pair", "len1", "len2", "enrichment").agg(F.max("dist").alias("far"))
     ends = F.lit(top) - F.col("far") - 1 if most is None else F.least(F.lit(top) - F.col("far") - 1, F.lit(most))
     grid = per_pair.withColumn("gap", F.explode(F.sequence(F.lit(0).cast("bigint"), ends.cast("bigint"), F.lit(step).cast("bigint"))))
-    expected = grid.crossJoin(F.broadcast(lsd)).select("pair", "gap", "bin", expected_between(F.col("gap"), F.col("len1"), F.col("len2"), F.col("enrichment")).alias("m")).where("m > 0")
+    # only the bins that a link across this gap can fall in, and one more on either side for rounded bounds
+    low, high = F.greatest(link_bin(F.col("gap")) - 1, F.lit(0)), F.least(link_bin(F.col("gap") + F.col("len1") + F.col("len2")) + 1, F.lit(OCTAVES * PER_OCTAVE - 1))
+    reached = grid.withColumn("bin", F.explode(F.sequence(low, high)))
+    expected = reached.join(F.broadcast(lsd), "bin").select("pair", "gap", "bin", expected_between(F.col("gap"), F.col("len1"), F.col("len2"), F.col("enrichment")).alias("m")).where("m > 0")
     seen = grid.select("pair", "gap").join(links.select("pair", "dist"), "pair").select("pair", "gap", link_bin(F.col("dist") + F.col("gap")).alias("bin")).where("bin >= 0").groupBy("pair", "gap", "bin").agg(F.count(F.lit(1)).alias("k"))
     factorial = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.col("k")), F.lit(0.0), lambda total, x: total + F.log(x.cast("double")))
     both = expected.join(seen, ["pair", "gap", "bin"], "left")

@@ -42,13 +42,14 @@ def lsd(s, d):
     return Z.density(far_pairs(s, d), view(s, d, "contigs"))
 
 
-def _links(s, d):
+def _links(s, d, chosen="c1 % 8 = 0"):
+    """Links of neighbouring contigs; the check of ``poisson_ll`` is over the chosen pairs only."""
     from chromaloom.operators.links import local_ids
 
     sized = local_ids(view(s, d, "clusters")).join(view(s, d, "contigs").select("tid", "len"), "tid")
     one = sized.select("cluster_id", F.col("local_id").alias("c1"), F.col("len").alias("len1"))
     two = sized.select("cluster_id", F.col("local_id").alias("c2"), F.col("len").alias("len2"))
-    near = cells(s, d).where("c2 = c1 + 1 and not rc1 and not rc2 and c1 % 8 = 0").join(one, ["cluster_id", "c1"]).join(two, ["cluster_id", "c2"])
+    near = cells(s, d).where(f"c2 = c1 + 1 and not rc1 and not rc2 and {chosen}").join(one, ["cluster_id", "c1"]).join(two, ["cluster_id", "c2"])
     return near.select((F.col("cluster_id") * 100000 + F.col("c1")).alias("pair"), "len1", "len2", F.lit(1.0).alias("enrichment"), "dist")
 
 
@@ -56,6 +57,12 @@ def _likelihood(s, d):
     return Z.gap_likelihood(_links(s, d), lsd(s, d), step=20000, most=200000)
 
 
+def _gaps(s, d):
+    """The gap of every neighbouring pair, over all gaps that the search tries."""
+    likelihood = Z.gap_likelihood(_links(s, d, "true"), lsd(s, d), step=Z.GAP_STEP, most=Z.MOST_GAP - Z.GAP_STEP)
+    return Z.gap_size(likelihood.withColumn("ll", F.round("ll", 5)))
+
+
 def _expected(s, d):
     rows = view(s, d, "contigs").where("tid % 40 = 0").select("tid", F.col("len").alias("l1"), (F.col("len") + 15000).alias("l2"), (F.col("tid") * 10).cast("bigint").alias("g"))
     return rows.crossJoin(F.broadcast(lsd(s, d))).select("tid", "bin", F.round(Z.expected_between(F.col("g"), F.col("l1"), F.col("l2")), 9).alias("m"))
@@ -112,7 +119,7 @@ REGISTRY = {
     "poisson_ll": (lambda s, d: _likelihood(s, d).withColumn("ll", F.round("ll", 5)), duckdb_text(f"""select pair, gap, round(sum(-m + case when k is null then 0 else k * ln(m) - lf end), 5) as ll from (select e.*, s.k, (select coalesce(sum(ln(cast(u as double))), 0) from (select unnest(range(1, coalesce(s.k, 0) + 1)) as u) z) as lf from
       (select pair, g as gap, bin, {M} as m from (select distinct pair, len1 as l1, len2 as l2 from lk) p cross join (select unnest(range(0, 200001, 20000)) as g) y cross join lsd) e
       left join (select pair, gap, cast(floor(16 * log2((dist + gap) / 4096.0e0)) as int) as bin, count(*) as k from (select pair, dist, unnest(range(0, 200001, 20000)) as gap from lk) q where dist + gap >= 4096 group by 1, 2, 3) s on e.pair = s.pair and e.gap = s.gap and e.bin = s.bin where m > 0) t group by 1, 2""", **CHAIN, local=LOCAL, grouped=GROUPED, cells=CELLS, lk=LINKS)),
-    "gap_size": (lambda s, d: Z.gap_size(_likelihood(s, d).withColumn("ll", F.round("ll", 5))), None),
+    "gap_size": (_gaps, None),
     "link_variance": (lambda s, d: Z.link_variance(cells(s, d), view(s, d, "contigs")).withColumn("variance", F.round("variance", 9)), duckdb_text("select cluster_id, c1, c2, cast(sum(k) as bigint) as n, round(var_pop(k), 9) as variance from (select cluster_id, c1, c2, dist // 10000 as bin, count(*) as k from cells where not rc1 and not rc2 and c1 < c2 group by 1, 2, 3, 4) x group by 1, 2, 3", local=LOCAL, grouped=GROUPED, cells=CELLS)),
     "vcf_parse": (_variants, duckdb_text("""select chrom, pos, ref, alt, genotype, ref_depth, alt_depth, greatest(case genotype when 0 then least(p1, p2) - p0 when 1 then least(p0, p2) - p1 else least(p0, p1) - p2 end, 0) as qual, true as is_snv,
       ref_depth / cast(nullif(ref_depth + alt_depth, 0) as double) as raf, alt_depth / cast(nullif(ref_depth + alt_depth, 0) as double) as aaf, least(ref_depth / cast(nullif(ref_depth + alt_depth, 0) as double), alt_depth / cast(nullif(ref_depth + alt_depth, 0) as double)) as maf,
