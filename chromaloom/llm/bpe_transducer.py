@@ -21,7 +21,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from chromaloom.llm.common import TwoGenerationCache, arrow_map, string_list
+from chromaloom.llm.common import TwoGenerationCache, arrow_map, kept_by_worker, string_list
 from chromaloom.llm.pretokens import piece_finder
 
 CACHED_PIECES = 120_000
@@ -143,12 +143,16 @@ class Transducer:
         while sure < shortest and all(held[sure] == first[sure] for held, _, _ in reached):
             sure += 1
         after = tuple(sorted((held[sure:], before, node) for held, before, node in reached))
-        if after not in self.number:
-            self.number[after] = len(self.states)
-            self.states.append(after)
-        move = self.moves[state << 8 | byte] = (self.number[after], first[:sure])
+        move = self.moves[state << 8 | byte] = (self._numbered(after), first[:sure])
         return move
 
+    def _numbered(self, boundaries: tuple) -> int:
+        """The number of the state with these boundaries, a new one where there is none."""
+        if boundaries not in self.number:
+            self.number[boundaries] = len(self.states)
+            self.states.append(boundaries)
+        return self.number[boundaries]
+
     def encode(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one pre-token; a piece that is a token as a whole stays whole, as the library does."""
         whole = self.ranks.get(piece)
@@ -159,7 +163,13 @@ class Transducer:
         state, out, moves = 0, [], self.moves
         for byte in piece:
             move = moves.get(state << 8 | byte)
-            state, sure = move if move is not None else self._step(state, byte)
+            if move is None:
+                if len(self.states) > CACHED_STATES:  # a long piece makes states without end; only its own goes on
+                    held = self.states[state]
+                    self._reset()
+                    state, moves = self._numbered(held), self.moves
+                move = self._step(state, byte)
+            state, sure = move
             if sure:
                 out.extend(sure)
         for held, _, node in self.states[state]:
@@ -238,16 +248,9 @@ class Codec:
         return "".join(map(machine.feed, self.decode_bytes(ids))) + machine.finish()
 
 
-_CODECS: dict[int, Codec] = {}
-
-
 def codec_for(ranks_text: str, pattern: str) -> Codec:
     """The codec of this Python worker, kept from task to task."""
-    key = hash((ranks_text, pattern))
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(read_ranks(ranks_text), pattern)
-    return _CODECS[key]
+    return kept_by_worker("codec", (hash(ranks_text), pattern), lambda: Codec(read_ranks(ranks_text), pattern))
 
 
 def _shared_ranks(df: DataFrame, ranks_path: str):

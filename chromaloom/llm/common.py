@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where ``spark.checkpoint.dir`` is unset, as in tests on one machine.
+#: Used only where ``spark.checkpoint.dir`` is unset and the master is local, as in tests on one machine.
 FALLBACK_CHECKPOINT_DIR = "/tmp/checkpoints/chromaloom"
 
-#: Rows of one Arrow batch; long texts make a batch heavy, so it is kept short.
+#: Rows of one Arrow batch at most; long texts make a batch heavy, so it is kept short.  Functions that want more
+#: rows at once gather batches themselves (:func:`gathered`), so no result depends on this setting.
 ARROW_ROWS = 500
 
 
@@ -22,8 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, without a trailing slash."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_CHECKPOINT_DIR
+    """The folder that driver and executors share, without a trailing slash.
+
+    ``spark.checkpoint.dir`` names it; without that setting only a local master will do.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = FALLBACK_CHECKPOINT_DIR
     return root.rstrip("/") + "/chromaloom"
 
 
@@ -32,6 +42,10 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables written inside :func:`scratch`, innermost last.
+_SCRATCH: list[list[str]] = []
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back.
 
@@ -41,6 +55,8 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, tag)
     df.write.parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,6 +67,17 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what :func:`written` has written inside; no frame that is used later may read it."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            delete_path(spark, path)
+
+
 def text_or_empty(column: str) -> Column:
     """A text column with null taken as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -67,10 +94,50 @@ def arrow_map(
     schema: str,
 ) -> DataFrame:
     """``mapInArrow`` with short batches."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) != ARROW_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return df.mapInArrow(function, schema)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``rows`` or a few more; the last may be shorter and none is empty."""
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+_KEPT: dict[str, tuple] = {}
+
+
+def kept_by_worker(name: str, key: tuple, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task: the last object made only, so operators do not add up in it."""
+    if _KEPT.get(name, (None,))[0] != key:
+        _KEPT.clear()
+        _KEPT[name] = (key, make())
+    return _KEPT[name][1]
+
+
+def release_kept() -> None:
+    """Drop what :func:`kept_by_worker` holds; heavy functions call it before they start."""
+    _KEPT.clear()
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def utf8_list(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string column as UTF-8 bytes, null as the empty text."""
     return [value or b"" for value in batch.column(name).cast(pa.binary()).to_pylist()]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-from chromaloom.llm.common import arrow_map, id_remainder, utf8_list
+from chromaloom.llm.common import arrow_map, id_remainder, release_kept, utf8_list
 
 #: Hashed words share so many features; structure and metadata follow.
 WORD_FEATURES = 1 << 14
@@ -149,9 +149,12 @@ class FactorisationMachine:
 def fit_machine(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", length_column: str = "n_chars") -> FactorisationMachine:
     """Fit on labelled rows whose ``crc32(id as text) mod 5`` is not 0, at most ``training_rows`` of them.
 
-    Features are made on the executors from whole texts; the driver gets those
-    of the bounded sample only.  Labels that are null, and ids that are null,
-    are passed over; without labels every score is one half.
+    The rows are the least by a hash of their id, then by id and by a hash of
+    their text; rows that repeat both are one row, and of several labels of an
+    id the highest holds.  Features are made on the executors from whole texts,
+    however long; the driver gets those of the bounded sample only.  Null labels
+    and null ids are passed over, a null text is the empty one; without labels,
+    or without rows, every score is one half.
     """
     known = labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label")).where("id is not null and label is not null")
     chosen = known.where(id_remainder("id", 5) != 0).groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(training_rows).collect()
@@ -160,21 +163,29 @@ def fit_machine(docs: DataFrame, labels: DataFrame, training_rows: int = TRAININ
     spark = docs.sparkSession
     label_of = {r["id"]: int(r["label"] > 0) for r in chosen}
     sample = spark.createDataFrame([(k,) for k in label_of], f"id {known.schema['id'].dataType.simpleString()}")
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), F.col(length_column).cast("long").alias("declared"))
-    # at most training_rows ids: a side of bounded size
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"), F.col(length_column).cast("long").alias("declared"))
+    # at most training_rows ids, then as many rows: sides of bounded size
     rows = rows.join(F.broadcast(sample), "id", "left_semi")
+    keys = rows.select("id", "key").distinct().orderBy(F.xxhash64("id"), "id", "key").limit(training_rows).collect()
+    if not keys:
+        return FactorisationMachine().fit([], [])
+    rows = rows.join(F.broadcast(spark.createDataFrame(keys, rows.select("id", "key").schema)), ["id", "key"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_kept()
         features = Features()
         for batch in batches:
             made = [features.of(t, n) for t, n in zip(utf8_list(batch, "text"), batch.column("declared").to_pylist(), strict=True)]
             index = pa.array([m[0].astype(np.int32) for m in made], pa.list_(pa.int32()))
             value = pa.array([m[1].astype(np.float32) for m in made], pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), index, value], names=["id", "index", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), index, value], names=["id", "key", "index", "value"])
 
-    got = arrow_map(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, index array<int>, value array<float>").toArrow()
-    ids = got.column("id").to_pylist()
-    order = sorted(range(len(ids)), key=lambda k: ids[k])
+    made = arrow_map(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, key long, index array<int>, value array<float>")
+    first = F.min(F.struct("value", "index")).alias("first")
+    got = made.groupBy("id", "key").agg(first).select("id", "key", "first.index", "first.value").toArrow()
+    ids, keys = got.column("id").to_pylist(), got.column("key").to_pylist()
+    order = sorted(range(len(ids)), key=lambda k: (ids[k], keys[k]))
     index, value = got.column("index").combine_chunks(), got.column("value").combine_chunks()
     data = [(index[k].values.to_numpy(zero_copy_only=False).astype(np.int64), value[k].values.to_numpy(zero_copy_only=False).astype(np.float64)) for k in order]
     return FactorisationMachine().fit(data, [label_of[ids[k]] for k in order])
@@ -183,23 +194,35 @@ def fit_machine(docs: DataFrame, labels: DataFrame, training_rows: int = TRAININ
 _FEATURES = Features()
 
 
+def _scoring(docs: DataFrame, machine: FactorisationMachine, text_column: str, length_column: str):
+    """A function for the executors: the scores of a batch."""
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps((machine.w.astype(np.float32), machine.v.astype(np.float32))))
+    place, length = docs.columns.index(text_column), docs.columns.index(length_column)
+
+    def scorer():
+        release_kept()
+        model = FactorisationMachine.__new__(FactorisationMachine)
+        model.w, model.v = pickle.loads(shared.value)
+        return lambda batch: [model.score(*_FEATURES.of(t or b"", n)) for t, n in zip(batch.column(place).cast(pa.binary()).to_pylist(), batch.column(length).to_pylist(), strict=True)]
+
+    return scorer
+
+
 def score_documents(docs: DataFrame, machine: FactorisationMachine, threshold: float = THRESHOLD, text_column: str = "text", length_column: str = "n_chars") -> DataFrame:
     """``docs`` with ``score`` (0 to 1, higher: better) and ``predicted`` (1 from the threshold on).
 
-    Null texts are scored as empty ones; repeated rows get equal scores; a null
-    declared length counts as right.  Other columns are no input and stay,
-    except that ``score`` and ``predicted`` are replaced.  No shuffle.
+    Null texts are scored as empty ones, very long ones whole; repeated rows get
+    equal scores; a null declared length counts as right; a score equal to the
+    threshold is 1; an empty table gives an empty one.  Other columns are no
+    input and stay, except that ``score`` and ``predicted`` are replaced.  No shuffle.
     """
-    spark = docs.sparkSession
     kept = docs.drop("score", "predicted")
-    shared = spark.sparkContext.broadcast(pickle.dumps((machine.w.astype(np.float32), machine.v.astype(np.float32))))
+    scorer = _scoring(kept, machine, text_column, length_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = FactorisationMachine.__new__(FactorisationMachine)
-        model.w, model.v = pickle.loads(shared.value)
+        scores_of = scorer()
         for batch in batches:
-            lengths = batch.column(length_column).to_pylist()
-            scores = [model.score(*_FEATURES.of(t, n)) for t, n in zip(utf8_list(batch, text_column), lengths, strict=True)]
+            scores = scores_of(batch)
             columns = [*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "score", "predicted"])
 
@@ -207,6 +230,13 @@ def score_documents(docs: DataFrame, machine: FactorisationMachine, threshold: f
     return arrow_map(kept, run, schema)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that the classifier does not reject, with their own columns."""
-    return score_documents(docs, fit_machine(docs, labels), threshold).where("predicted = 1").select(*docs.columns)
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_column: str = "text", length_column: str = "n_chars") -> DataFrame:
+    """The documents that the classifier does not reject, with just their own columns, whatever their names."""
+    scorer = _scoring(docs, fit_machine(docs, labels), text_column, length_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores_of = scorer()
+        for batch in batches:
+            yield batch.filter(pa.array([s >= threshold for s in scores_of(batch)], pa.bool_()))
+
+    return arrow_map(docs, run, docs.schema)

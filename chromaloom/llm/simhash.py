@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chromaloom.llm.common import arrow_map, utf8_list, written
+from chromaloom.llm.common import arrow_map, gathered, release_kept, utf8_list, written
 from chromaloom.llm.components import components
 
 DISTANCE = 3
@@ -31,6 +31,8 @@ SEGMENTS, SEGMENT_BITS, HALF_BITS = 4, 16, 8
 BUCKET_ROWS = 4096
 #: Of buckets up to this size the links are found for all buckets of a batch together.
 SMALL_BUCKET = 16
+#: Bucket rows that a task looks at together.
+LINK_ROWS = 20_000
 _SHINGLES_AT_ONCE = 1 << 16
 
 
@@ -56,10 +58,11 @@ def fingerprint(text: bytes, words_each: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``id, fp`` for every whole text, fp as a signed long; null and wordless texts have 0."""
+    """``id, fp`` for every whole text, however long, fp as a signed long; null and wordless texts have 0."""
     rows = docs.select(docs[id_column].alias("id"), docs[text_column].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_kept()
         for batch in batches:
             made = np.array([fingerprint(t) for t in utf8_list(batch, "text")], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(made.view(np.int64))], names=["id", "fp"])
@@ -178,8 +181,7 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def links(distinct: DataFrame) -> DataFrame:
     """``u, v``: links between distinct fingerprints whose components are those of all links within the distance."""
     rows = _divided(bucketed(distinct)).repartition("key", "part").sortWithinPartitions("key", "part")
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    return rows.mapInArrow(_link_batches, "u long, v long")
+    return rows.mapInArrow(lambda batches: _link_batches(gathered(batches, LINK_ROWS)), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

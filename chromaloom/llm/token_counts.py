@@ -10,6 +10,7 @@ its own (checked when the vocabulary is loaded).
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -19,12 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from chromaloom.llm.common import TwoGenerationCache, arrow_map, string_list
+from chromaloom.llm.common import TwoGenerationCache, arrow_map, kept_by_worker, string_list
 from chromaloom.llm.pretokens import piece_finder
 
 #: Pre-tokens kept with their counts by a Python worker, and bytes merged at once.
 CACHED_PIECES = 250_000
 BYTES_AT_ONCE = 1 << 20
+#: Pre-tokens of more bytes are merged by themselves, each merge touching only its own places.
+LONG_PIECE = 1024
 _NO_RANK = np.iinfo(np.int64).max
 
 
@@ -58,6 +61,7 @@ class MergeTable:
             merged.append(vocab[left + right])
         order = np.argsort(np.array(keys, dtype=np.int64), kind="stable")
         self.keys = np.array(keys, dtype=np.int64)[order]
+        self.by_rank = np.array(keys, dtype=np.int64), np.array(merged, dtype=np.int64)
         self.ranks = order.astype(np.int64)
         self.merged = np.array(merged, dtype=np.int64)[order]
         special = sorted((t["content"] for t in spec.get("added_tokens", ())), key=len, reverse=True)
@@ -74,14 +78,74 @@ class MergeTable:
     def count(self, pieces: list[bytes]) -> np.ndarray:
         """Tokens of each piece."""
         counts = np.zeros(len(pieces), dtype=np.int64)
-        start, held = 0, 0
+        short, held = [], 0
         for k, piece in enumerate(pieces):
+            if len(piece) > LONG_PIECE:
+                counts[k] = self._count_long(piece)
+                continue
+            short.append(k)
             held += len(piece)
-            if held >= BYTES_AT_ONCE or k == len(pieces) - 1:
-                counts[start : k + 1] = self._count(pieces[start : k + 1])
-                start, held = k + 1, 0
+            if held >= BYTES_AT_ONCE:
+                counts[short] = self._count([pieces[n] for n in short])
+                short, held = [], 0
+        if short:
+            counts[short] = self._count([pieces[n] for n in short])
         return counts
 
+    def _count_long(self, piece: bytes) -> int:
+        """Tokens of one long piece: the lowest rank left is applied at all its places at once.
+
+        The places of a pair are kept by rank when the pair comes up, so a merge
+        looks at these alone; the symbols are linked to their neighbours.  A rank
+        comes up for the last time before it is applied, since a merge makes only
+        pairs of higher rank.
+        """
+        symbols = self.byte_ids[np.frombuffer(piece, dtype=np.uint8)].copy()
+        n = len(symbols)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        alive = np.ones(n, dtype=bool)
+        places: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def note(left: np.ndarray) -> None:
+            left = left[after[left] < n]
+            key = symbols[left] * self.size + symbols[after[left]]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            known = self.keys[at] == key
+            left, rank = left[known], self.ranks[at[known]]
+            order = np.argsort(rank, kind="stable")
+            left, rank = left[order], rank[order]
+            heads = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]]) if len(rank) else []
+            for r, part in zip(rank[heads].tolist(), np.split(left, heads[1:]), strict=True) if len(rank) else ():
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(ranks, r)
+                places[r].append(part)
+
+        note(np.arange(n))
+        keys, merged = self.by_rank
+        while ranks:
+            rank = heapq.heappop(ranks)
+            first, second = divmod(int(keys[rank]), self.size)
+            left = np.unique(np.concatenate(places.pop(rank)))
+            left = left[alive[left] & (symbols[left] == first) & (after[left] < n)]
+            left = left[symbols[after[left]] == second]
+            if first == second and len(left):
+                # of overlapping equal pairs (a a a) every second one merges, from the left
+                place = np.arange(len(left))
+                fresh = np.r_[True, after[left[:-1]] != left[1:]]
+                left = left[(place - np.maximum.accumulate(np.where(fresh, place, 0))) % 2 == 0]
+            if not len(left):
+                continue
+            right = after[left]
+            symbols[left], alive[right] = merged[rank], False
+            after[left] = after[right]
+            inner = after[left] < n
+            before[after[left][inner]] = left[inner]
+            earlier = before[left]
+            note(np.unique(np.r_[left, earlier[earlier >= 0]]))
+        return int(alive.sum())
+
     def _count(self, pieces: list[bytes]) -> np.ndarray:
         lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
         counts = lengths.copy()
@@ -127,16 +191,9 @@ class TokenCounter:
         return [sum(map(count, pieces)) + extra for pieces, extra in parts]
 
 
-_COUNTERS: dict[int, TokenCounter] = {}
-
-
 def counter_for(definition: str, pattern: str) -> TokenCounter:
     """The counter of this Python worker, kept from task to task."""
-    key = hash((definition, pattern))
-    if key not in _COUNTERS:
-        _COUNTERS.clear()
-        _COUNTERS[key] = TokenCounter(MergeTable(definition, pattern))
-    return _COUNTERS[key]
+    return kept_by_worker("counter", (hash(definition), pattern), lambda: TokenCounter(MergeTable(definition, pattern)))
 
 
 def count_tokens(docs: DataFrame, vocabulary_path: str, pattern: str, limit: int = 512, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
