@@ -42,6 +42,7 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Paths of the tables written inside :func:`scratch`, innermost last.
 _SCRATCH: list[list[str]] = []
 
@@ -50,11 +51,17 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back.
 
     It cuts the lineage as ``checkpoint()`` does and survives lost executors,
-    but is stored by column and compressed.
+    but is stored by column and compressed.  Shuffle files of the job go when it
+    has ended, not when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = shared_path(spark, tag)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     if _SCRATCH:
         _SCRATCH[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)

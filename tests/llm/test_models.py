@@ -47,22 +47,121 @@ def test_random_runs_are_found_and_identifiers_left(spark):
 
 
 def exact_tables(c, base, others, discount, strength):
-    weight = np.array([seating.log_stirling(discount)[c - 1, t - 1] + t * math.log(base) + sum(math.log(strength + discount * (others + k)) for k in range(t)) for t in range(1, c + 1)])
+    """Mean and deviation of the tables of a row, by the recursion of the Stirling numbers."""
+    now, tables = np.full(c + 1, -np.inf), np.arange(c + 1)
+    now[0] = 0
+    for k in range(c):
+        with np.errstate(divide="ignore"):
+            stay = now + np.log(np.maximum(k - discount * tables, 0))
+        now = np.logaddexp(stay, np.r_[-np.inf, now[:-1]])
+    weight = now[1:] + tables[1:] * math.log(base) + np.log(strength + discount * (others + np.arange(c))).cumsum()
     weight = np.exp(weight - weight.max())
-    return (weight / weight.sum() * np.arange(1, c + 1)).sum()
+    weight /= weight.sum()
+    mean = weight @ tables[1:]
+    return mean, math.sqrt(weight @ (tables[1:] - mean) ** 2)
 
 
-def test_tables_are_drawn_from_their_conditional():
+@pytest.mark.parametrize("c, base, others, discount", [(2, 0.1, 3, 0.5), (7, 0.02, 40, 0.5), (40, 0.3, 10, 0.5), (200, 0.05, 100, 0.6), (2000, 0.05, 1000, 0.8), (3000, 0.2, 5000, 0.8), (3000, 0.5, 50000, 0.9)])
+def test_tables_are_drawn_from_their_conditional(c, base, others, discount):
+    drawn = seating.draw_tables(np.full(3000, c), np.full(3000, base), np.full(3000, others), discount, 1.0, np.random.default_rng(1))
+    mean, deviation = exact_tables(c, base, others, discount, 1.0)
+    assert abs(drawn.mean() - mean) < 0.012 * mean + 0.1 * deviation
+    assert drawn.std() == pytest.approx(deviation, rel=0.1, abs=0.1)
+
+
+def test_tables_of_huge_rows_have_no_cap():
     rng = np.random.default_rng(1)
-    for c, base, others in ((2, 0.1, 3), (7, 0.02, 40), (40, 0.3, 10)):
-        drawn = seating.draw_tables(np.full(4000, c), np.full(4000, base), np.full(4000, others), 0.5, 1.0, rng)
-        assert abs(drawn.mean() - exact_tables(c, base, others, 0.5, 1.0)) < 0.15
-    # the grid's weights carry on where the exact ones end
-    few = seating.draw_tables(np.full(3000, seating.EXACT), np.full(3000, 0.05), np.full(3000, 20), 0.6, 1.0, rng).mean()
-    more = seating.draw_tables(np.full(3000, 5 * seating.EXACT), np.full(3000, 0.05), np.full(3000, 20), 0.6, 1.0, rng).mean()
-    assert few < more < 3 * few
-    huge = seating.draw_tables(np.full(10, 10**9), np.full(10, 1e-9), np.full(10, 20), 0.6, 1.0, rng)
-    assert (huge == 1).all()
+    drawn = seating.draw_tables(np.full(200, 10**6), np.full(200, 0.05), np.full(200, 1e5), 0.8, 1.0, rng)
+    assert 4500 < drawn.mean() < 6000
+    assert (seating.draw_tables(np.full(10, 10**9), np.full(10, 1e-12), np.full(10, 20), 0.6, 1.0, rng) == 1).all()
+
+
+def test_log_gamma():
+    x = np.array([0.05, 0.5, 1, 3.3, 8, 100, 1e6])
+    assert np.allclose(seating.log_gamma(x), [math.lgamma(v) for v in x], atol=1e-9)
+
+
+def seat_by_seat(texts, discount, strength, parent_discount, parent_strength, sweeps, seed=5):
+    """Averaged probabilities of all pairs of words by a sampler that moves one customer at a time."""
+    rng = random.Random(seed)
+    pairs = [(v, w) for t in texts for v, w in zip(["", *t], [*t, ""], strict=True)]
+    words = sorted({w for _, w in pairs})
+    base = (1 - language_model.UNSEEN_BASE) / len(words)
+    houses, parent = {v: {} for v in ["", *words]}, {"": {}}
+
+    def chance(house, w, d, s, below):
+        own = house.get(w, [])
+        customers, tables = sum(map(sum, house.values())), sum(map(len, house.values()))
+        return (sum(own) - d * len(own) + (s + d * tables) * below) / (s + customers)
+
+    def add(house, w, d, s, below):
+        own, tables = house.setdefault(w, []), sum(map(len, house.values()))
+        weights = [n - d for n in own] + [(s + d * tables) * below]
+        at = rng.choices(range(len(weights)), weights)[0]
+        if at == len(own):
+            own.append(0)
+        own[at] += 1
+        return at == len(own) - 1 and own[at] == 1
+
+    def remove(house, w):
+        own = house[w]
+        at = rng.choices(range(len(own)), own)[0]
+        own[at] -= 1
+        if not own[at]:
+            own.pop(at)
+            return True
+        return False
+
+    def single(w):
+        return chance(parent[""], w, parent_discount, parent_strength, base)
+
+    def seat(v, w):
+        if add(houses[v], w, discount, strength, single(w)):
+            add(parent[""], w, parent_discount, parent_strength, base)
+
+    for v, w in pairs:
+        seat(v, w)
+    total = Counter()
+    for sweep in range(2 * sweeps):
+        for v, w in pairs:
+            if remove(houses[v], w):
+                remove(parent[""], w)
+            seat(v, w)
+        if sweep >= sweeps:
+            for v in houses:
+                for w in words:
+                    total[v, w] += chance(houses[v], w, discount, strength, single(w)) / sweeps
+    return total
+
+
+def test_scores_equal_a_seat_by_seat_sampler(spark):
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(12)]
+    texts = [rng.choices(vocabulary, weights=range(1, 13), k=rng.randint(0, 30)) for _ in range(12)]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "id long, text string").coalesce(1)
+    rows = docs.selectExpr("monotonically_increasing_id() as row", "id", "false as held_out", "text")
+    model, words = language_model.fit(docs)
+    scores = {r.id: r.score for r in language_model.score(rows, model, words).collect()}
+    chance = seat_by_seat(texts, model.discount, model.strength, model.parent.discount, model.parent.strength, 40)
+    for k, t in enumerate(texts):
+        slow = sum(math.log10(chance[pair]) for pair in zip(["", *t], [*t, ""], strict=True))
+        assert scores[k] == pytest.approx(slow, abs=0.03 * (len(t) + 1) + 0.05)
+    counts = [r.tables for r in words.collect()]
+    assert model.parent.probabilities(np.array(counts)).sum() + model.parent.unseen() == pytest.approx(1, abs=1e-6)
+
+
+@pytest.mark.parametrize("share, part", [(1e-6, 2000), (0.02, 2000)])
+def test_shares_and_parts_change_little(spark, corpus, monkeypatch, share, part):
+    """Words and pairs that are dealt, in one part or many, give what looked-up ones give."""
+    plain = {r.doc_id: r for r in language_model.score_documents(corpus).collect()}
+    monkeypatch.setattr(language_model, "SHARE", share)
+    monkeypatch.setattr(language_model, "PART_TOKENS", part)
+    dealt = {r.doc_id: r for r in language_model.score_documents(corpus).collect()}
+    for k, row in plain.items():
+        assert dealt[k].n_known == row.n_known and dealt[k].base_score == pytest.approx(row.base_score)
+        assert dealt[k].score == pytest.approx(row.score, abs=0.06 * row.n_tokens)
+    again = {r.doc_id: r for r in language_model.score_documents(corpus).collect()}
+    assert again == dealt
 
 
 @pytest.fixture(scope="module")
@@ -96,15 +195,6 @@ def test_language_model_counts_and_perplexity(corpus):
     assert sum(r.score for r in out) / tokens > sum(r.base_score for r in out) / tokens + 0.3
 
 
-def test_language_model_sums_to_one(corpus):
-    model, words = language_model.fit(corpus.select("text"))
-    assert np.allclose((10.0 ** model.log.astype(float)).sum(axis=1), 1, atol=1e-4)
-    assert len(model.pairs)
-    rare = words.where("known_log < 0").collect()
-    assert sum(10**r.known_log for r in rare) + 10**model.new == pytest.approx(1, abs=0.02)
-    assert np.allclose((10.0 ** model.spelling.log.astype(float)).sum(axis=1), 1, atol=1e-4)
-
-
 def test_language_model_of_awkward_documents(spark):
     docs = documents(spark)
     rows = language_model.score_documents(docs).collect()
@@ -112,6 +202,10 @@ def test_language_model_of_awkward_documents(spark):
     assert language_model.score_documents(docs.limit(0)).count() == 0
     alone = docs.where("doc_id = 9")
     assert language_model.score_documents(alone).count() == 1
+    # nothing to learn from: every row is held out
+    held = spark.createDataFrame([(k, "some words here") for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2], "doc_id long, text string")
+    rows = language_model.score_documents(held).collect()
+    assert len(rows) == held.count() and all((r.n_known, r.train_tokens, r.base_score, r.score) == (0, 0, 0.0, 0.0) for r in rows)
 
 
 def quality_rows(count, seed):
