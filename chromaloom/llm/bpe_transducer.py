@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from chromaloom.llm.common import TwoGenerationCache, arrow_map, kept_by_worker, string_list
 from chromaloom.llm.pretokens import piece_finder
 
-CACHED_PIECES = 120_000
+CACHED_PIECES = 80_000
 #: The determinised states are dropped and built anew beyond this number.
 CACHED_STATES = 120_000
 #: Remembered answers whether two tokens may stand side by side.
-CACHED_PAIRS = 250_000
+CACHED_PAIRS = 150_000
 #: Ids that a decoder takes at once.
 IDS_AT_ONCE = 8192
 
