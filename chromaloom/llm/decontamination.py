@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import pickle
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from chromaloom.llm.common import arrow_map, utf8_list, written
+from chromaloom.llm.common import arrow_map, free_name, release_kept, utf8_list, written
 
 WINDOW = 10
-#: Bytes of item text in one automaton; a larger benchmark is scanned block by block.
-BLOCK_BYTES = 32 << 20
+#: Bytes of item text in one automaton; a larger benchmark is scanned block by block.  A block takes about 60
+#: bytes of memory for each byte of its text, on the driver and in each Python worker.
+BLOCK_BYTES = 2 << 20
 
 #: A-Z become a-z; every byte that is no digit, letter or part of a non-ASCII character becomes a space.
 _FOLD = bytes(
@@ -39,17 +41,21 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton over item words, with the items of each window."""
+    """Generalised suffix automaton over item words, with the items of each window.
+
+    Most states have one transition; it stands in two arrays, and only the
+    others of a state are in a dictionary.  A state takes about 60 bytes so.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
         self.window = window
-        self.next: list[dict[int, int]] = [{}]
-        self.link = [-1]
-        self.length = [0]
+        self.symbol, self.target = array("i", [-1]), array("i", [-1])
+        self.more: dict[int, dict[int, int]] = {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
         self.vocabulary: dict[bytes, int] = {}
         spelled = []
         for item, text in items:
-            ids = [self.vocabulary.setdefault(word, len(self.vocabulary)) for word in words_of(text)]
+            ids = array("i", [self.vocabulary.setdefault(word, len(self.vocabulary)) for word in words_of(text)])
             if ids:
                 spelled.append((item, ids))
                 last = 0
@@ -57,54 +63,84 @@ class SuffixAutomaton:
                     last = self._extend(last, symbol)
         self._label(spelled)
 
-    def _state(self, length: int, link: int, following: dict[int, int]) -> int:
-        self.next.append(following)
+    def _go(self, state: int, symbol: int) -> int:
+        """The state after ``symbol``, -1 for none."""
+        if self.symbol[state] == symbol:
+            return self.target[state]
+        held = self.more.get(state)
+        return -1 if held is None else held.get(symbol, -1)
+
+    def _lead(self, state: int, symbol: int, target: int) -> None:
+        if self.symbol[state] in (-1, symbol):
+            self.symbol[state], self.target[state] = symbol, target
+        else:
+            self.more.setdefault(state, {})[symbol] = target
+
+    def _state(self, length: int, link: int, symbol: int = -1, target: int = -1) -> int:
+        self.symbol.append(symbol)
+        self.target.append(target)
         self.link.append(link)
         self.length.append(length)
         return len(self.link) - 1
 
     def _split(self, parent: int, symbol: int, target: int) -> int:
         """The part of ``target`` whose strings end right after ``parent``'s."""
-        copy = self._state(self.length[parent] + 1, self.link[target], dict(self.next[target]))
+        copy = self._state(self.length[parent] + 1, self.link[target], self.symbol[target], self.target[target])
+        if target in self.more:
+            self.more[copy] = dict(self.more[target])
         self.link[target] = copy
-        while parent >= 0 and self.next[parent].get(symbol) == target:
-            self.next[parent][symbol] = copy
+        while parent >= 0 and self._go(parent, symbol) == target:
+            self._lead(parent, symbol, copy)
             parent = self.link[parent]
         return copy
 
     def _extend(self, last: int, symbol: int) -> int:
-        there = self.next[last].get(symbol)
-        if there is not None:  # an earlier item has these words already
+        there = self._go(last, symbol)
+        if there >= 0:  # an earlier item has these words already
             return there if self.length[there] == self.length[last] + 1 else self._split(last, symbol, there)
-        new, at = self._state(self.length[last] + 1, 0, {}), last
-        while at >= 0 and symbol not in self.next[at]:
-            self.next[at][symbol] = new
+        new, at = self._state(self.length[last] + 1, 0), last
+        while at >= 0 and self._go(at, symbol) < 0:
+            self._lead(at, symbol, new)
             at = self.link[at]
         if at >= 0:
-            target = self.next[at][symbol]
+            target = self._go(at, symbol)
             self.link[new] = target if self.length[target] == self.length[at] + 1 else self._split(at, symbol, target)
         return new
 
-    def _label(self, spelled: list[tuple[str, list[int]]]) -> None:
+    def _label(self, spelled: list[tuple[str, array]]) -> None:
         count, window = len(self.link), self.window
-        by_length = sorted(range(1, count), key=self.length.__getitem__)
+        by_length = np.argsort(np.frombuffer(self.length, dtype=np.int32), kind="stable")[1:].tolist()
         # the state on a state's suffix path that holds the strings of just window words
-        self.anchor = [-1] * count
+        anchor = array("i", [-1]) * count
         for state in by_length:
             if self.length[state] >= window:
                 up = self.link[state]
-                self.anchor[state] = state if self.length[up] < window else self.anchor[up]
-        found: dict[int, set[str]] = {}
+                anchor[state] = state if self.length[up] < window else anchor[up]
+        # sets of items are few beside the windows: each is kept once and named by a number
+        self.item_sets: list[frozenset[str]] = [frozenset()]
+        number = {self.item_sets[0]: 0}
+        grown: dict[tuple[int, str], int] = {}
+        self.items_of = array("i", [0]) * count
         short: dict[int, list[tuple[int, str]]] = {}
         for item, ids in spelled:
             state = 0
             for k, symbol in enumerate(ids):
-                state = self.next[state][symbol]
+                state = self._go(state, symbol)
                 if k + 1 >= window:
-                    found.setdefault(self.anchor[state], set()).add(item)
+                    at = anchor[state]
+                    step = self.items_of[at], item
+                    if step not in grown:
+                        held = self.item_sets[step[0]] | {item}
+                        if held not in number:
+                            number[held] = len(self.item_sets)
+                            self.item_sets.append(held)
+                        grown[step] = number[held]
+                    self.items_of[at] = grown[step]
             if len(ids) < window:
                 short.setdefault(state, []).append((len(ids), item))
-        self.items = {state: frozenset(names) for state, names in found.items()}
+        for state in by_length:
+            if anchor[state] >= 0:
+                self.items_of[state] = self.items_of[anchor[state]]
         # items shorter than a window that end where a state's strings end
         self.short: dict[int, tuple[tuple[int, str], ...]] = {}
         for state in by_length:
@@ -115,18 +151,30 @@ class SuffixAutomaton:
 
     def scan(self, ids: list[int]) -> tuple[list[tuple[int, int]], set[str]]:
         """Spans [start, end) of words inside windows, and the items, for a run of known words."""
-        spans, items, state, matched = [], set(), 0, 0
+        spans, found, items, state, matched = [], set(), set(), 0, 0
+        symbols, targets, more, link, length, short = self.symbol, self.target, self.more, self.link, self.length, self.short
         for at, symbol in enumerate(ids):
-            while state and symbol not in self.next[state]:
-                state = self.link[state]
-                matched = self.length[state]
-            state = self.next[state].get(symbol, 0)
-            matched = matched + 1 if state else 0
+            while True:
+                if symbols[state] == symbol:
+                    state = targets[state]
+                    matched += 1
+                    break
+                held = more.get(state)
+                after = held.get(symbol, -1) if held is not None else -1
+                if after >= 0:
+                    state = after
+                    matched += 1
+                    break
+                if not state:
+                    matched = 0
+                    break
+                state = link[state]
+                matched = length[state]
             reach = 0
             if matched >= self.window:
-                items |= self.items[self.anchor[state]]
+                found.add(self.items_of[state])
                 reach = self.window
-            for n, item in self.short.get(state, ()):
+            for n, item in short.get(state, ()):
                 if n <= matched:
                     items.add(item)
                     reach = max(reach, n)
@@ -135,7 +183,7 @@ class SuffixAutomaton:
                 while spans and spans[-1][1] >= start:
                     start = min(start, spans.pop()[0])
                 spans.append((start, end))
-        return spans, items
+        return spans, items.union(*(self.item_sets[k] for k in found))
 
     def scan_texts(self, texts: list[list[bytes]]) -> Iterator[tuple[list[tuple[int, int]], set[str]]]:
         """Spans and items of each text's words."""
@@ -197,8 +245,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     items that have an occurring window, as sorted strings.  Null and empty
     texts have no words; items without words match nothing; a null item id is
     the empty string and rows of one item id are one item; repeated documents
-    are scanned each; an empty benchmark hits nothing.  No shuffle: each block
-    of the benchmark, of bounded size, is broadcast as an automaton.
+    are scanned each; an empty benchmark hits nothing; an empty table gives an
+    empty one; other columns are not read.  No shuffle: each block of the
+    benchmark, of bounded size, is broadcast as an automaton.
     """
     spark = docs.sparkSession
     rows = docs.select(docs[id_column].alias("id"), docs[text_column].cast("string").alias("text"))
@@ -212,6 +261,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         last = following is None
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first, last=last) -> Iterator[pa.RecordBatch]:
+            release_kept()
             automaton = pickle.loads(shared.value)
             for batch in batches:
                 texts = [words_of(t) for t in utf8_list(batch, "text")]
@@ -258,13 +308,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
     A span of more than ``max_span`` words goes from the text.  A document whose
     spans cover more than ``max_coverage`` of its words goes as a whole.  Texts
-    without hits, null and empty ones stay as they are.  Spans are those of the
+    without hits, null and empty ones stay as they are; repeated rows are each
+    cut alike, an empty table gives an empty one, and columns of any name stay.  Spans are those of the
     whole benchmark on the unchanged text: where it is scanned in several
     blocks, the spans are carried from block to block and cut after the last.
     """
     spark = docs.sparkSession
     columns, place = docs.columns, docs.columns.index(text_column)
-    carried = "__spans"
+    carried = free_name(docs, "spans")
     span = StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])
     schema, with_spans = docs.schema, StructType([*docs.schema.fields, StructField(carried, ArrayType(span))])
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -276,6 +327,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
         last = following is None
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first, last=last) -> Iterator[pa.RecordBatch]:
+            release_kept()
             automaton = pickle.loads(shared.value)
             for batch in batches:
                 texts = utf8_list(batch, text_column)

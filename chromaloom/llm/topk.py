@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chromaloom.llm.common import shared_path, written
+from chromaloom.llm.common import gathered, shared_path, written
 
 K = 5
 SCALE = 256
@@ -33,12 +33,13 @@ _EXACT = 2.0**53
 
 
 def quantised(vectors: DataFrame, scale: int, id_column: str, vector_column: str) -> DataFrame:
-    """``id, x array<long>``: floor(scale * x) of every vector that is whole and finite."""
+    """``id, x array<long>``: floor(scale * x) of every vector that is whole and finite; components beyond a long are an error."""
     x = F.transform(F.col(vector_column), lambda v: v.cast("double"))
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), x.alias("x"))
-    # 1e15 keeps floor(scale * x) a long; larger components count as not finite
-    whole = F.forall("x", lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < 1e15), F.lit(False)))
-    return rows.where(F.col("id").isNotNull() & F.col("x").isNotNull() & whole).select("id", F.transform("x", lambda v: F.floor(v * scale)).alias("x"))
+    whole = F.forall("x", lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False)))
+    beyond = F.raise_error(F.lit("a scaled component exceeds what a long holds")).cast("long")
+    scaled = F.transform("x", lambda v: F.when(F.abs(v * scale) < 2.0**63, F.floor(v * scale)).otherwise(beyond))
+    return rows.where(F.col("id").isNotNull() & F.col("x").isNotNull() & whole).select("id", scaled.alias("x"))
 
 
 def _matrix(lists: list, width: int) -> np.ndarray:
@@ -78,26 +79,45 @@ def _dot(x: np.ndarray, q: np.ndarray, exact: bool) -> np.ndarray:
     return np.array([sum(int(a) * int(b) for a, b in zip(row, q, strict=True)) for row in x], dtype=object)
 
 
-def _best(query: np.ndarray, own: int, bound: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, norm: float, exact: bool) -> tuple[list[int], list[int]]:
-    """The k best candidates of a query: evaluated by rising bound until none below can be better."""
-    order = np.argsort(bound, kind="stable")
-    ceiling = norm - bound * bound  # twice the inner product is at most this
-    scores, found = np.empty(0, dtype=float if exact else object), np.empty(0, dtype=np.int64)
-    at, step = 0, STEP
-    while at < len(order):
-        if len(scores) == k and ceiling[order[at]] < 2.0 * float(scores[-1]):
-            break
-        part = order[at : at + step]
-        at, step = at + step, step * 2
-        part = part[ids[part] != own]
-        scores = np.concatenate([scores, _dot(x[part], query, exact)])
-        found = np.concatenate([found, ids[part]])
-        if len(scores) > 4 * k and exact:
-            edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-            scores, found = scores[scores >= edge], found[scores >= edge]
-        keep = sorted(range(len(scores)), key=lambda n: (-scores[n], found[n]))[:k]
-        scores, found = scores[keep], found[keep]
-    return [int(s) for s in scores], found.tolist()
+class Best:
+    """The k best candidates that a task has met so far, for every query."""
+
+    def __init__(self, queries: int, k: int, exact: bool):
+        self.k, self.exact = k, exact
+        self.scores = [np.empty(0, dtype=float if exact else object)] * queries
+        self.ids = [np.empty(0, dtype=np.int64)] * queries
+
+    def least(self, n: int, seed: float) -> float:
+        """A score that a further candidate of query ``n`` has to reach."""
+        return max(seed, float(self.scores[n][-1])) if len(self.scores[n]) == self.k else seed
+
+    def add(self, n: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        scores, ids = np.concatenate([self.scores[n], scores]), np.concatenate([self.ids[n], ids])
+        if len(scores) > 4 * self.k and self.exact:
+            edge = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
+            scores, ids = scores[scores >= edge], ids[scores >= edge]
+        keep = sorted(range(len(scores)), key=lambda j: (-scores[j], ids[j]))[: self.k]
+        self.scores[n], self.ids[n] = scores[keep], ids[keep]
+
+    def evaluate(self, n: int, query: np.ndarray, own: int, ceiling: np.ndarray, x: np.ndarray, ids: np.ndarray, seed: float) -> None:
+        """Evaluate candidates by falling ceiling (rising lower bound) until none below can be among the best."""
+        open_rows = np.flatnonzero((ceiling >= 2.0 * self.least(n, seed)) & (ids != own))
+        order = open_rows[np.argsort(-ceiling[open_rows], kind="stable")]
+        at, step = 0, STEP
+        while at < len(order) and ceiling[order[at]] >= 2.0 * self.least(n, seed):
+            part = order[at : at + step]
+            at, step = at + step, step * 2
+            self.add(n, _dot(x[part], query, self.exact), ids[part])
+
+
+def _seeds(q: np.ndarray, own: np.ndarray, sample: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """For each query a score that k sampled rows reach, less what doubles may be off."""
+    out = np.full(len(q), -np.inf)
+    if len(sample) > k:
+        for at in np.array_split(np.arange(len(q)), 1 + len(q) // 512):
+            scores = np.where(ids[None, :] == own[at, None], -np.inf, q[at] @ sample.T)
+            out[at] = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+    return out - 1e-9 * np.abs(np.where(np.isfinite(out), out, 0.0)) - 1.0
 
 
 def pivot_table(rows: DataFrame, pivots: np.ndarray, most: float, width: int) -> DataFrame:
@@ -118,13 +138,14 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, pivots:
     ``is_query`` is a condition on column ``id``.  Candidates are all rows but
     those of the query's own id; ties go to the smaller id; fewer candidates
     give fewer rows.  Vectors that are null or hold a null or non-finite
-    component (or one of 1e15 and more) and rows with a null id take no part;
-    shorter vectors are filled with zeros; rows that repeat an id are candidates
-    each.  Queries go in blocks of bounded size against all rows; each task
-    keeps k rows a query and these meet by query.
+    component and rows with a null id take no part; a component whose scaled
+    value no long holds is an error; shorter vectors are filled with zeros; rows
+    that repeat an id are candidates each; an empty table gives an empty one;
+    other columns are not read.  Queries go in blocks of bounded size against
+    all rows; each task carries the k best of a query from batch to batch and
+    gives k rows a query at its end, and these meet by query.
     """
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(CANDIDATE_ROWS))
     rows = written(quantised(vectors, scale, id_column, vector_column), "quantised")
     square = F.aggregate("x", F.lit(0.0), lambda total, v: total + v.cast("double") * v.cast("double"))
     count, most, width = rows.agg(F.count(F.lit(1)), F.max(square), F.max(F.size("x"))).head()
@@ -133,8 +154,9 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, pivots:
         return empty
     width = max(width, 1)
     exact = most < _EXACT
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).select("x").collect()
-    pivot_rows = _choose_pivots(_lifted(_matrix([r[0] for r in sample], width), most), pivots)
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).collect()
+    sampled, sampled_ids = _matrix([r["x"] for r in sample], width), np.array([r["id"] for r in sample], dtype=np.int64)
+    pivot_rows = _choose_pivots(_lifted(sampled, most), pivots)
     table = written(pivot_table(rows, pivot_rows, most, width), "pivot-table")
     queries = rows.where(is_query).select("id").distinct()
     queries = written(table.join(queries, "id", "left_semi"), "queries")
@@ -148,28 +170,25 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, pivots:
         q = _matrix([r["x"] for r in asked], width)
         # a query is lifted by zero, which leaves the distances to candidates as their inner products say
         d = _distances(np.c_[q, np.zeros(len(q))], pivot_rows)
-        shared = spark.sparkContext.broadcast((own, q, d))
+        shared = spark.sparkContext.broadcast((own, q, d, _seeds(q, own, sampled, sampled_ids, k)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, q, d = shared.value
+            own, q, d, seeds = shared.value
             norms = (q * q).sum(axis=1) + most
-            for batch in batches:
+            slack = 1e-5 * np.sqrt(most) + 1e-6  # the table's distances are rounded
+            best = Best(len(own), k, exact)
+            for batch in gathered(batches, CANDIDATE_ROWS):
                 ids = batch.column("id").to_numpy()
-                if not len(ids):
-                    continue
                 x = _matrix(batch.column("x").to_pylist(), width)
-                table = np.array(batch.column("d").to_pylist(), dtype=np.float64).reshape(len(ids), -1)
-                slack = 1e-5 * np.sqrt(most) + 1e-6  # the table's distances are rounded
-                out: list[list] = [[], [], []]
+                table = batch.column("d").values.to_numpy().reshape(len(ids), -1)
                 for n in range(len(own)):
-                    bound = np.zeros(len(ids))
-                    for p in range(table.shape[1]):
-                        np.maximum(bound, np.abs(table[:, p] - d[n, p]), out=bound)
-                    scores, found = _best(q[n], own[n], np.maximum(bound - slack, 0.0), x, ids, k, norms[n], exact)
-                    out[0] += [own[n]] * len(found)
-                    out[1] += found
-                    out[2] += scores
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["query_id", id_column, "score"])
+                    bound = np.maximum(np.abs(table - d[n].astype(np.float32)).max(axis=1, initial=0.0).astype(np.float64) - slack, 0.0)
+                    # twice the inner product is at most this
+                    best.evaluate(n, q[n], own[n], norms[n] - bound * bound, x, ids, seeds[n])
+            for n in range(len(own)):
+                if len(best.ids[n]):
+                    columns = np.full(len(best.ids[n]), own[n]), best.ids[n], [int(s) for s in best.scores[n]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", id_column, "score"])
 
         found = table.select("id", "x", "d").mapInArrow(run, f"query_id long, {id_column} long, score long")
         if blocks > 1:

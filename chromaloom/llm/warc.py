@@ -28,6 +28,8 @@ from chromaloom.llm.common import arrow_map, shared_path, written
 FILE_BYTES = 256 << 20
 #: Ranges nearer than this are read in one go, of this many bytes at most unless one record is larger.
 GAP_BYTES, READ_BYTES = 64 << 10, 8 << 20
+#: Neighbouring records of so many bytes go to one task together, and a task gets so many bytes on average.
+CHUNK_BYTES, TASK_BYTES = 1 << 20, 16 << 20
 #: Smaller payloads are always stored.
 MIN_PAYLOAD = 0
 _DATE = b"2024-01-01T00:00:00Z"
@@ -81,7 +83,9 @@ def write_archives(pages: DataFrame, folder: str, min_payload: int = MIN_PAYLOAD
     Of equal payloads of ``min_payload`` bytes or more the page with the
     largest id is the response and the others revisit it; rows that repeat that
     id are responses each.  A null page is an empty payload, a null URL the
-    empty one; rows with a null id have no record, since nothing could name it.
+    empty one; rows with a null id have no record, since nothing could name it;
+    a payload of any length is one record; an empty table gives an empty index;
+    other columns are not read.
     """
     rows = _digested(pages, id_column, url_column, html_column).where(F.col("page_id").isNotNull())
     # the digest is computed once, beside the id; the payloads themselves are not shuffled for it
@@ -125,11 +129,17 @@ def write_archives(pages: DataFrame, folder: str, min_payload: int = MIN_PAYLOAD
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """Records of the index rows: ``page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload``.
 
-    Rows are dealt by file and offset, so a task reads neighbouring records; of
-    a revisit the payload is null and its size and digest are those its header
-    states.  A record whose payload differs from its digest is an error.
+    Rows are dealt by file and stretch of the file, into as many tasks as the
+    bytes of the records ask for, not those of the index; of a revisit the
+    payload is null and its size and digest are those its header states.  A
+    record whose payload differs from its digest is an error.  Records that the
+    index names twice come twice; an empty index gives no records; a record of
+    any length is read whole.
     """
-    rows = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).head()[0]
+    tasks = max(-(-total // TASK_BYTES), min(index.sparkSession.sparkContext.defaultParallelism, -(-total // CHUNK_BYTES)), 1)
+    stretch = F.floor(F.col("offset") / CHUNK_BYTES)
+    rows = index.select("file", "offset", "length").repartition(int(tasks), "file", stretch).sortWithinPartitions("file", "offset")
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[tuple[int, int]]]]:
         """Records that are read in one go."""
