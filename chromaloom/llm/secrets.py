@@ -12,6 +12,7 @@ import hashlib
 import random
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -58,19 +59,24 @@ def spelled(spans: Iterable[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
+def transitions(strings: Iterable[str]) -> np.ndarray:
+    """Counts of first characters (row 0) and of neighbouring characters (row 1 + the first of them)."""
+    size = len(_RUN_ASCII)
+    code = []
+    for string in strings:
+        at = [_AT[c] for c in string if c in _AT]
+        if at:
+            code.append(np.r_[0, 1 + np.array(at[:-1], dtype=np.int64)] * size + at)
+    return np.bincount(np.concatenate(code), minlength=(size + 1) * size).reshape(size + 1, size) if code else np.zeros((size + 1, size), dtype=np.int64)
+
+
 class MarkovRatio:
-    """Two first-order Markov models of characters and their log-likelihood ratio."""
+    """Two first-order Markov models of characters, from their transition counts, and their log-likelihood ratio."""
 
-    def __init__(self, random_strings: Iterable[str], identifiers: Iterable[str], smoothing: float = 0.5):
-        size = len(_RUN_ASCII)
+    def __init__(self, random_counts: np.ndarray, identifier_counts: np.ndarray, smoothing: float = 0.5):
         logs = []
-        for strings in (random_strings, identifiers):
-            first, pairs = np.full(size, smoothing), np.full((size, size), smoothing)
-            for string in strings:
-                at = [_AT[c] for c in string if c in _AT]
-                if at:
-                    first[at[0]] += 1
-                    np.add.at(pairs, (at[:-1], at[1:]), 1)
+        for counts in (random_counts, identifier_counts):
+            first, pairs = counts[0] + smoothing, counts[1:] + smoothing
             logs.append((np.log(first / first.sum()), np.log(pairs / pairs.sum(axis=1, keepdims=True))))
         self.first = (logs[0][0] - logs[1][0]).tolist()
         self.pair = {a + b: float(logs[0][1][i, j] - logs[1][1][i, j]) for a, i in _AT.items() for b, j in _AT.items()}
@@ -95,35 +101,59 @@ def random_strings(count: int = RANDOM_SAMPLES, seed: int = 9) -> list[str]:
 _WORDS = re.compile(r"[A-Za-z0-9_-]{4,}")
 
 
-def labelled_samples(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, id_column: str = "doc_id", text_column: str = "text") -> tuple[list[str], list[str]]:
-    """Random strings and ordinary identifiers, of at most ``sample_documents`` documents.
+def labelled_samples(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, id_column: str = "doc_id", text_column: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Transition counts of random strings and of ordinary identifiers, from at most ``sample_documents`` whole texts.
 
     What the base patterns find in those is labelled random, what surrounds it
     ordinary, pairs of neighbouring words joined by ``_`` or ``-`` or nothing
-    among it; made random strings are added.
+    among it; made random strings are added.  The texts are those of the rows
+    with the least hash of their id, then the least id and hash of their text;
+    rows that repeat both are one row, rows without an id are passed over.  The
+    executors count whole texts, so the driver gets tables of a fixed size.
     """
-    ids = [r[0] for r in docs.select(id_column).where(F.col(id_column).isNotNull()).orderBy(F.xxhash64(id_column), id_column).limit(sample_documents).collect()]
-    if not ids:
-        return random_strings(), []
-    chosen = docs.where(F.col(id_column).isin(ids)).select(F.col(text_column).cast("string").alias("text"))
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("key"), text.alias("text")).where(F.col("id").isNotNull())
+    keys = rows.select("id", "key").distinct().orderBy(F.xxhash64("id"), "id", "key").limit(sample_documents)
+    chosen = keys.collect()
+    size = len(_RUN_ASCII)
+    secret_counts, plain_counts = transitions(random_strings()), np.zeros((size + 1, size), dtype=np.int64)
+    if not chosen:
+        return secret_counts, plain_counts
+    # a side of at most sample_documents rows; of rows that repeat id and text one is taken
+    sample = docs.sparkSession.createDataFrame(chosen, keys.schema)
+    texts = rows.join(F.broadcast(sample), ["id", "key"], "left_semi").groupBy("id", "key").agg(F.min("text").alias("text")).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [np.zeros((size + 1, size), dtype=np.int64) for _ in range(2)]
         for batch in batches:
-            secret, plain = [], []
             for text in string_list(batch, "text"):
-                at, rest = 0, []
+                at, secret, rest = 0, [], []
                 for start, kind, end in base_spans(text):
                     secret.append(text[start:end] if kind else re.split(r"[:=\s\"']+", text[start:end])[-1])
                     rest.append(text[at:start])
                     at = max(at, end)
-                words = _WORDS.findall(" ".join([*rest, text[at:]]))[:400]
-                plain += words
-                plain += [a + "_-"[k % 2] + b if k % 3 else a + b for k, (a, b) in enumerate(zip(words[::2], words[1::2], strict=False))]
-            yield pa.RecordBatch.from_arrays([pa.array([[*secret]], pa.list_(pa.string())), pa.array([plain], pa.list_(pa.string()))], names=["secret", "plain"])
-
-    rows = arrow_map(chosen, run, "secret array<string>, plain array<string>").collect()
-    found = sorted(s for r in rows for s in r["secret"])
-    return random_strings() + found, sorted(s for r in rows for s in r["plain"])
+                words = _WORDS.findall(" ".join([*rest, text[at:]]))
+                joined = (a + "_-"[k % 2] + b if k % 3 else a + b for k, (a, b) in enumerate(zip(words[::2], words[1::2], strict=False)))
+                counts[0] += transitions(secret)
+                counts[1] += transitions(chain(words, joined))
+        yield pa.RecordBatch.from_arrays([pa.array([c.ravel()], pa.list_(pa.int64())) for c in counts], names=["secret", "plain"])
+
+    for row in arrow_map(texts, run, "secret array<long>, plain array<long>").collect():
+        secret_counts += np.array(row["secret"]).reshape(secret_counts.shape)
+        plain_counts += np.array(row["plain"]).reshape(plain_counts.shape)
+    return secret_counts, plain_counts
+
+
+def markov_spans(text: str, base: list[tuple[int, int, int]], model: MarkovRatio) -> list[tuple[int, int, int]]:
+    """Runs that the model takes for random and that touch no base span; both lists ascend, so one pass is enough."""
+    out, at, reach = [], 0, 0
+    for m in _RUN.finditer(text):
+        while at < len(base) and base[at][0] < m.end():
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= m.start() and model.secret(m[0]):
+            out.append((m.start(), 3, m.end()))
+    return out
 
 
 def find_secrets(docs: DataFrame, model: MarkovRatio, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -131,14 +161,16 @@ def find_secrets(docs: DataFrame, model: MarkovRatio, id_column: str = "doc_id",
 
     A run of key characters that touches no base span and that the model takes
     for random is a span of kind ``markov``; base spans stay as they are.
-    Null and empty texts have no spans; repeated rows are scanned each; a null
-    id stays null.  Offsets are code points, the end exclusive.  No shuffle.
+    Null and empty texts have no spans, very long ones are scanned whole in one
+    pass; a ratio equal to a threshold is a secret; repeated rows are scanned
+    each; a null id stays null; an empty table gives an empty one; other columns
+    are not read.  Offsets are code points, the end exclusive.  No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(docs[id_column].alias("id"), docs[text_column].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        secret = shared.value.secret
+        model = shared.value
         for batch in batches:
             counts: list[list[int]] = [[], [], []]
             digests, all_spans = [], []
@@ -147,11 +179,7 @@ def find_secrets(docs: DataFrame, model: MarkovRatio, id_column: str = "doc_id",
                 for kind in range(3):
                     counts[kind].append(sum(s[1] == kind for s in spans))
                 digests.append(hashlib.sha256(spelled(spans).encode()).hexdigest())
-                more = [
-                    (m.start(), 3, m.end())
-                    for m in _RUN.finditer(text)
-                    if secret(m[0]) and not any(a < m.end() and m.start() < b for a, _, b in spans)
-                ]
+                more = markov_spans(text, spans, model)
                 all_spans.append(spelled(sorted([*spans, *more])))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(all_spans, pa.string())],

@@ -32,6 +32,21 @@ def test_counts_equal_the_library():
     assert counter.counts(texts) == [len(e.ids) for e in Tokenizer.from_file(JSON).encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("alphabet, size", [("ab", 5000), ("a", 3000), ("etaoinshr", 20000), ("中文字的是了我", 30000), ("abcdefghijklmnopqrstuvwxyz", 60000)])
+def test_long_pieces_equal_the_library(library, alphabet, size):
+    text = "".join(random.Random(size).choices(alphabet, k=size))
+    counter = tc.TokenCounter(tc.MergeTable(open(JSON).read(), PATTERN))
+    assert counter.counts([text, "", text + " x"]) == [len(e.ids) for e in Tokenizer.from_file(JSON).encode_batch([text, "", text + " x"], add_special_tokens=False)]
+
+
+def test_long_pieces_keep_the_states_bounded(library, monkeypatch):
+    monkeypatch.setattr(bt, "CACHED_STATES", 300)
+    codec = bt.Codec(bt.read_ranks(open(RANKS).read()), PATTERN)
+    text = "".join(random.Random(4).choices("abcdefghij", k=8000))
+    assert next(codec.encode([text])) == library.encode_ordinary(text)
+    assert len(codec.transducer.states) <= 302
+
+
 def test_transducer_equals_the_library(library, monkeypatch):
     texts = fuzz(3000, 2)
     codec = bt.Codec(bt.read_ranks(open(RANKS).read()), PATTERN)
