@@ -166,7 +166,8 @@ def test_shares_and_parts_change_little(spark, corpus, monkeypatch, share, part)
     dealt = {r.doc_id: r for r in language_model.score_documents(corpus).collect()}
     for k, row in plain.items():
         assert dealt[k].n_known == row.n_known and dealt[k].base_score == pytest.approx(row.base_score)
-        assert dealt[k].score == pytest.approx(row.score, abs=0.06 * row.n_tokens)
+        assert dealt[k].score == pytest.approx(row.score, abs=0.08 * row.n_tokens + 0.1)
+    assert sum(r.score for r in dealt.values()) == pytest.approx(sum(r.score for r in plain.values()), rel=0.01)
     again = {r.doc_id: r for r in language_model.score_documents(corpus).collect()}
     assert again == dealt
 
