@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chromaloom.functions.numbers import floor_log2
+from chromaloom.operators.links import local_ids
 
 #: Bins are a sixteenth of an octave wide, from the least to the most distance.
 LEAST, OCTAVES, PER_OCTAVE = 4096, 16, 16
@@ -99,31 +105,133 @@ def contig_enrichment(pairs: DataFrame, contigs: DataFrame, lsd: DataFrame) -> D
     return rows.select("tid", F.when(F.col("len") < LEAST, 1.0).when(F.col("n").isNull(), 0.0).otherwise(F.col("n") / F.col("expected")).alias("enrichment"))
 
 
-def gap_likelihood(links: DataFrame, lsd: DataFrame, step: int = GAP_STEP, most: int | None = None) -> DataFrame:
+class GapSearch:
+    """Poisson log-likelihoods of the gaps between two contigs, for many gaps at once."""
+
+    def __init__(self, lsd: list[tuple[int, int, int, float | None]]):
+        held = sorted(row for row in lsd if row[3])
+        self.start, self.stop = (np.array([row[k] for row in held], dtype=np.int64) for k in (1, 2))
+        self.density = np.array([row[3] for row in held], dtype=np.float64)
+        self.bin = np.array([row[0] for row in held], dtype=np.int64)
+        # the least whole distance of each bin, and of the one after the last
+        octave, rest = np.divmod(np.arange(OCTAVES * PER_OCTAVE + 1), PER_OCTAVE)
+        self.least = np.ceil(LEAST * 2.0**octave * 2.0 ** (rest / PER_OCTAVE)).astype(np.int64)
+
+    def expected(self, gaps: np.ndarray, len1: int, len2: int, enrichment: float) -> np.ndarray:
+        """Links expected in each bin with a density, a row for each gap; see :func:`expected_between`."""
+        short, long = sorted((len1, len2))
+        g, start, stop = gaps[:, None], self.start[None, :], self.stop[None, :]
+
+        def part(low, high, height):
+            return (high - low) * height((low + high) // 2)
+
+        rise = np.where(start < g + short, part(np.maximum(start, g), np.minimum(stop, g + short), lambda x: x - g), 0)
+        flat = np.where((stop >= g + short) & (start < g + long), (np.minimum(stop, g + long) - np.maximum(start, g + short)) * short, 0)
+        fall = np.where(stop >= g + long, part(np.maximum(start, g + long), np.minimum(stop, g + short + long), lambda x: g + short + long - x), 0)
+        outside = (stop <= g) | (start >= g + short + long)
+        return np.where(outside, 0.0, (rise + flat + fall) * self.density / PER_AREA * enrichment)
+
+    def log_likelihoods(self, gaps: np.ndarray, len1: int, len2: int, enrichment: float, dists: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each gap the log-likelihood, and whether any bin expects a link; ``dists`` ascend."""
+        below = np.r_[0, np.cumsum(counts)]
+        value, used = np.zeros(len(gaps)), np.zeros(len(gaps), dtype=bool)
+        for at in np.array_split(np.arange(len(gaps)), 1 + len(gaps) // 2048):
+            m = self.expected(gaps[at], len1, len2, enrichment)
+            seen = below[np.searchsorted(dists, self.least[None, :] - gaps[at, None])]
+            k = np.diff(seen, axis=1)[:, self.bin]
+            fits = m > 0
+            found = np.flatnonzero((k > 0) & fits)
+            value[at] = -np.where(fits, m, 0.0).sum(axis=1)
+            many = k.ravel()[found]
+            term = many * np.log(m.ravel()[found]) - _log_factorials(int(many.max(initial=1)))[many]
+            value[at] += np.bincount(found // k.shape[1], term, len(at)) if k.shape[1] else 0.0
+            used[at] = fits.any(axis=1)
+        return value, used
+
+
+@lru_cache(maxsize=8)
+def _log_factorials_to(most: int) -> np.ndarray:
+    return np.r_[0.0, np.cumsum(np.log(np.arange(1, most + 1)))]
+
+
+def _log_factorials(most: int) -> np.ndarray:
+    return _log_factorials_to(1 << max(most, 1).bit_length())
+
+
+def _gap_grid(far: int, step: int, most: int | None) -> np.ndarray:
+    """The gaps that are tried: as far as the farthest link stays within the bins."""
+    end = (LEAST << OCTAVES) - far - 1
+    return np.arange(0, (end if most is None else min(end, most)) + 1, step)
+
+
+def _by_pair(links: DataFrame) -> DataFrame:
+    """A row for each pair with its distinct distances; there are at most as many as the two contigs have bases."""
+    each = links.groupBy("pair", "len1", "len2", "enrichment", "dist").agg(F.count(F.lit(1)).alias("k"))
+    return each.groupBy("pair", "len1", "len2", "enrichment").agg(F.array_sort(F.collect_list(F.struct("dist", "k"))).alias("x"))
+
+
+def _searched(links: DataFrame, lsd: DataFrame, step: int, most: int | None, result, schema: str) -> DataFrame:
+    """``result(pair, gaps, values)`` for each pair of contigs with links: one kernel call a pair, no rows of gaps in Spark."""
+    # 256 bins at most
+    sizes = [(r["bin"], r["start"], r["stop"], r["density"]) for r in lsd.select("bin", "start", "stop", "density").collect()]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        search = GapSearch(sizes)
+        for rows in batches:
+            for row in rows.itertuples(index=False):
+                dists, counts = (np.array([x[name] for x in row.x], dtype=np.int64) for name in ("dist", "k"))
+                gaps = _gap_grid(int(dists[-1]), step, most)
+                values, used = search.log_likelihoods(gaps, int(row.len1), int(row.len2), float(row.enrichment), dists, counts)
+                yield result(row.pair, gaps[used], values[used])
+
+    return _by_pair(links).mapInPandas(run, f"pair {links.schema['pair'].dataType.simpleString()}, {schema}")
+
+
+def gap_likelihood(links: DataFrame, lsd: DataFrame, step: int = GAP_STEP, most: int | None = MOST_GAP - GAP_STEP) -> DataFrame:
     """``pair, gap, ll`` for gaps from 0 in steps: the Poisson log-likelihood of the links of a pair of contigs.
 
     ``links`` has a row per link: ``pair, len1, len2, enrichment, dist``.  Bins
-    where no link is expected are passed over.  Observed links are counted by
-    bin first; the factorial's logarithm is a running sum.
+    where no link is expected are passed over; a gap where none is has no row.
+    """
+
+    def result(pair, gaps: np.ndarray, values: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"pair": [pair] * len(gaps), "gap": gaps, "ll": values})
+
+    return _searched(links, lsd, step, most, result, "gap long, ll double")
+
+
+def gap_size(links: DataFrame, lsd: DataFrame, step: int = GAP_STEP, most: int | None = MOST_GAP - GAP_STEP) -> DataFrame:
+    """``pair, gap, ll``: the most likely gap of the links of :func:`gap_likelihood`; the smallest of those equal to five places."""
+
+    def result(pair, gaps: np.ndarray, values: np.ndarray) -> pd.DataFrame:
+        at = int(np.argmax(np.round(values, 5))) if len(values) else None
+        return pd.DataFrame({"pair": [pair][: len(values)], "gap": gaps[at : at + 1] if len(values) else gaps, "ll": values[at : at + 1] if len(values) else values})
+
+    return _searched(links, lsd, step, most, result, "gap long, ll double")
+
+
+def spaced(ordering: DataFrame, cells: DataFrame, clusters: DataFrame, contigs: DataFrame, enrichment: DataFrame, lsd: DataFrame, step: int = GAP_STEP, most: int | None = MOST_GAP - GAP_STEP) -> DataFrame:
+    """``cluster_id, pos, tid, rc, gap``: the orderings with the gap after each contig.
+
+    The gap is the most likely one for the links of the two neighbours, oriented
+    as they are placed; their expected links are enriched by the weighted
+    product of both contigs' own enrichments.  Null after an ordering's last
+    contig, and where two neighbours have no links or no gap fits them.
     """
-    top = LEAST << OCTAVES
-    per_pair = links.groupBy("pair", "len1", "len2", "enrichment").agg(F.max("dist").alias("far"))
-    ends = F.lit(top) - F.col("far") - 1 if most is None else F.least(F.lit(top) - F.col("far") - 1, F.lit(most))
-    grid = per_pair.withColumn("gap", F.explode(F.sequence(F.lit(0).cast("bigint"), ends.cast("bigint"), F.lit(step).cast("bigint"))))
-    # only the bins that a link across this gap can fall in, and one more on either side for rounded bounds
-    low, high = F.greatest(link_bin(F.col("gap")) - 1, F.lit(0)), F.least(link_bin(F.col("gap") + F.col("len1") + F.col("len2")) + 1, F.lit(OCTAVES * PER_OCTAVE - 1))
-    reached = grid.withColumn("bin", F.explode(F.sequence(low, high)))
-    expected = reached.join(F.broadcast(lsd), "bin").select("pair", "gap", "bin", expected_between(F.col("gap"), F.col("len1"), F.col("len2"), F.col("enrichment")).alias("m")).where("m > 0")
-    seen = grid.select("pair", "gap").join(links.select("pair", "dist"), "pair").select("pair", "gap", link_bin(F.col("dist") + F.col("gap")).alias("bin")).where("bin >= 0").groupBy("pair", "gap", "bin").agg(F.count(F.lit(1)).alias("k"))
-    factorial = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.col("k")), F.lit(0.0), lambda total, x: total + F.log(x.cast("double")))
-    both = expected.join(seen, ["pair", "gap", "bin"], "left")
-    term = -F.col("m") + F.when(F.col("k").isNull(), 0.0).otherwise(F.col("k") * F.log("m") - factorial)
-    return both.groupBy("pair", "gap").agg(F.sum(term).alias("ll"))
-
-
-def gap_size(likelihood: DataFrame) -> DataFrame:
-    """``pair, gap``: the most likely gap; the smallest of equals."""
-    return likelihood.groupBy("pair").agg(F.max(F.struct(F.col("ll"), (-F.col("gap")).alias("g"))).alias("best")).select("pair", (-F.col("best.g")).alias("gap"))
+    after = Window.partitionBy("cluster_id").orderBy("pos")
+    sized = ordering.join(local_ids(clusters), ["cluster_id", "tid"]).join(contigs.select("tid", "len"), "tid").join(enrichment.select("tid", "enrichment"), "tid")
+    columns = ("tid", "local_id", "rc", "len", "enrichment")
+    near = sized.select("cluster_id", "pos", *(F.col(c).alias(f"{c}1") for c in columns), *(F.lead(c).over(after).alias(f"{c}2") for c in columns)).where("tid2 is not null")
+    share = lambda own: 2 * F.col(own) / (F.col("len1") + F.col("len2"))
+    both = F.pow("enrichment1", share("len1")) * F.pow("enrichment2", share("len2"))
+    links = cells.select("cluster_id", F.col("c1").alias("local_id1"), F.col("rc1"), F.col("c2").alias("local_id2"), F.col("rc2"), "dist")
+    met = near.join(links, ["cluster_id", "local_id1", "rc1", "local_id2", "rc2"])
+    rows = met.select(F.struct("cluster_id", "pos").alias("pair"), "len1", "len2", both.alias("enrichment"), "dist")
+    # a pair is named by its place; Python gets the name as text
+    named = rows.withColumn("pair", F.concat_ws(":", "pair.cluster_id", "pair.pos"))
+    gaps = gap_size(named.where("enrichment > 0"), lsd, step, most).select("pair", "gap")
+    name = F.concat_ws(":", "cluster_id", "pos")
+    return ordering.withColumn("pair", name).join(gaps, "pair", "left").select("cluster_id", "pos", "tid", "rc", "gap")
 
 
 def link_variance(cells: DataFrame, contigs: DataFrame, width: int = 10_000) -> DataFrame:

@@ -277,7 +277,11 @@ def top_contigs(contigs: DataFrame, n: int) -> DataFrame:
     return contigs.crossJoin(F.broadcast(cutoff)).where("len >= cutoff").drop("cutoff")
 
 
-def heatmap_cells(links: DataFrame, ordering: DataFrame, contigs: DataFrame, n: int) -> DataFrame:
+#: Contigs of a plot.
+PLOT_N = 1000
+
+
+def heatmap_cells(links: DataFrame, ordering: DataFrame, contigs: DataFrame, n: int = PLOT_N) -> DataFrame:
     """``x, y, z``: normalised links, in thousands, between the longest ordered contigs by their place in the whole order; empty cells too.
 
     The grid is what is plotted and has at most about n by n cells.

@@ -325,32 +325,3 @@ def shuffled(ordering: DataFrame, seed: int = 1) -> DataFrame:
     pos = (F.row_number().over(Window.partitionBy("cluster_id").orderBy(key, "tid")) - 1).cast("int")
     return ordering.select("cluster_id", "tid", pos.alias("pos"), (F.pmod(F.xxhash64(key), F.lit(2)) == 0).alias("rc"))
 
-
-
-def space_contigs(order: list[tuple[int, bool]], lengths: dict[int, int], distances, estimate) -> list[int]:
-    """Gaps after each contig of an oriented order but the last, by joining neighbouring stretches, the best first.
-
-    The next join is the one whose shorter stretch is longest.  ``distances(a,
-    a_rc, b, b_rc)`` gives link distances of two contigs as if they touched;
-    ``estimate(length, length, links)`` the most likely gap, or None without
-    links.  Links of all contigs of both stretches count, with what lies between.
-    """
-    stretches = [[k] for k in range(len(order))]
-    gaps: dict[int, int] = {}
-
-    def size(stretch: list[int]) -> int:
-        return sum(lengths[order[k][0]] for k in stretch) + sum(gaps[k] for k in stretch[:-1])
-
-    while len(stretches) > 1:
-        at = max(range(len(stretches) - 1), key=lambda k: (min(size(stretches[k]), size(stretches[k + 1])), -k))
-        left, right = stretches[at], stretches[at + 1]
-        links = []
-        for x, a in enumerate(left):
-            after = sum(lengths[order[k][0]] + gaps[k - 1] for k in left[x + 1 :])
-            for y, b in enumerate(right):
-                before = sum(lengths[order[k][0]] + gaps[k] for k in right[:y])
-                links += [d + after + before for d in distances(*order[a], *order[b])]
-        found = estimate(size(left), size(right), links) if links else None
-        gaps[left[-1]] = found if found is not None else 0
-        stretches[at : at + 2] = [left + right]
-    return [gaps[k] for k in range(len(order) - 1)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chromaloom.operators import link_sizes as Z
 from chromaloom.operators import sequences_of_states as Q
+from chromaloom.operators.links import local_ids
 from chromaloom.plans.adapters import duckdb_text, view
 from chromaloom.plans.link_queries import GROUPED, LOCAL
 from chromaloom.plans.ordering_queries import CELLS, cells
@@ -27,9 +28,6 @@ CHAIN = {"bins": BINS, "numbered": NUMBERED, "far": FAR, "hist": HIST, "norms":
 M = """case when stop <= g or start >= g + l1 + l2 then 0 else (case when start < g + least(l1, l2) then (least(stop, g + least(l1, l2)) - greatest(start, g)) * ((greatest(start, g) + least(stop, g + least(l1, l2))) // 2 - g) else 0 end
   + case when stop >= g + least(l1, l2) and start < g + greatest(l1, l2) then (least(stop, g + greatest(l1, l2)) - greatest(start, g + least(l1, l2))) * least(l1, l2) else 0 end
   + case when stop >= g + greatest(l1, l2) then (least(stop, g + l1 + l2) - greatest(start, g + greatest(l1, l2))) * (g + l1 + l2 - (greatest(start, g + greatest(l1, l2)) + least(stop, g + l1 + l2)) // 2) else 0 end) * density / 1e6 end"""
-LINKS = """select c.cluster_id * 100000 + c1 as pair, a.len as len1, b.len as len2, c.dist from cells c join (select l.*, len from local l join contigs k on l.tid = k.tid) a on a.cluster_id = c.cluster_id and a.local_id = c1
-  join (select l.*, len from local l join contigs k on l.tid = k.tid) b on b.cluster_id = c.cluster_id and b.local_id = c2 where c2 = c1 + 1 and not rc1 and not rc2 and c1 % 8 = 0"""
-
 
 def far_pairs(s, d):
     """Neighbouring reads of a contig as pairs within it."""
@@ -42,29 +40,33 @@ def lsd(s, d):
     return Z.density(far_pairs(s, d), view(s, d, "contigs"))
 
 
-def _links(s, d, chosen="c1 % 8 = 0"):
-    """Links of neighbouring contigs; the check of ``poisson_ll`` is over the chosen pairs only."""
-    from chromaloom.operators.links import local_ids
-
+def _links(s, d):
+    """Links of neighbouring contigs, both as they are."""
     sized = local_ids(view(s, d, "clusters")).join(view(s, d, "contigs").select("tid", "len"), "tid")
     one = sized.select("cluster_id", F.col("local_id").alias("c1"), F.col("len").alias("len1"))
     two = sized.select("cluster_id", F.col("local_id").alias("c2"), F.col("len").alias("len2"))
-    near = cells(s, d).where(f"c2 = c1 + 1 and not rc1 and not rc2 and {chosen}").join(one, ["cluster_id", "c1"]).join(two, ["cluster_id", "c2"])
+    near = cells(s, d).where("c2 = c1 + 1 and not rc1 and not rc2").join(one, ["cluster_id", "c1"]).join(two, ["cluster_id", "c2"])
     return near.select((F.col("cluster_id") * 100000 + F.col("c1")).alias("pair"), "len1", "len2", F.lit(1.0).alias("enrichment"), "dist")
 
 
 def _likelihood(s, d):
-    return Z.gap_likelihood(_links(s, d), lsd(s, d), step=20000, most=200000)
+    return Z.gap_likelihood(_links(s, d), lsd(s, d))
 
 
 def _gaps(s, d):
     """The gap of every neighbouring pair, over all gaps that the search tries."""
-    likelihood = Z.gap_likelihood(_links(s, d, "true"), lsd(s, d), step=Z.GAP_STEP, most=Z.MOST_GAP - Z.GAP_STEP)
-    return Z.gap_size(likelihood.withColumn("ll", F.round("ll", 5)))
+    return Z.gap_size(_links(s, d), lsd(s, d)).select("pair", "gap")
+
+
+def space_contigs(s, d):
+    """The gap after every contig of the orderings."""
+    sizes, contigs = lsd(s, d), view(s, d, "contigs")
+    enrichment = Z.contig_enrichment(far_pairs(s, d), contigs, sizes)
+    return Z.spaced(view(s, d, "ordering").select("cluster_id", "pos", "tid", "rc"), cells(s, d), view(s, d, "clusters"), contigs, enrichment, sizes)
 
 
 def _expected(s, d):
-    rows = view(s, d, "contigs").where("tid % 40 = 0").select("tid", F.col("len").alias("l1"), (F.col("len") + 15000).alias("l2"), (F.col("tid") * 10).cast("bigint").alias("g"))
+    rows = view(s, d, "contigs").select("tid", F.col("len").alias("l1"), (F.col("len") + 15000).alias("l2"), (F.col("tid") * 10).cast("bigint").alias("g"))
     return rows.crossJoin(F.broadcast(lsd(s, d))).select("tid", "bin", F.round(Z.expected_between(F.col("g"), F.col("l1"), F.col("l2")), 9).alias("m"))
 
 
@@ -100,8 +102,8 @@ def _sam_lines(s, d):
 def _near_sites(s, d):
     from chromaloom.functions.intervals import overlap_join
 
-    reads = view(s, d, "reads").where("flag = 0").select((F.col("tid") % 200).alias("chr_id"), F.concat_ws(".", "qid", "ord").alias("id1"), F.col("pos").alias("a1"), (F.col("pos") + 50).alias("b1"))
-    sites = view(s, d, "contigs").where("tid < 200").select(F.col("tid").alias("chr_id"), F.col("tid").alias("id2"), F.lit(9500).cast("bigint").alias("a2"), (F.lit(10000) + F.col("re_raw")).alias("b2"))
+    reads = view(s, d, "reads").where("flag = 0").select(F.col("tid").alias("chr_id"), F.concat_ws(".", "qid", "ord").alias("id1"), F.col("pos").alias("a1"), (F.col("pos") + 50).alias("b1"))
+    sites = view(s, d, "contigs").select(F.col("tid").alias("chr_id"), F.col("tid").alias("id2"), F.lit(9500).cast("bigint").alias("a2"), (F.lit(10000) + F.col("re_raw")).alias("b2"))
     return overlap_join(reads, sites, "chr_id").select("id1", "chr_id").distinct()
 
 
@@ -115,11 +117,10 @@ REGISTRY = {
     "link_density": (lambda s, d: lsd(s, d).withColumn("density", F.round(F.col("density") * 1e6, 6)), duckdb_text("select bin, start, stop, round(density * 1e6, 6) as density from lsd", **CHAIN)),
     "contig_enrichment": (lambda s, d: Z.contig_enrichment(far_pairs(s, d), view(s, d, "contigs"), lsd(s, d)).withColumn("enrichment", F.round("enrichment", 6)), duckdb_text("""select k.tid, round(case when k.len < 4096 then 1 when n is null then 0 else n / e end, 6) as enrichment from contigs k left join (select tid, count(*) as n from far group by 1) f on f.tid = k.tid
       join (select len, sum(case when start >= len then 0 else (least(stop, len) - start) * (len - (start + least(stop, len)) // 2) * density / 1e6 end) as e from (select distinct len from contigs) c cross join lsd group by 1) x on x.len = k.len""", **CHAIN)),
-    "expected_links": (_expected, duckdb_text(f"select tid, bin, round({M}, 9) as m from (select tid, len as l1, len + 15000 as l2, cast(tid * 10 as bigint) as g from contigs where tid % 40 = 0) x cross join lsd", **CHAIN)),
-    "poisson_ll": (lambda s, d: _likelihood(s, d).withColumn("ll", F.round("ll", 5)), duckdb_text(f"""select pair, gap, round(sum(-m + case when k is null then 0 else k * ln(m) - lf end), 5) as ll from (select e.*, s.k, (select coalesce(sum(ln(cast(u as double))), 0) from (select unnest(range(1, coalesce(s.k, 0) + 1)) as u) z) as lf from
-      (select pair, g as gap, bin, {M} as m from (select distinct pair, len1 as l1, len2 as l2 from lk) p cross join (select unnest(range(0, 200001, 20000)) as g) y cross join lsd) e
-      left join (select pair, gap, cast(floor(16 * log2((dist + gap) / 4096.0e0)) as int) as bin, count(*) as k from (select pair, dist, unnest(range(0, 200001, 20000)) as gap from lk) q where dist + gap >= 4096 group by 1, 2, 3) s on e.pair = s.pair and e.gap = s.gap and e.bin = s.bin where m > 0) t group by 1, 2""", **CHAIN, local=LOCAL, grouped=GROUPED, cells=CELLS, lk=LINKS)),
+    "expected_links": (_expected, duckdb_text(f"select tid, bin, round({M}, 9) as m from (select tid, len as l1, len + 15000 as l2, cast(tid * 10 as bigint) as g from contigs) x cross join lsd", **CHAIN)),
+    "poisson_ll": (_likelihood, None),
     "gap_size": (_gaps, None),
+    "space_contigs": (space_contigs, None),
     "link_variance": (lambda s, d: Z.link_variance(cells(s, d), view(s, d, "contigs")).withColumn("variance", F.round("variance", 9)), duckdb_text("select cluster_id, c1, c2, cast(sum(k) as bigint) as n, round(var_pop(k), 9) as variance from (select cluster_id, c1, c2, dist // 10000 as bin, count(*) as k from cells where not rc1 and not rc2 and c1 < c2 group by 1, 2, 3, 4) x group by 1, 2, 3", local=LOCAL, grouped=GROUPED, cells=CELLS)),
     "vcf_parse": (_variants, duckdb_text("""select chrom, pos, ref, alt, genotype, ref_depth, alt_depth, greatest(case genotype when 0 then least(p1, p2) - p0 when 1 then least(p0, p2) - p1 else least(p0, p1) - p2 end, 0) as qual, true as is_snv,
       ref_depth / cast(nullif(ref_depth + alt_depth, 0) as double) as raf, alt_depth / cast(nullif(ref_depth + alt_depth, 0) as double) as aaf, least(ref_depth / cast(nullif(ref_depth + alt_depth, 0) as double), alt_depth / cast(nullif(ref_depth + alt_depth, 0) as double)) as maf,
@@ -133,7 +134,7 @@ REGISTRY = {
     "strip_comments": (lambda s, d: R.without_comments(s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("#"), "p_name")).when(F.col("p_partkey") % 3 == 1, "").otherwise(F.col("p_name")).alias("value"))).select("p_partkey", "value"), duckdb_text("select p_partkey, p_name as value from part where p_partkey % 3 = 2")),
     "bed_scan": (lambda s, d: R.bed(view(s, d, "intervals").select(F.concat_ws("\t", F.concat(F.lit("chr"), "chr_id"), "a", "b", "cn").alias("value")), "int", "chr7"), duckdb_text("select 'chr7' as chrom, a as start, b as stop, cn from intervals where chr_id = 7")),
     "blast_hits": (lambda s, d: R.blast_hits(view(s, d, "hits").select(F.lit("f").alias("file"), (F.col("query_id").cast("bigint") * 100000000 + F.col("hit") * 10 + 1).alias("row_no"), F.concat_ws("\t", F.concat(F.lit("q"), "query_id"), F.concat(F.lit("t"), "target"), F.lit("99.5"), F.lit("10\t0\t0"), "q_start", "q_end", F.lit("1\t2\t1e-9\t20.5")).alias("value")).unionByName(view(s, d, "contigs").select(F.lit("f").alias("file"), (F.col("tid").cast("bigint") * 100000000 - 1).alias("row_no"), F.lit("# BLASTN 2.2").alias("value")))).groupBy("query_id", "query").agg(F.count(F.lit(1)).alias("n"), F.sum("q_end").alias("ends")), duckdb_text("select cast(query_id as bigint) as query_id, 'q' || query_id as query, count(*) as n, cast(sum(q_end) as bigint) as ends from hits group by 1, 2")),
-    "near_site_reads": (_near_sites, duckdb_text("select distinct r.qid || '.' || r.ord as id1, r.tid % 200 as chr_id from reads r join contigs c on c.tid = r.tid % 200 where flag = 0 and pos < 10000 + re_raw and 9500 < pos + 50")),
+    "near_site_reads": (_near_sites, duckdb_text("select distinct r.qid || '.' || r.ord as id1, r.tid as chr_id from reads r join contigs c on c.tid = r.tid where flag = 0 and pos < 10000 + re_raw and 9500 < pos + 50")),
     "symbol_encode": (lambda s, d: Q.encode(view(s, d, "observations")), duckdb_text("select seq_id, t, cast(dense_rank() over (order by symbol) - 1 as int) as sid from observations")),
     "transition_matrix": (lambda s, d: Q.transition_matrix(view(s, d, "observations")), duckdb_text("select a, b, n, n / cast(sum(n) over (partition by a) as double) as p from (select symbol as a, nx as b, count(*) as n from (select symbol, lead(symbol) over (partition by seq_id order by t) as nx from observations) x where nx is not null group by 1, 2) y")),
     "state_frequencies": (lambda s, d: Q.state_frequencies(view(s, d, "observations")), duckdb_text("select symbol, count(*) as n, count(*) / cast((select count(*) from observations) as double) as p from observations group by 1")),

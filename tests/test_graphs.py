@@ -171,17 +171,3 @@ def test_training_raises_the_likelihood(spark):
     hard, _ = K.train(observations, K.Model.uniform(2, 3, 0.3, 0.5), 3, hard=True)
     assert hard.checked() is hard
     assert len(K.walk(np.array([[0.0, 1.0], [1.0, 0.0]]), 0, 4)) == 4 and K.walk(np.array([[0.0, 1.0], [1.0, 0.0]]), 0, 4).tolist() == [0, 1, 0, 1]
-
-
-def test_contigs_are_spaced_from_the_longest():
-    order = [(0, False), (1, True), (2, False)]
-    lengths = {0: 100, 1: 80, 2: 10}
-    calls = []
-
-    def estimate(left, right, links):
-        calls.append((left, right, sorted(links)))
-        return 7
-
-    gaps = T.space_contigs(order, lengths, lambda a, a_rc, b, b_rc: [5 + a + b], estimate)
-    assert gaps == [7, 7] and calls == [(100, 80, [6]), (187, 10, [8, 94])]
-    assert T.space_contigs(order, lengths, lambda *_: [], estimate) == [0, 0]
