@@ -14,9 +14,14 @@ DATA = "/root/testdata/sf0.001"
 def brute_likelihoods(len1, len2, dists, lsd, enrichment=1.0, most=10_000_000):
     """ln likelihood by gap, one bin and link at a time."""
     short, long, found = min(len1, len2), max(len1, len2), {}
+
+    def bin_of(distance):
+        return math.floor(16 * math.log2(distance / 4096)) if distance >= 4096 else -1
+
     for gap in range(0, most, 1000):
         ll, terms = 0.0, 0
-        for start, stop, density in lsd:
+        seen = [bin_of(x + gap) for x in dists]
+        for number, start, stop, density in lsd:
             if stop <= gap or start >= gap + len1 + len2:
                 continue
             area = 0
@@ -30,7 +35,7 @@ def brute_likelihoods(len1, len2, dists, lsd, enrichment=1.0, most=10_000_000):
                 area += (high - low) * (gap + len1 + len2 - (low + high) // 2)
             m = area * density / 1e6 * enrichment
             if m > 0:
-                k = sum(start <= x + gap < stop for x in dists)
+                k = seen.count(number)
                 ll, terms = ll - m + (k * math.log(m) - math.lgamma(k + 1) if k else 0.0), terms + 1
         if terms:
             found[gap] = ll
@@ -43,7 +48,7 @@ def best(found):
 
 @pytest.fixture(scope="module")
 def sizes(spark):
-    return [(r.start, r.stop, r.density) for r in size_queries.lsd(spark, DATA).collect() if r.density]
+    return [(r.bin, r.start, r.stop, r.density) for r in size_queries.lsd(spark, DATA).collect() if r.density]
 
 
 def test_gaps_of_all_neighbours_by_brute_force(spark, sizes):
