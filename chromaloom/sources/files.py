@@ -6,17 +6,45 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from chromaloom.sources import records
 
+#: Compressed bytes of a binary file that a task reads, bytes read at once, and the most that a block has.
+STRETCH_BYTES, READ_BYTES, MOST_BLOCK = 32 << 20, 4 << 20, 1 << 16
+#: Records in a row that have to make sense where a stretch begins inside a file, and records of a batch.
+CHAIN, RECORDS_AT_ONCE, SYNC_BYTES = 16, 10_000, 1 << 17
+
+
+#: Splits of the files up to which their first numbers are broadcast.
+BROADCAST_BLOCKS = 100_000
+
+
+def texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``file, value``: lines in no order, for formats whose lines stand alone."""
+    return spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
+
 
 def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``file, row_no, value``: lines with their number in the file, also where a file is read in parts."""
+    """``file, row_no, value``: lines with their number in the file, also where a file is read in parts.
+
+    The lines of each part are counted and the counts added up over a file's
+    parts; no line is moved or sorted.  A part is read by one task in order, and
+    alike each time, so a line's place in it is its running number less that of
+    the part's first line.
+    """
     raw = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"), "value")
-    return raw.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("block", "k")) - 1).cast("bigint").alias("row_no"), "value")
+    parts = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = parts.select("file", "block", (earlier - F.col("first")).alias("shift")).collect()  # a row for each split of the input
+    if not held:
+        return raw.select("file", F.col("k").alias("row_no"), "value")
+    shifts = spark.createDataFrame(held, "file string, block long, shift long")
+    shifts = F.broadcast(shifts) if len(held) <= BROADCAST_BLOCKS else shifts
+    return raw.join(shifts, ["file", "block"]).select("file", (F.col("k") + F.col("shift")).alias("row_no"), "value")
 
 
 def is_binary(path: str) -> bool:
@@ -28,7 +56,7 @@ def read_alignments(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, D
     """Contig dictionary and records of SAM or BAM files in list order; the dictionary is the first file's."""
     if is_binary(paths[0]):
         spark.dataSource.register(BamSource)
-        contigs = spark.createDataFrame(bam_header(_read_all(spark, paths[0])), "tid int, name string, len long")
+        contigs = spark.createDataFrame(bam_header(paths[0])[0], "tid int, name string, len long")
         return contigs, spark.read.format("bam").option("paths", "\n".join(paths)).load()
     text = lines(spark, paths)
     first = lines(spark, paths[0])
@@ -36,61 +64,137 @@ def read_alignments(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, D
     return contigs, records.alignments(text, contigs)
 
 
-def _read_all(spark: SparkSession, path: str) -> bytes:
-    """The bytes of a file that Spark can reach."""
-    return bytes(spark.read.format("binaryFile").load(path).select("content").head()[0])
-
-
-def inflate_blocks(data: bytes, start: int = 0) -> Iterator[tuple[int, bytes]]:
-    """Offset and content of each BGZF block: gzip members whose extra field states their size."""
-    at = start
-    while at + 18 <= len(data):
-        extra = struct.unpack_from("<H", data, at + 10)[0]
-        place, end, size = at + 12, at + 12 + extra, 0
-        while place + 4 <= end:
-            tag, length = data[place : place + 2], struct.unpack_from("<H", data, place + 2)[0]
-            if tag == b"BC":
-                size = struct.unpack_from("<H", data, place + 4)[0] + 1
-            place += 4 + length
-        if not size:
-            raise ValueError(f"no block size at {at}")
-        yield at, zlib.decompress(data[end : at + size - 8], -15)
-        at += size
-
-
-def bam_header(data: bytes) -> list[tuple[int, str, int]]:
-    """Number, name and length of the targets in a BAM header."""
-    return _targets(b"".join(block for _, block in inflate_blocks(data)))[0]
-
-
-def _targets(raw: bytes) -> tuple[list[tuple[int, str, int]], int]:
+def _opened(path: str):
+    """A file as a stream that can be read at any place."""
+    import pyarrow.fs as pafs
+
+    files, place = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    return files.open_input_file(place)
+
+
+def block_size(head: bytes) -> int:
+    """Bytes of the BGZF block (a gzip member whose extra field states its size) that begins with ``head``; 0 if none does."""
+    if len(head) < 18 or head[:4] != b"\x1f\x8b\x08\x04":
+        return 0
+    place, end = 12, 12 + struct.unpack_from("<H", head, 10)[0]
+    while place + 6 <= min(end, len(head)):
+        tag, length = head[place : place + 2], struct.unpack_from("<H", head, place + 2)[0]
+        if tag == b"BC" and length == 2:
+            return struct.unpack_from("<H", head, place + 4)[0] + 1
+        place += 4 + length
+    return 0
+
+
+def blocks_of(source, start: int, size: int) -> Iterator[tuple[int, bytes]]:
+    """Offset and content of each BGZF block from the one at ``start`` on, in a file of ``size`` bytes."""
+    at, held, first = start, b"", start
+    while at < size:
+        if at - first + MOST_BLOCK > len(held):
+            held, first = source.read_at(min(READ_BYTES, size - at), at), at
+        here = at - first
+        length = block_size(held[here : here + MOST_BLOCK])
+        if not length:
+            raise ValueError(f"no block at {at}")
+        extra = struct.unpack_from("<H", held, here + 10)[0]
+        yield at, zlib.decompress(held[here + 12 + extra : here + length - 8], -15)
+        at += length
+
+
+def next_block(source, start: int, size: int) -> int:
+    """The first block that begins at ``start`` or later: one that is followed by another or by the file's end."""
+    data = source.read_at(min(2 * MOST_BLOCK, size - start), start)
+    at = data.find(b"\x1f\x8b\x08\x04")
+    while at >= 0:
+        length = block_size(data[at : at + MOST_BLOCK])
+        if length and (start + at + length == size or block_size(data[at + length : at + length + MOST_BLOCK])):
+            return start + at
+        at = data.find(b"\x1f\x8b\x08\x04", at + 1)
+    return size
+
+
+def bam_header(path: str) -> tuple[list[tuple[int, str, int]], int]:
+    """Number, name and length of a BAM file's targets, and where its first record begins (block offset times 65,536 plus the place in the block).
+
+    Only the blocks of the header are read.
+    """
+    with _opened(path) as source:
+        raw, starts = b"", []
+        for at, content in blocks_of(source, 0, source.size()):
+            starts.append((len(raw), at))
+            raw += content
+            if (found := _targets(raw)) is not None:
+                targets, end = found
+                if end < len(raw):
+                    inside, block = max(x for x in starts if x[0] <= end)
+                    return targets, (block << 16) + end - inside
+    if raw and (found := _targets(raw)) is not None:
+        return found[0], source_end(path)
+    raise ValueError("not a BAM file")
+
+
+def source_end(path: str) -> int:
+    with _opened(path) as source:
+        return source.size() << 16
+
+
+def _targets(raw: bytes) -> tuple[list[tuple[int, str, int]], int] | None:
+    """The targets and where they end; None where the header goes on beyond ``raw``."""
     if raw[:4] != b"BAM\1":
         raise ValueError("not a BAM file")
-    at = 8 + struct.unpack_from("<i", raw, 4)[0]
-    count, at = struct.unpack_from("<i", raw, at)[0], at + 4
-    targets = []
-    for tid in range(count):
-        size = struct.unpack_from("<i", raw, at)[0]
-        targets.append((tid, raw[at + 4 : at + 3 + size].decode(), struct.unpack_from("<i", raw, at + 4 + size)[0]))
-        at += 8 + size
+    try:
+        at = 8 + struct.unpack_from("<i", raw, 4)[0]
+        count, at = struct.unpack_from("<i", raw, at)[0], at + 4
+        targets = []
+        for tid in range(count):
+            size = struct.unpack_from("<i", raw, at)[0]
+            targets.append((tid, raw[at + 4 : at + 3 + size].decode(), struct.unpack_from("<i", raw, at + 4 + size)[0]))
+            at += 8 + size
+    except struct.error:
+        return None
     return targets, at
 
 
-def bam_records(data: bytes) -> Iterator[tuple]:
-    """``row_no, qname, flag, tid, pos, mapq, mtid, mpos`` of a BAM file's records."""
-    raw = b"".join(block for _, block in inflate_blocks(data))
-    _, at = _targets(raw)
-    row = 0
-    while at + 4 <= len(raw):
-        size = struct.unpack_from("<i", raw, at)[0]
-        tid, pos, name_size, mapq, _, _, flag, _, mtid, mpos, _ = struct.unpack_from("<iiBBHHHiiii", raw, at + 4)
-        name = raw[at + 36 : at + 35 + name_size].decode()
-        yield row, name, flag, tid, pos, mapq, mtid, mpos
-        row, at = row + 1, at + 4 + size
+_RECORD = struct.Struct("<iiiBBHHHiiii")  # size, tid, pos, name, mapq, bin, cigar, flag, bases, mate's tid and pos, span
+
+
+def _plausible(raw: bytes, at: int, targets: int) -> int:
+    """Where the record at ``at`` would end; -1 if there can be none, -2 if ``raw`` is too short to tell."""
+    if at + 36 > len(raw):
+        return -2
+    size, tid, pos, name_size, _, _, cigar, _, bases, mtid, mpos, _ = _RECORD.unpack_from(raw, at)
+    fixed = 32 + name_size + 4 * cigar + (bases + 1) // 2 + bases
+    if not (name_size and bases >= 0 and fixed <= size < 1 << 28 and -1 <= tid < targets and -1 <= mtid < targets and pos >= -1 and mpos >= -1):
+        return -1
+    if at + 36 + name_size > len(raw):
+        return -2
+    name = raw[at + 36 : at + 35 + name_size]
+    if raw[at + 35 + name_size] or not all(33 <= c <= 126 for c in name):
+        return -1
+    return at + 4 + size
+
+
+def first_record(raw: bytes, targets: int) -> int:
+    """Where the first record begins in bytes that may begin inside one: the first place from which several records follow one another."""
+    for at in range(len(raw)):
+        end, seen = at, 0
+        while end >= 0 and seen < CHAIN:
+            after = _plausible(raw, end, targets)
+            if after == -2:
+                break
+            end, seen = after, seen + 1
+            if end > len(raw):
+                break
+        if end >= 0 and seen:
+            return at
+    return -1
 
 
 class BamSource(DataSource):
-    """Python data source ``bam``: a partition per file; option ``paths`` lists the files by line."""
+    """Python data source ``bam``: a partition for each stretch of a file; option ``paths`` lists the files by line.
+
+    ``row_no`` rises along a file: it is the place of a record, the offset of
+    its block times 65,536 plus the place in the block.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -100,25 +204,89 @@ class BamSource(DataSource):
         return "file string, row_no long, qname string, flag int, tid int, pos long, mapq int, mtid int, mpos long"
 
     def reader(self, schema) -> DataSourceReader:
-        return BamReader(self.options["paths"].split("\n"))
+        return BamReader(self.options["paths"].split("\n"), int(self.options.get("stretch", str(STRETCH_BYTES))))
+
+
+class Stretch(InputPartition):
+    """Blocks of a file that begin from ``start`` and before ``stop``."""
+
+    def __init__(self, path: str, start: int, stop: int, targets: int, first: int):
+        self.path, self.start, self.stop, self.targets, self.first = path, start, stop, targets, first
 
 
 class BamReader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    def __init__(self, paths: list[str], stretch: int):
+        self.paths, self.stretch = paths, stretch
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(path) for path in self.paths]
+        out: list[InputPartition] = []
+        for path in self.paths:
+            targets, first = bam_header(path)
+            size, start = source_end(path) >> 16, first >> 16
+            out += [Stretch(path, at, min(at + self.stretch, size), len(targets), first) for at in range(start, size, self.stretch)]
+        return out or [Stretch("", 0, 0, 0, 0)]
+
+    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
+        if partition.start < partition.stop:
+            with _opened(partition.path) as source:
+                rows: list[tuple] = []
+                for record in _records(source, partition):
+                    rows.append((partition.path, *record))
+                    if len(rows) >= RECORDS_AT_ONCE:
+                        yield _record_batch(rows)
+                        rows = []
+                if rows:
+                    yield _record_batch(rows)
+
+
+def _records(source, part: Stretch) -> Iterator[tuple]:
+    """``row_no, qname, flag, tid, pos, mapq, mtid, mpos`` of the records that begin in a stretch; the last may end beyond it."""
+    size = source.size()
+    own = part.first >> 16 == part.start
+    begin = part.start if own else next_block(source, part.start, size)
+    # raw holds bytes that are not yet read as records; starts, where in it blocks begin (the first, perhaps before it)
+    raw, starts, synced = b"", [], False
+    blocks = blocks_of(source, begin, size) if begin < part.stop else iter(())
+    while True:
+        at, content = next(blocks, (size, None))
+        if content is not None:
+            if at >= part.stop and synced and not raw:
+                return
+            starts.append((len(raw), at))
+            raw += content
+        place = 0
+        if not synced:
+            # a longer piece tells more surely where a record begins
+            if content is not None and len(raw) < SYNC_BYTES and not own:
+                continue
+            place = part.first & 0xFFFF if own else first_record(raw, part.targets)
+            if place < 0:
+                if content is None:
+                    return
+                continue
+            synced = True
+        last = 0
+        while place + 4 <= len(raw):
+            while last + 1 < len(starts) and starts[last + 1][0] <= place:
+                last += 1
+            offset, block = starts[last]
+            if block >= part.stop:
+                return
+            length = struct.unpack_from("<i", raw, place)[0]
+            if place + 4 + length > len(raw):
+                break
+            _, tid, pos, name_size, mapq, _, _, flag, _, mtid, mpos, _ = _RECORD.unpack_from(raw, place)
+            yield (block << 16) + place - offset, raw[place + 36 : place + 35 + name_size].decode(), flag, tid, pos, mapq, mtid, mpos
+            place += 4 + length
+        if content is None:
+            return
+        raw, starts = raw[place:], [(offset - place, block) for offset, block in starts[last:]]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import pyarrow.fs as pafs
 
-        path = partition.value
-        files, place = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-        with files.open_input_stream(place, compression=None) as source:
-            data = source.read()
-        for record in bam_records(data):
-            yield (path, *record)
+def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+    names = ["file", "row_no", "qname", "flag", "tid", "pos", "mapq", "mtid", "mpos"]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -133,13 +301,13 @@ def read_blast(spark: SparkSession, paths: list[str]) -> DataFrame:
 def read_link_matrix(spark: SparkSession, path: str) -> DataFrame:
     """``i, j, z`` of a text matrix: comment lines, a line of names, then rows."""
     f = F.split("value", "\t")
-    return lines(spark, path).where(F.col("value").rlike(r"^\d+\t\d+\t\d+$")).select(f[0].cast("int").alias("i"), f[1].cast("int").alias("j"), f[2].cast("bigint").alias("z"))
+    return texts(spark, path).where(F.col("value").rlike(r"^\d+\t\d+\t\d+$")).select(f[0].cast("int").alias("i"), f[1].cast("int").alias("j"), f[2].cast("bigint").alias("z"))
 
 
 def read_group_links(spark: SparkSession, path: str) -> DataFrame:
     """``c1, rc1, c2, rc2, dist`` of a text matrix whose rows are two bins, a count and that many distances; a bin is twice the contig plus one if turned."""
     f = F.split("value", "\t")
-    rows = lines(spark, path).where(F.col("value").rlike(r"^\d+\t\d+\t\d+\t")).select(f[0].cast("int").alias("x"), f[1].cast("int").alias("y"), F.slice(f, F.lit(4), F.size(f) - 3).alias("d"))
+    rows = texts(spark, path).where(F.col("value").rlike(r"^\d+\t\d+\t\d+\t")).select(f[0].cast("int").alias("x"), f[1].cast("int").alias("y"), F.slice(f, F.lit(4), F.size(f) - 3).alias("d"))
     each = rows.select("x", "y", F.explode("d").alias("dist")).where("dist <> ''")
     return each.select(F.floor(F.col("x") / 2).cast("int").alias("c1"), (F.col("x") % 2 == 1).alias("rc1"), F.floor(F.col("y") / 2).cast("int").alias("c2"), (F.col("y") % 2 == 1).alias("rc2"), F.col("dist").cast("bigint").alias("dist"))
 
@@ -171,7 +339,7 @@ def read_ordering(spark: SparkSession, path: str) -> DataFrame:
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes (``node, role``) and edges (``name, u, v, w``) of a graph file with ``V`` and ``E`` lines."""
     f = F.split("value", "\t")
-    rows = lines(spark, path)
+    rows = texts(spark, path)
     nodes = rows.where(F.col("value").startswith("V\t")).select(f[1].cast("int").alias("node"), F.get(f, F.lit(2)).alias("role"))
     edges = rows.where(F.col("value").startswith("E\t")).select(f[1].alias("name"), f[2].cast("int").alias("u"), f[3].cast("int").alias("v"), f[4].cast("double").alias("w"))
     return nodes, edges

@@ -14,21 +14,57 @@ from chromaloom.streaming import link_stream
 SAM = "@HD\tVN:1.0\n@SQ\tSN:ctgA\tLN:1000\n@SQ\tSN:ctgB\tLN:2000\nr1\t0\tctgA\t11\t30\t10M\tctgB\t21\t0\t*\t*\nr1\t16\tctgB\t21\t0\t10M\tctgA\t11\t0\t*\t*\nr2/1\t4\t*\t0\t0\t*\t*\t0\t0\t*\t*\nr2/2\t0\tctgA\t5\t9\t10M\t=\t5\t0\t*\t*\n"
 
 
-def bam_bytes():
+RECORDS = ((b"r1\0", 0, 0, 10, 30, 1, 20), (b"r1\0", 16, 1, 20, 0, 0, 10), (b"r2/1\0", 4, -1, -1, 0, -1, -1), (b"r2/2\0", 0, 0, 4, 9, 0, 4))
+
+
+def bam_bytes(records=RECORDS, cuts=(37,), bases=0):
     raw = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", 2)
     for name, size in ((b"ctgA\0", 1000), (b"ctgB\0", 2000)):
         raw += struct.pack("<i", len(name)) + name + struct.pack("<i", size)
-    for name, flag, tid, pos, mapq, mtid, mpos in ((b"r1\0", 0, 0, 10, 30, 1, 20), (b"r1\0", 16, 1, 20, 0, 0, 10), (b"r2/1\0", 4, -1, -1, 0, -1, -1), (b"r2/2\0", 0, 0, 4, 9, 0, 4)):
-        body = struct.pack("<iiBBHHHiiii", tid, pos, len(name), mapq, 0, 0, flag, 0, mtid, mpos, 0) + name
+    for name, flag, tid, pos, mapq, mtid, mpos in records:
+        body = struct.pack("<iiBBHHHiiii", tid, pos, len(name), mapq, 0, 0, flag, bases, mtid, mpos, 0) + name + bytes((bases + 1) // 2) + b"\xff" * bases
         raw += struct.pack("<i", len(body)) + body
-    out = b""
-    for part in (raw[:37], raw[37:], b""):
+    rng, cuts = random.Random(1), list(cuts)
+    while cuts[-1] + 40_000 < len(raw):
+        cuts.append(cuts[-1] + rng.randint(200, 40_000))
+    out, edges = b"", [0, *cuts, len(raw)]
+    for part in [*(raw[a:b] for a, b in zip(edges, edges[1:])), b""]:
         packed = zlib.compressobj(6, zlib.DEFLATED, -15)
         data = packed.compress(part) + packed.flush()
         out += b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(data) + 25) + data + struct.pack("<II", zlib.crc32(part), len(part))
     return out
 
 
+@pytest.mark.parametrize("stretch", [3_000, 20_000, 32 << 20])
+@pytest.mark.parametrize("bases", [0, 151])
+def test_binary_files_are_read_in_stretches(spark, tmp_path, stretch, bases):
+    rng = random.Random(3)
+    records = [(f"read{k // 2}.{rng.randrange(10**9)}".encode() + b"\0", rng.choice([0, 16, 4]), rng.randint(-1, 1), rng.randint(-1, 900), rng.randint(0, 60), rng.randint(-1, 1), rng.randint(-1, 900)) for k in range(6000)]
+    path = tmp_path / "many.bam"
+    path.write_bytes(bam_bytes(records, (37,), bases))
+    spark.dataSource.register(files.BamSource)
+    read = spark.read.format("bam").option("paths", str(path)).option("stretch", str(stretch)).load()
+    assert stretch > 1 << 20 or read.rdd.getNumPartitions() > 3
+    got = [tuple(r)[2:] for r in read.orderBy("row_no").collect()]
+    assert got == [(name[:-1].decode(), *rest) for name, *rest in records]
+
+
+def test_lines_are_numbered_across_the_parts_of_a_file(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name} {k}\n" for k in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        rows = files.lines(spark, [str(tmp_path / "a.txt"), str(tmp_path / "b.txt")])
+        assert rows.rdd.getNumPartitions() > 4
+        got = rows.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.file[-5], r.row_no, r.value) for r in got) == sorted((name, k, f"{name} {k}") for name in "ab" for k in range(5000))
+    (tmp_path / "none.txt").write_text("")
+    assert files.lines(spark, str(tmp_path / "none.txt")).count() == 0
+
+
 def test_text_and_binary_alignments_agree(spark, tmp_path):
     (tmp_path / "a.sam").write_text(SAM)
     (tmp_path / "a.BAM").write_bytes(bam_bytes())
