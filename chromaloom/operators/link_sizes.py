@@ -239,3 +239,27 @@ def link_variance(cells: DataFrame, contigs: DataFrame, width: int = 10_000) ->
     forward = cells.where("not rc1 and not rc2 and c1 < c2").withColumn("bin", F.floor(F.col("dist") / width))
     counts = forward.groupBy("cluster_id", "c1", "c2", "bin").agg(F.count(F.lit(1)).alias("k"))
     return counts.groupBy("cluster_id", "c1", "c2").agg(F.sum("k").alias("n"), F.var_pop("k").alias("variance"))
+
+
+def trapezoid_deviation(cells: DataFrame, clusters: DataFrame, contigs: DataFrame, width: int = 10_000) -> DataFrame:
+    """``cluster_id, c1, c2, n, deviation``: squared differences of a pair's links, by bins of distance, from evenly spread ones.
+
+    Evenly spread links rise over the first contig's length, stay and fall over
+    the last; the sum over all bins is divided by the links.  Bins without
+    links add their expectation's square.
+    """
+    forward = cells.where("not rc1 and not rc2 and c1 < c2")
+    seen = forward.groupBy("cluster_id", "c1", "c2", F.floor(F.col("dist") / width).alias("bin")).agg(F.count(F.lit(1)).alias("k"))
+    sized = local_ids(clusters).join(contigs.select("tid", "len"), "tid")
+    pairs = seen.groupBy("cluster_id", "c1", "c2").agg(F.sum("k").alias("n"))
+    for k in ("1", "2"):
+        pairs = pairs.join(sized.select("cluster_id", F.col("local_id").alias(f"c{k}"), F.col("len").alias(f"len{k}")), ["cluster_id", f"c{k}"])
+    bins_of = pairs.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("len1") + F.col("len2")) / width))))
+    start, stop = F.col("bin") * width, (F.col("bin") + 1) * width
+    flat = F.col("n") / F.col("len2").cast("double") * width
+    rising = (start + F.least(stop, "len1")) / 2.0 / F.col("len1")
+    falling = (F.col("len1") + F.col("len2") - (stop + F.greatest(start, "len2")) / 2.0) / F.col("len1")
+    expected = flat * F.when(start < F.col("len1"), rising).when(stop > F.col("len2"), falling).otherwise(1.0)
+    rows = bins_of.join(seen, ["cluster_id", "c1", "c2", "bin"], "left")
+    off = expected - F.coalesce("k", F.lit(0))
+    return rows.groupBy("cluster_id", "c1", "c2", "n").agg((F.sum(off * off)).alias("d")).select("cluster_id", "c1", "c2", "n", (F.col("d") / F.col("n")).alias("deviation"))

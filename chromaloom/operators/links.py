@@ -71,6 +71,17 @@ def mirrored(half: DataFrame) -> DataFrame:
     return half.select(F.explode(ways).alias("c"), "z").select("c.i", "c.j", "z")
 
 
+def edge_weights(pairs: DataFrame, contigs: DataFrame) -> DataFrame:
+    """``pairs`` with ``weight``: 2 for a link between two contigs' very ends, falling to 0 for one between their middles.
+
+    A read's distance is the one to the nearer end of its contig; both together are set against half the contigs' length.
+    """
+    one, two = (contigs.select(F.col("tid").alias(f"tid{k}"), F.col("len").alias(f"len{k}")) for k in (1, 2))
+    near = lambda k: F.least(F.col(f"pos{k}"), F.abs(F.col(f"len{k}") - F.col(f"pos{k}")))
+    share = 2 * (near(1) + near(2)) / (F.col("len1") + F.col("len2")).cast("double")
+    return pairs.join(one, "tid1").join(two, "tid2").withColumn("weight", 2 * (1 - share)).select(*pairs.columns, "weight")
+
+
 def normalise(links: DataFrame, contigs: DataFrame, size: str = "re") -> DataFrame:
     """Links as if all contigs had the largest ``size``: ``trunc(z * max^2 / (size_i * size_j))``."""
     most = contigs.agg(F.max(size).cast("double").alias("most"))
@@ -205,3 +216,26 @@ def oriented_distances(grouped: DataFrame, contigs: DataFrame, offset: int = 100
             cells.append(cell(one, r1, two, r2, d1 + d2))
             cells.append(cell(two, not r2, one, not r1, d1 + d2))
     return joined.select("cluster_id", F.explode(F.array(*cells)).alias("cell")).select("cluster_id", "cell.*")
+
+
+def has_links(cells: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``cluster_id, has_links``: whether any two contigs of a cluster have a link, both taken as they are."""
+    forward = cells.where("not rc1 and not rc2 and c1 < c2").select("cluster_id").distinct().withColumn("has_links", F.lit(True))
+    return clusters.select("cluster_id").distinct().join(forward, "cluster_id", "left").withColumn("has_links", F.coalesce("has_links", F.lit(False)))
+
+
+def group_repeat_factors(cells: DataFrame, clusters: DataFrame, contigs: DataFrame) -> DataFrame:
+    """``cluster_id, local_id, factor``: links of a contig within its cluster against the mean of the cluster.
+
+    Links count with the whole-number ratios of the cluster's largest site count to both contigs'.
+    """
+    sized = local_ids(clusters).join(contigs.select("tid", "re"), "tid").select("cluster_id", "local_id", "re")
+    size = sized.groupBy("cluster_id").agg(F.max("re").alias("most"), F.count(F.lit(1)).alias("n_contigs"))
+    counts = cells.where("not rc1 and not rc2").groupBy("cluster_id", "c1", "c2").agg(F.count(F.lit(1)).alias("n"))
+    for k in ("1", "2"):
+        counts = counts.join(sized.select("cluster_id", F.col("local_id").alias(f"c{k}"), F.col("re").alias(f"re{k}")), ["cluster_id", f"c{k}"])
+    counts = counts.join(size, "cluster_id").withColumn("n", F.expr("n * (most div re1) * (most div re2)"))
+    each = counts.select("cluster_id", F.explode(F.array("c1", "c2")).alias("local_id"), "n").groupBy("cluster_id", "local_id").agg(F.sum("n").alias("n"))
+    total = counts.groupBy("cluster_id").agg(F.sum("n").cast("double").alias("total"))
+    joined = sized.join(size, "cluster_id").join(total, "cluster_id").join(each, ["cluster_id", "local_id"], "left")
+    return joined.select("cluster_id", "local_id", (F.coalesce("n", F.lit(0)) / (2 * F.col("total") / F.col("n_contigs"))).alias("factor"))

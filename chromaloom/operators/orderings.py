@@ -248,11 +248,23 @@ def ordering_size(ordering: DataFrame, clusters: DataFrame, contigs: DataFrame)
 
 def scaffolds(ordering: DataFrame, sequences: DataFrame, default_gap: int = 1000) -> DataFrame:
     """``cluster_id, seq``: contig sequences in order, turned where needed, with a gap of N between."""
+    rows = scaffold_pieces(ordering, sequences, default_gap)
+    grouped = rows.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("x"))
+    return grouped.select("cluster_id", F.array_join(F.transform("x", lambda x: x["piece"]), "").alias("seq"))
+
+
+def scaffold_pieces(ordering: DataFrame, sequences: DataFrame, default_gap: int = 1000) -> DataFrame:
+    """``cluster_id, pos, start, piece``: each contig turned as it is placed, with the gap after it, and where it begins in its scaffold.
+
+    Written in the order of ``cluster_id, pos`` the pieces are the scaffolds, so one of any length needs no single row.
+    """
+    w = Window.partitionBy("cluster_id").orderBy("pos")
     turned = F.when(F.col("rc"), reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
     gap = F.coalesce(F.col("gap"), F.lit(default_gap)) if "gap" in ordering.columns else F.lit(default_gap)
-    rows = ordering.join(sequences, "tid").select("cluster_id", "pos", turned.alias("s"), gap.cast("int").alias("gap"))
-    grouped = rows.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.concat(F.col("s"), F.repeat(F.lit("N"), F.col("gap"))).alias("s")))).alias("x"))
-    return grouped.select("cluster_id", F.regexp_replace(F.array_join(F.transform("x", lambda x: x["s"]), ""), "N+$", "").alias("seq"))
+    placed = ordering.join(sequences, "tid").select("cluster_id", "pos", turned.alias("s"), gap.cast("int").alias("gap"))
+    rows = placed.select("cluster_id", "pos", F.when(F.lead("pos").over(w).isNull(), F.col("s")).otherwise(F.concat("s", F.repeat(F.lit("N"), F.col("gap")))).alias("piece"))
+    start = F.coalesce(F.sum(F.length("piece")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.select("cluster_id", "pos", start.alias("start"), "piece")
 
 
 def genome_order(truth: DataFrame) -> DataFrame:
@@ -277,6 +289,25 @@ def top_contigs(contigs: DataFrame, n: int) -> DataFrame:
     return contigs.crossJoin(F.broadcast(cutoff)).where("len >= cutoff").drop("cutoff")
 
 
+def gap_correlations(errors: DataFrame, ordering: DataFrame, contigs: DataFrame, covariates: DataFrame) -> DataFrame:
+    """``n, gaps, gc, mappability, enrichment``: how true and estimated gaps, and the errors and three covariates, go together.
+
+    ``errors`` are those of :func:`gap_errors`.  ``covariates`` has ``tid, gc,
+    mappability, enrichment``; a pair's value is the mean of both contigs' by
+    length, of the enrichment its logarithm.  Pearson's correlations of the
+    logarithms of the gaps (plus one) and of the errors with each covariate.
+    """
+    w = Window.partitionBy("cluster_id").orderBy("pos")
+    names = ("gc", "mappability", "enrichment")
+    rows = ordering.join(contigs.select("tid", "len"), "tid").join(covariates, "tid")
+    nxt = {c: F.lead(c).over(w) for c in ("len", *names)}
+    both = rows.select("cluster_id", "pos", *((F.col(c) * F.col("len") + nxt[c] * nxt["len"]).alias(f"{c}_sum") for c in names), (F.col("len") + nxt["len"]).alias("len_sum"))
+    met = errors.join(both, ["cluster_id", "pos"])
+    mean = {c: F.col(f"{c}_sum") / F.col("len_sum") for c in names}
+    true, error = F.log(F.col("true_gap") + 1.0), F.col("log_error")
+    return met.agg(F.count(F.lit(1)).alias("n"), F.corr(true, error + true).alias("gaps"), F.corr(error, mean["gc"]).alias("gc"), F.corr(error, mean["mappability"]).alias("mappability"), F.corr(error, F.log(mean["enrichment"])).alias("enrichment"))
+
+
 #: Contigs of a plot.
 PLOT_N = 1000
 

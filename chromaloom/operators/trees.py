@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -325,3 +326,50 @@ def shuffled(ordering: DataFrame, seed: int = 1) -> DataFrame:
     pos = (F.row_number().over(Window.partitionBy("cluster_id").orderBy(key, "tid")) - 1).cast("int")
     return ordering.select("cluster_id", "tid", pos.alias("pos"), (F.pmod(F.xxhash64(key), F.lit(2)) == 0).alias("rc"))
 
+
+def _invert(order: list[tuple[int, bool]], start: int, stop: int) -> None:
+    """Turn round the stretch from ``start`` to ``stop``, both included."""
+    order[start : stop + 1] = [(tid, not rc) for tid, rc in reversed(order[start : stop + 1])]
+
+
+def _edited(ordering: DataFrame, seed: int, edit) -> DataFrame:
+    """Each ordering after ``edit(order, rng)``, the same for the same seed; an order of one contig stays."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos")
+        cluster = int(rows["cluster_id"].iloc[0])
+        order = list(zip(rows["tid"].astype(int).tolist(), rows["rc"].astype(bool).tolist(), strict=True))
+        if len(order) > 1:
+            edit(order, np.random.default_rng([seed, cluster & 0xFFFFFFFF]))
+        return pd.DataFrame({"cluster_id": cluster, "pos": range(len(order)), "tid": [t for t, _ in order], "rc": [r for _, r in order]})
+
+    return ordering.select("cluster_id", "pos", "tid", "rc").groupBy("cluster_id").applyInPandas(run, "cluster_id int, pos int, tid int, rc boolean")
+
+
+def randomly_inverted(ordering: DataFrame, n: int = 1, seed: int = 1) -> DataFrame:
+    """``n`` times a stretch of two contigs or more, drawn evenly, is turned round in each ordering."""
+
+    def edit(order: list, rng: np.random.Generator) -> None:
+        for _ in range(n):
+            start, stop = sorted(rng.choice(len(order), 2, replace=False).tolist())
+            _invert(order, start, stop)
+
+    return _edited(ordering, seed, edit)
+
+
+def randomly_perturbed(ordering: DataFrame, n: int = 1, seed: int = 1) -> DataFrame:
+    """``n`` times a stretch is turned round, or a contig is moved along it either way, short stretches being likelier."""
+
+    def edit(order: list, rng: np.random.Generator) -> None:
+        size = len(order)
+        for _ in range(n):
+            reach = int(size - np.sqrt(1 + rng.integers(0, size * size - 1)))
+            start = int(rng.integers(0, size - reach))
+            stop = start + reach
+            if rng.integers(0, 2):
+                _invert(order, start, stop)
+            else:
+                source, target = (start, stop) if rng.integers(0, 2) else (stop, start)
+                order.insert(target, order.pop(source))
+
+    return _edited(ordering, seed, edit)

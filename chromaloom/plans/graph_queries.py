@@ -113,6 +113,9 @@ REGISTRY = {
     "trunk": (lambda s, d: T.group_orderings(*_three(s, d)).where("kind = 'trunk'"), None),
     "full_order": (lambda s, d: T.group_orderings(*_three(s, d)).where("kind = 'full'"), None),
     "orient_viterbi": (lambda s, d: T.orient_ordering(cells(s, d), view(s, d, "ordering"), view(s, d, "clusters")), None),
+    "orient_q": (lambda s, d: T.orient_ordering(cells(s, d), view(s, d, "ordering"), view(s, d, "clusters")).select("cluster_id", "pos", "local_id", "q"), None),
+    "invert_random": (lambda s, d: T.randomly_inverted(view(s, d, "ordering"), 3), None),
+    "perturb_random": (lambda s, d: T.randomly_perturbed(view(s, d, "ordering"), 5), None),
     "randomize": (lambda s, d: T.shuffled(view(s, d, "ordering")), None),
     "hmm_viterbi": (hmm_viterbi, None),
     "hmm_baum_welch": (_trained(False), None),

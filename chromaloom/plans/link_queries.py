@@ -62,6 +62,7 @@ def _linkage(s, d):
 
 #: name: (query, check)
 REGISTRY = {
+    "edge_weights": (lambda s, d: L.edge_weights(view(s, d, "pairs"), view(s, d, "contigs")).select("tid1", "pos1", "tid2", "pos2", F.round("weight", 9).alias("weight")), duckdb_text("select tid1, pos1, tid2, pos2, round(2 * (1 - 2 * (least(pos1, abs(a.len - pos1)) + least(pos2, abs(b.len - pos2))) / cast(a.len + b.len as double)), 9) as weight from pairs join contigs a on tid1 = a.tid join contigs b on tid2 = b.tid")),
     "link_matrix": (glm, duckdb_text("select * from glm", glm=GLM)),
     "link_normalise": (norm, duckdb_text("select * from norm", glm=GLM, norm=NORM)),
     "repeat_factor": (lambda s, d: L.repeat_factor(norm(s, d), view(s, d, "contigs")), duckdb_text("select * from rep", glm=GLM, norm=NORM, rep=REP)),

@@ -69,7 +69,23 @@ _KINDS = {"chr_mismatch": ("chr_mismatch", "not unaligned"), "order_error": ("or
 _CHART = " union all ".join("select '" + k + "' as kind, * from (" + _PCT.replace("count_if(x)", f"count_if({x})").replace("count_if(y)", f"count_if({y})").replace("when x", f"when {x}").replace("when y", f"when {y}") + ")" for k, (x, y) in _KINDS.items())
 _FL = "select g.*, k.len, k.re from flags g join contigs k on g.tid = k.tid"
 
+def _gap_correlations(s, d):
+    ordering, contigs = view(s, d, "ordering"), view(s, d, "contigs")
+    gaps = ordering.select("cluster_id", "pos", (500 + 37 * (F.col("pos") % 50)).alias("gap"))
+    covariates = contigs.select("tid", ((F.col("tid") % 100) / 100.0).alias("gc"), ((F.col("tid") % 37) / 37.0).alias("mappability"), (0.5 + (F.col("tid") % 11) / 11.0).alias("enrichment"))
+    found = O.gap_correlations(O.gap_errors(ordering, view(s, d, "truth"), contigs, gaps), ordering, contigs, covariates)
+    return found.select("n", *(F.round(c, 6).alias(c) for c in ("gaps", "gc", "mappability", "enrichment")))
+
+
 REGISTRY = {
+    "has_links": (lambda s, d: L.has_links(cells(s, d), view(s, d, "clusters")), duckdb_text("select cluster_id, cluster_id in (select cluster_id from cells where not rc1 and not rc2 and c1 < c2) as has_links from clusters group by 1", local=LOCAL, grouped=GROUPED, cells=CELLS)),
+    "group_repeat_factors": (lambda s, d: L.group_repeat_factors(cells(s, d), view(s, d, "clusters"), view(s, d, "contigs")).withColumn("factor", F.round("factor", 9)), duckdb_text("""select z.cluster_id, z.local_id, round(coalesce(e.n, 0) / (2 * t.total / z.n_contigs), 9) as factor from (select *, count(*) over (partition by cluster_id) as n_contigs from sized) z
+      join (select cluster_id, cast(sum(n) as double) as total from w group by 1) t on t.cluster_id = z.cluster_id left join (select cluster_id, c, sum(n) as n from (select cluster_id, c1 as c, n from w union all select cluster_id, c2, n from w) x group by 1, 2) e on e.cluster_id = z.cluster_id and e.c = z.local_id""",
+      local=LOCAL, grouped=GROUPED, cells=CELLS, sized="select l.*, k.re, max(k.re) over (partition by cluster_id) as most from local l join contigs k on l.tid = k.tid", w="select c.cluster_id, c1, c2, count(*) * (max(a.most) // max(a.re)) * (max(b.most) // max(b.re)) as n from cells c join sized a on a.cluster_id = c.cluster_id and a.local_id = c1 join sized b on b.cluster_id = c.cluster_id and b.local_id = c2 where not rc1 and not rc2 group by 1, 2, 3")),
+    "gap_correlations": (_gap_correlations, duckdb_text("""select count(*) as n, round(corr(ln(tg + 1), ln(gap + 1)), 6) as gaps, round(corr(err, gc), 6) as gc, round(corr(err, mp), 6) as mappability, round(corr(err, ln(en)), 6) as enrichment from (
+      select tg, gap, ln((gap + 1) / cast(tg + 1 as double)) as err, (g * len + g1 * l1) / (len + l1) as gc, (m * len + m1 * l1) / (len + l1) as mp, (e * len + e1 * l1) / (len + l1) as en from (
+        select *, greatest(n0 - t1, t0 - n1, 100) as tg from (select o.cluster_id, o.pos, 500 + 37 * (o.pos % 50) as gap, t.chrom, t.t0, t.t1, k.len, (k.tid % 100) / 100.0e0 as g, (k.tid % 37) / 37.0e0 as m, 0.5e0 + (k.tid % 11) / 11.0e0 as e, lead(t.chrom) over w as nc, lead(t.t0) over w as n0, lead(t.t1) over w as n1, lead(k.len) over w as l1,
+          lead((k.tid % 100) / 100.0e0) over w as g1, lead((k.tid % 37) / 37.0e0) over w as m1, lead(0.5e0 + (k.tid % 11) / 11.0e0) over w as e1 from ordering o join truth t on o.tid = t.tid join contigs k on o.tid = k.tid window w as (partition by o.cluster_id order by o.pos)) x where chrom = nc) y) z""")),
     "ordering_score": (_scored(O.ordering_score, "score"), duckdb_text("select cluster_id, round(sum(1.0e0 / (dist + gap)), 6) as score from x where gap <= 10000000 group by 1", **CHAIN, x=BETWEEN)),
     "unoriented_score": (_scored(O.unoriented_score, "score"), duckdb_text("select cluster_id, round(sum(1.0e0 / (gap + len)), 6) as score from x where gap + len <= 10000000 group by 1", **CHAIN, x=FORWARD)),
     "enrichment_score": (_scored(O.enrichment_score, "enrichment"), duckdb_text("""select o.cluster_id, round(case when members <= 2 or ns is null or nl is null then 0 else coalesce(score, 0) / (ns * (nl / cast(area as double))) end, 6) as enrichment

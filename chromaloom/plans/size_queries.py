@@ -122,6 +122,10 @@ REGISTRY = {
     "gap_size": (_gaps, None),
     "space_contigs": (space_contigs, None),
     "link_variance": (lambda s, d: Z.link_variance(cells(s, d), view(s, d, "contigs")).withColumn("variance", F.round("variance", 9)), duckdb_text("select cluster_id, c1, c2, cast(sum(k) as bigint) as n, round(var_pop(k), 9) as variance from (select cluster_id, c1, c2, dist // 10000 as bin, count(*) as k from cells where not rc1 and not rc2 and c1 < c2 group by 1, 2, 3, 4) x group by 1, 2, 3", local=LOCAL, grouped=GROUPED, cells=CELLS)),
+    "trapezoid_deviation": (lambda s, d: Z.trapezoid_deviation(cells(s, d), view(s, d, "clusters"), view(s, d, "contigs")).withColumn("deviation", F.round("deviation", 6)), duckdb_text("""select cluster_id, c1, c2, n, round(sum(power(e - coalesce(k, 0), 2)) / n, 6) as deviation from (
+      select p.*, bin, n / cast(len2 as double) * 10000 * case when bin * 10000 < len1 then (bin * 10000 + least((bin + 1) * 10000, len1)) / 2.0e0 / len1 when (bin + 1) * 10000 > len2 then (len1 + len2 - ((bin + 1) * 10000 + greatest(bin * 10000, len2)) / 2.0e0) / len1 else 1 end as e
+      from (select *, unnest(range(0, (len1 + len2) // 10000 + 1)) as bin from (select f.cluster_id, c1, c2, a.len as len1, b.len as len2, count(*) as n from fw f join sized a on a.cluster_id = f.cluster_id and a.local_id = c1 join sized b on b.cluster_id = f.cluster_id and b.local_id = c2 group by 1, 2, 3, 4, 5) y) p) q
+      left join (select cluster_id, c1, c2, dist // 10000 as bin, count(*) as k from fw group by 1, 2, 3, 4) h using (cluster_id, c1, c2, bin) group by 1, 2, 3, 4""", local=LOCAL, grouped=GROUPED, cells=CELLS, sized="select l.*, len from local l join contigs k on l.tid = k.tid", fw="select * from cells where not rc1 and not rc2 and c1 < c2")),
     "vcf_parse": (_variants, duckdb_text("""select chrom, pos, ref, alt, genotype, ref_depth, alt_depth, greatest(case genotype when 0 then least(p1, p2) - p0 when 1 then least(p0, p2) - p1 else least(p0, p1) - p2 end, 0) as qual, true as is_snv,
       ref_depth / cast(nullif(ref_depth + alt_depth, 0) as double) as raf, alt_depth / cast(nullif(ref_depth + alt_depth, 0) as double) as aaf, least(ref_depth / cast(nullif(ref_depth + alt_depth, 0) as double), alt_depth / cast(nullif(ref_depth + alt_depth, 0) as double)) as maf,
       case genotype when 0 then 'HOM_REF' when 1 then 'HET' else 'HOM_ALT' end as call from v where ref <> 'N' and alt <> 'N'""", v=VAR)),

@@ -171,3 +171,19 @@ def test_training_raises_the_likelihood(spark):
     hard, _ = K.train(observations, K.Model.uniform(2, 3, 0.3, 0.5), 3, hard=True)
     assert hard.checked() is hard
     assert len(K.walk(np.array([[0.0, 1.0], [1.0, 0.0]]), 0, 4)) == 4 and K.walk(np.array([[0.0, 1.0], [1.0, 0.0]]), 0, 4).tolist() == [0, 1, 0, 1]
+
+
+@pytest.mark.parametrize("edit, most", [(T.randomly_inverted, 2 * 3), (T.randomly_perturbed, 3 * 3)])
+def test_random_edits_keep_the_contigs(spark, edit, most):
+    rows = [(c, p, 100 * c + p, p % 3 == 0) for c, n in ((0, 40), (1, 2), (2, 1)) for p in range(n)]
+    ordering = spark.createDataFrame(rows, "cluster_id int, pos int, tid int, rc boolean")
+    got = sorted(tuple(r) for r in edit(ordering, 3).collect())
+    assert got == sorted(tuple(r) for r in edit(ordering, 3).collect()) and got != sorted(rows)
+    assert [r[:2] for r in got] == [r[:2] for r in sorted(rows)] and {r[2] for r in got} == {r[2] for r in rows}
+    # neighbours stay neighbours but at the ends of what was edited
+    order = [(t, r) for c, _, t, r in got if c == 0]
+    old = [(t, r) for c, _, t, r in sorted(rows) if c == 0]
+    near = lambda x: {frozenset([(a, ar), (b, not br)]) for (a, ar), (b, br) in zip(x, x[1:])}
+    assert len(near(old) - near(order)) <= most
+    assert [r for r in got if r[0] == 2] == [r for r in rows if r[0] == 2]
+
