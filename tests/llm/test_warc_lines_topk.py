@@ -44,7 +44,8 @@ def brute_lines(rows, ratio, least):
     out = []
     for doc_id, text, host in rows:
         lines = text.split("\n") if text is not None else []
-        kept = [x for x in lines if not x.strip(" ") or holding[host or "", x.strip(" ")] < least or holding[host or "", x.strip(" ")] <= ratio * pages[host or ""]]
+        stays = lambda n, all_pages: n <= ratio * all_pages or n < least and (n < 3 or 2 * n <= all_pages)
+        kept = [x for x in lines if not x.strip(" ") or stays(holding[host or "", x.strip(" ")], pages[host or ""])]
         out.append((doc_id, len(lines), len(lines) - len(kept), "\n".join(kept)))
     return out
 
@@ -55,6 +56,7 @@ def test_lines_against_brute_force(spark, monkeypatch, broadcast):
     rng = random.Random(6)
     lines = ["", " ", "menu", " menu ", "imprint", "École", *(f"line {k}" for k in range(30))]
     rows = [(k, "\n".join(rng.choices(lines, weights=[3, 1, 9, 2, 5, 1, *[1] * 30], k=rng.randint(0, 8))), rng.choice(["a", "a", "a", "b", None])) for k in range(200)]
+    rows += [(400 + k, "small\n" + str(k % 2), "small") for k in range(3)] + [(410 + k, "pair", "two") for k in range(2)]
     rows += [(300, None, "a"), (301, "", "c"), (302, "menu\n" * 3000, "a"), (1, "menu", "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     found = line_dedup.line_report(docs, ratio=0.2, min_pages=4).collect()
@@ -64,6 +66,14 @@ def test_lines_against_brute_force(spark, monkeypatch, broadcast):
     assert kept == {(i, t if n else None) for i, n, _, t in brute_lines(rows, 0.2, 4)}
 
 
+def test_hosts_of_urls(spark):
+    rows = [(k, "http://Site.example/a" if k % 2 else "https://site.example/b?x", "menu\n" + str(k)) for k in range(12)] + [(20, None, "menu"), (21, "no url", "menu")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host_", topk.F.lit("own")).withColumn("lines_", topk.F.lit(1))
+    kept = line_dedup.drop_boilerplate(pages, text_column="html", ratio=0.5, host_column=line_dedup.host_of("url"))
+    assert kept.columns == pages.columns
+    assert {r.page_id: r.html for r in kept.collect()} == {**{k: str(k) for k in range(12)}, 20: "menu", 21: "menu"}
+
+
 def test_lines_of_awkward_documents(spark):
     docs = documents(spark)
     assert line_dedup.drop_boilerplate(docs, min_pages=2).select(*docs.columns).count() == docs.count()
