@@ -42,14 +42,12 @@ def motif_positions(rows: DataFrame, key: str, sequence: str, motif: str) -> Dat
     pattern = motif_pattern(motif)
     # letters of sequences are ASCII; others stay, so that positions do
     upper = F.translate(F.col(sequence), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    width = len(motif)
-    pieces = F.transform(F.split(upper, pattern), lambda p: F.length(p))
-    ends = F.aggregate(
-        pieces, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda s, n: F.struct((s["at"] + n + width).alias("at"), F.concat(s["all"], F.array(s["at"] + n)).alias("all")), lambda s: s["all"],
-    )
-    found = rows.select(key, ends.alias("at"))
-    return found.select(key, F.explode(F.slice("at", F.lit(1), F.size("at") - 1)).alias("pos"))
+    # a key, not the sequence, goes through the window
+    pieces = rows.select(key, F.posexplode(F.transform(F.split(upper, pattern), lambda p: F.length(p))).alias("k", "n"))
+    in_key = Window.partitionBy(key).orderBy("k")
+    # the end of a piece is where a match starts, but for the last piece
+    ends = pieces.select(key, "k", (F.sum("n").over(in_key) + F.col("k") * len(motif)).cast("int").alias("pos"), F.lead("k").over(in_key).alias("next"))
+    return ends.where("next is not null").select(key, "pos")
 
 
 def motif_windows(rows: DataFrame, key: str, sequence: str, motif: str, reach: int) -> DataFrame:

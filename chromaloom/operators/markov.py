@@ -78,44 +78,61 @@ class Model:
             return np.log(self.initial), np.log(self.transition), np.log(self.emission)
 
 
-def viterbi(model: Model, symbols: np.ndarray) -> tuple[float, np.ndarray]:
-    """ln probability of the most likely states, and the states; the lowest of equal ones."""
-    if not len(symbols):
+def most_likely(initial: np.ndarray, transition: np.ndarray, scores: np.ndarray) -> tuple[float, np.ndarray]:
+    """ln probability of the most likely states, and the states, the lowest of equal ones, from logarithms.
+
+    ``scores`` has a row for each time: the ln likelihood of what is seen then in each state.
+    """
+    if not len(scores):
         return 0.0, np.zeros(0, dtype=int)
-    initial, transition, emission = model.logs()
-    score, back = initial + emission[:, symbols[0]], []
-    for symbol in symbols[1:]:
+    score, back = initial + scores[0], []
+    for seen in scores[1:]:
         options = score[:, None] + transition
         back.append(options.argmax(axis=0))
-        score = options.max(axis=0) + emission[:, symbol]
+        score = options.max(axis=0) + seen
     path = [int(score.argmax())]
     for came in reversed(back):
         path.append(int(came[path[-1]]))
     return float(score.max()), np.array(path[::-1])
 
 
-def expected_counts(model: Model, symbols: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-    """ln likelihood and the expected counts of first states, switches and emissions, by scaled forward and backward sums."""
-    n, states = len(symbols), len(model.initial)
-    first, switches, emitted = np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emission)
+def viterbi(model: Model, symbols: np.ndarray) -> tuple[float, np.ndarray]:
+    """:func:`most_likely` states of a sequence of symbols."""
+    initial, transition, emission = model.logs()
+    return most_likely(initial, transition, emission[:, np.asarray(symbols, dtype=int)].T)
+
+
+def posterior_counts(initial: np.ndarray, transition: np.ndarray, likelihoods: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """ln likelihood, expected counts of first states and switches, and the states' posteriors by time, by scaled forward and backward sums.
+
+    ``likelihoods`` has a row for each time; a common factor of a row only adds to the ln likelihood.
+    """
+    n, states = len(likelihoods), len(initial)
+    first, switches, gammas = np.zeros(states), np.zeros((states, states)), np.zeros((n, states))
     if not n:
-        return 0.0, first, switches, emitted
+        return 0.0, first, switches, gammas
     alpha, scale = np.zeros((n, states)), np.zeros(n)
     for t in range(n):
-        alpha[t] = (model.initial if t == 0 else alpha[t - 1] @ model.transition) * model.emission[:, symbols[t]]
+        alpha[t] = (initial if t == 0 else alpha[t - 1] @ transition) * likelihoods[t]
         scale[t] = alpha[t].sum()
         alpha[t] /= scale[t]
     beta = np.ones(states)
     for t in range(n - 1, -1, -1):
-        gamma = alpha[t] * beta
-        emitted[:, symbols[t]] += gamma
+        gammas[t] = alpha[t] * beta
         if t:
-            onward = model.emission[:, symbols[t]] * beta / scale[t]
-            switches += alpha[t - 1][:, None] * model.transition * onward[None, :]
-            beta = model.transition @ onward
-        else:
-            first += gamma
-    return float(np.log(scale).sum()), first, switches, emitted
+            onward = likelihoods[t] * beta / scale[t]
+            switches += alpha[t - 1][:, None] * transition * onward[None, :]
+            beta = transition @ onward
+    return float(np.log(scale).sum()), gammas[0], switches, gammas
+
+
+def expected_counts(model: Model, symbols: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """ln likelihood and the expected counts of first states, switches and emissions."""
+    symbols = np.asarray(symbols, dtype=int)
+    ll, first, switches, gammas = posterior_counts(model.initial, model.transition, model.emission[:, symbols].T)
+    emitted = np.zeros_like(model.emission)
+    np.add.at(emitted.T, symbols, gammas)
+    return ll, first, switches, emitted
 
 
 def _symbols(rows: pd.DataFrame) -> np.ndarray:
@@ -176,7 +193,7 @@ def train(observations: DataFrame, model: Model, rounds: int = 10, hard: bool =
     return model, likelihoods
 
 
-def generate(model: Model, length: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def generate(model: Model, length: int, seed: int | list[int] = 1) -> tuple[np.ndarray, np.ndarray]:
     """States and symbols of a random walk; a draw takes the first index up to which the probabilities sum to it."""
     rng = np.random.default_rng(seed)
 
@@ -196,3 +213,73 @@ def walk(transition: np.ndarray, start: int, length: int, seed: int = 1) -> np.n
     first = np.zeros(size)
     first[start] = 1
     return generate(Model(first, transition, np.eye(size)), length, seed)[0]
+
+
+def _scores(rows: pd.DataFrame) -> np.ndarray:
+    scores = np.array(rows["logs"].tolist(), dtype=float)
+    if np.isneginf(scores).any():
+        raise ValueError("every state must be able to show every observation")
+    return scores
+
+
+def decode_continuous(observations: DataFrame, model: Model) -> DataFrame:
+    """``seq_id, t, state``: the most likely states where the data themselves are scored.
+
+    ``observations`` has ``seq_id, t, logs``: the ln likelihood of what is seen in each state, all finite.
+    The model's first states and switches count; its emissions do not.
+    """
+    initial, transition, _ = model.logs()
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("t")
+        return pd.DataFrame({"seq_id": rows["seq_id"], "t": rows["t"], "state": most_likely(initial, transition, _scores(rows))[1]})
+
+    return observations.groupBy("seq_id").applyInPandas(run, "seq_id long, t int, state int")
+
+
+def train_continuous(observations: DataFrame, model: Model, rounds: int = 10) -> tuple[Model, list[float]]:
+    """Baum-Welch training of first states and switches over scored observations; also the log2-likelihood before each round.
+
+    Scores are set against the highest of their time, so the likelihoods are up to a constant.
+    """
+    likelihoods, states = [], len(model.initial)
+
+    def counted(initial: np.ndarray, transition: np.ndarray):
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            scores = _scores(rows.sort_values("t"))
+            ll, first, switches, _ = posterior_counts(initial, transition, np.exp(scores - scores.max(axis=1, keepdims=True)))
+            values = np.concatenate([[ll], first, switches.ravel()])
+            return pd.DataFrame({"k": np.arange(len(values)), "v": values})
+
+        return run
+
+    for _ in range(rounds):
+        sums = observations.groupBy("seq_id").applyInPandas(counted(model.initial, model.transition), "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas().sort_values("k")["v"].to_numpy()
+        likelihoods.append(float(sums[0]) / np.log(2))
+        after = Model(_normalised(sums[1 : 1 + states]), _normalised(sums[1 + states :].reshape(states, states)), model.emission)
+        same = (after.initial == model.initial).all() and (after.transition == model.transition).all()
+        model = after
+        if same:
+            break
+    return model, likelihoods
+
+
+def chains(sequences: DataFrame, model: Model, length: int, seed: int = 1) -> DataFrame:
+    """``seq_id, t, state, sid``: a random walk of the model for each ``seq_id``, the same for the same seed."""
+
+    def run(batches):
+        for rows in batches:
+            for seq_id in rows["seq_id"].tolist():
+                states, symbols = generate(model, length, [seed, seq_id & 0xFFFFFFFF])
+                yield pd.DataFrame({"seq_id": seq_id, "t": np.arange(length), "state": states, "sid": symbols})
+
+    return sequences.select("seq_id").mapInPandas(run, "seq_id long, t int, state int, sid int")
+
+
+def model_lines(model: Model) -> list[str]:
+    """The model as text: a line for the first states, then one for each state's switches and emissions."""
+
+    def shown(p: np.ndarray) -> str:
+        return "\t".join(f"{x:.6g}" for x in p)
+
+    return [f"INIT\t{shown(model.initial)}", *(f"TRANS\t{k}\t{shown(p)}" for k, p in enumerate(model.transition)), *(f"EMISS\t{k}\t{shown(p)}" for k, p in enumerate(model.emission))]

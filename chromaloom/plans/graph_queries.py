@@ -56,6 +56,19 @@ def _trained(hard: bool):
     return query
 
 
+def _scored(s, d):
+    """Observations with how likely each of three states shows them: the nearer its own place, the likelier."""
+    rows = Q.encode(view(s, d, "observations"))
+    return rows.select("seq_id", "t", F.array(*(-F.pow(F.col("sid") - place, F.lit(2)) / 2 for place in (0.0, 2.0, 4.0))).alias("logs"))
+
+
+def hmm_continuous_training(s, d):
+    model, _ = K.train_continuous(_scored(s, d), _model(), 3)
+    rows = [("initial", 0, k, float(p)) for k, p in enumerate(model.initial)]
+    rows += [("transition", i, j, float(model.transition[i, j])) for i in range(3) for j in range(3)]
+    return s.createDataFrame(rows, "kind string, i int, j int, p double")
+
+
 def _dags(s, d):
     """A small layered graph per order: line items in order are layers, prices their weights."""
     rows = s.read.parquet(f"{d}/lineitem.parquet")
@@ -120,6 +133,9 @@ REGISTRY = {
     "hmm_viterbi": (hmm_viterbi, None),
     "hmm_baum_welch": (_trained(False), None),
     "hmm_viterbi_training": (_trained(True), None),
+    "hmm_continuous": (lambda s, d: K.decode_continuous(_scored(s, d), _model()), None),
+    "hmm_continuous_training": (hmm_continuous_training, None),
+    "markov_chain": (lambda s, d: K.chains(view(s, d, "observations").select("seq_id").distinct(), _model(), 20), None),
     "best_path": (best_path, None),
     "forward_backward": (forward_backward, None),
 }

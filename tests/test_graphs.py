@@ -187,3 +187,41 @@ def test_random_edits_keep_the_contigs(spark, edit, most):
     assert len(near(old) - near(order)) <= most
     assert [r for r in got if r[0] == 2] == [r for r in rows if r[0] == 2]
 
+
+def test_continuous_states_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    model = K.Model(np.array([0.6, 0.4]), np.array([[0.8, 0.2], [0.3, 0.7]]), np.full((2, 3), 1 / 3))
+    scores = {k: rng.normal(size=(n, 2)) for k, n in ((0, 6), (1, 1), (2, 4))}
+    rows = spark.createDataFrame([(k, t, [float(v) for v in x]) for k, held in scores.items() for t, x in enumerate(held)], "seq_id long, t int, logs array<double>")
+    found = {}
+    for r in K.decode_continuous(rows, model).orderBy("seq_id", "t").collect():
+        found.setdefault(r.seq_id, []).append(r.state)
+    first, switches, ll = np.zeros(2), np.zeros((2, 2)), 0.0
+    for k, held in scores.items():
+        weight = {}
+        for path in itertools.product(range(2), repeat=len(held)):
+            steps = [model.initial[path[0]], *(model.transition[a, b] for a, b in zip(path, path[1:]))]
+            weight[path] = math.prod(steps) * math.exp(sum(held[t, s] - held[t].max() for t, s in enumerate(path)))
+        assert tuple(found[k]) == max(weight, key=weight.get)
+        total = sum(weight.values())
+        ll += math.log2(total)
+        for path, w in weight.items():
+            first[path[0]] += w / total
+            for a, b in zip(path, path[1:]):
+                switches[a, b] += w / total
+    trained, likelihoods = K.train_continuous(rows, model, 1)
+    assert likelihoods == pytest.approx([ll])
+    assert np.allclose(trained.initial, first / first.sum()) and np.allclose(trained.transition, switches / switches.sum(axis=1, keepdims=True))
+    with pytest.raises(Exception, match="every state"):
+        K.decode_continuous(rows.selectExpr("seq_id", "t", "array(0d, double('-inf')) as logs"), model).collect()
+
+
+def test_chains_follow_the_model(spark):
+    model = K.Model(np.array([0.0, 1.0]), np.array([[0.9, 0.1], [0.5, 0.5]]), np.array([[1.0, 0.0], [0.0, 1.0]]))
+    rows = K.chains(spark.range(300).selectExpr("id as seq_id"), model, 40).collect()
+    assert len(rows) == 300 * 40 and all(r.state == r.sid for r in rows) and all(r.state == 1 for r in rows if r.t == 0)
+    by = {(r.seq_id, r.t): r.state for r in rows}
+    after = [by[k, t + 1] for (k, t), s in by.items() if s == 0 and t < 39]
+    assert sum(after) / len(after) == pytest.approx(0.1, abs=0.02)
+    assert K.model_lines(model)[1] == "TRANS\t0\t0.9\t0.1"
+
