@@ -47,8 +47,8 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _SCRATCH: list[list[str]] = []
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back.
+def written(df: DataFrame, tag: str, outer: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back; with ``outer`` it outlives the innermost :func:`scratch`.
 
     It cuts the lineage as ``checkpoint()`` does and survives lost executors,
     but is stored by column and compressed.  Shuffle files of the job go when it
@@ -62,8 +62,8 @@ def written(df: DataFrame, tag: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    if _SCRATCH:
-        _SCRATCH[-1].append(path)
+    if len(_SCRATCH) > outer:
+        _SCRATCH[-1 - outer].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

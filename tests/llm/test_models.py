@@ -148,7 +148,7 @@ def test_scores_equal_a_seat_by_seat_sampler(spark):
     docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "id long, text string").coalesce(1)
     rows = docs.selectExpr("monotonically_increasing_id() as row", "id", "false as held_out", "text")
     model, words, wanted = language_model.fit(docs)
-    scores = {r.id: r.score for r in language_model.score(rows, model, words, wanted).collect()}
+    scores = {r.id: r.score for r in language_model.score(rows, model, language_model.rare_words(rows, model, words, wanted)).collect()}
     chance = seat_by_seat(texts, model.discount, model.strength, model.parent.discount, model.parent.strength, 40)
     for k, t in enumerate(texts):
         slow = sum(math.log10(chance[pair]) for pair in zip(["", *t], [*t, ""], strict=True))
