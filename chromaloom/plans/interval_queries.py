@@ -9,6 +9,7 @@ from chromaloom.functions import intervals as I
 from chromaloom.functions import numbers as N
 from chromaloom.functions import sequences as S
 from chromaloom.plans.adapters import duckdb_text, view
+from chromaloom.sources import records as R
 
 _PAIRED = "select id as id1, chr_id, a as a1, b as b1, lead(id) over w as id2, lead(chr_id) over w as chr2, lead(a) over w as a2, lead(b) over w as b2 from intervals window w as (partition by id % 50 order by id)"
 
@@ -68,6 +69,14 @@ def _grown(s, d):
     return I.grown_region(hits, view(s, d, "contigs").select(F.col("tid").alias("query_id"), F.lit(2500).alias("size")))
 
 
+def _fasta_sizes(s, d):
+    """Conversations as sequences of a FASTA file: a header each, a line a turn."""
+    rows = s.read.parquet(f"{d}/conversations.parquet")
+    body = rows.select(F.lit("f").alias("file"), F.struct("conv_id", (F.col("turn") + 1).cast("long").alias("turn")).alias("row_no"), F.concat(F.lit("s"), F.translate(F.coalesce("text", F.lit("")), "\n", " "), F.lit("e")).alias("value"))
+    heads = rows.select("conv_id").distinct().select(F.lit("f").alias("file"), F.struct("conv_id", F.lit(-1).cast("long").alias("turn")).alias("row_no"), F.concat(F.lit(">c"), "conv_id", F.lit(" x")).alias("value"))
+    return R.fasta_sizes(body.unionByName(heads)).select("name", "size")
+
+
 REGISTRY = {
     "interval_overlap_join": (lambda s, d: I.overlap_join(*_sides(s, d), "chr_id").select("id1", "id2", "start", "stop"), duckdb_text("""select x.id as id1, y.id as id2, greatest(x.a, y.a) as start, least(x.b, y.b) as stop
       from intervals x join intervals y on x.chr_id = y.chr_id and x.a < y.b and y.a < x.b where x.cn = 0 and y.cn = 1""")),
@@ -98,7 +107,7 @@ REGISTRY = {
         select sid, seq, cast(list_sum(list_slice(lens, 1, k)) as bigint) + 2 * (k - 1) as p from (select sid, seq, list_transform(string_split(seq, 'EE'), lambda x: length(x)) as lens from sequences) a, lateral (select unnest(range(1, len(lens))) as k) b) c) e) f group by sid, island""")),
     "reverse_complement": (_complement, duckdb_text("select doc_id, translate(reverse(translate(md5(cast(doc_id as STR)), '0123456789abcdef', 'ACGTRYKMSWBDHVNa')), 'ACGTRYKMSWBDHVNa', 'TGCAYRMKSWVHDBNt') as rc from documents")),
     "wrapped_lines": (lambda s, d: s.read.parquet(f"{d}/documents.parquet").where("length(text) > 0").select("doc_id", F.md5(S.wrapped(F.regexp_replace("text", "\n", " "), 80)).alias("md5")), duckdb_text("select doc_id, md5(regexp_replace(regexp_replace(replace(text, chr(10), ' '), '(.{80})', '\\1' || chr(10), 'g'), chr(10) || '$', '')) as md5 from documents where length(text) > 0")),
-    "fasta_sizes": (lambda s, d: s.read.parquet(f"{d}/conversations.parquet").groupBy("conv_id").agg(F.sum(F.length("text")).alias("size")), duckdb_text("select conv_id, cast(sum(length(text)) as bigint) as size from conversations group by 1")),
+    "fasta_sizes": (_fasta_sizes, duckdb_text("select 'c' || conv_id as name, cast(sum(length(coalesce(text, '')) + 2) as bigint) as size from conversations group by 1")),
     "n50": (lambda s, d: N.n50(view(s, d, "contigs"), "len"), duckdb_text("""select case when 2 * cum = total and nx is not null then (v + nx) // 2 else v end as n50 from (
       select v, sum(v) over w as cum, sum(v) over () as total, lead(v) over w as nx, row_number() over w as k from (select len as v, tid from contigs) x window w as (order by v desc, tid rows unbounded preceding)) y where 2 * cum >= total order by k limit 1""")),
     "pearson": (lambda s, d: N.pearson(view(s, d, "intervals").selectExpr("a", "case when id % 7 = 0 then double('nan') else double(b) end as y"), "a", "y").select(F.round("r", 9).alias("r")), duckdb_text("select round(corr(cast(a as double), cast(b as double)), 9) as r from intervals where id % 7 <> 0")),

@@ -135,6 +135,9 @@ REGISTRY = {
     "sam_scan": (lambda s, d: R.alignments(_sam_lines(s, d), view(s, d, "contigs")).select("row_no", "qname", "flag", "tid", "pos", "mapq", "mtid", "mpos"), duckdb_text("select qid * 100 + ord as row_no, 'r' || qid as qname, flag, tid, pos, mapq, tid as mtid, pos + 4 as mpos from reads")),
     "contig_dictionary": (lambda s, d: R.contig_dictionary(view(s, d, "contigs").select(F.col("tid").alias("row_no"), F.concat(F.lit("@SQ\tSN:"), "name", F.lit("\tLN:"), F.col("len")).alias("value"))), duckdb_text("select cast(row_number() over (order by tid) - 1 as int) as tid, name, len from contigs")),
     "tokenize": (lambda s, d: R.tokens(s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat(F.lit(" "), "p_name", F.lit(" \t "), "p_type").alias("value")), compress=True).select("p_partkey", F.size("tokens").cast("bigint").alias("n"), F.array_join("tokens", "|").alias("joined")), duckdb_text("select p_partkey, len(w) as n, array_to_string(w, '|') as joined from (select p_partkey, regexp_extract_all(p_name || ' ' || p_type, '[^ ]+') as w from part) x")),
+    "csv_tokens": (lambda s, d: R.csv_tokens(s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat("p_name", F.lit(",  "), "p_type").alias("value"))).select("p_partkey", F.array_join("tokens", "|").alias("joined")), duckdb_text("select p_partkey, p_name || '|' || p_type as joined from part")),
+    "column_of": (lambda s, d: R.column_of(s.read.parquet(f"{d}/part.parquet").select(F.concat_ws("\t", "p_partkey", F.col("p_size"), F.lit("x")).alias("value")), 1, "int"), duckdb_text("select cast(p_size as int) as value from part")),
+    "fasta_names": (lambda s, d: R.fasta_names(view(s, d, "contigs").select(F.lit("f").alias("file"), F.col("tid").alias("row_no"), F.when(F.col("tid") % 3 == 0, F.concat(F.lit(">"), "name", F.lit(" more"))).otherwise("ACGT").alias("value"))).select("row_no", "name"), duckdb_text("select tid as row_no, name from contigs where tid % 3 = 0")),
     "strip_comments": (lambda s, d: R.without_comments(s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("#"), "p_name")).when(F.col("p_partkey") % 3 == 1, "").otherwise(F.col("p_name")).alias("value"))).select("p_partkey", "value"), duckdb_text("select p_partkey, p_name as value from part where p_partkey % 3 = 2")),
     "bed_scan": (lambda s, d: R.bed(view(s, d, "intervals").select(F.concat_ws("\t", F.concat(F.lit("chr"), "chr_id"), "a", "b", "cn").alias("value")), "int", "chr7"), duckdb_text("select 'chr7' as chrom, a as start, b as stop, cn from intervals where chr_id = 7")),
     "blast_hits": (lambda s, d: R.blast_hits(view(s, d, "hits").select(F.lit("f").alias("file"), (F.col("query_id").cast("bigint") * 100000000 + F.col("hit") * 10 + 1).alias("row_no"), F.concat_ws("\t", F.concat(F.lit("q"), "query_id"), F.concat(F.lit("t"), "target"), F.lit("99.5"), F.lit("10\t0\t0"), "q_start", "q_end", F.lit("1\t2\t1e-9\t20.5")).alias("value")).unionByName(view(s, d, "contigs").select(F.lit("f").alias("file"), (F.col("tid").cast("bigint") * 100000000 - 1).alias("row_no"), F.lit("# BLASTN 2.2").alias("value")))).groupBy("query_id", "query").agg(F.count(F.lit(1)).alias("n"), F.sum("q_end").alias("ends")), duckdb_text("select cast(query_id as bigint) as query_id, 'q' || query_id as query, count(*) as n, cast(sum(q_end) as bigint) as ends from hits group by 1, 2")),

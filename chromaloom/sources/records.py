@@ -57,6 +57,15 @@ def fasta_names(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("value").startswith(">")).select("file", "row_no", F.regexp_extract("value", r"^>(\S*)", 1).alias("name"))
 
 
+def fasta_sizes(lines: DataFrame) -> DataFrame:
+    """``file, tid, name, size``: the letters below each header; no sequence is put together."""
+    by_file = Window.partitionBy("file").orderBy("row_no")
+    header = F.col("value").startswith(">")
+    marked = lines.select("file", header.alias("header"), F.length(F.trim("value")).alias("n"), F.regexp_extract("value", r"^>(\S*)", 1).alias("own"), (F.sum(header.cast("int")).over(by_file) - 1).alias("tid"))
+    sizes = marked.where("tid >= 0").groupBy("file", "tid").agg(F.max(F.when(F.col("header"), F.col("own"))).alias("name"), F.coalesce(F.sum(F.when(~F.col("header"), F.col("n"))), F.lit(0)).alias("size"))
+    return sizes.select("file", "tid", "name", "size")
+
+
 def fasta_sequences(lines: DataFrame) -> DataFrame:
     """``file, tid, name, seq``: the joined lines below each header."""
     by_file = Window.partitionBy("file").orderBy("row_no")
