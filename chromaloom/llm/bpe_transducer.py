@@ -293,7 +293,9 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_column: str =
     ``id, n_tokens, ids_sha256, decoded_sha256, same_text``: the SHA-256 of the
     decimal ids joined by one space and of the decoded bytes, and whether the
     streamed text equals the input.  Null and empty texts have no ids and the
-    digests of nothing; repeated rows are kept; a null id stays null.
+    digests of nothing; very long texts and pieces are encoded whole; of equal
+    ranks the left merges first; repeated rows are kept; a null id stays null; an
+    empty table gives an empty one; other columns are not read.
     """
     shared = _shared_ranks(docs, ranks_path)
     rows = docs.select(docs[id_column].alias("id"), docs[text_column].cast("string").alias("text"))

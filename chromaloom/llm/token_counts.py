@@ -199,9 +199,12 @@ def counter_for(definition: str, pattern: str) -> TokenCounter:
 def count_tokens(docs: DataFrame, vocabulary_path: str, pattern: str, limit: int = 512, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Tokens of every whole text: ``id, n_bytes, n_tokens, over_limit``.
 
-    Null and empty texts have no bytes and no tokens; repeated rows are counted
-    each; a null id stays null.  Rows keep their partitions: no shuffle.  The
-    vocabulary, a file of fixed size, goes to the executors once.
+    Null and empty texts have no bytes and no tokens; very long texts, and long
+    pieces without a break, are merged whole; of equal ranks the left merges
+    first; just ``limit`` tokens are not over it; repeated rows are counted each;
+    a null id stays null; an empty table gives an empty one; other columns are
+    not read.  Rows keep their partitions: no shuffle.  The vocabulary, a file of
+    fixed size, goes to the executors once.
     """
     with open(vocabulary_path, encoding="utf-8") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
