@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromaloom.llm import bpe_transducer, decontamination, language_model, line_dedup, quality, secrets, simhash, token_counts, topk, warc
+from chromaloom.llm import bpe_transducer, decontamination, importance, language_model, lexical, line_dedup, quality, secrets, simhash, token_counts, topk, toxicity, warc
 from chromaloom.llm.common import id_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,24 @@ def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_transducer.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN).drop("same_text")
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark, and the tenth that is drawn."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by a recurrent network fitted on the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    network = toxicity.fit_network(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs.select("doc_id", "text"), network)
+    return scored.select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents of highest score for every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_model": op1_language_model,
     "op2_quality": op2_quality,
@@ -82,6 +100,9 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_secrets": op9_secrets,
     "op10_bpe_transducer": op10_bpe_transducer,
+    "op11_importance": op11_importance,
+    "op12_toxicity": op12_toxicity,
+    "op13_lexical": op13_lexical,
 }
 
 _OP3 = """
@@ -144,5 +165,47 @@ select query_id, cast(rank as int) as rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5
 """
 
+#: CRC-32 of a word from a table of the 256 steps of one byte; DuckDB has no function for it.
+_OP11 = f"""
+with steps as materialized (
+  select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as t),
+d as (select row_number() over () as row, doc_id, {_WORDS} as w from documents),
+b as (select {_WORDS} as w from benchmark),
+dw as materialized (select row, word, count(*) as n from (select row, unnest(w) as word from d) group by 1, 2),
+bw as materialized (select word, count(*) as n from (select unnest(w) as word from b) group by 1),
+hexed as (select word, hex(encode(word)) as x from (select word from dw union select word from bw)),
+buckets as materialized (
+  select word, xor(list_reduce(list_transform(range(len(x) // 2), lambda k: (strpos('0123456789ABCDEF', substr(x, cast(2 * k + 1 as int), 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(x, cast(2 * k + 2 as int), 1)) - 1),
+    lambda c, y: xor(c >> 8, t[cast((xor(c, y) & 255) + 1 as int)]), 4294967295), 4294967295) % 10000 as bucket
+  from hexed, steps),
+s as (select bucket, sum(n) as s from dw join buckets using (word) group by 1),
+t as (select bucket, sum(n) as t from bw join buckets using (word) group by 1),
+gains as materialized (
+  select bucket, cast(floor(1000 * ln(cast((coalesce(t, 0) + 1) * ((select coalesce(sum(n), 0) from dw) + 10000) as double) / cast((coalesce(s, 0) + 1) * ((select coalesce(sum(n), 0) from bw) + 10000) as double))) as bigint) as gain
+  from s full join t using (bucket)),
+weights as (select row, cast(sum(n) as bigint) as n_features, cast(sum(n * gain) as bigint) as weight from dw join buckets using (word) join gains using (bucket) group by row),
+h as (select row, doc_id, substr(sha256('2024:' || coalesce(cast(doc_id as varchar), '')), 1, 8) as x from d),
+scored as (
+  select row, doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((list_reduce(list_transform(range(8), lambda k: cast(strpos('0123456789abcdef', substr(x, cast(k + 1 as int), 1)) - 1 as bigint)), lambda u, v: u * 16 + v) + 0.5e0) / 4294967296e0))) as bigint) as score
+  from h left join weights using (row)),
+placed as (select *, n_features >= 20 as eligible, row_number() over (order by n_features >= 20 desc, score desc, doc_id) as place from scored)
+select doc_id, n_features, weight, score, case when place <= (select count(*) from scored where n_features >= 20) * 10 // 100 then place end as rank from placed
+"""
+
+_OP13 = f"""
+with d as (select row_number() over () as row, doc_id, {_WORDS} as w from documents),
+e as (select row, doc_id, cast(len(w) as bigint) as n from d where len(w) > 0),
+c as (select cast(count(*) as bigint) as n_docs, cast(sum(n) as bigint) as all_terms from e),
+q as (select distinct item_id, unnest({_WORDS}) as term from benchmark),
+tf as materialized (select row, term, count(*) as tf from (select row, unnest(w) as term from d) where term in (select term from q) group by 1, 2),
+w as (select term, cast(floor(1000 * ln(cast(2 * n_docs + 2 as double) / cast(2 * df + 1 as double))) as bigint) as w from (select term, count(*) as df from tf group by 1), c),
+s as (
+  select item_id, doc_id, row, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * n_docs) // all_terms))))) as bigint) as score
+  from q join tf using (term) join w using (term) join e using (row), c group by 1, 2, 3)
+select item_id, cast(rank as int) as rank, doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s where score > 0) where rank <= 10
+"""
+
 #: DuckDB text for the queries that SQL can express.
-ORACLE: dict[str, str] = {"op3_warc": _OP3, "op4_decontamination": _OP4, "op6_line_dedup": _OP6, "op7_topk": _OP7}
+ORACLE: dict[str, str] = {"op3_warc": _OP3, "op4_decontamination": _OP4, "op6_line_dedup": _OP6, "op7_topk": _OP7, "op11_importance": _OP11, "op13_lexical": _OP13}

@@ -16,6 +16,9 @@ COLUMNS = {
     "op8_simhash": "doc_id fingerprint component_id",
     "op9_secrets": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op10_bpe_transducer": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op11_importance": "doc_id n_features weight score rank",
+    "op12_toxicity": "doc_id held_out score predicted",
+    "op13_lexical": "item_id rank doc_id score",
 }
 
 
