@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Intervals meet in bins of this many bases, so an overlap join is an equality join.
-BIN = 4096
+from chromaloom.functions.ordered import PART, dealt, earlier, met, running_sum, within
+
+#: Bins are nested: the finest hold 2 ** FINEST bases, those of each level above 2 ** STEP times as many, the top everything.
+FINEST, STEP, TOP = 12, 3, 17
 
 
 def contains_point(start: Column, stop: Column, p: Column) -> Column:
@@ -69,46 +71,95 @@ def parsed(text: Column) -> Column:
     return F.when(start <= stop, F.struct(F.regexp_extract(text, pattern, 1).alias("chrom"), start.alias("start"), stop.alias("stop")))
 
 
-def _binned(rows: DataFrame, a: str, b: str, bin_size: int) -> DataFrame:
-    return rows.where(F.col(a) < F.col(b)).withColumn("__bin", F.explode(F.sequence(F.floor(F.col(a) / bin_size), F.floor((F.col(b) - 1) / bin_size))))
+def _level(a: Column, b: Column) -> Column:
+    """The finest level with a bin that holds [a, b) whole."""
+    differing = a.cast("long").bitwiseXOR((b - 1).cast("long"))
+    bits = F.when(differing == 0, 0).otherwise(F.length(F.bin(differing)))
+    return F.least(F.greatest(F.ceil((bits - FINEST) / STEP), F.lit(0)), F.lit(TOP)).cast("int")
 
 
-def overlap_join(left: DataFrame, right: DataFrame, chrom: str, bin_size: int = BIN) -> DataFrame:
-    """Overlapping pairs of ``left`` (``id1, a1, b1``) and ``right`` (``id2, a2, b2``) with their shared region.
+def _bin(place: Column, level: Column) -> Column:
+    return F.when(level >= TOP, F.lit(0)).otherwise(F.call_function("shiftright", place.cast("long"), level * STEP + FINEST)).cast("long")
+
+
+def placed_in_bins(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """``rows``, each once, with ``__level`` and ``__bin``: the smallest of the nested bins that holds the interval; empty intervals go."""
+    kept = rows.where(F.col(a) < F.col(b)).withColumn("__level", _level(F.col(a), F.col(b)))
+    return kept.withColumn("__bin", _bin(F.col(a), F.col("__level")))
+
+
+def _levels(placed: DataFrame) -> DataFrame:
+    """The levels that occur, a row for each: TOP + 1 at most."""
+    return placed.select(F.col("__level").alias("__above")).distinct()
 
-    A pair that shares several bins is kept in the bin where the shared region
-    starts, so no duplicates have to be removed.
-    """
-    met = _binned(left, "a1", "b1", bin_size).join(_binned(right, "a2", "b2", bin_size), [chrom, "__bin"])
-    kept = met.where(overlaps(F.col("a1"), F.col("b1"), F.col("a2"), F.col("b2")) & (F.floor(F.greatest("a1", "a2") / bin_size) == F.col("__bin")))
-    return kept.withColumn("start", F.greatest("a1", "a2")).withColumn("stop", F.least("b1", "b2")).drop("__bin")
 
+def _raised(placed: DataFrame, levels: DataFrame, a: str, own: bool) -> DataFrame:
+    """Rows at the bins above theirs, of the levels that the other side has; with ``own`` at their own bin too."""
+    higher = F.col("__above") >= F.col("__level") if own else F.col("__above") > F.col("__level")
+    up = placed.join(F.broadcast(levels), higher)
+    return up.withColumn("__bin", _bin(F.col(a), F.col("__above"))).withColumn("__level", F.col("__above")).drop("__above")
 
-def point_lookup(points: DataFrame, calls: DataFrame, chrom: str, bin_size: int = BIN) -> DataFrame:
-    """``points`` with the value of the first call that holds the point, -1 without one."""
-    binned = points.withColumn("__bin", F.floor(F.col("pos") / bin_size))
-    met = binned.join(_binned(calls, "a", "b", bin_size), [chrom, "__bin"], "left").where(F.col("a").isNull() | contains_point(F.col("a"), F.col("b"), F.col("pos")))
-    first = met.where("a is not null").groupBy("pid").agg(F.min(F.struct("a", "b", "cn")).alias("first"))
+
+def overlap_join(left: DataFrame, right: DataFrame, chrom: str) -> DataFrame:
+    """Overlapping pairs of ``left`` (``id1, a1, b1``) and ``right`` (``id2, a2, b2``) with their shared region.
+
+    An interval has one bin of its own, however long it is, and overlapping ones
+    have bins of which one holds the other.  So the rows of either side meet
+    those of the other at the bins above them; a pair does so once.
+    """
+    one, two = placed_in_bins(left, "a1", "b1"), placed_in_bins(right, "a2", "b2")
+    keys = [chrom, "__level", "__bin"]
+    coarse = one.join(_raised(two, _levels(one), "a2", True), keys)
+    fine = _raised(one, _levels(two), "a1", False).join(two, keys)
+    pairs = coarse.unionByName(fine).where(overlaps(F.col("a1"), F.col("b1"), F.col("a2"), F.col("b2")))
+    return pairs.withColumn("start", F.greatest("a1", "a2")).withColumn("stop", F.least("b1", "b2")).drop("__level", "__bin")
+
+
+def point_lookup(points: DataFrame, calls: DataFrame, chrom: str) -> DataFrame:
+    """``points`` with the value of the first call that holds the point, -1 without one; a call is looked for from its one bin."""
+    placed = placed_in_bins(calls, "a", "b")
+    up = points.select("pid", chrom, "pos").join(F.broadcast(_levels(placed)), F.lit(True))
+    up = up.withColumn("__level", F.col("__above")).withColumn("__bin", _bin(F.col("pos"), F.col("__level"))).drop("__above")
+    held = up.join(placed, [chrom, "__level", "__bin"]).where(contains_point(F.col("a"), F.col("b"), F.col("pos")))
+    first = held.groupBy("pid").agg(F.min(F.struct("a", "b", "cn")).alias("first"))
     return points.join(first, "pid", "left").select("pid", chrom, "pos", F.coalesce(F.col("first.cn"), F.lit(-1)).alias("cn"))
 
 
-def merged(rows: DataFrame, chrom: str, a: str, b: str, gap: int = 0, same: list[str] | None = None) -> DataFrame:
-    """Islands of intervals that overlap or lie ``gap`` bases apart at most; with ``same`` only of equal values."""
+def merged(rows: DataFrame, chrom: str, a: str, b: str, gap: int = 0, same: list[str] | None = None, parts: int | None = None) -> DataFrame:
+    """Islands of intervals that overlap or lie ``gap`` bases apart at most; with ``same`` only of equal values.
+
+    An ordered scan over ranges: a range hands on the greatest end so far and
+    the start of the island that is open, so one chromosome takes many tasks.
+    """
     keys = [chrom, *(same or [])]
-    order = Window.partitionBy(*keys).orderBy(a, b)
-    before = F.max(b).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(before.isNull() | (F.col(a) - before > gap), 1).otherwise(0)
-    islands = rows.withColumn("__new", new).withColumn("__island", F.sum("__new").over(order))
-    return islands.groupBy(*keys, "__island").agg(F.min(a).alias("start"), F.max(b).alias("stop"), F.count(F.lit(1)).alias("n")).drop("__island")
-
-
-def windows_of(rows: DataFrame, chrom: str, a: str, b: str, n: int) -> DataFrame:
-    """``chrom, start, stop``: the span of every n intervals of a chromosome in order; the last window of all is left out, as it was never closed."""
-    order = Window.partitionBy(chrom).orderBy(a, b)
-    numbered = rows.withColumn("__w", F.floor((F.row_number().over(order) - 1) / n))
-    spans = numbered.groupBy(chrom, "__w").agg(F.min(a).alias("start"), F.max(b).alias("stop"))
-    last = spans.agg(F.max(F.struct(chrom, "__w")).alias("last"))
-    kept = spans.crossJoin(F.broadcast(last)).where((F.col(chrom) != F.col(f"last.{chrom}")) | (F.col("__w") != F.col("last.__w")))
+    # of intervals with one start the longest decides
+    starts = rows.groupBy(*keys, F.col(a).alias("__a")).agg(F.max(b).alias("__b"), F.count(F.lit(1)).alias("__n"))
+    placed = dealt(starts, [*keys, "__a"], parts)
+    reach = placed.groupBy(PART, *keys).agg(F.max("__b").alias("__b"))
+    reach = reach.select(PART, *keys, F.max("__b").over(earlier(keys)).alias("__reach"))
+    # greatest() passes over nulls: the first interval of a range has none before it there, that of a group nowhere
+    before = F.greatest(F.max("__b").over(within(keys).rowsBetween(Window.unboundedPreceding, -1)), F.col("__reach"))
+    fresh = F.when(before.isNull() | (F.col("__a") - before > gap), F.col("__a"))
+    marked = met(placed, reach, keys).withColumn("__fresh", fresh)
+    opened = marked.groupBy(PART, *keys).agg(F.max("__fresh").alias("__fresh"))
+    opened = opened.select(PART, *keys, F.max("__fresh").over(earlier(keys)).alias("__open"))
+    island = F.coalesce(F.max("__fresh").over(within(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.col("__open"))
+    islands = met(marked, opened, keys).withColumn("__island", island)
+    return islands.groupBy(*keys, "__island").agg(F.min("__a").alias("start"), F.max("__b").alias("stop"), F.sum("__n").alias("n")).drop("__island")
+
+
+def windows_of(rows: DataFrame, chrom: str, a: str, b: str, n: int, parts: int | None = None) -> DataFrame:
+    """``chrom, start, stop``: the span of every n intervals of a chromosome in order; the last window of all is left out, as it was never closed.
+
+    Ranges hand on how many intervals their chromosome has had.
+    """
+    equal = rows.groupBy(chrom, F.col(a).alias("__a"), F.col(b).alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
+    numbered = running_sum(dealt(equal, [chrom, "__a", "__b"], parts), [chrom], F.col("__n"), "__last")
+    first, last = (F.floor((F.col("__last") - x) / n) for x in (F.col("__n"), F.lit(1)))
+    spans = numbered.withColumn("__w", F.explode(F.sequence(first, last))).groupBy(chrom, "__w").agg(F.min("__a").alias("start"), F.max("__b").alias("stop"))
+    # one row
+    newest = spans.agg(F.max(F.struct(chrom, "__w")).alias("last"))
+    kept = spans.crossJoin(F.broadcast(newest)).where((F.col(chrom) != F.col(f"last.{chrom}")) | (F.col("__w") != F.col("last.__w")))
     return kept.select(chrom, "start", "stop")
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chromaloom.functions.intervals import merged
+from chromaloom.functions.ordered import dealt, running_sum
+
 #: IUPAC codes and their complements, and the bases each stands for.
 CODES = "ACGTUMRWSYKVHDBNacgtumrwsykvhdbn"
 COMPLEMENTS = "TGCAAKYWSRMBDHVNtgcaakywsrmbdhvn"
@@ -34,28 +37,26 @@ def wrapped(sequence: Column, width: int = 80) -> Column:
     return F.regexp_replace(F.regexp_replace(sequence, f"(.{{{width}}})", "$1\n"), "\n$", "")
 
 
-def motif_positions(rows: DataFrame, key: str, sequence: str, motif: str) -> DataFrame:
+def motif_positions(rows: DataFrame, key: str, sequence: str, motif: str, parts: int | None = None) -> DataFrame:
     """``key, pos``: where matches that do not overlap start, from 0; the sequence is taken in upper case.
 
-    The pieces between matches give the positions, so no Python runs.
+    The lengths of the pieces between matches, added up over ranges of them,
+    give the positions, so no Python runs and one long sequence takes many tasks
+    once it is cut.
     """
     pattern = motif_pattern(motif)
     # letters of sequences are ASCII; others stay, so that positions do
     upper = F.translate(F.col(sequence), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    # a key, not the sequence, goes through the window
-    pieces = rows.select(key, F.posexplode(F.transform(F.split(upper, pattern), lambda p: F.length(p))).alias("k", "n"))
-    in_key = Window.partitionBy(key).orderBy("k")
+    cut = F.split(upper, pattern)
     # the end of a piece is where a match starts, but for the last piece
-    ends = pieces.select(key, "k", (F.sum("n").over(in_key) + F.col("k") * len(motif)).cast("int").alias("pos"), F.lead("k").over(in_key).alias("next"))
-    return ends.where("next is not null").select(key, "pos")
+    pieces = rows.select(key, F.posexplode(F.transform(cut, lambda p: F.length(p))).alias("k", "n"), (F.size(cut) - 1).alias("last"))
+    summed = running_sum(dealt(pieces, [key, "k"], parts), [key], F.col("n"), "ends")
+    return summed.where("k < last").select(key, (F.col("ends") + F.col("k") * len(motif)).cast("int").alias("pos"))
 
 
-def motif_windows(rows: DataFrame, key: str, sequence: str, motif: str, reach: int) -> DataFrame:
+def motif_windows(rows: DataFrame, key: str, sequence: str, motif: str, reach: int, parts: int | None = None) -> DataFrame:
     """``key, start, stop``: windows of ``reach`` around motif sites, merged where they touch, cut to the sequence."""
-    sites = motif_positions(rows, key, sequence, motif)
-    in_key = Window.partitionBy(key).orderBy("pos")
-    new = F.when(F.col("pos") - F.lag("pos").over(in_key) <= 2 * reach, 0).otherwise(1)
-    islands = sites.withColumn("new", new).withColumn("island", F.sum("new").over(in_key))
-    ends = islands.groupBy(key, "island").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
+    sites = motif_positions(rows, key, sequence, motif, parts)
+    windows = merged(sites.select(key, (F.col("pos") - reach).alias("a"), (F.col("pos") + reach).alias("b")), key, "a", "b", parts=parts)
     sizes = rows.select(key, F.length(sequence).alias("size"))
-    return ends.join(sizes, key).select(key, F.greatest(F.col("a") - reach, F.lit(0)).alias("start"), F.least(F.col("b") + reach, F.col("size")).alias("stop"))
+    return windows.join(sizes, key).select(key, F.greatest("start", F.lit(0)).alias("start"), F.least("stop", "size").alias("stop"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chromaloom.functions.numbers import floor_log2
+from chromaloom.functions.ordered import ranked
 from chromaloom.functions.sequences import reverse_complement
 from chromaloom.operators.links import local_ids
 
@@ -268,16 +269,10 @@ def scaffold_pieces(ordering: DataFrame, sequences: DataFrame, default_gap: int
 
 
 def genome_order(truth: DataFrame) -> DataFrame:
-    """``tid, rank``: contigs by chromosome and middle of their place; unmapped ones last by number.
-
-    Ranks are counted within a chromosome and shifted by the contigs of those before.
-    """
+    """``tid, rank``: contigs by chromosome and middle of their place; unmapped ones last by number."""
     chrom = F.coalesce("chrom", F.lit(2**31 - 1))
     rows = truth.select("tid", chrom.alias("c"), F.when(F.col("chrom").isNull(), 0).otherwise(F.expr("(t0 + t1) div 2")).alias("mid"))
-    sizes = rows.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("c", (F.sum("n").over(Window.orderBy("c")) - F.col("n")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("c").orderBy("mid", "tid")) - 1
-    return rows.withColumn("own", own).join(before, "c").select("tid", (F.col("own") + F.col("before")).alias("rank"))
+    return ranked(rows, ["c", "mid", "tid"], "rank").select("tid", "rank")
 
 
 def top_contigs(contigs: DataFrame, n: int) -> DataFrame:
@@ -315,9 +310,13 @@ PLOT_N = 1000
 def heatmap_cells(links: DataFrame, ordering: DataFrame, contigs: DataFrame, n: int = PLOT_N) -> DataFrame:
     """``x, y, z``: normalised links, in thousands, between the longest ordered contigs by their place in the whole order; empty cells too.
 
-    The grid is what is plotted and has at most about n by n cells.
+    Of contigs as long as the last that is plotted those of the least numbers
+    are, so ``n + 1`` are at most, and the grid has no more than ``n * (n + 1)``
+    cells.
     """
-    kept = ordering.join(top_contigs(contigs, n).select("tid"), "tid", "left_semi")
+    longest = contigs.select("tid", "len").orderBy(F.desc("len"), "tid").limit(n + 1)
+    kept = ordering.join(longest.select("tid"), "tid", "left_semi")
+    # n + 1 rows at most
     numbered = kept.select("tid", (F.row_number().over(Window.orderBy("cluster_id", "pos")) - 1).cast("bigint").alias("x"))
     cells = numbered.select("x", F.col("tid").alias("i")).crossJoin(numbered.select(F.col("x").alias("y"), F.col("tid").alias("j"))).where("x <> y")
     return cells.join(links, ["i", "j"], "left").select("x", "y", (F.coalesce("z", F.lit(0)) / 1000.0).alias("z"))
