@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chromaloom.functions.ordered import AT, PART, dealt, met, within
+
 
 def aligned(reads: DataFrame) -> DataFrame:
     """Reads whose flag does not say unmapped."""
@@ -36,20 +38,36 @@ def names_match(first: Column, second: Column) -> Column:
     return (first == second) | extends(first, second) | extends(second, first)
 
 
-def consecutive_pairs(reads: DataFrame, name: str = "qname", order: str = "row_no", file: str = "file") -> DataFrame:
+def consecutive_pairs(reads: DataFrame, name: str = "qname", order: str = "row_no", file: str = "file", parts: int | None = None) -> DataFrame:
     """Pairs of neighbouring reads of one file with matching names; a read is in one pair at most.
 
-    Within a run of matching neighbours every other read starts a pair, as when reading front to back.
+    Within a run of matching neighbours every other read starts a pair, as when
+    reading front to back.  Files are scanned in ranges of their order: a range
+    hands on its last name and how far into a run it ends, and takes its last
+    read's mate from the range after it.
     """
-    by_file = Window.partitionBy(file).orderBy(order)
-    before = F.lag(name).over(by_file)
-    marked = reads.withColumn("__new", F.when(before.isNull() | ~names_match(before, F.col(name)), 1).otherwise(0))
-    marked = marked.withColumn("__run", F.sum("__new").over(by_file))
-    in_run = Window.partitionBy(file, "__run").orderBy(order)
-    numbered = marked.withColumn("__k", F.row_number().over(in_run))
     columns = [c for c in reads.columns if c != file]
-    mates = [F.lead(c).over(in_run).alias(f"{c}2") for c in columns]
-    return numbered.select(file, *[F.col(c).alias(f"{c}1") for c in columns], *mates, "__k").where((F.col("__k") % 2 == 1) & F.col(f"{order}2").isNotNull()).drop("__k")
+    placed = dealt(reads, [file, order], parts)
+    by_range, over_ranges = within([file]), Window.partitionBy(file).orderBy(PART)
+    ends = placed.groupBy(PART, file).agg(F.max_by(name, AT).alias("__last"), F.min_by(F.struct(*columns), AT).alias("__first"))
+    ends = ends.select(PART, file, F.lag("__last").over(over_ranges).alias("__before"), F.lead("__first").over(over_ranges).alias("__after"))
+    place = F.row_number().over(by_range)
+    before = F.when(place == 1, F.col("__before")).otherwise(F.lag(name).over(by_range))
+    marked = met(placed, ends, [file]).withColumn("__place", place)
+    marked = marked.withColumn("__new", F.when(before.isNull() | ~names_match(before, F.col(name)), F.col("__place")))
+    # by range: reads, where its last run starts (nowhere, if an earlier range's goes on through it), whether its first read starts one
+    runs = marked.groupBy(PART, file).agg(F.count(F.lit(1)).alias("__n"), F.max("__new").alias("__start"), F.min_by("__new", AT).isNotNull().alias("__fresh"))
+    runs = runs.withColumn("__length", F.when(F.col("__start").isNull(), F.col("__n")).otherwise(F.col("__n") - F.col("__start") + 1)).withColumn("__group", F.count("__start").over(over_ranges))
+    runs = runs.withColumn("__sofar", F.sum("__length").over(Window.partitionBy(file, "__group").orderBy(PART)))
+    runs = runs.select(PART, file, F.lag("__sofar").over(over_ranges).alias("__handed"), F.lead("__fresh").over(over_ranges).alias("__next_fresh"))
+    joined = met(marked, runs, [file])
+    start = F.max("__new").over(by_range.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    in_run = F.when(start.isNull(), F.col("__handed") + F.col("__place")).otherwise(F.col("__place") - start + 1)
+    following = F.lead(F.struct(*columns)).over(by_range)
+    goes_on = F.when(F.lead("__place").over(by_range).isNotNull(), F.lead("__new").over(by_range).isNull()).otherwise(~F.col("__next_fresh"))
+    mate = F.when(goes_on, F.coalesce(following, F.col("__after")))
+    rows = joined.select(file, *columns, in_run.alias("__k"), mate.alias("__mate")).where((F.col("__k") % 2 == 1) & F.col("__mate").isNotNull())
+    return rows.select(file, *[F.col(c).alias(f"{c}1") for c in columns], *[F.col(f"__mate.{c}").alias(f"{c}2") for c in columns])
 
 
 def link_matrix(pairs: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def _links(s, d):
     one = sized.select("cluster_id", F.col("local_id").alias("c1"), F.col("len").alias("len1"))
     two = sized.select("cluster_id", F.col("local_id").alias("c2"), F.col("len").alias("len2"))
     near = cells(s, d).where("c2 = c1 + 1 and not rc1 and not rc2").join(one, ["cluster_id", "c1"]).join(two, ["cluster_id", "c2"])
-    return near.select((F.col("cluster_id") * 100000 + F.col("c1")).alias("pair"), "len1", "len2", F.lit(1.0).alias("enrichment"), "dist")
+    return near.select(F.struct("cluster_id", F.col("c1").alias("local_id")).alias("pair"), "len1", "len2", F.lit(1.0).alias("enrichment"), "dist")
 
 
 def _likelihood(s, d):
@@ -99,6 +99,13 @@ def _sam_lines(s, d):
     return rows.select(F.lit("f").alias("file"), (F.col("qid") * 100 + F.col("ord")).alias("row_no"), F.concat_ws("\t", F.concat(F.lit("r"), "qid"), "flag", "name", F.col("pos") + 1, "mapq", F.lit("10M"), F.lit("="), F.col("pos") + 5, F.lit("0"), F.lit("*"), F.lit("*")).alias("value"))
 
 
+def _blast_lines(s, d):
+    """Tabular BLAST output: a header for each contig, the hits of a contig as a query below it."""
+    hits = view(s, d, "hits").select(F.lit("f").alias("file"), F.struct(F.col("query_id").cast("bigint").alias("query_id"), F.col("hit").cast("bigint").alias("hit")).alias("row_no"), F.concat_ws("\t", F.concat(F.lit("q"), "query_id"), F.concat(F.lit("t"), "target"), F.lit("99.5"), F.lit("10\t0\t0"), "q_start", "q_end", F.lit("1\t2\t1e-9\t20.5")).alias("value"))
+    heads = view(s, d, "contigs").select(F.lit("f").alias("file"), F.struct(F.col("tid").cast("bigint").alias("query_id"), F.lit(-1).cast("bigint").alias("hit")).alias("row_no"), F.lit("# BLASTN 2.2").alias("value"))
+    return hits.unionByName(heads)
+
+
 def _near_sites(s, d):
     from chromaloom.functions.intervals import overlap_join
 
@@ -140,7 +147,7 @@ REGISTRY = {
     "fasta_names": (lambda s, d: R.fasta_names(view(s, d, "contigs").select(F.lit("f").alias("file"), F.col("tid").alias("row_no"), F.when(F.col("tid") % 3 == 0, F.concat(F.lit(">"), "name", F.lit(" more"))).otherwise("ACGT").alias("value"))).select("row_no", "name"), duckdb_text("select tid as row_no, name from contigs where tid % 3 = 0")),
     "strip_comments": (lambda s, d: R.without_comments(s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("#"), "p_name")).when(F.col("p_partkey") % 3 == 1, "").otherwise(F.col("p_name")).alias("value"))).select("p_partkey", "value"), duckdb_text("select p_partkey, p_name as value from part where p_partkey % 3 = 2")),
     "bed_scan": (lambda s, d: R.bed(view(s, d, "intervals").select(F.concat_ws("\t", F.concat(F.lit("chr"), "chr_id"), "a", "b", "cn").alias("value")), "int", "chr7"), duckdb_text("select 'chr7' as chrom, a as start, b as stop, cn from intervals where chr_id = 7")),
-    "blast_hits": (lambda s, d: R.blast_hits(view(s, d, "hits").select(F.lit("f").alias("file"), (F.col("query_id").cast("bigint") * 100000000 + F.col("hit") * 10 + 1).alias("row_no"), F.concat_ws("\t", F.concat(F.lit("q"), "query_id"), F.concat(F.lit("t"), "target"), F.lit("99.5"), F.lit("10\t0\t0"), "q_start", "q_end", F.lit("1\t2\t1e-9\t20.5")).alias("value")).unionByName(view(s, d, "contigs").select(F.lit("f").alias("file"), (F.col("tid").cast("bigint") * 100000000 - 1).alias("row_no"), F.lit("# BLASTN 2.2").alias("value")))).groupBy("query_id", "query").agg(F.count(F.lit(1)).alias("n"), F.sum("q_end").alias("ends")), duckdb_text("select cast(query_id as bigint) as query_id, 'q' || query_id as query, count(*) as n, cast(sum(q_end) as bigint) as ends from hits group by 1, 2")),
+    "blast_hits": (lambda s, d: R.blast_hits(_blast_lines(s, d)).groupBy("query_id", "query").agg(F.count(F.lit(1)).alias("n"), F.sum("q_end").alias("ends")), duckdb_text("select cast(query_id as bigint) as query_id, 'q' || query_id as query, count(*) as n, cast(sum(q_end) as bigint) as ends from hits group by 1, 2")),
     "near_site_reads": (_near_sites, duckdb_text("select distinct r.qid || '.' || r.ord as id1, r.tid as chr_id from reads r join contigs c on c.tid = r.tid where flag = 0 and pos < 10000 + re_raw and 9500 < pos + 50")),
     "symbol_encode": (lambda s, d: Q.encode(view(s, d, "observations")), duckdb_text("select seq_id, t, cast(dense_rank() over (order by symbol) - 1 as int) as sid from observations")),
     "transition_matrix": (lambda s, d: Q.transition_matrix(view(s, d, "observations")), duckdb_text("select a, b, n, n / cast(sum(n) over (partition by a) as double) as p from (select symbol as a, nx as b, count(*) as n from (select symbol, lead(symbol) over (partition by seq_id order by t) as nx from observations) x where nx is not null group by 1, 2) y")),

@@ -5,8 +5,11 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -28,6 +31,20 @@ def texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
 
 
+def _raw(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Lines with the part of the file that they are read with, and a running number in the order of reading."""
+    return spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"), "value")
+
+
+def _shifts(raw: DataFrame, header: str) -> list:
+    """``file, block, shift, heads`` for each part: what makes running numbers places in the file, and the headers before."""
+    own = [F.count(F.lit(1)).alias("n"), F.min("k").alias("first"), F.count_if(F.col("value").startswith(header)).alias("h")]
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = {c: F.coalesce(F.sum(c).over(earlier), F.lit(0)) for c in "nh"}
+    parts = raw.groupBy("file", "block").agg(*own)
+    return parts.select("file", "block", (before["n"] - F.col("first")).alias("shift"), before["h"].alias("heads")).collect()  # a row for each split of the input
+
+
 def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``file, row_no, value``: lines with their number in the file, also where a file is read in parts.
 
@@ -36,17 +53,49 @@ def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     alike each time, so a line's place in it is its running number less that of
     the part's first line.
     """
-    raw = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"), "value")
-    parts = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first"))
-    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    held = parts.select("file", "block", (earlier - F.col("first")).alias("shift")).collect()  # a row for each split of the input
+    raw = _raw(spark, paths)
+    held = _shifts(raw, "\n")
     if not held:
         return raw.select("file", F.col("k").alias("row_no"), "value")
-    shifts = spark.createDataFrame(held, "file string, block long, shift long")
+    shifts = spark.createDataFrame(held, "file string, block long, shift long, heads long")
     shifts = F.broadcast(shifts) if len(held) <= BROADCAST_BLOCKS else shifts
     return raw.join(shifts, ["file", "block"]).select("file", (F.col("k") + F.col("shift")).alias("row_no"), "value")
 
 
+def headed(spark: SparkSession, paths: str | list[str], header: str) -> DataFrame:
+    """``file, row_no, value, head``: :func:`lines` with the number of the last header line so far, from 0; -1 before the first.
+
+    Headers are counted in each part like lines, and the counts are handed on
+    from part to part.  Inside a part its one reader counts on from what the
+    parts before have had; no line is moved, and a record may be cut by the
+    border of two parts.
+    """
+    raw = _raw(spark, paths)
+    held = _shifts(raw, header)
+    shared = spark.sparkContext.broadcast({(r["file"], r["block"]): (r["shift"], r["heads"]) for r in held})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, now, heads = shared.value, None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            files, blocks = batch.column("file"), batch.column("block").to_numpy()
+            marks = pc.starts_with(batch.column("value"), header).fill_null(False).to_numpy(zero_copy_only=False)
+            out, number = np.empty(batch.num_rows, dtype=np.int64), batch.column("k").to_numpy() + 0
+            # a batch seldom holds lines of more than one part, which lie together
+            at = files.dictionary_encode().indices.to_numpy()
+            for a, b in pairwise([0, *(np.flatnonzero((at[1:] != at[:-1]) | (blocks[1:] != blocks[:-1])) + 1).tolist(), batch.num_rows]):
+                part = files[a].as_py(), int(blocks[a])
+                if part != now:
+                    now, heads = part, known[part][1]
+                out[a:b] = heads + np.cumsum(marks[a:b]) - 1
+                heads = int(out[b - 1]) + 1
+                number[a:b] += known[part][0]
+            yield pa.RecordBatch.from_arrays([files, pa.array(number), batch.column("value"), pa.array(out)], names=["file", "row_no", "value", "head"])
+
+    return raw.mapInArrow(run, "file string, row_no long, value string, head long")
+
+
 def is_binary(path: str) -> bool:
     """Whether a name ends as binary alignments do, in either case."""
     return path.lower().endswith(".bam")
@@ -291,11 +340,16 @@ def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """``file, tid, name, seq``."""
-    return records.fasta_sequences(lines(spark, path))
+    return records.fasta_sequences(headed(spark, path, records.FASTA_HEADER))
+
+
+def read_fasta_sizes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``file, tid, name, size``, without putting a sequence together."""
+    return records.fasta_sizes(headed(spark, paths, records.FASTA_HEADER))
 
 
 def read_blast(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return records.blast_hits(lines(spark, paths))
+    return records.blast_hits(headed(spark, paths, records.BLAST_HEADER))
 
 
 def read_link_matrix(spark: SparkSession, path: str) -> DataFrame:

@@ -7,9 +7,14 @@ built-in functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chromaloom.functions.ordered import dealt, ranked, running_sum
+
+#: How a sequence begins in FASTA, and a query in tabular BLAST output.
+FASTA_HEADER, BLAST_HEADER = ">", "# BLAST"
+
 _BLAST = "query subject identity:double length:int mismatches:int gap_opens:int q_start:int q_end:int s_start:int s_end:int evalue:double bitscore:double"
 
 
@@ -40,7 +45,21 @@ def without_comments(lines: DataFrame) -> DataFrame:
 def contig_dictionary(lines: DataFrame) -> DataFrame:
     """``tid, name, len`` from the ``@SQ`` lines of one header, numbered in file order."""
     found = lines.where(F.col("value").startswith("@SQ"))
-    return found.select((F.row_number().over(Window.orderBy("row_no")) - 1).alias("tid"), F.regexp_extract("value", r"\tSN:([^\t]+)", 1).alias("name"), F.regexp_extract("value", r"\tLN:(\d+)", 1).cast("bigint").alias("len"))
+    numbered = ranked(found.select("row_no", F.regexp_extract("value", r"\tSN:([^\t]+)", 1).alias("name"), F.regexp_extract("value", r"\tLN:(\d+)", 1).cast("bigint").alias("len")), ["row_no"], "tid")
+    return numbered.select(F.col("tid").cast("int").alias("tid"), "name", "len")
+
+
+def below_headers(lines: DataFrame, header: str, parts: int | None = None) -> DataFrame:
+    """``lines`` with ``head``: the number, within the file and from 0, of the last line so far that begins with ``header``; -1 before the first.
+
+    Lines of :func:`chromaloom.sources.files.headed` have it already.  Others
+    are scanned in ranges of their order, and what each range counts is handed
+    on to the next.
+    """
+    if "head" in lines.columns:
+        return lines
+    counted = running_sum(dealt(lines, ["file", "row_no"], parts), ["file"], F.col("value").startswith(header).cast("long"), "head")
+    return counted.select(*lines.columns, (F.col("head") - 1).alias("head"))
 
 
 def alignments(lines: DataFrame, contigs: DataFrame) -> DataFrame:
@@ -57,38 +76,36 @@ def fasta_names(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("value").startswith(">")).select("file", "row_no", F.regexp_extract("value", r"^>(\S*)", 1).alias("name"))
 
 
-def fasta_sizes(lines: DataFrame) -> DataFrame:
+def fasta_sizes(lines: DataFrame, parts: int | None = None) -> DataFrame:
     """``file, tid, name, size``: the letters below each header; no sequence is put together."""
-    by_file = Window.partitionBy("file").orderBy("row_no")
-    header = F.col("value").startswith(">")
-    marked = lines.select("file", header.alias("header"), F.length(F.trim("value")).alias("n"), F.regexp_extract("value", r"^>(\S*)", 1).alias("own"), (F.sum(header.cast("int")).over(by_file) - 1).alias("tid"))
-    sizes = marked.where("tid >= 0").groupBy("file", "tid").agg(F.max(F.when(F.col("header"), F.col("own"))).alias("name"), F.coalesce(F.sum(F.when(~F.col("header"), F.col("n"))), F.lit(0)).alias("size"))
-    return sizes.select("file", "tid", "name", "size")
+    header = F.col("value").startswith(FASTA_HEADER)
+    own = F.when(header, F.regexp_extract("value", r"^>(\S*)", 1))
+    sizes = below_headers(lines, FASTA_HEADER, parts).where("head >= 0").groupBy("file", F.col("head").alias("tid"))
+    return sizes.agg(F.max(own).alias("name"), F.coalesce(F.sum(F.when(~header, F.length(F.trim("value")))), F.lit(0)).alias("size"))
 
 
-def fasta_sequences(lines: DataFrame) -> DataFrame:
+def fasta_sequences(lines: DataFrame, parts: int | None = None) -> DataFrame:
     """``file, tid, name, seq``: the joined lines below each header."""
-    by_file = Window.partitionBy("file").orderBy("row_no")
-    marked = lines.withColumn("tid", F.sum(F.when(F.col("value").startswith(">"), 1).otherwise(0)).over(by_file) - 1)
-    name = F.max(F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>(\S*)", 1)))
-    body = F.array_sort(F.collect_list(F.when(~F.col("value").startswith(">"), F.struct("row_no", F.trim("value").alias("s")))))
-    return marked.where("tid >= 0").groupBy("file", "tid").agg(name.alias("name"), F.array_join(F.transform(body, lambda x: x["s"]), "").alias("seq"))
+    header = F.col("value").startswith(FASTA_HEADER)
+    name = F.max(F.when(header, F.regexp_extract("value", r"^>(\S*)", 1)))
+    body = F.array_sort(F.collect_list(F.when(~header, F.struct("row_no", F.trim("value").alias("s")))))
+    sequences = below_headers(lines, FASTA_HEADER, parts).where("head >= 0").groupBy("file", F.col("head").alias("tid"))
+    return sequences.agg(name.alias("name"), F.array_join(F.transform(body, lambda x: x["s"]), "").alias("seq"))
 
 
-def blast_hits(lines: DataFrame) -> DataFrame:
+def blast_hits(lines: DataFrame, parts: int | None = None) -> DataFrame:
     """Rows of tabular BLAST output with ``query_id``, the number of the query's header over all files in order."""
-    by_file = Window.partitionBy("file").orderBy("row_no")
-    header = F.col("value").startswith("# BLAST").cast("int")
-    # headers are counted within a file and shifted by those of the files before
-    counts = lines.groupBy("file").agg(F.sum(header).alias("n"))
-    before = counts.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
-    marked = lines.withColumn("own", F.sum(header).over(by_file)).where(~F.col("value").startswith("#")).join(before, "file")
+    headed = below_headers(lines, BLAST_HEADER, parts)
+    # headers are counted within a file and shifted by those of the files before; a row for each file
+    counts = headed.groupBy("file").agg((F.max("head") + 1).alias("n"))
+    before = running_sum(dealt(counts.withColumn("all", F.lit(0)), ["file"]), ["all"], F.col("n"), "upto").select("file", (F.col("upto") - F.col("n")).alias("before"))
+    marked = headed.where(~F.col("value").startswith("#")).join(before, "file").withColumnRenamed("head", "own")
     f = F.split("value", "\t")
     columns = []
     for k, field in enumerate(_BLAST.split()):
         name, _, kind = field.partition(":")
         columns.append(f[k].cast(kind or "string").alias(name))
-    return marked.select("file", "row_no", (F.col("before") + F.col("own") - 1).alias("query_id"), *columns)
+    return marked.select("file", "row_no", (F.col("before") + F.col("own")).alias("query_id"), *columns)
 
 
 def bed(lines: DataFrame, fourth: str | None = None, chrom: str | None = None) -> DataFrame:

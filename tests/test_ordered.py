@@ -117,3 +117,88 @@ def test_an_interval_has_one_row_however_long(spark):
         shift = 12 + 3 * r["__level"]
         assert r.a >> shift == (r.b - 1) >> shift == r["__bin"]
         assert r["__level"] == 0 or r.a >> (shift - 3) != (r.b - 1) >> (shift - 3)
+
+
+def paired(names):
+    out, k = [], 0
+    matches = lambda a, b: a == b or any(x.startswith(y) and not x[len(y)].isalnum() for x, y in ((a, b), (b, a)) if len(x) > len(y))
+    while k + 1 < len(names):
+        if matches(names[k], names[k + 1]):
+            out.append((k, k + 1))
+            k += 2
+        else:
+            k += 1
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 6, 40])
+def test_mates_across_the_borders_of_ranges(many_ranges, parts):
+    from chromaloom.operators.links import consecutive_pairs
+
+    rng, rows, want = random.Random(parts), [], []
+    for file in "abc":
+        names = []
+        while len(names) < (5 if file == "b" else 150):
+            names += [f"r{len(names)}" + rng.choice(["", "", ""])] * rng.choice([1, 2, 2, 3, 5, 12])
+        names = [n + rng.choice(["", "/1", "/2"]) if rng.random() < 0.2 else n for n in names]
+        rows += [(file, k, n, k * 10) for k, n in enumerate(names)]
+        want += [(file, names[a], a, a * 10, names[b], b, b * 10) for a, b in paired_as_runs(names)]
+    frame = many_ranges.createDataFrame(rows, "file string, row_no int, qname string, pos long").repartition(5)
+    got = consecutive_pairs(frame, parts=parts)
+    assert got.columns == ["file", "row_no1", "qname1", "pos1", "row_no2", "qname2", "pos2"]
+    assert sorted((r.file, r.qname1, r.row_no1, r.pos1, r.qname2, r.row_no2, r.pos2) for r in got.collect()) == sorted(want)
+
+
+def paired_as_runs(names):
+    """Front to back: a read starts a pair if the next one matches, and both are then used."""
+    return paired(names)
+
+
+def test_headers_over_many_ranges(many_ranges):
+    from chromaloom.sources import records as R
+
+    rng, rows, sizes, k = random.Random(2), [], [], 0
+    for n in range(60):
+        rows.append(("f", k, f">s{n} more"))
+        body = ["ACGT"[: rng.randrange(1, 5)] * rng.randrange(1, 4) for _ in range(rng.choice([0, 1, 2, 30]))]
+        rows += [("f", k + 1 + j, line) for j, line in enumerate(body)]
+        k += 1 + len(body)
+        sizes.append((n, f"s{n}", "".join(body)))
+    frame = many_ranges.createDataFrame([("f", -1, "before"), *rows], "file string, row_no int, value string").repartition(4)
+    assert sorted((r.tid, r.name, r.size) for r in R.fasta_sizes(frame, 11).collect()) == [(n, s, len(x)) for n, s, x in sizes]
+    assert sorted((r.tid, r.name, r.seq) for r in R.fasta_sequences(frame, 11).collect()) == sizes
+
+
+def test_files_are_cut_inside_records(spark, tmp_path):
+    from chromaloom.sources import files
+
+    rng = random.Random(6)
+    sequences = {f: [(n, "".join(rng.choice("ACGT") for _ in range(rng.choice([0, 7, 60, 2000])))) for n in range(40)] for f in "xy"}
+    for f, held in sequences.items():
+        (tmp_path / f"{f}.fa").write_text("".join(f">{f}{n}\n" + "".join(s[k : k + 50] + "\n" for k in range(0, len(s), 50)) for n, s in held))
+    hits = {q: rng.randrange(40) for q in range(90)}
+    (tmp_path / "z.out").write_text("".join(f"# BLASTN 2\n# Query: q{q}\n" + f"q{q}\tchr1\t99\t10\t0\t0\t1\t11\t5\t15\t1e-5\t20\n" * n for q, n in hits.items()))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        paths = [str(tmp_path / f"{f}.fa") for f in "xy"]
+        rows = files.headed(spark, paths, ">")
+        assert rows.rdd.getNumPartitions() >= 10
+        assert sorted((r.file[-4], r.row_no, r.value) for r in rows.collect()) == sorted((r.file[-4], r.row_no, r.value) for r in files.lines(spark, paths).collect())
+        got = files.read_fasta_sizes(spark, paths)
+        assert sorted((r.name, r.tid, r.size) for r in got.collect()) == sorted((f"{f}{n}", n, len(s)) for f, held in sequences.items() for n, s in held)
+        assert sorted((r.name, r.seq) for r in files.read_fasta(spark, paths[0]).collect()) == sorted((f"x{n}", s) for n, s in sequences["x"])
+        found = files.read_blast(spark, [str(tmp_path / "z.out")]).groupBy("query_id", "query").count().collect()
+        assert sorted((r.query_id, r.query, r["count"]) for r in found) == sorted((q, f"q{q}", n) for q, n in hits.items() if n)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_pairs_and_rows_of_large_tables_keep_apart(spark):
+    """Keys were numbers that met once a cluster had 100,000 contigs, or an order key passed ten million."""
+    from chromaloom.plans import size_queries
+
+    rows = size_queries._links(spark, "/root/testdata/sf0.001")
+    assert rows.schema["pair"].dataType.simpleString().startswith("struct<cluster_id:") and rows.select("pair").distinct().count() > 1
+    order = size_queries._blast_lines(spark, "/root/testdata/sf0.001").schema["row_no"].dataType.simpleString()
+    assert order == "struct<query_id:bigint,hit:bigint>"
