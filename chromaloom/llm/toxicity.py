@@ -37,6 +37,8 @@ EPOCHS, LEAST_STEPS, BATCHES, RATE, EMBEDDING_RATE = 8, 100, (16, 96), 0.01, 0.0
 #: and n-grams of which so little is certain that their value is nothing, are not known to the network: learning them
 #: would be learning the rows by heart.
 ERRORS, LEAST_ROWS = 2.0, 3
+#: Bags whose words and n-grams are counted together, and new words that are looked up together.
+_BAGS_AT_ONCE, _NEW_AT_ONCE = 64, 20_000
 #: Words whose inputs a task remembers, windows that go through the network together, and words of texts that do.
 _WORDS_KEPT, _WINDOWS_AT_ONCE, _WORDS_AT_ONCE = 250_000, 2048, 1 << 18
 _MIX, _FIRST_BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(44)
@@ -103,6 +105,24 @@ class Network:
         grams[maybe] = np.where(found, place + 1, 0)
         return own, grams, begin
 
+    def telling(self, words: list[bytes], first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places of words, from ``first`` on for those of which something is known and 0 for all others; and the rows of the former."""
+        places, own, grams, begin = [], [], [], []
+        held = 0
+        for k in range(0, len(words), _NEW_AT_ONCE):
+            some_own, some_grams, starts = self.rows(words[k : k + _NEW_AT_ONCE])
+            known = np.flatnonzero((some_own > 0) | np.logical_or.reduceat(some_grams > 0, starts))
+            place = np.zeros(len(some_own), dtype=np.int64)
+            place[known] = np.arange(first, first + len(known))
+            sizes = np.diff(np.r_[starts, len(some_grams)])[known]
+            begins = np.cumsum(sizes) - sizes
+            places.append(place)
+            own.append(some_own[known])
+            grams.append(some_grams[np.repeat(starts[known] - begins, sizes) + np.arange(sizes.sum())])
+            begin.append(begins + held)
+            held, first = held + int(sizes.sum()), first + len(known)
+        return np.concatenate(places), np.concatenate(own), np.concatenate(grams), np.concatenate(begin)
+
     def vectors(self, own: np.ndarray, grams: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """A row of inputs for each word; a word has an n-gram at least.
 
@@ -214,8 +234,12 @@ class Network:
                 rows.append(ids + [-1] * (WINDOW - len(ids)))
                 whose.append(k)
         windows, whose = np.array(rows, dtype=np.int64), np.array(whose)
-        self._begin(windows, whose, labels, list(number))
-        own, grams, begin = self.rows(list(number))
+        words = list(number)
+        self._begin(windows, whose, labels, words)
+        places, own, grams, begin = self.telling(words, 1)
+        windows = np.where(windows >= 0, places[windows], -1)
+        # place 0 stands for all words of which nothing is known
+        own, grams, begin = np.r_[0, own], np.r_[0, grams], np.r_[0, begin + 1]
         first = np.r_[0, np.flatnonzero(np.diff(whose)) + 1]
         weight = np.ones(len(labels), dtype=np.float32)
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.dense.items()}
@@ -263,14 +287,19 @@ class Network:
         hashes, begin = n_grams(words)
         names, number = np.unique(hashes, return_inverse=True)
         ends = np.r_[begin, len(hashes)]
-        sizes = np.diff(ends)[word]
-        starts = np.r_[0, np.cumsum(sizes)[:-1]]
-        held = number[np.repeat(ends[word] - starts, sizes) + np.arange(sizes.sum())]
+        counts = [(np.zeros(size), np.zeros(size)) for size in (len(words), len(names))]
+        edges = [*range(0, len(labels), _BAGS_AT_ONCE), len(labels)]
+        for first, after in pairwise(np.searchsorted(bag, edges).tolist()):  # whole bags, so each counts once
+            bags, held = bag[first:after], word[first:after]
+            sizes = np.diff(ends)[held]
+            starts = np.cumsum(sizes) - sizes
+            grams = number[np.repeat(ends[held] - starts, sizes) + np.arange(sizes.sum())]
+            for (toxic, clean), whose_row, row in ((counts[0], bags, held), (counts[1], np.repeat(bags, sizes), grams)):
+                of, rows = np.divmod(np.unique(whose_row * len(toxic) + row), len(toxic))
+                toxic += np.bincount(rows, labels[of], minlength=len(toxic))
+                clean += np.bincount(rows, 1 - labels[of], minlength=len(clean))
         firsts = []
-        for bags, rows, count in ((bag, word, len(words)), (np.repeat(bag, sizes), held, len(names))):
-            bags, rows = np.divmod(np.unique(bags * count + rows), count)
-            toxic = np.bincount(rows, labels[bags], minlength=count) + 0.5
-            clean = np.bincount(rows, 1 - labels[bags], minlength=count) + 0.5
+        for toxic, clean in ((t + 0.5, c + 0.5) for t, c in counts):
             odds = np.log(toxic / clean) - np.log(labels.sum() / (1 - labels).sum())
             bound = np.sign(odds) * np.clip(np.abs(odds) - ERRORS * np.sqrt(1 / toxic + 1 / clean), 0, 4)
             firsts.append((np.flatnonzero(toxic + clean > LEAST_ROWS), bound))
@@ -301,19 +330,12 @@ class Scorer:
         if len(absent := np.flatnonzero(ids < 0)):
             absent_words = [words[k] for k in absent.tolist()]
             new = list(set(absent_words))
-            own, grams, begin = self.network.rows(new)
-            # words of which nothing is known share the first place
-            telling = np.flatnonzero((own > 0) | np.logical_or.reduceat(grams > 0, begin))
-            places = np.zeros(len(new), dtype=np.int64)
-            places[telling] = range(self.held, self.held + len(telling))
+            places, own, grams, begin = self.network.telling(new, self.held)
             number.update(zip(new, places.tolist(), strict=True))
             ids[absent] = np.fromiter(map(number.__getitem__, absent_words), dtype=np.int32, count=len(absent))
-            if len(telling):
-                sizes = np.diff(np.r_[begin, len(grams)])[telling]
-                starts = np.r_[0, np.cumsum(sizes)[:-1]]
-                more = self.network.gates(self.network.vectors(own[telling], grams[np.repeat(begin[telling] - starts, sizes) + np.arange(sizes.sum())], starts))
-                self.gates = np.concatenate([self.gates[:, :, : self.held], more], axis=2)
-                self.held += len(telling)
+            if len(own):
+                self.gates = np.concatenate([self.gates[:, :, : self.held], self.network.gates(self.network.vectors(own, grams, begin))], axis=2)
+                self.held += len(own)
         return ids
 
     def _together(self, texts: list[list[bytes]]) -> np.ndarray:
