@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -100,7 +101,19 @@ def arrow_map(
     function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]],
     schema: str,
 ) -> DataFrame:
-    """``mapInArrow`` with short batches."""
+    """``mapInArrow`` with short batches.
+
+    Columns whose names have dots or backticks, which it cannot take, go in under
+    other names; functions that pass on all columns do so by place, and the
+    schema names what comes out.
+    """
+    plain = [re.sub("[.`]", "_", name) for name in df.columns]
+    if plain != df.columns:
+        for k, name in enumerate(plain):
+            while name != df.columns[k] and (name in df.columns or name in plain[:k]):
+                name = "_" + name
+            plain[k] = name
+        df = df.toDF(*plain)
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) != ARROW_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
@@ -145,6 +158,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column's name as it has to be written where dots and backticks mean something."""
+    return f"`{name.replace('`', '``')}`"
+
+
 def utf8_list(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string column as UTF-8 bytes, null as the empty text."""
     return [value or b"" for value in batch.column(name).cast(pa.binary()).to_pylist()]

@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from chromaloom.llm.common import arrow_map, free_name, release_kept, utf8_list, written
+from chromaloom.llm.common import arrow_map, free_name, release_kept, written
 
 WINDOW = 10
-#: Bytes of item text in one automaton; a larger benchmark is scanned block by block.  A block takes about 60
-#: bytes of memory for each byte of its text, on the driver and in each Python worker.
+#: Bytes of item text in one automaton; a larger benchmark makes several.  An automaton takes about 60 bytes of memory
+#: for each byte of its text, on the driver and in each Python worker, whatever its items share.
 BLOCK_BYTES = 2 << 20
+#: Automata that one pass over the documents uses, one after another for each stretch of so many bytes of them.
+BLOCKS_AT_ONCE, STRETCH_BYTES = 8, 32 << 20
 
 #: A-Z become a-z; every byte that is no digit, letter or part of a non-ASCII character becomes a space.
 _FOLD = bytes(
@@ -44,7 +46,8 @@ class SuffixAutomaton:
     """Generalised suffix automaton over item words, with the items of each window.
 
     Most states have one transition; it stands in two arrays, and only the
-    others of a state are in a dictionary.  A state takes about 60 bytes so.
+    others of a state are in a dictionary.  A window's items stand in a row of
+    one array, each item once, so they take no more room than the items' words.
     """
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
@@ -53,11 +56,13 @@ class SuffixAutomaton:
         self.more: dict[int, dict[int, int]] = {}
         self.link, self.length = array("i", [-1]), array("i", [0])
         self.vocabulary: dict[bytes, int] = {}
+        self.names: list[str] = []
         spelled = []
         for item, text in items:
             ids = array("i", [self.vocabulary.setdefault(word, len(self.vocabulary)) for word in words_of(text)])
             if ids:
-                spelled.append((item, ids))
+                spelled.append((len(self.names), ids))
+                self.names.append(item)
                 last = 0
                 for symbol in ids:
                     last = self._extend(last, symbol)
@@ -107,52 +112,42 @@ class SuffixAutomaton:
             self.link[new] = target if self.length[target] == self.length[at] + 1 else self._split(at, symbol, target)
         return new
 
-    def _label(self, spelled: list[tuple[str, array]]) -> None:
+    def _label(self, spelled: list[tuple[int, array]]) -> None:
         count, window = len(self.link), self.window
         by_length = np.argsort(np.frombuffer(self.length, dtype=np.int32), kind="stable")[1:].tolist()
-        # the state on a state's suffix path that holds the strings of just window words
-        anchor = array("i", [-1]) * count
+        #: The state on a state's suffix path that holds the strings of just window words, -1 for none.
+        self.anchor = anchor = array("i", [-1]) * count
         for state in by_length:
             if self.length[state] >= window:
                 up = self.link[state]
                 anchor[state] = state if self.length[up] < window else anchor[up]
-        # sets of items are few beside the windows: each is kept once and named by a number
-        self.item_sets: list[frozenset[str]] = [frozenset()]
-        number = {self.item_sets[0]: 0}
-        grown: dict[tuple[int, str], int] = {}
-        self.items_of = array("i", [0]) * count
-        short: dict[int, list[tuple[int, str]]] = {}
+        at, whose = array("q"), array("q")
+        short: dict[int, dict[int, list[int]]] = {}
         for item, ids in spelled:
             state = 0
             for k, symbol in enumerate(ids):
                 state = self._go(state, symbol)
                 if k + 1 >= window:
-                    at = anchor[state]
-                    step = self.items_of[at], item
-                    if step not in grown:
-                        held = self.item_sets[step[0]] | {item}
-                        if held not in number:
-                            number[held] = len(self.item_sets)
-                            self.item_sets.append(held)
-                        grown[step] = number[held]
-                    self.items_of[at] = grown[step]
+                    at.append(anchor[state])
+                    whose.append(item)
             if len(ids) < window:
-                short.setdefault(state, []).append((len(ids), item))
+                short.setdefault(state, {}).setdefault(len(ids), []).append(item)
+        # windows with their items, each once, and where a state's begin
+        held = np.unique(np.frombuffer(at, dtype=np.int64) * max(len(spelled), 1) + np.frombuffer(whose, dtype=np.int64))
+        states, items = np.divmod(held, max(len(spelled), 1))
+        self.items = array("i", items.astype(np.int32).tobytes())
+        self.begin = array("i", np.searchsorted(states, np.arange(count + 1)).astype(np.int32).tobytes())
+        #: Items shorter than a window by the state where they end and their length, and the next such state on the suffix path.
+        self.short = short
+        self.short_at = array("i", [-1]) * count
         for state in by_length:
-            if anchor[state] >= 0:
-                self.items_of[state] = self.items_of[anchor[state]]
-        # items shorter than a window that end where a state's strings end
-        self.short: dict[int, tuple[tuple[int, str], ...]] = {}
-        for state in by_length:
-            held = (*short.get(state, ()), *self.short.get(self.link[state], ()))
-            if held:
-                self.short[state] = held
-        self.least = min([window, *(n for held in short.values() for n, _ in held)]) if spelled else 0
+            self.short_at[state] = state if state in short else self.short_at[self.link[state]]
+        self.least = min([window, *(n for held in short.values() for n in held)]) if spelled else 0
 
     def scan(self, ids: list[int]) -> tuple[list[tuple[int, int]], set[str]]:
         """Spans [start, end) of words inside windows, and the items, for a run of known words."""
-        spans, found, items, state, matched = [], set(), set(), 0, 0
-        symbols, targets, more, link, length, short = self.symbol, self.target, self.more, self.link, self.length, self.short
+        spans, found, found_short, state, matched = [], set(), set(), 0, 0
+        symbols, targets, more, link, length, short, short_at = self.symbol, self.target, self.more, self.link, self.length, self.short, self.short_at
         for at, symbol in enumerate(ids):
             while True:
                 if symbols[state] == symbol:
@@ -172,18 +167,23 @@ class SuffixAutomaton:
                 matched = length[state]
             reach = 0
             if matched >= self.window:
-                found.add(self.items_of[state])
+                found.add(self.anchor[state])
                 reach = self.window
-            for n, item in short.get(state, ()):
-                if n <= matched:
-                    items.add(item)
-                    reach = max(reach, n)
+            ending = short_at[state] if short else -1
+            while ending >= 0:
+                for n in short[ending]:
+                    if n <= matched:
+                        found_short.add((ending, n))
+                        reach = max(reach, n)
+                ending = short_at[link[ending]] if link[ending] >= 0 else -1
             if reach:
                 start, end = at + 1 - reach, at + 1
                 while spans and spans[-1][1] >= start:
                     start = min(start, spans.pop()[0])
                 spans.append((start, end))
-        return spans, items.union(*(self.item_sets[k] for k in found))
+        items = {self.names[k] for state in found for k in self.items[self.begin[state] : self.begin[state + 1]]}
+        items.update(self.names[k] for state, n in found_short for k in short[state][n])
+        return spans, items
 
     def scan_texts(self, texts: list[list[bytes]]) -> Iterator[tuple[list[tuple[int, int]], set[str]]]:
         """Spans and items of each text's words."""
@@ -237,6 +237,52 @@ def _blocks(benchmark: DataFrame, id_column: str, text_column: str, block_bytes:
         yield [(row["id"], bytes(row["text"])) for row in chosen.collect()]
 
 
+def _passes(benchmark: DataFrame, id_column: str, text_column: str, block_bytes: int, window: int) -> Iterator[tuple[list, bool]]:
+    """The broadcast automata of each pass over the documents, and whether it is the last."""
+    context, blocks = benchmark.sparkSession.sparkContext, _blocks(benchmark, id_column, text_column, block_bytes)
+    block = next(blocks)
+    while block is not None:
+        shared = []
+        while block is not None and len(shared) < BLOCKS_AT_ONCE:
+            shared.append(context.broadcast(pickle.dumps(SuffixAutomaton(block, window))))
+            block = next(blocks, None)
+        yield shared, block is None
+
+
+def _scans(shared: list, batches: Iterator[pa.RecordBatch], place: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]], list[tuple[list[tuple[int, int]], set[str]]]]]:
+    """Each batch with its texts' words, and their spans and items by all automata of a pass; one automaton is held at a time."""
+    release_kept()
+    if len(shared) == 1:
+        automaton = pickle.loads(shared[0].value)
+        for batch in batches:
+            words = [words_of(t or b"") for t in batch.column(place).cast(pa.binary()).to_pylist()]
+            yield batch, words, list(automaton.scan_texts(words))
+        return
+    for stretch in _stretches(batches):
+        words = [[words_of(t or b"") for t in batch.column(place).cast(pa.binary()).to_pylist()] for batch in stretch]
+        found: list[list[tuple[list, set]]] = [[([], set()) for _ in texts] for texts in words]
+        for one in shared:
+            automaton = pickle.loads(one.value)
+            for texts, held in zip(words, found, strict=True):
+                for k, (spans, names) in enumerate(automaton.scan_texts(texts)):
+                    held[k] = held[k][0] + spans, held[k][1] | names
+            del automaton
+        yield from zip(stretch, words, found, strict=True)
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches together, of about ``STRETCH_BYTES``."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= STRETCH_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """Words of every whole text inside occurrences of benchmark windows.
 
@@ -246,28 +292,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     texts have no words; items without words match nothing; a null item id is
     the empty string and rows of one item id are one item; repeated documents
     are scanned each; an empty benchmark hits nothing; an empty table gives an
-    empty one; other columns are not read.  No shuffle: each block of the
-    benchmark, of bounded size, is broadcast as an automaton.
+    empty one; other columns are not read.  No shuffle: the automata of
+    ``BLOCKS_AT_ONCE`` blocks of the benchmark, of bounded size, are broadcast;
+    only a benchmark of more than that carries the texts to another pass.
     """
-    spark = docs.sparkSession
     rows = docs.select(docs[id_column].alias("id"), docs[text_column].cast("string").alias("text"))
-    id_type = rows.schema["id"].dataType.simpleString()
+    id_type, first = rows.schema["id"].dataType.simpleString(), True
     found = "n_words long, spans array<struct<start:int,end:int>>, items array<string>"
-    blocks = _blocks(benchmark, item_column, item_text, block_bytes)
-    block, first = next(blocks), True
-    while block is not None:
-        following = next(blocks, None)
-        shared = spark.sparkContext.broadcast(pickle.dumps(SuffixAutomaton(block, window)))
-        last = following is None
+    for shared, last in _passes(benchmark, item_column, item_text, block_bytes, window):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first, last=last) -> Iterator[pa.RecordBatch]:
-            release_kept()
-            automaton = pickle.loads(shared.value)
-            for batch in batches:
-                texts = [words_of(t) for t in utf8_list(batch, "text")]
+            for batch, texts, scanned in _scans(shared, batches, 1):
                 before = [((), ())] * len(texts) if first else list(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True))
                 spans, items = [], []
-                for (more, names), (old, old_names) in zip(automaton.scan_texts(texts), before, strict=True):
+                for (more, names), (old, old_names) in zip(scanned, before, strict=True):
                     all_spans = _joined([*((s["start"], s["end"]) for s in old), *more])
                     spans.append([{"start": a, "end": b} for a, b in all_spans])
                     items.append(sorted(names.union(old_names)))
@@ -285,7 +323,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         rows = arrow_map(rows, run, f"id {id_type}, {'' if last else 'text string, '}{found}")
         if not last:
             rows = written(rows, "decontamination")
-        block, first = following, False
+        first = False
     return rows.withColumnRenamed("id", id_column)
 
 
@@ -313,27 +351,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     whole benchmark on the unchanged text: where it is scanned in several
     blocks, the spans are carried from block to block and cut after the last.
     """
-    spark = docs.sparkSession
-    columns, place = docs.columns, docs.columns.index(text_column)
+    columns, place, first = docs.columns, docs.columns.index(text_column), True
     carried = free_name(docs, "spans")
     span = StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])
     schema, with_spans = docs.schema, StructType([*docs.schema.fields, StructField(carried, ArrayType(span))])
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    blocks = _blocks(benchmark, "item_id", "text", block_bytes)
-    block, first = next(blocks), True
-    while block is not None:
-        following = next(blocks, None)
-        shared = spark.sparkContext.broadcast(pickle.dumps(SuffixAutomaton(block, window)))
-        last = following is None
+    for shared, last in _passes(benchmark, "item_id", "text", block_bytes, window):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first, last=last) -> Iterator[pa.RecordBatch]:
-            release_kept()
-            automaton = pickle.loads(shared.value)
-            for batch in batches:
-                texts = utf8_list(batch, text_column)
-                words = [words_of(t) for t in texts]
-                before = [()] * len(texts) if first else batch.column(len(columns)).to_pylist()
-                found = [_joined([*((s["start"], s["end"]) for s in old), *spans]) for (spans, _), old in zip(automaton.scan_texts(words), before, strict=True)]
+            for batch, words, scanned in _scans(shared, batches, place):
+                before = [()] * len(words) if first else batch.column(len(columns)).to_pylist()
+                found = [_joined([*((s["start"], s["end"]) for s in old), *spans]) for (spans, _), old in zip(scanned, before, strict=True)]
                 batch = batch.select(range(len(columns)))
                 if not last:
                     spans = pa.array([[{"start": a, "end": b} for a, b in held] for held in found], spans_type)
@@ -344,17 +372,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
                     covered = sum(b - a for a, b in spans)
                     keep.append(not spans or covered <= max_coverage * len(words[k]))
                     if keep[k] and (long := [(a, b) for a, b in spans if b - a > max_span]):
-                        changed[k] = without_spans(texts[k], long)
+                        changed[k] = long
                 if changed:
                     old = batch.column(place)
                     whole = old.cast(pa.binary()).to_pylist()
-                    for k, text in changed.items():
-                        whole[k] = text
+                    for k, long in changed.items():
+                        whole[k] = without_spans(whole[k], long)
                     batch = batch.set_column(place, batch.schema.field(place), pa.array(whole, pa.binary()).cast(old.type))
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         docs = arrow_map(docs, run, schema if last else with_spans)
         if not last:
             docs = written(docs, "decontamination")
-        block, first = following, False
+        first = False
     return docs

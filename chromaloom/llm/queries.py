@@ -144,7 +144,7 @@ with d as (select row_number() over () as row, doc_id, coalesce(source, '') as h
 l as (select row, doc_id, host, unnest(lines) as line, unnest(range(len(lines))) as k from d where text is not null),
 pages as (select host, count(*) as pages from d group by host),
 held as (select host, trim(line) as line, count(distinct row) as holding from l where trim(line) <> '' group by 1, 2),
-plate as (select host, line from held join pages using (host) where holding > cast({line_dedup.RATIO} as double) * pages and (holding >= {line_dedup.MIN_PAGES} or (holding >= {line_dedup.SMALL_PAGES} and 2 * holding > pages))),
+plate as (select host, line from held join pages using (host) where holding > cast({line_dedup.RATIO} as double) * pages and holding >= {line_dedup.MIN_PAGES}),
 marked as (select l.*, plate.line is not null as dropped from l left join plate on l.host = plate.host and trim(l.line) = plate.line),
 sums as (
   select row, count(*) as n_lines, count_if(dropped) as n_dropped, string_agg(case when not dropped then line end, chr(10) order by k) as kept

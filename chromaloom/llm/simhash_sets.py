@@ -202,4 +202,4 @@ def drop_similar(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity
     placed = texts.join(roots, F.col("node") == F.col("linked"), "left").select(F.coalesce("root", "node").alias("root"), "least")
     kept = written(placed.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row_key").alias(own)), "kept")
     stays = docs.where(worded).withColumn(own, row_key).join(kept.hint("merge"), own, "left_semi").dropDuplicates([own])
-    return docs.where(~worded).unionByName(stays.select(*docs.columns))
+    return docs.where(~worded).unionByName(stays.drop(own))

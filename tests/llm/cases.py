@@ -17,8 +17,9 @@ ROWS = [
     (None, "a row without an id", "en", None, 19, 1, "x", 7),
     (9, "one", "es", "d", 3, 1, "x", 7),
 ]
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, key string, fp long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, key string, fp long, `a.b` int, tags map<string,int>"
 
 
 def documents(spark, rows=ROWS):
-    return spark.createDataFrame(rows, SCHEMA)
+    """The rows with a column whose name has a dot, and one of a type that cannot be hashed."""
+    return spark.createDataFrame([(*row, k, {"k": k} if k % 3 else None) for k, row in enumerate(rows)], SCHEMA)

@@ -28,8 +28,9 @@ def brute(text, items, window=10):
     return len(words), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
-def test_against_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("block_bytes, at_once", [(1 << 20, 8), (300, 8), (300, 2)])
+def test_against_brute_force(spark, monkeypatch, block_bytes, at_once):
+    monkeypatch.setattr(dc, "BLOCKS_AT_ONCE", at_once)
     rng = random.Random(4)
     vocabulary = ["a", "b", "c", "É", "d7"]
     items = [(k, rng.choice([" ", ", ", "-"]).join(rng.choices(vocabulary, k=rng.randint(0, 25)))) for k in range(30)] + [(40, None), (41, ""), (42, "only Four, words here")]
@@ -75,3 +76,17 @@ def test_blocks_cut_what_the_whole_benchmark_cuts(spark, block_bytes):
     rows = [(1, " ".join([*around, *words])), (2, " ".join([*words[:10], "x", *words[5:], "y"])), (3, None)]
     kept = dc.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench, block_bytes=block_bytes).collect()
     assert {r.doc_id: r.text for r in kept} == {1: " ".join(around) + " ", 3: None}
+
+
+def test_items_that_share_a_window_take_linear_room():
+    import pickle
+
+    shared = " ".join(f"s{k}" for k in range(10))
+    sizes = []
+    for n in (2_000, 20_000):
+        items = [(str(k), f"{shared} own{k} word{k}".encode()) for k in range(n)] + [(f"x{k}", b"the same three") for k in range(n)]
+        automaton = dc.SuffixAutomaton(items)
+        sizes.append(len(pickle.dumps(automaton)))
+        spans, names = next(automaton.scan_texts([dc.words_of(f"a {shared} b the same three".encode())]))
+        assert spans == [(1, 11), (12, 15)] and len(names) == 2 * n
+    assert sizes[1] < 12 * sizes[0]

@@ -44,7 +44,7 @@ def brute_lines(rows, ratio, least):
     out = []
     for doc_id, text, host in rows:
         lines = text.split("\n") if text is not None else []
-        stays = lambda n, all_pages: n <= ratio * all_pages or n < least and (n < 3 or 2 * n <= all_pages)
+        stays = lambda n, all_pages: n <= ratio * all_pages or n < least
         kept = [x for x in lines if not x.strip(" ") or stays(holding[host or "", x.strip(" ")], pages[host or ""])]
         out.append((doc_id, len(lines), len(lines) - len(kept), "\n".join(kept)))
     return out
@@ -71,15 +71,28 @@ def test_hosts_of_urls(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host_", topk.F.lit("own")).withColumn("lines_", topk.F.lit(1))
     kept = line_dedup.drop_boilerplate(pages, text_column="html", ratio=0.5, host_column=line_dedup.host_of("url"))
     assert kept.columns == pages.columns
-    assert {r.page_id: r.html for r in kept.collect()} == {**{k: str(k) for k in range(12)}, 20: "menu", 21: "menu"}
+    assert {r.page_id: r.html for r in kept.collect()} == {**{k: str(k) for k in range(12)}, 20: "", 21: ""}
 
 
-def test_lines_of_awkward_documents(spark):
+def test_lines_of_awkward_documents(spark, monkeypatch):
     docs = documents(spark)
-    assert line_dedup.drop_boilerplate(docs, min_pages=2).select(*docs.columns).count() == docs.count()
+    for size in (line_dedup.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", size)
+        kept = line_dedup.drop_boilerplate(docs)
+        assert kept.columns == docs.columns and len(kept.collect()) == docs.count()
     assert line_dedup.line_report(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size, lines", [("0.001", 34), ("0.01", 152), ("0.1", 319)])
+def test_the_ratio_decides_at_every_size(spark, size, lines):
+    docs = spark.read.parquet(f"/root/testdata/sf{size}/documents.parquet")
+    F = topk.F
+    assert line_dedup.boilerplate(docs).agg(F.sum(F.size("hashes"))).head()[0] == lines
+    counts = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("host"), F.explode(F.array_distinct(F.transform(F.split("text", "\n"), F.trim))).alias("line")).where("line <> ''").groupBy("host", "line").count()
+    pages = docs.groupBy(F.coalesce("source", F.lit("")).alias("host")).agg(F.count(F.lit(1)).alias("pages"))
+    assert counts.join(pages, "host").where("count >= 2 and count > 0.01 * pages").count() == lines
+
+
 @pytest.mark.parametrize("block", [8192, 3])
 def test_top_k_against_brute_force(spark, block):
     rng = random.Random(8)
