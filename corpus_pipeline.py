@@ -11,7 +11,8 @@ All stages but the last return the columns of ``documents``; ``n_chars`` follows
 a text that a stage has shortened.  Null and empty texts pass every stage that
 does not reject them, very long ones are taken whole, an empty table gives an
 empty one, rows that repeat id and text are one document to ``near_dedup`` and
-several to the others, and columns of any name are carried along.
+several to the others, and columns of any name and
+type are carried along.
 """
 
 from __future__ import annotations
@@ -30,9 +31,9 @@ ORACLE_SQL = None
 def _recounted(docs: DataFrame, like: DataFrame) -> DataFrame:
     """``n_chars`` of the texts as they now are, where the table has that column."""
     if "n_chars" not in like.columns:
-        return docs.select(*like.columns)
+        return docs
     kind = like.schema["n_chars"].dataType
-    return docs.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(kind)).select(*like.columns)
+    return docs.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(kind))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
