@@ -12,6 +12,7 @@ from chromaloom.plans.adapters import duckdb_text, view
 from chromaloom.plans.link_queries import GROUPED, LOCAL
 from chromaloom.plans.ordering_queries import CELLS, cells
 from chromaloom.sources import genome
+from chromaloom.sources import haplotypes as H
 from chromaloom.sources import records as R
 
 BINS = """select cast(k as int) as bin, cast(floor(4096 * pow(2.0e0, k // 16) * pow(2.0e0, (k % 16) / 16.0e0)) as bigint) as start,
@@ -94,6 +95,32 @@ def _haplotypes(s, d):
     return rows.select(F.concat_ws("\t", "l_orderkey", F.lit(30), F.array_join(F.transform("x", lambda x: F.concat_ws("\t", F.concat(F.lit("v"), x["l_partkey"]), x["l_suppkey"] % 2)), "\t")).alias("value"))
 
 
+def _clone_lines(s, d):
+    """A matrix of real clones: an order is a clone, its items are calls."""
+    items = s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").cast("bigint").alias("o"), "l_linenumber", "l_suppkey")
+    name = F.concat_ws("_", F.concat(F.lit("chr"), F.col("o") % 24), F.col("o") * 100 + F.col("l_linenumber") % 5, F.lit("A"), F.lit("C"))
+    rows = items.select("o", F.concat(name, F.lit(","), F.col("l_suppkey") % 2).alias("c"), name.alias("name"))
+    body = rows.groupBy("o").agg(F.array_sort(F.collect_list("c")).alias("c")).select(F.lit("f").alias("file"), F.col("o").alias("row_no"), F.concat_ws("\t", F.concat_ws("_", F.concat(F.lit("chr"), F.col("o") % 24), F.col("o") * 100, F.col("o") * 100 + 100), F.lit(30), F.array_join("c", "\t")).alias("value"))
+    top = rows.agg(F.count_distinct("o").alias("a"), F.count_distinct("name").alias("b"), F.count(F.lit(1)).alias("c"))
+    said = F.array(*(F.concat(F.lit(t), F.col(k)) for t, k in (("# N CLONES: ", "a"), ("# N VARIANTS: ", "b"), ("# TOTAL N CLONE CALLS OF VARIANTS: ", "c"))))
+    return top.select(F.posexplode(said).alias("k", "value")).select(F.lit("f").alias("file"), (F.col("k") - 3).cast("bigint").alias("row_no"), "value").unionByName(body)
+
+
+def _fragment_lines(s, d):
+    """A matrix of simulated fragments: a customer is a fragment of 70 alleles, its number mixed and written in binary."""
+    rows = s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("bigint").alias("c"))
+    alleles = F.rpad(F.lpad(F.conv(F.col("c") * 7919 % 65536, 10, 2), 16, "0"), 70, "01")
+    body = rows.select(F.lit("f").alias("file"), F.col("c").alias("row_no"), F.concat_ws(" ", F.col("c") % 31, alleles, F.substring(F.lit("01E"), (F.col("c") % 3 + 1).cast("int"), F.lit(1))).alias("value"))
+    said = F.array(F.concat(F.lit("# N FRAGMENTS: "), F.col("n")), F.lit("# N LOCI: 100"), F.lit("# FRAGMENT SIZE: 70"), F.concat(F.lit("# TRUTH HAPLOTYPE: "), F.repeat(F.lit("01"), F.lit(50))))
+    top = rows.agg(F.count(F.lit(1)).alias("n")).select(F.posexplode(said).alias("k", "value"))
+    return top.select(F.lit("f").alias("file"), (F.col("k") - 4).cast("bigint").alias("row_no"), "value").unionByName(body)
+
+
+def _simulated(s, d):
+    fragments = H.simulated_fragments(_fragment_lines(s, d))
+    return fragments.select("fragment", "offset", H.ones(fragments).cast("bigint").alias("ones"), F.col("bits")[0].alias("first"), "truth")
+
+
 def _sam_lines(s, d):
     rows = view(s, d, "reads").join(view(s, d, "contigs").select("tid", "name"), "tid")
     return rows.select(F.lit("f").alias("file"), (F.col("qid") * 100 + F.col("ord")).alias("row_no"), F.concat_ws("\t", F.concat(F.lit("r"), "qid"), "flag", "name", F.col("pos") + 1, "mapq", F.lit("10M"), F.lit("="), F.col("pos") + 5, F.lit("0"), F.lit("*"), F.lit("*")).alias("value"))
@@ -139,6 +166,12 @@ REGISTRY = {
     "allele_freq": (lambda s, d: R.allele_frequencies(_lines(s, d)), duckdb_text("""select case when sk % 2 = 0 then 'chr' else '' end || (sk % 24) || '_' || pos || '_' || ref || '_' || alt as tag, sum(ln) / cast(sum(20 + ln) as double) as freq from v group by 1""", v=VAR)),
     "flag_known": (lambda s, d: R.flag_known(_variants(s, d).select("chrom", "pos", "genotype"), _variants(s, d).where("genotype = 2 and ref_depth > 10")), duckdb_text("""select chrom, pos, genotype, (chrom, pos) in (select (chrom, pos) from v where genotype = 2 and ref_depth > 10 and ref <> 'N' and alt <> 'N') as known from v where ref <> 'N' and alt <> 'N'""", v=VAR)),
     "hap_inverted_index": (lambda s, d: R.haplotype_index(_haplotypes(s, d)).select("variant", F.size("clones").cast("bigint").alias("n"), F.array_join(F.transform("clones", lambda c: F.concat_ws(":", c["clone"], c["call"].cast("int"))), ",").alias("clones")), duckdb_text("select 'v' || l_partkey as variant, count(*) as n, string_agg(l_orderkey || ':' || (l_suppkey % 2), ',' order by l_orderkey, l_suppkey % 2) as clones from lineitem group by 1")),
+    "hap_clone_calls": (lambda s, d: H.clone_calls(_clone_lines(s, d)).select("clone", "chrom", "start", "stop", "q", "variant", "pos", "ref", "alt", "call"), duckdb_text("""select dense_rank() over (order by l_orderkey) - 1 as clone, 'chr' || (l_orderkey % 24) as chrom, cast(l_orderkey * 100 as bigint) as start, cast(l_orderkey * 100 + 100 as bigint) as stop, 30.0e0 as q,
+      'chr' || (l_orderkey % 24) || '_' || (l_orderkey * 100 + l_linenumber % 5) || '_A_C' as variant, cast(l_orderkey * 100 + l_linenumber % 5 as bigint) as pos, 'A' as ref, 'C' as alt, l_suppkey % 2 = 1 as call from lineitem""")),
+    "hap_clone_alleles": (lambda s, d: H.clone_summary(H.clone_calls(_clone_lines(s, d))).select("clone", "n_calls", F.array_join("alleles", ",").alias("alleles")), duckdb_text("""select clone, cast(sum(n) as bigint) as n_calls, string_agg(pos || ':A_C_' || call, ',' order by pos) as alleles from (
+      select clone, pos, count(*) as n, min(call) as call from (select dense_rank() over (order by l_orderkey) - 1 as clone, l_orderkey * 100 + l_linenumber % 5 as pos, l_suppkey % 2 as call from lineitem) x group by 1, 2) y group by 1""")),
+    "hap_fragments": (_simulated, duckdb_text("""select row_number() over (order by c) - 1 as fragment, c % 31 as "offset", cast(length(replace(alleles, '0', '')) as bigint) as ones, cast(list_reduce(list_transform(range(60), lambda k: cast(substr(alleles, cast(k + 1 as int), 1) as bigint)), lambda x, y: x * 2 + y) as bigint) as first,
+      case c % 3 when 0 then false when 1 then true end as truth from (select c, lpad(ltrim(cast(cast(c * 7919 % 65536 as integer)::bit as varchar), '0'), 16, '0') || repeat('01', 27) as alleles from (select cast(c_custkey as bigint) as c from customer) y) x""")),
     "sam_scan": (lambda s, d: R.alignments(_sam_lines(s, d), view(s, d, "contigs")).select("row_no", "qname", "flag", "tid", "pos", "mapq", "mtid", "mpos"), duckdb_text("select qid * 100 + ord as row_no, 'r' || qid as qname, flag, tid, pos, mapq, tid as mtid, pos + 4 as mpos from reads")),
     "contig_dictionary": (lambda s, d: R.contig_dictionary(view(s, d, "contigs").select(F.col("tid").alias("row_no"), F.concat(F.lit("@SQ\tSN:"), "name", F.lit("\tLN:"), F.col("len")).alias("value"))), duckdb_text("select cast(row_number() over (order by tid) - 1 as int) as tid, name, len from contigs")),
     "tokenize": (lambda s, d: R.tokens(s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat(F.lit(" "), "p_name", F.lit(" \t "), "p_type").alias("value")), compress=True).select("p_partkey", F.size("tokens").cast("bigint").alias("n"), F.array_join("tokens", "|").alias("joined")), duckdb_text("select p_partkey, len(w) as n, array_to_string(w, '|') as joined from (select p_partkey, regexp_extract_all(p_name || ' ' || p_type, '[^ ]+') as w from part) x")),
