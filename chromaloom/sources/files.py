@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from chromaloom.sources import records
 
@@ -20,6 +20,8 @@ from chromaloom.sources import records
 STRETCH_BYTES, READ_BYTES, MOST_BLOCK = 32 << 20, 4 << 20, 1 << 16
 #: Records in a row that have to make sense where a stretch begins inside a file, and records of a batch.
 CHAIN, RECORDS_AT_ONCE, SYNC_BYTES = 16, 10_000, 1 << 17
+#: Places of a target share a window of an index if they are equal but for so many low bits.
+WINDOW_BITS = 14
 
 
 #: Splits of the files up to which their first numbers are broadcast.
@@ -101,12 +103,19 @@ def is_binary(path: str) -> bool:
     return path.lower().endswith(".bam")
 
 
-def read_alignments(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Contig dictionary and records of SAM or BAM files in list order; the dictionary is the first file's."""
+def read_alignments(spark: SparkSession, paths: list[str], index: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Contig dictionary and records of SAM or BAM files in list order; the dictionary is the first file's.
+
+    Conditions on ``tid``, ``pos``, ``mapq`` and ``flag`` of BAM records are
+    tested where they are read, and with an ``index`` (see
+    :func:`write_bam_index`) only the blocks of the asked region are opened.
+    """
     if is_binary(paths[0]):
         spark.dataSource.register(BamSource)
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # off by default; without it Spark tests the conditions
         contigs = spark.createDataFrame(bam_header(paths[0])[0], "tid int, name string, len long")
-        return contigs, spark.read.format("bam").option("paths", "\n".join(paths)).load()
+        reader = spark.read.format("bam").option("paths", "\n".join(paths))
+        return contigs, (reader.option("index", index) if index else reader).load()
     text = lines(spark, paths)
     first = lines(spark, paths[0])
     contigs = records.contig_dictionary(first)
@@ -134,12 +143,13 @@ def block_size(head: bytes) -> int:
     return 0
 
 
-def blocks_of(source, start: int, size: int) -> Iterator[tuple[int, bytes]]:
-    """Offset and content of each BGZF block from the one at ``start`` on, in a file of ``size`` bytes."""
+def blocks_of(source, start: int, size: int, near: int | None = None) -> Iterator[tuple[int, bytes]]:
+    """Offset and content of each BGZF block from the one at ``start`` on, in a file of ``size`` bytes; no more is read at once than a block beyond ``near``."""
     at, held, first = start, b"", start
     while at < size:
-        if at - first + MOST_BLOCK > len(held):
-            held, first = source.read_at(min(READ_BYTES, size - at), at), at
+        if at - first + MOST_BLOCK > len(held) and first + len(held) < size:
+            most = READ_BYTES if near is None else min(READ_BYTES, max(near - at, 0) + MOST_BLOCK)
+            held, first = source.read_at(min(most, size - at), at), at
         here = at - first
         length = block_size(held[here : here + MOST_BLOCK])
         if not length:
@@ -242,7 +252,8 @@ class BamSource(DataSource):
     """Python data source ``bam``: a partition for each stretch of a file; option ``paths`` lists the files by line.
 
     ``row_no`` rises along a file: it is the place of a record, the offset of
-    its block times 65,536 plus the place in the block.
+    its block times 65,536 plus the place in the block.  Option ``index`` names
+    the folder of :func:`write_bam_index`.
     """
 
     @classmethod
@@ -253,83 +264,215 @@ class BamSource(DataSource):
         return "file string, row_no long, qname string, flag int, tid int, pos long, mapq int, mtid int, mpos long"
 
     def reader(self, schema) -> DataSourceReader:
-        return BamReader(self.options["paths"].split("\n"), int(self.options.get("stretch", str(STRETCH_BYTES))))
+        return BamReader(self.options["paths"].split("\n"), int(self.options.get("stretch", str(STRETCH_BYTES))), self.options.get("index"))
 
 
 class Stretch(InputPartition):
-    """Blocks of a file that begin from ``start`` and before ``stop``."""
+    """Blocks of a file that begin from ``start`` and before ``stop``, where records have to be looked for."""
 
     def __init__(self, path: str, start: int, stop: int, targets: int, first: int):
         self.path, self.start, self.stop, self.targets, self.first = path, start, stop, targets, first
 
 
+class Places(InputPartition):
+    """Records of a file from one known place to another, in ranges."""
+
+    def __init__(self, path: str, ranges: list[tuple[int, int]]):
+        self.path, self.ranges = path, ranges
+
+
+def _stretches(paths: list[str], stretch: int) -> list[InputPartition]:
+    out: list[InputPartition] = []
+    for path in paths:
+        targets, first = bam_header(path)
+        size, start = source_end(path) >> 16, first >> 16
+        out += [Stretch(path, at, min(at + stretch, size), len(targets), first) for at in range(start, size, stretch)]
+    return out or [Stretch("", 0, 0, 0, 0)]
+
+
 class BamReader(DataSourceReader):
-    def __init__(self, paths: list[str], stretch: int):
-        self.paths, self.stretch = paths, stretch
+    def __init__(self, paths: list[str], stretch: int, index: str | None = None):
+        self.paths, self.stretch, self.index = paths, stretch, index
+        #: Least and greatest value of a field that is asked for, by the field's place in a record.
+        self.bounds: dict[int, tuple[int, int]] = {}
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        for f in filters:
+            place = {"flag": 2, "tid": 3, "pos": 4, "mapq": 5}.get(getattr(f, "attribute", ("",))[0])
+            if place is None or len(f.attribute) != 1 or not isinstance(getattr(f, "value", None), int):
+                yield f
+                continue
+            low, high = self.bounds.get(place, (-(1 << 62), 1 << 62))
+            if isinstance(f, EqualTo):
+                low, high = max(low, f.value), min(high, f.value)
+            elif isinstance(f, GreaterThan | GreaterThanOrEqual):
+                low = max(low, f.value + isinstance(f, GreaterThan))
+            elif isinstance(f, LessThan | LessThanOrEqual):
+                high = min(high, f.value - isinstance(f, LessThan))
+            else:
+                yield f
+                continue
+            self.bounds[place] = low, high
 
     def partitions(self) -> list[InputPartition]:
+        if self.index is None:
+            return _stretches(self.paths, self.stretch)
         out: list[InputPartition] = []
         for path in self.paths:
-            targets, first = bam_header(path)
-            size, start = source_end(path) >> 16, first >> 16
-            out += [Stretch(path, at, min(at + self.stretch, size), len(targets), first) for at in range(start, size, self.stretch)]
+            ranges: list[tuple[int, int]] = []
+            for first, after in [*_indexed(self.index, path, self.bounds.get(3), self.bounds.get(4)), (None, None)]:
+                if ranges and (first is None or after >> 16 > (ranges[0][0] >> 16) + self.stretch):
+                    out.append(Places(path, ranges))
+                    ranges = []
+                if first is not None:
+                    ranges = [*ranges[:-1], (ranges[-1][0], max(after, ranges[-1][1]))] if ranges and first >> 16 <= ranges[-1][1] >> 16 else [*ranges, (first, after)]
         return out or [Stretch("", 0, 0, 0, 0)]
 
-    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
-        if partition.start < partition.stop:
-            with _opened(partition.path) as source:
-                rows: list[tuple] = []
-                for record in _records(source, partition):
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        if isinstance(partition, Stretch) and partition.start >= partition.stop:
+            return
+        tests = list(self.bounds.items())
+        with _opened(partition.path) as source:
+            rows: list[tuple] = []
+            for record in _records(source, partition):
+                if all(low <= record[place] <= high for place, (low, high) in tests):
                     rows.append((partition.path, *record))
-                    if len(rows) >= RECORDS_AT_ONCE:
-                        yield _record_batch(rows)
-                        rows = []
-                if rows:
+                if len(rows) >= RECORDS_AT_ONCE:
                     yield _record_batch(rows)
+                    rows = []
+            if rows:
+                yield _record_batch(rows)
 
 
-def _records(source, part: Stretch) -> Iterator[tuple]:
-    """``row_no, qname, flag, tid, pos, mapq, mtid, mpos`` of the records that begin in a stretch; the last may end beyond it."""
-    size = source.size()
-    own = part.first >> 16 == part.start
-    begin = part.start if own else next_block(source, part.start, size)
-    # raw holds bytes that are not yet read as records; starts, where in it blocks begin (the first, perhaps before it)
-    raw, starts, synced = b"", [], False
-    blocks = blocks_of(source, begin, size) if begin < part.stop else iter(())
+class BamPlaces(DataSource):
+    """Python data source ``bam_places``: for each stretch, target and window of places the first record, where the one after the last begins, and how many there are."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "bam_places"
+
+    def schema(self) -> str:
+        return "file string, stretch long, tid int, window long, first long, after long, n long"
+
+    def reader(self, schema) -> DataSourceReader:
+        return PlacesReader(self.options["paths"].split("\n"), int(self.options.get("stretch", str(STRETCH_BYTES))))
+
+
+class PlacesReader(DataSourceReader):
+    def __init__(self, paths: list[str], stretch: int):
+        self.paths, self.stretch = paths, stretch
+
+    def partitions(self) -> list[InputPartition]:
+        return _stretches(self.paths, self.stretch)
+
+    def read(self, partition: Stretch) -> Iterator[tuple]:
+        if partition.start >= partition.stop:
+            return
+        found: dict[tuple[int, int], list[int]] = {}
+        with _opened(partition.path) as source:
+            last = None
+            for place, _, _, tid, pos, *_ in _records(source, partition):
+                if last is not None:
+                    last[1] = place
+                last = found.setdefault((tid, pos >> WINDOW_BITS), [place, place, 0])
+                last[2] += 1
+            if last is not None:  # nothing of the stretch comes after its last record
+                last[1] = max(partition.stop << 16, last[1] + 1)
+        for (tid, window), (first, after, n) in found.items():
+            yield partition.path, partition.start, tid, window, first, after, n
+
+
+def write_bam_index(spark: SparkSession, paths: list[str], folder: str, stretch: int = STRETCH_BYTES) -> None:
+    """Write where the records of each target's windows are, so that regions can be read without the rest.
+
+    A row for each stretch of a file, target and window of 16,384 places; of
+    files in order of place a region is a few rows, of others more, and the
+    result is right for both.
+    """
+    spark.dataSource.register(BamPlaces)
+    spark.read.format("bam_places").option("paths", "\n".join(paths)).option("stretch", str(stretch)).load().write.mode("overwrite").parquet(folder)
+
+
+def _indexed(folder: str, path: str, tids: tuple[int, int] | None, places: tuple[int, int] | None) -> list[tuple[int, int]]:
+    """Ranges of a file that hold the records asked for, in order; without a target one for each stretch."""
+    import pyarrow.dataset as ds
+    import pyarrow.fs as pafs
+
+    files, place = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    table, wanted = ds.dataset(place, filesystem=files, format="parquet"), pc.field("file") == path
+    if tids is not None:
+        wanted &= (pc.field("tid") >= tids[0]) & (pc.field("tid") <= tids[1])
+        if places is not None:
+            wanted &= (pc.field("window") >= places[0] >> WINDOW_BITS) & (pc.field("window") <= places[1] >> WINDOW_BITS)
+    rows = table.to_table(columns=["stretch", "first", "after"], filter=wanted)
+    if tids is None:
+        rows = rows.group_by("stretch").aggregate([("first", "min"), ("after", "max")]).rename_columns(["stretch", "first", "after"])
+    return sorted(zip(rows.column("first").to_pylist(), rows.column("after").to_pylist(), strict=True))
+
+
+def _first_place(source, start: int, targets: int, size: int) -> int:
+    """The place of the first record that begins in a block from ``start`` on; the file's end if there is none."""
+    raw, starts = b"", []
+    for at, content in blocks_of(source, next_block(source, start, size), size, start + 2 * SYNC_BYTES):
+        starts.append((len(raw), at))
+        raw += content
+        # a longer piece tells more surely where a record begins
+        if len(raw) >= SYNC_BYTES and (place := first_record(raw, targets)) >= 0:
+            break
+    else:
+        place = first_record(raw, targets)
+    if place < 0:
+        return size << 16
+    inside, block = max(x for x in starts if x[0] <= place)
+    return (block << 16) + place - inside
+
+
+def _walk(source, first: int, end: int, size: int) -> Iterator[tuple]:
+    """``row_no, qname, flag, tid, pos, mapq, mtid, mpos`` of the records that begin from ``first`` and before ``end``; returns the place of the next one."""
+    raw, starts, place = b"", [], first & 0xFFFF
+    blocks = blocks_of(source, first >> 16, size, end >> 16)
     while True:
         at, content = next(blocks, (size, None))
-        if content is not None:
-            if at >= part.stop and synced and not raw:
-                return
-            starts.append((len(raw), at))
-            raw += content
-        place = 0
-        if not synced:
-            # a longer piece tells more surely where a record begins
-            if content is not None and len(raw) < SYNC_BYTES and not own:
-                continue
-            place = part.first & 0xFFFF if own else first_record(raw, part.targets)
-            if place < 0:
-                if content is None:
-                    return
-                continue
-            synced = True
+        if content is None:
+            return size << 16
+        starts.append((len(raw), at))
+        raw += content
         last = 0
         while place + 4 <= len(raw):
             while last + 1 < len(starts) and starts[last + 1][0] <= place:
                 last += 1
             offset, block = starts[last]
-            if block >= part.stop:
-                return
+            here = (block << 16) + place - offset
+            if here >= end:
+                return here
             length = struct.unpack_from("<i", raw, place)[0]
             if place + 4 + length > len(raw):
                 break
             _, tid, pos, name_size, mapq, _, _, flag, _, mtid, mpos, _ = _RECORD.unpack_from(raw, place)
-            yield (block << 16) + place - offset, raw[place + 36 : place + 35 + name_size].decode(), flag, tid, pos, mapq, mtid, mpos
+            yield here, raw[place + 36 : place + 35 + name_size].decode(), flag, tid, pos, mapq, mtid, mpos
             place += 4 + length
-        if content is None:
-            return
-        raw, starts = raw[place:], [(offset - place, block) for offset, block in starts[last:]]
+        raw, starts, place = raw[place:], [(offset - place, block) for offset, block in starts[last:]], 0
+
+
+def _records(source, part: Stretch | Places) -> Iterator[tuple]:
+    """The records that begin in a partition; the last may end beyond it.
+
+    A stretch looks for its first record, and holds the place where its last
+    record ends against where the next stretch would begin: from the header on
+    every stretch so vouches for the one after it, and a wrong guess is an error
+    instead of lost or invented records.
+    """
+    size = source.size()
+    if isinstance(part, Places):
+        for first, after in part.ranges:
+            yield from _walk(source, first, after, size)
+        return
+    first = part.first if part.first >> 16 == part.start else _first_place(source, part.start, part.targets, size)
+    after = first
+    if first >> 16 < part.stop:
+        after = yield from _walk(source, first, part.stop << 16, size)
+    if part.stop < size and after != (expected := _first_place(source, part.stop, part.targets, size)):
+        raise ValueError(f"{part.path}: a stretch ends at {after}, the next begins at {expected}")
 
 
 def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
