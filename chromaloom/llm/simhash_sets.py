@@ -9,14 +9,21 @@ wholly equal and a few that are not.
 
 By the pigeonring principle two rings within the whole budget have a segment from
 which every chain of consecutive segments stays within its proportional budget.
-Texts meet in buckets of a chain of two equal segments, or of three where many
-share two; the longer chains from there prune, then the full Hamming distance,
-and the shingle sets decide.
+Texts meet in buckets of a chain of two equal segments; the longer chains from
+there prune, then the full Hamming distance, and the shingle sets decide.
+
+Only components are wanted, so not all pairs of a bucket are looked at.  First
+every text meets its bucket's leader.  Then rounds follow in which a text meets
+those texts of its buckets that are of another component so far and pass the
+chains, the nearest one at first and four times as many each round, until no
+such pair is left that has not been decided.  A bucket whose texts are all of one
+component has no more work, and no link between components is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +37,10 @@ from chromaloom.llm.components import components
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Segments of a ring, shingles drawn for each, and bits of a segment that may differ on average.
 SEGMENTS, DRAWN, BUDGET = 32, 3, 8
-#: Buckets of up to so many texts are compared in all pairs; in larger ones every text meets so many leaders first.
-SMALL_BUCKET, LEADERS = 17, 1
+#: Nearest texts of other components that a text meets in the first round, and how many times as many in each later one.
+NEAREST, GROWTH = 1, 4
+#: Buckets of more texts are compared in pairs of parts of about this size; rows that are compared with a bucket at once.
+BUCKET_ROWS, ROWS_AT_ONCE = 4096, 32
 SEED = 42
 #: Shingles whose hashes are held together while rings are made.
 SHINGLES_AT_ONCE = 1 << 16
@@ -134,36 +143,90 @@ def _pair(one: Column, other: Column) -> list[Column]:
     return [F.least(one, other).alias("u"), F.greatest(one, other).alias("v")]
 
 
+def bucket_pairs(nodes: np.ndarray, labels: np.ndarray, ring: np.ndarray, start: int, nearest: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of one bucket that are of different components and stay within all budgets from ``start``: for each text the nearest, and whether there are more."""
+    turned = np.roll(ring, -start, axis=1)
+    budget = BUDGET * np.arange(1, SEGMENTS + 1)
+    one, other, more = [], [], False
+    # texts of the component that has most need not ask: those of the others ask for them
+    names, which, counts = np.unique(labels, return_inverse=True, return_counts=True)
+    asking = np.flatnonzero(which != np.argmax(counts))
+    for k in range(0, len(asking), ROWS_AT_ONCE):
+        own = asking[k : k + ROWS_AT_ONCE]
+        apart = np.cumsum(np.bitwise_count(turned[own][:, None, :] ^ turned[None, :, :]), axis=2, dtype=np.int16)
+        far = np.where((apart <= budget).all(axis=2) & (labels[own][:, None] != labels[None, :]), apart[:, :, -1], np.int16(SEGMENTS * 32 + 1))
+        for row, at in zip(far, own, strict=True):
+            near = np.flatnonzero(row <= SEGMENTS * 32)
+            if len(near) > nearest:
+                more = True
+                near = near[np.lexsort((nodes[near], row[near]))[:nearest]]
+            one.append(np.full(len(near), nodes[at]))
+            other.append(nodes[near])
+    if not one:
+        return nodes[:0], nodes[:0], False
+    a, b = np.concatenate(one), np.concatenate(other)
+    return np.minimum(a, b), np.maximum(a, b), more
+
+
+def _met(rows: DataFrame, nearest: int) -> DataFrame:
+    """``u, v, more``: :func:`bucket_pairs` of all buckets of ``key, part, start, node, label, ring``; a row without ``u`` says that there are more."""
+
+    def found(held: pa.Table) -> pa.RecordBatch:
+        ring = np.stack(held.column("ring").to_pylist()).astype(np.int32).view(np.uint32)
+        u, v, more = bucket_pairs(held.column("node").to_numpy(), held.column("label").to_numpy(), ring, held.column("start")[0].as_py(), nearest)
+        pairs = np.unique(np.stack([u, v], axis=1), axis=0)
+        last = [None] * more
+        return pa.RecordBatch.from_arrays([pa.array([*pairs[:, 0].tolist(), *last], pa.int64()), pa.array([*pairs[:, 1].tolist(), *last], pa.int64())], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_kept()
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, parts = batch.column("key").to_numpy(), batch.column("part").to_numpy()
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]) | (parts[1:] != parts[:-1])) + 1).tolist(), batch.num_rows]
+            for a, b in pairwise(edges):
+                if held and (held[0].column("key")[0].as_py(), held[0].column("part")[0].as_py()) != (int(keys[a]), int(parts[a])):
+                    yield found(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield found(pa.Table.from_batches(held))
+
+    return arrow_map(rows.repartition("key", "part").sortWithinPartitions("key", "part"), run, "u long, v long")
+
+
+def _in_parts(rows: DataFrame) -> DataFrame:
+    """Rows of ``key, node, n`` with ``part``: those of a large bucket go to every pair of parts that holds theirs."""
+    parts = F.ceil(F.col("n") / BUCKET_ROWS).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda other: F.least(own, other).cast("long") * parts + F.greatest(own, other))
+    return rows.withColumn("part", F.explode(pairs))
+
+
 def _links(buckets: DataFrame, texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``u, v``: verified links between the texts of the buckets ``key, start, node, n, weight``; the weight is a text's sum of ``n``."""
-    found, leaders = [], LEADERS
+    """``node, root``: components of the texts of the buckets ``key, start, node, n, weight``, whose weight is a text's sum of ``n``."""
+    # the leader is the text that shares most: an original, from which its copies differ less than from one another
+    order = F.struct((-F.col("weight")).alias("weight"), F.xxhash64("node").alias("order"), "node")
+    leaders = buckets.groupBy("key").agg(F.min(order).alias("first")).select("key", F.col("first.node").alias("leader"))
+    met = buckets.join(leaders.hint("merge"), "key").where("node != leader").select("start", *_pair(F.col("node"), F.col("leader")))
+    decided = written(_candidates(met, texts), "candidates")
+    links = written(_verified(decided, sets, similarity), "links")
+    nearest = NEAREST
     while True:
-        small, large = buckets.where(F.col("n") <= SMALL_BUCKET), buckets.where(F.col("n") > SMALL_BUCKET)
-        other = small.select("key", F.col("node").alias("other"))
-        met = small.join(other, "key").where("node < other").select("start", *_pair(F.col("node"), F.col("other")))
-        goes_on = not large.isEmpty()
-        if goes_on:
-            # the leader of a class is the text that shares most: an original, from which its copies differ less than from one another
-            order = F.struct((-F.col("weight")).alias("weight"), F.xxhash64("node").alias("order"), "node")
-            chosen = large.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("class")).agg(F.min(order).alias("first"))
-            chosen = written(chosen.select("key", F.col("first.node").alias("leader")), "leaders")
-            faced = large.join(chosen, "key").where("node != leader")
-            met = met.unionByName(faced.select("start", *_pair(F.col("node"), F.col("leader"))))
-        links = written(_verified(_candidates(met, texts), sets, similarity), "links")
-        found.append(links)
-        if not goes_on:
-            break
-        # texts that no leader links meet again, with four times as many leaders
-        linked = faced.select("key", "node", *_pair(F.col("node"), F.col("leader"))).join(links, ["u", "v"], "left_semi").select("key", "node").distinct()
-        rest = large.join(linked, ["key", "node"], "left_anti").join(chosen.withColumnRenamed("leader", "node"), ["key", "node"], "left_anti")
-        rest = written(rest.select("key", "start", "node", "weight"), "unlinked")
-        buckets = rest.join(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").where("n > 1")
-        buckets = written(buckets.select("key", "start", "node", "n", "weight"), "buckets")
-        leaders *= 4
-    out = found[0]
-    for links in found[1:]:
-        out = out.unionByName(links)
-    return out
+        roots = components(links)
+        labelled = buckets.select("key", "start", "node", "n").join(roots.hint("merge"), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("key")
+        open_rows = labelled.join(mixed.hint("merge"), "key", "left_semi").join(texts.select("node", "ring").hint("merge"), "node")
+        pairs = written(_met(_in_parts(open_rows), nearest).distinct(), "met")
+        # pairs that have been decided and failed are met again, so more are asked for each time
+        fresh = written(pairs.where("u is not null").join(decided, ["u", "v"], "left_anti"), "fresh")
+        if fresh.isEmpty() and pairs.where("u is null").isEmpty():
+            return roots
+        decided = decided.unionByName(fresh)
+        links = links.unionByName(written(_verified(fresh, sets, similarity), "links"))
+        nearest *= GROWTH
 
 
 def drop_similar(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -183,22 +246,18 @@ def drop_similar(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key"))
     # copies of one text are looked at once
     texts = written(ringed.groupBy("node").agg(least.alias("least"), F.first("ring").alias("ring")), "texts")
-    place, ring = F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), F.concat("ring", F.slice("ring", 1, 2))
-    keys = F.transform(place, lambda k: F.struct(k.alias("start"), F.xxhash64(k, F.col("ring")[k], F.col("ring")[k + 1]).alias("key"), F.col("ring")[k + 2].alias("third")))
-    buckets = texts.select("node", ring.alias("ring")).select("node", F.explode(keys).alias("at")).select("at.key", "at.start", "at.third", "node")
+    place, ring = F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), F.concat("ring", F.slice("ring", 1, 1))
+    keys = F.transform(place, lambda k: F.struct(k.alias("start"), F.xxhash64(k, F.col("ring")[k], F.col("ring")[k + 1]).alias("key")))
+    buckets = texts.select("node", ring.alias("ring")).select("node", F.explode(keys).alias("at")).select("at.key", "at.start", "node")
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = written(buckets.join(shared.hint("merge"), "key"), "shared")
-    # a large bucket is divided by the next segment: its texts share a chain of three
-    divided = buckets.where(F.col("n") > SMALL_BUCKET).select(F.xxhash64("key", "third").alias("key"), "start", "node")
-    counted = divided.join(divided.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").hint("merge"), "key")
-    buckets = written(buckets.where(F.col("n") <= SMALL_BUCKET).select("key", "start", "node", "n").unionByName(counted), "divided")
     weights = buckets.groupBy("node").agg(F.sum("n").alias("weight"))
     buckets = written(buckets.join(weights.hint("merge"), "node").select("key", "start", "node", "n", "weight"), "buckets")
     # one row of each text that shares a bucket; by a shuffle at every size, as the list grows with the documents
     chosen = texts.join(buckets.select("node").distinct().hint("merge"), "node", "left_semi").select(F.col("least.row_key").alias("row_key"))
     candidates = rows.select("row_key", "node", "text").join(chosen.hint("merge"), "row_key", "left_semi").dropDuplicates(["row_key"])
     sets = written(_sets(candidates, shingle_words), "sets")
-    roots = components(_links(buckets, texts, sets, similarity)).withColumnRenamed("node", "linked")
+    roots = _links(buckets, texts, sets, similarity).withColumnRenamed("node", "linked")
     placed = texts.join(roots, F.col("node") == F.col("linked"), "left").select(F.coalesce("root", "node").alias("root"), "least")
     kept = written(placed.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row_key").alias(own)), "kept")
     stays = docs.where(worded).withColumn(own, row_key).join(kept.hint("merge"), own, "left_semi").dropDuplicates([own])

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 from chromaloom.llm import simhash_sets
 from tests.llm.cases import documents
 
@@ -59,3 +62,53 @@ def test_rows_without_an_id_and_repeated_ids(spark):
     docs = documents(spark)
     assert simhash_sets.drop_similar(docs).columns == docs.columns
     assert simhash_sets.drop_similar(docs.limit(0)).count() == 0
+
+
+def group(kind, rng):
+    """Adverse groups: many links at the threshold, chains, and followers of different originals."""
+    words = [f"{kind}{k}" for k in range(300)]
+    base = " ".join(words)
+    if kind == "few":
+        return [altered(rng, base, 6) for _ in range(150)]
+    if kind == "many":
+        return [altered(rng, base, 12) for _ in range(80)]
+    if kind == "chain":  # each shares most with the next, the ends nothing
+        return [" ".join(f"t{k}" for k in range(at, at + 120)) for at in range(0, 600, 6)]
+    if kind == "two":  # two originals that one text joins
+        other = altered(rng, base, 14)
+        return [*(altered(rng, base, 5) for _ in range(40)), *(altered(rng, other, 5) for _ in range(40)), base, other]
+    if kind == "growing":
+        return [" ".join(words[:n]) for n in range(60, 300, 4)]
+    return [altered(rng, " ".join(words[:20]), 2) for _ in range(60)]  # short texts
+
+
+@pytest.mark.parametrize("parts", [4096, 40])
+def test_adverse_groups_lose_no_link(spark, monkeypatch, parts):
+    monkeypatch.setattr(simhash_sets, "BUCKET_ROWS", parts)
+    rng, texts = random.Random(11), []
+    for kind in ("few", "many", "chain", "two", "growing", "short"):
+        texts += group(kind, rng)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    want = set(brute_roots(texts))
+    kept = {r.doc_id for r in simhash_sets.drop_similar(docs).collect()}
+    assert len(kept) < 1.01 * len(want) + 1 and kept >= want
+
+
+def test_pairs_of_a_bucket():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 32, simhash_sets.SEGMENTS, dtype=np.uint32)
+    ring = np.stack([base ^ np.where(rng.random(simhash_sets.SEGMENTS) < 0.2, np.uint32(1) << rng.integers(0, 32, simhash_sets.SEGMENTS, dtype=np.uint32), np.uint32(0)) for _ in range(40)])
+    ring[30:] = rng.integers(0, 1 << 32, (10, simhash_sets.SEGMENTS), dtype=np.uint32)
+    nodes, labels = np.arange(40) * 3, np.arange(40) // 4
+    u, v, more = simhash_sets.bucket_pairs(nodes, labels, ring, 5, 100)
+    got = set(zip(u.tolist(), v.tolist(), strict=True))
+    budget = simhash_sets.BUDGET * np.arange(1, simhash_sets.SEGMENTS + 1)
+    want = set()
+    for a in range(40):
+        for b in range(a):
+            apart = np.cumsum(np.bitwise_count(np.roll(ring[a] ^ ring[b], -5)))
+            if labels[a] != labels[b] and (apart <= budget).all():
+                want.add((b * 3, a * 3))
+    assert got == want and not more and len(want) > 100
+    few, other, more = simhash_sets.bucket_pairs(nodes, labels, ring, 5, 1)
+    assert more and 0 < len(few) <= 40 and set(zip(few.tolist(), other.tolist(), strict=True)) <= want
