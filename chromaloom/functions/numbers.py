@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,3 +64,52 @@ def int_ranges(rows: DataFrame, key: str, value: str) -> DataFrame:
 def checked_probabilities(rows: DataFrame, key: str, p: str) -> DataFrame:
     """``key, ok``: whether the probabilities of each key are not negative and sum to one within 1e-6."""
     return rows.groupBy(key).agg(((F.min(p) >= 0) & (F.abs(F.sum(p) - 1) <= 1e-6)).alias("ok"))
+
+
+#: Of so many residues the pairs are gone through; of more their products are counted by a convolution.
+FEW_RESIDUES, DIGIT = 2048, 12
+
+
+def sum_of_product_residues(residues: np.ndarray, counts: np.ndarray, bits: int, few: int = FEW_RESIDUES) -> int:
+    """The sum over all ordered pairs, each as often as counted, of ``r * s mod 2 ** bits``, exactly; residues are distinct and below ``2 ** bits``.
+
+    A residue is a power of two times an odd number, and odd numbers modulo a
+    power of two are plus or minus a power of five, so how often each product
+    occurs is a cyclic convolution of counts over signs and exponents, one for
+    each two powers of two.  Counts go in by digits, so the transforms are exact.
+    """
+    residues, counts = np.asarray(residues, dtype=np.int64), np.asarray(counts, dtype=np.int64)
+    if len(residues) <= few:
+        rows = (int(n) * int((residues * r % (1 << bits)).astype(object) @ counts.astype(object)) for r, n in zip(residues.tolist(), counts.tolist(), strict=True))
+        return sum(rows)
+    exponent = np.zeros(1 << bits, dtype=np.int64)
+    powers = np.ones(1 << (bits - 2), dtype=np.int64)
+    for k in range(bits - 2):  # five to the power 2 ** k moves the first half to the second
+        powers[1 << k : 2 << k] = powers[: 1 << k] * pow(5, 1 << k, 1 << bits) % (1 << bits)
+    exponent[powers] = exponent[(1 << bits) - powers] = np.arange(len(powers))
+    levels = []
+    for level in range(bits):
+        held = (residues > 0) & (residues & ((2 << level) - 1) == 1 << level)
+        odd = residues[held] >> level
+        levels.append(((odd & 3) >> 1, exponent[odd], counts[held]))
+    total = 0
+    for i, j in ((i, j) for i in range(bits) for j in range(i, bits - i)):
+        left = bits - i - j
+        size = max(1 << max(left - 2, 0), 1)
+        sides = [_digits(np.bincount(sign * size + at % size, n, 2 * size).astype(np.int64).reshape(2, size) if left > 1 else np.array([[n.sum()]])) for sign, at, n in (levels[i], levels[j])]
+        values = np.ones((1, 1), dtype=np.int64) if left == 1 else np.stack([powers[:size] % (1 << left), -powers[:size] % (1 << left)]) if left > 2 else np.array([[1], [3]])
+        for p, one in enumerate(sides[0]):
+            for q, other in enumerate(sides[1]):
+                spread = np.fft.ifft2(np.fft.fft2(one) * np.fft.fft2(other)).real
+                found = np.rint(spread).astype(np.int64)
+                at = np.nonzero(found)
+                total += (1 + (i != j)) * int((found[at].astype(object) * values[at]).sum()) << (i + j + DIGIT * (p + q))
+    return total
+
+
+def _digits(counts: np.ndarray) -> list[np.ndarray]:
+    out = []
+    while counts.any():
+        out.append(counts & ((1 << DIGIT) - 1))
+        counts = counts >> DIGIT
+    return out

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chromaloom.functions.numbers import sum_of_product_residues
+from chromaloom.functions.ordered import ranked
+
 
 def cluster_summary(clusters: DataFrame, contigs: DataFrame) -> DataFrame:
     """``cluster_id, n, len, share``: members, bases, and the share of all bases in clusters of its kind."""
@@ -21,28 +25,43 @@ def cluster_totals(clusters: DataFrame, contigs: DataFrame) -> DataFrame:
     return found.crossJoin(every).select("n_clusters", "n_singletons", "n_clustered", "len_clustered", (F.col("n_clustered") / F.col("n_all")).alias("share_n"), (F.col("len_clustered") / F.col("len_all")).alias("share_len"))
 
 
-def _weight(a: str, b: str):
-    return F.shiftright(F.col(a) * F.col(b), 20)
+#: A pair of contigs weighs the product of their lengths, without its last bits.
+WEIGHT_BITS = 20
+
+
+def _pair_weights(sized: DataFrame, keys: list[str]) -> DataFrame:
+    """One row, ``w``: the weights of all ordered pairs within the groups of ``keys`` (all contigs without keys), a contig with itself too.
+
+    The sum of the whole parts of products over a power of two follows from the
+    square of the sum and the products' residues, which depend on the residues
+    of the lengths only; a group has no more of them than that power.
+    """
+    whole = 1 << WEIGHT_BITS
+    residues = sized.groupBy(*keys, (F.col("len") % whole).alias("r")).agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("len"))
+    grouped = residues.withColumn("__all", F.lit(0)).groupBy("__all", *keys)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        length = sum(map(int, rows["len"]))
+        return pd.DataFrame({"w": [length * length - sum_of_product_residues(rows["r"].to_numpy(), rows["n"].to_numpy(), WEIGHT_BITS) >> WEIGHT_BITS]})
+
+    return grouped.applyInPandas(run, "w long").agg(F.sum("w").alias("w"))
 
 
 def enrichment(links: DataFrame, clusters: DataFrame, contigs: DataFrame) -> DataFrame:
     """``intra_density, inter_density, enrichment`` over all ordered pairs of clustered contigs, each with itself too.
 
-    The pairs are not listed.  Contigs of equal cluster and length weigh the
-    same, so the weights of all pairs are summed over pairs of lengths, of which
-    there are few, and only pairs with links add to the numerator.
+    Only pairs with links are listed, for the numerators; the weights of all
+    pairs are summed from residues of lengths.
     """
     sized = clusters.join(contigs, "tid").select("tid", "cluster_id", "len")
     one = sized.select(F.col("tid").alias("i"), F.col("cluster_id").alias("ci"), F.col("len").alias("li"))
     two = sized.select(F.col("tid").alias("j"), F.col("cluster_id").alias("cj"), F.col("len").alias("lj"))
-    linked = links.join(one, "i").join(two, "j").select((F.col("ci") == F.col("cj")).alias("same"), _weight("li", "lj").alias("w"), "z")
+    weight = F.call_function("shiftright", F.col("li") * F.col("lj"), F.lit(WEIGHT_BITS))
+    linked = links.join(one, "i").join(two, "j").select((F.col("ci") == F.col("cj")).alias("same"), weight.alias("w"), "z")
     top = linked.groupBy("same").agg(F.sum(F.col("w") * F.col("z")).cast("double").alias("wz"))
-    lengths = sized.groupBy("len").agg(F.count(F.lit(1)).alias("n"))
-    everywhere = lengths.alias("a").crossJoin(lengths.alias("b")).agg(F.sum(F.shiftright(F.col("a.len") * F.col("b.len"), 20) * F.col("a.n") * F.col("b.n")).alias("w_all"))
-    inside = sized.groupBy("cluster_id", "len").agg(F.count(F.lit(1)).alias("n"))
-    within = inside.alias("a").join(inside.alias("b"), F.col("a.cluster_id") == F.col("b.cluster_id")).agg(F.sum(F.shiftright(F.col("a.len") * F.col("b.len"), 20) * F.col("a.n") * F.col("b.n")).alias("w_in"))
+    everywhere, within = _pair_weights(sized, []).withColumnRenamed("w", "w_all"), _pair_weights(sized, ["cluster_id"]).withColumnRenamed("w", "w_in")
     sums = top.agg(F.coalesce(F.sum(F.when(F.col("same"), F.col("wz"))), F.lit(0.0)).alias("in"), F.coalesce(F.sum(F.when(~F.col("same"), F.col("wz"))), F.lit(0.0)).alias("out"))
-    joined = sums.crossJoin(everywhere).crossJoin(within)
+    joined = sums.crossJoin(everywhere).crossJoin(within)  # one row each
     intra, inter = F.col("in") / F.col("w_in"), F.col("out") / (F.col("w_all") - F.col("w_in"))
     return joined.select(intra.alias("intra_density"), inter.alias("inter_density"), (intra / inter).alias("enrichment"))
 
@@ -77,15 +96,14 @@ def misclustered(clusters: DataFrame, contigs: DataFrame, truth: DataFrame) -> D
 
 
 def linkage(links: DataFrame, clusters: DataFrame, tids: DataFrame) -> DataFrame:
-    """``tid, cluster_id, linkage, k``: mean links of a contig to each cluster's members, ranked; ties by cluster.
+    """``tid, cluster_id, linkage, k``: mean links of a contig to the members of each cluster that it has links to, ranked; ties by cluster.
 
-    Clusters without a link have linkage 0 and come last.
+    Clusters without a link have linkage 0 and rank below; they have no row, so
+    the rows grow with the links.
     """
-    sums = links.join(tids.select(F.col("tid").alias("i")), "i", "left_semi").join(clusters.select(F.col("tid").alias("j"), "cluster_id"), "j").groupBy(F.col("i").alias("tid"), "cluster_id").agg(F.sum("z").alias("z"))
+    sums = links.where("z > 0").join(tids.select(F.col("tid").alias("i")), "i", "left_semi").join(clusters.select(F.col("tid").alias("j"), "cluster_id"), "j").groupBy(F.col("i").alias("tid"), "cluster_id").agg(F.sum("z").alias("z"))
     size = clusters.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
-    # every contig against every cluster is the result itself; clusters are few
-    grid = tids.select("tid").crossJoin(size).join(sums, ["tid", "cluster_id"], "left")
-    scored = grid.select("tid", "cluster_id", (F.coalesce("z", F.lit(0)) / F.col("n")).alias("linkage"))
+    scored = sums.join(size, "cluster_id").select("tid", "cluster_id", (F.col("z") / F.col("n")).alias("linkage"))
     return scored.withColumn("k", F.row_number().over(Window.partitionBy("tid").orderBy(F.desc("linkage"), "cluster_id")).cast("bigint"))
 
 
@@ -109,7 +127,7 @@ def assign_noninformative(links: DataFrame, clusters: DataFrame, contigs: DataFr
 def canonical(clusters: DataFrame, contigs: DataFrame) -> DataFrame:
     """``old_id, new_id``: clusters numbered by falling length; ties by the old number."""
     sums = clusters.join(contigs, "tid").groupBy(F.col("cluster_id").alias("old_id")).agg(F.sum("len").alias("len"))
-    return sums.select("old_id", (F.row_number().over(Window.orderBy(F.desc("len"), "old_id")) - 1).cast("bigint").alias("new_id"))
+    return ranked(sums, [F.desc("len"), "old_id"], "new_id").select("old_id", "new_id")
 
 
 def sorted_members(clusters: DataFrame) -> DataFrame:
@@ -120,12 +138,14 @@ def sorted_members(clusters: DataFrame) -> DataFrame:
 def sort_by_median(clusters: DataFrame) -> DataFrame:
     """``cluster_id, median, new_id``: clusters by the upper median of their sorted members; ties by number."""
     medians = sorted_members(clusters).select("cluster_id", F.col("members")[F.floor(F.size("members") / 2).cast("int")].alias("median"))
-    return medians.withColumn("new_id", (F.row_number().over(Window.orderBy("median", "cluster_id")) - 1).cast("bigint"))
+    return ranked(medians, ["median", "cluster_id"], "new_id")
 
 
 def sort_by_smallest(clusters: DataFrame) -> DataFrame:
     """``cluster_id, new_id``: clusters in the lexicographic order of their sorted members."""
-    return sorted_members(clusters).select("cluster_id", (F.row_number().over(Window.orderBy("members")) - 1).cast("bigint").alias("new_id"))
+    # a contig is in one cluster, so the least members tell clusters apart
+    least = clusters.groupBy("cluster_id").agg(F.min("tid").alias("first"))
+    return ranked(least, ["first"], "new_id").select("cluster_id", "new_id")
 
 
 def without_singletons(clusters: DataFrame) -> DataFrame:
@@ -147,5 +167,5 @@ def cluster_lines(clusters: DataFrame, names: DataFrame | None = None) -> DataFr
 def dense_ids(clusters: DataFrame) -> DataFrame:
     """Clusters numbered by their least member, as sets come up when contigs are read in order."""
     first = clusters.groupBy("cluster_id").agg(F.min("tid").alias("first"))
-    numbered = first.select("cluster_id", (F.row_number().over(Window.orderBy("first")) - 1).cast("bigint").alias("new_id"))
+    numbered = ranked(first, ["first"], "new_id").select("cluster_id", "new_id")
     return clusters.join(numbered, "cluster_id").select("tid", F.col("new_id").alias("cluster_id"))

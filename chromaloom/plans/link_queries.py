@@ -57,7 +57,7 @@ def _assigned(s, d):
 
 def _linkage(s, d):
     outside = view(s, d, "contigs").join(view(s, d, "clusters").select("tid"), "tid", "left_anti")
-    return C.linkage(norm(s, d), view(s, d, "clusters"), outside).where("linkage > 0").select("tid", "cluster_id", "linkage", "k")
+    return C.linkage(norm(s, d), view(s, d, "clusters"), outside).select("tid", "cluster_id", "linkage", "k")
 
 
 #: name: (query, check)
