@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chromaloom.functions.numbers import floor_log2
-from chromaloom.functions.ordered import ranked
+from chromaloom.functions.ordered import dealt, ranked, running_sum
 from chromaloom.functions.sequences import reverse_complement
 from chromaloom.operators.links import local_ids
 
@@ -254,18 +254,43 @@ def scaffolds(ordering: DataFrame, sequences: DataFrame, default_gap: int = 1000
     return grouped.select("cluster_id", F.array_join(F.transform("x", lambda x: x["piece"]), "").alias("seq"))
 
 
-def scaffold_pieces(ordering: DataFrame, sequences: DataFrame, default_gap: int = 1000) -> DataFrame:
+def scaffold_pieces(ordering: DataFrame, sequences: DataFrame, default_gap: int = 1000, parts: int | None = None) -> DataFrame:
     """``cluster_id, pos, start, piece``: each contig turned as it is placed, with the gap after it, and where it begins in its scaffold.
 
-    Written in the order of ``cluster_id, pos`` the pieces are the scaffolds, so one of any length needs no single row.
+    Written in the order of ``cluster_id, pos`` the pieces are the scaffolds, so
+    one of any length needs no single row.  Places are added up over ranges from
+    lengths; sequences are joined to them and not sorted.
     """
-    w = Window.partitionBy("cluster_id").orderBy("pos")
-    turned = F.when(F.col("rc"), reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
     gap = F.coalesce(F.col("gap"), F.lit(default_gap)) if "gap" in ordering.columns else F.lit(default_gap)
-    placed = ordering.join(sequences, "tid").select("cluster_id", "pos", turned.alias("s"), gap.cast("int").alias("gap"))
-    rows = placed.select("cluster_id", "pos", F.when(F.lead("pos").over(w).isNull(), F.col("s")).otherwise(F.concat("s", F.repeat(F.lit("N"), F.col("gap")))).alias("piece"))
-    start = F.coalesce(F.sum(F.length("piece")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.select("cluster_id", "pos", start.alias("start"), "piece")
+    sized = ordering.select("cluster_id", "pos", "tid", "rc", gap.cast("int").alias("gap")).join(sequences.select("tid", F.length("seq").alias("size")), "tid")
+    last = sized.groupBy("cluster_id").agg(F.max("pos").alias("last"))
+    ended = sized.join(last, "cluster_id").withColumn("gap", F.when(F.col("pos") < F.col("last"), F.col("gap")).otherwise(0)).drop("last")
+    placed = running_sum(dealt(ended, ["cluster_id", "pos"], parts), ["cluster_id"], F.col("size") + F.col("gap"), "stop")
+    joined = placed.join(sequences.select("tid", "seq"), "tid")
+    turned = F.when(F.col("rc"), reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
+    return joined.select("cluster_id", "pos", (F.col("stop") - F.col("size") - F.col("gap")).alias("start"), F.concat(turned, F.repeat(F.lit("N"), F.col("gap"))).alias("piece"))
+
+
+def scaffold_lines(pieces: DataFrame, width: int = 80, prefix: str = "group") -> DataFrame:
+    """``cluster_id, line_no, line``: FASTA lines of the scaffolds of :func:`scaffold_pieces`, the header as line 0.
+
+    N at the end of a scaffold go, also where they are those of several pieces.
+    A piece knows its place, so it is cut into lines by itself; only the lines
+    that two or more pieces share are put together.
+    """
+    held = F.length(F.regexp_replace("piece", "N+$", ""))
+    ends = pieces.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.when(held > 0, F.col("start") + held)), F.lit(0)).alias("size"))
+    header = F.concat(F.lit(f">{prefix}"), "cluster_id", F.lit("__"), "n", F.lit("_contigs__length_"), "size")
+    heads = ends.select("cluster_id", F.lit(0).cast("bigint").alias("line_no"), header.alias("line"))
+    cut = pieces.join(ends, "cluster_id").where("start < size").withColumn("stop", F.least(F.col("start") + F.length("piece"), F.col("size"))).where("start < stop")
+    lines = F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width))
+    each = cut.withColumn("k", F.explode(lines))
+    first, after = F.greatest(F.col("k") * width, F.col("start")), F.least((F.col("k") + 1) * width, F.col("stop"))
+    text = F.substring("piece", (first - F.col("start") + 1).cast("int"), (after - first).cast("int"))
+    segments = each.select("cluster_id", (F.col("k") + 1).alias("line_no"), first.alias("first"), text.alias("line"), (after - first == width).alias("whole"))
+    shared = segments.where("not whole").groupBy("cluster_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("first", "line"))).alias("x"))
+    joined = shared.select("cluster_id", "line_no", F.array_join(F.transform("x", lambda x: x["line"]), "").alias("line"))
+    return heads.unionByName(segments.where("whole").select("cluster_id", "line_no", "line")).unionByName(joined)
 
 
 def genome_order(truth: DataFrame) -> DataFrame:

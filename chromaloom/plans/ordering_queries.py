@@ -58,9 +58,17 @@ def _names(s, d):
     return T.match_names(nations.select(F.col("n_name").alias("name")), chromosomes)
 
 
-def _scaffolds(s, d):
+def _placed(s, d):
     sequences = view(s, d, "contigs").select("tid", F.translate(F.md5("name"), "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq"))
-    return O.scaffolds(view(s, d, "ordering").withColumn("gap", F.when(F.col("tid") % 4 > 0, F.col("tid") % 6)), sequences, 10).select("cluster_id", F.md5("seq").alias("md5"), F.length("seq").cast("bigint").alias("size"))
+    return view(s, d, "ordering").withColumn("gap", F.when(F.col("tid") % 4 > 0, F.col("tid") % 6)), sequences, 10
+
+
+def _scaffolds(s, d):
+    return O.scaffolds(*_placed(s, d)).select("cluster_id", F.md5("seq").alias("md5"), F.length("seq").cast("bigint").alias("size"))
+
+
+def _scaffold_lines(s, d):
+    return O.scaffold_lines(O.scaffold_pieces(*_placed(s, d)))
 
 
 _ORDERED = ("cluster_id", "tid", "pos", "rc")
@@ -121,6 +129,10 @@ REGISTRY = {
     "ordering_size": (_v("ordering clusters contigs", O.ordering_size), duckdb_text("select c.cluster_id, 100.0e0 * count(o.tid) / count(*) as pct_n, 100.0e0 * sum(case when o.tid is not null then len else 0 end) / sum(len) as pct_len from clusters c join contigs k on c.tid = k.tid left join ordering o on o.tid = c.tid group by 1")),
     "scaffold_build": (_scaffolds, duckdb_text(f"""select cluster_id, md5(seq) as md5, length(seq) as size from (select cluster_id, regexp_replace(string_agg(case when rc then translate(reverse(s), 'ACGT', 'TGCA') else s end || repeat('N', case when tid % 4 > 0 then tid % 6 else 10 end), '' order by pos), 'N+$', '') as seq
       from (select o.*, {_SEQ} as s from ordering o join contigs k on o.tid = k.tid) x group by 1) y""")),
+    "scaffold_lines": (_scaffold_lines, duckdb_text("""select cluster_id, 0 as line_no, '>group' || cluster_id || '__' || n || '_contigs__length_' || length(seq) as line from sc
+      union all select cluster_id, k as line_no, substr(seq, cast((k - 1) * 80 + 1 as int), 80) as line from (select cluster_id, seq, unnest(range(1, (length(seq) + 79) // 80 + 1)) as k from sc) y""",
+      sc=f"""select cluster_id, count(*) as n, regexp_replace(string_agg(case when rc then translate(reverse(s), 'ACGT', 'TGCA') else s end || repeat('N', case when tid % 4 > 0 then tid % 6 else 10 end), '' order by pos), 'N+$', '') as seq
+      from (select o.*, {_SEQ} as s from ordering o join contigs k on o.tid = k.tid) x group by 1""")),
     "genome_order": (_v("truth", O.genome_order), duckdb_text("select tid, row_number() over (order by chrom nulls last, case when chrom is null then 0 else (t0 + t1) // 2 end, tid) - 1 as rank from truth")),
     "top_contigs": (lambda s, d: O.top_contigs(view(s, d, "contigs"), 50).select("tid", "len"), duckdb_text("select tid, len from contigs where len >= (select len from contigs order by len desc limit 1 offset 50)")),
     "heatmap_cells": (lambda s, d: O.heatmap_cells(norm(s, d), view(s, d, "ordering"), view(s, d, "contigs"), O.PLOT_N), duckdb_text("""select a.x, b.x as y, coalesce(z, 0) / 1000.0e0 as z from k a cross join k b left join norm on i = a.tid and j = b.tid where a.x <> b.x""", glm=GLM, norm=NORM, k="select o.tid, row_number() over (order by cluster_id, pos) - 1 as x from ordering o join (select tid, row_number() over (order by len desc, tid) as r from contigs) c on o.tid = c.tid where r <= 1001")),

@@ -1,12 +1,13 @@
 """Writing results: Parquet by group, and text files for other tools.
 
-Text files are one file in order, so their lines come together in one task; the
-Parquet tables are the form that later steps read.
+A text is a folder of part files, dealt by ranges of its order: the parts one
+after another, by name, are the text.  The Parquet tables are the form that
+later steps read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chromaloom.functions.sequences import wrapped
@@ -18,15 +19,29 @@ def write_table(rows: DataFrame, path: str, by: str | None = None) -> None:
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
-def write_lines(rows: DataFrame, path: str, order: list[str], line: str = "line", header: list[str] | None = None) -> None:
-    """One text file of a column's lines in order, below header lines."""
+def write_lines(rows: DataFrame, path: str, order: list[str], line: str = "line", header: list[str] | None = None, parts: int | None = None) -> None:
+    """A text of a column's lines in order, below header lines, in as many part files as there are ranges.
+
+    Part files are named in order; those of one text, put one after another, are
+    the text in one file (see :func:`part_offsets`).
+    """
     body = rows.select(F.lit(1).alias("__part"), *order, F.col(line).alias("value"))
     if header:
         spark = rows.sparkSession
         head = spark.createDataFrame([(0, k, h) for k, h in enumerate(header)], "__part int, __k int, value string")
         body = head.unionByName(body, allowMissingColumns=True)
         order = ["__k", *order]
-    body.repartition(1).sortWithinPartitions("__part", *order).select("value").write.mode("overwrite").text(path)
+    keys = ["__part", *order]
+    dealt = body.repartitionByRange(parts, *keys) if parts else body.repartitionByRange(*keys)
+    dealt.sortWithinPartitions(*keys).select("value").write.mode("overwrite").text(path)
+
+
+def part_offsets(spark: SparkSession, path: str) -> DataFrame:
+    """``file, start, size``: the part files of a text in order, with the byte of the text where each begins; no content is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.col("path").alias("file"), F.col("length").alias("size"))
+    # a row for each part
+    before = F.sum("size").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    return files.select("file", F.coalesce(before, F.lit(0)).alias("start"), "size")
 
 
 def write_link_matrix(links: DataFrame, path: str, n_contigs: int, source: str = "") -> None:
@@ -53,6 +68,11 @@ def write_fasta(sequences: DataFrame, path: str, width: int = 80) -> None:
     write_lines(sequences.select("name", F.concat(F.lit(">"), "name", F.lit("\n"), wrapped(F.col("seq"), width)).alias("line")), path, ["name"])
 
 
+def write_scaffolds(lines: DataFrame, path: str, parts: int | None = None) -> None:
+    """The lines of :func:`chromaloom.operators.orderings.scaffold_lines` as FASTA; no scaffold is held whole."""
+    write_lines(lines, path, ["cluster_id", "line_no"], parts=parts)
+
+
 def write_graph(edges: DataFrame, path: str, directed: bool = False) -> None:
     """Edges ``a, b`` as a graph description for plotting tools."""
     arrow = "->" if directed else "--"
