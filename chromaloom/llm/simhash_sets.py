@@ -15,7 +15,7 @@ there prune, then the full Hamming distance, and the shingle sets decide.
 Only components are wanted, so not all pairs of a bucket are looked at.  First
 every text meets its bucket's leader.  Then rounds follow in which a text meets
 those texts of its buckets that are of another component so far and pass the
-chains, the nearest one at first and four times as many each round, until no
+chains, the nearest few at first and more each round, until no
 such pair is left that has not been decided.  A bucket whose texts are all of one
 component has no more work, and no link between components is lost.
 """
@@ -38,7 +38,7 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Segments of a ring, shingles drawn for each, and bits of a segment that may differ on average.
 SEGMENTS, DRAWN, BUDGET = 32, 3, 8
 #: Nearest texts of other components that a text meets in the first round, and how many times as many in each later one.
-NEAREST, GROWTH = 1, 4
+NEAREST, GROWTH = 4, 8
 #: Buckets of more texts are compared in pairs of parts of about this size; rows that are compared with a bucket at once.
 BUCKET_ROWS, ROWS_AT_ONCE = 4096, 32
 SEED = 42
@@ -212,20 +212,26 @@ def _links(buckets: DataFrame, texts: DataFrame, sets: DataFrame, similarity: fl
     leaders = buckets.groupBy("key").agg(F.min(order).alias("first")).select("key", F.col("first.node").alias("leader"))
     met = buckets.join(leaders.hint("merge"), "key").where("node != leader").select("start", *_pair(F.col("node"), F.col("leader")))
     decided = written(_candidates(met, texts), "candidates")
-    links = written(_verified(decided, sets, similarity), "links")
-    nearest = NEAREST
+    roots = components(written(_verified(decided, sets, similarity), "links"))
+    nodes, nearest = buckets.select("node").distinct(), NEAREST
+    labels = written(nodes.join(roots.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("label")), "labels")
     while True:
-        roots = components(links)
-        labelled = buckets.select("key", "start", "node", "n").join(roots.hint("merge"), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        labelled = buckets.select("key", "start", "node", "n").join(labels.hint("merge"), "node")
         mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("key")
         open_rows = labelled.join(mixed.hint("merge"), "key", "left_semi").join(texts.select("node", "ring").hint("merge"), "node")
         pairs = written(_met(_in_parts(open_rows), nearest).distinct(), "met")
         # pairs that have been decided and failed are met again, so more are asked for each time
-        fresh = written(pairs.where("u is not null").join(decided, ["u", "v"], "left_anti"), "fresh")
+        fresh = written(pairs.where("u is not null").join(decided.hint("merge"), ["u", "v"], "left_anti"), "fresh")
         if fresh.isEmpty() and pairs.where("u is null").isEmpty():
-            return roots
+            return labels.withColumnRenamed("label", "root")
+        links = written(_verified(fresh, sets, similarity), "links")
+        if not links.isEmpty():
+            # components are joined, not found anew: links lead between their least nodes
+            ends = [labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")).hint("merge") for c in "uv"]
+            between = links.join(ends[0], "u").join(ends[1], "v").select(F.col("u_label").alias("u"), F.col("v_label").alias("v"))
+            joined = components(between).withColumnRenamed("node", "label")
+            labels = written(labels.join(joined.hint("merge"), "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
         decided = decided.unionByName(fresh)
-        links = links.unionByName(written(_verified(fresh, sets, similarity), "links"))
         nearest *= GROWTH
 
 
