@@ -227,7 +227,8 @@ def resample(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, longest
     totals = [{r["bucket"]: r["n"] for r in bucket_totals(*side, buckets, longest).collect()} for side in ((docs, text_column), (target, target_text))]
     scored = weights(docs, bucket_gains(*totals, buckets), longest, id_column, text_column)
     scored = scored.select("id", "n_features", "weight", (F.col("weight") + gumbel(F.col("id"), seed)).alias("score"), (F.col("n_words") >= least_words).alias("eligible"))
-    placed = ranked(scored, [F.desc("eligible"), F.desc("score"), F.asc_nulls_last("id")], "place")
+    # numbers only, written: dealing by range looks at them twice
+    placed = ranked(written(scored, "weights"), [F.desc("eligible"), F.desc("score"), F.asc_nulls_last("id")], "place")
     drawn = placed.agg(F.count_if("eligible")).head()[0] * percent // 100
     rank = F.when(F.col("place") <= drawn, F.col("place")).cast("long")
     return placed.select(F.col("id").alias(id_column), "n_features", "weight", "score", rank.alias("rank"))
