@@ -18,6 +18,9 @@ LEAST, OCTAVES, PER_OCTAVE = 4096, 16, 16
 PER_AREA = 1e6
 #: Gaps are tried in steps of GAP_STEP below MOST_GAP.
 GAP_STEP, MOST_GAP = 1000, 10_000_000
+#: Gaps of a range that has one bound, from the first splitting to the last; ranges looked into before others are let go;
+#: values closer than this may be equal to five places.
+RANGES, PROMISING, TIE = (256, 64, 16, 4), 4, 2e-5
 
 
 def link_bin(distance: Column) -> Column:
@@ -119,8 +122,12 @@ class GapSearch:
 
     def expected(self, gaps: np.ndarray, len1: int, len2: int, enrichment: float) -> np.ndarray:
         """Links expected in each bin with a density, a row for each gap; see :func:`expected_between`."""
+        return self._expected(gaps[:, None], len1, len2, enrichment)
+
+    def _expected(self, g: np.ndarray, len1: int, len2: int, enrichment: float) -> np.ndarray:
+        """The same for gaps by row and bin."""
         short, long = sorted((len1, len2))
-        g, start, stop = gaps[:, None], self.start[None, :], self.stop[None, :]
+        start, stop = self.start[None, :], self.stop[None, :]
 
         def part(low, high, height):
             return (high - low) * height((low + high) // 2)
@@ -149,6 +156,73 @@ class GapSearch:
         return value, used
 
 
+    def bounds(self, first: np.ndarray, last: np.ndarray, len1: int, len2: int, enrichment: float, dists: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """For each range of gaps a value that no log-likelihood in it exceeds.
+
+        The links expected in a bin rise with the gap up to the one at which the
+        bin lies amid the trapezoid, and fall from there; the links seen in it
+        lie between counts of distances.  Of all these pairs of expected and
+        seen links the likeliest is the one with fewest expected.
+        """
+        ends = [self.expected(g, len1, len2, enrichment) for g in (first, last)]
+        amid = (self.start + self.stop - len1 - len2) // 2
+        top = np.maximum(*(self._expected(np.maximum(amid + k, 0)[None, :], len1, len2, enrichment) for k in (0, 1)))
+        inside = (first[:, None] <= amid + 1) & (amid <= last[:, None])
+        # middles are rounded down to whole places, by less than one place over the bin's width
+        slack = (self.stop - self.start) * self.density / PER_AREA * enrichment
+        low = np.minimum(*ends) - slack
+        high = np.where(inside, np.maximum(np.maximum(*ends), top), np.maximum(*ends)) + slack
+        below = np.r_[0, np.cumsum(counts)]
+        upto = [below[np.searchsorted(dists, self.least[None, :] - g[:, None])] for g in (first, last)]
+        most = (upto[0][:, 1:] - upto[1][:, :-1])[:, self.bin]
+        fewest = np.maximum(upto[1][:, 1:] - upto[0][:, :-1], 0)[:, self.bin]
+        # a probability is at most one, and a bin that expects nothing is passed over
+        fits, out = low > 0, np.full(low.shape, -np.inf)
+        least = np.where(fits, low, 1.0)
+        for near in (np.floor(least), np.ceil(least)):
+            k = np.clip(near.astype(np.int64), fewest, most)
+            m = np.clip(k, least, np.where(fits, high, 1.0))
+            out = np.maximum(out, k * np.log(m) - m - _log_factorials(int(k.max(initial=1)))[k])
+        return np.where(fits, np.minimum(out, 0.0), 0.0).sum(axis=1)
+
+    def best(self, gaps: np.ndarray, len1: int, len2: int, enrichment: float, dists: np.ndarray, counts: np.ndarray) -> tuple[int, float, int] | None:
+        """The most likely of ascending gaps, the smallest of those equal to five places, its log-likelihood, and how many gaps were evaluated.
+
+        Ranges of gaps are split while their bounds reach the best value so far;
+        those that do not are never looked into.
+        """
+        rest, best, seen = np.stack([np.arange(0, len(gaps), RANGES[0]), np.minimum(np.arange(0, len(gaps), RANGES[0]) + RANGES[0], len(gaps))], axis=1), -np.inf, {}
+
+        def look(at: np.ndarray) -> None:
+            nonlocal best
+            values, used = self.log_likelihoods(gaps[at], len1, len2, enrichment, dists, counts)
+            seen.update(zip(at.tolist(), np.where(used, values, -np.inf).tolist(), strict=True))
+            best = max(best, values[used].max(initial=-np.inf))
+
+        for size in [*RANGES[1:], 0]:
+            if not len(rest):
+                break
+            middle = rest.sum(axis=1) // 2
+            bound = self.bounds(gaps[rest[:, 0]], gaps[rest[:, 1] - 1], len1, len2, enrichment, dists, counts)
+            # the most promising ranges first: what they have lets the others go
+            order = np.argsort(-bound)
+            if len(fresh := np.setdiff1d(middle[order[:PROMISING]], list(seen))):
+                look(fresh)
+            rest = rest[bound >= best - TIE]
+            if size:
+                begin = np.concatenate([np.arange(a, b, size) for a, b in rest.tolist()]) if len(rest) else rest[:, 0]
+                end = np.concatenate([np.minimum(np.arange(a, b, size) + size, b) for a, b in rest.tolist()]) if len(rest) else rest[:, 0]
+                rest = np.stack([begin, end], axis=1)
+        left = np.setdiff1d(np.concatenate([np.arange(a, b) for a, b in rest.tolist()]) if len(rest) else np.zeros(0, dtype=np.int64), list(seen)).astype(np.int64)
+        if len(left):
+            look(left)
+        found = sorted((k, v) for k, v in seen.items() if v > -np.inf)
+        if not found:
+            return None
+        at, value = found[int(np.argmax(np.round([v for _, v in found], 5)))]
+        return int(gaps[at]), value, len(seen)
+
+
 @lru_cache(maxsize=8)
 def _log_factorials_to(most: int) -> np.ndarray:
     return np.r_[0.0, np.cumsum(np.log(np.arange(1, most + 1)))]
@@ -171,7 +245,7 @@ def _by_pair(links: DataFrame) -> DataFrame:
 
 
 def _searched(links: DataFrame, lsd: DataFrame, step: int, most: int | None, result, schema: str) -> DataFrame:
-    """``result(pair, gaps, values)`` for each pair of contigs with links: one kernel call a pair, no rows of gaps in Spark."""
+    """``result(search, pair, gaps, x)`` for each pair of contigs with links, ``x`` what the search takes besides gaps."""
     # 256 bins at most
     sizes = [(r["bin"], r["start"], r["stop"], r["density"]) for r in lsd.select("bin", "start", "stop", "density").collect()]
 
@@ -180,9 +254,7 @@ def _searched(links: DataFrame, lsd: DataFrame, step: int, most: int | None, res
         for rows in batches:
             for row in rows.itertuples(index=False):
                 dists, counts = (np.array([x[name] for x in row.x], dtype=np.int64) for name in ("dist", "k"))
-                gaps = _gap_grid(int(dists[-1]), step, most)
-                values, used = search.log_likelihoods(gaps, int(row.len1), int(row.len2), float(row.enrichment), dists, counts)
-                yield result(row.pair, gaps[used], values[used])
+                yield result(search, row.pair, _gap_grid(int(dists[-1]), step, most), (int(row.len1), int(row.len2), float(row.enrichment), dists, counts))
 
     return _by_pair(links).mapInPandas(run, f"pair {links.schema['pair'].dataType.simpleString()}, {schema}")
 
@@ -194,18 +266,22 @@ def gap_likelihood(links: DataFrame, lsd: DataFrame, step: int = GAP_STEP, most:
     where no link is expected are passed over; a gap where none is has no row.
     """
 
-    def result(pair, gaps: np.ndarray, values: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"pair": [pair] * len(gaps), "gap": gaps, "ll": values})
+    def result(search: GapSearch, pair, gaps: np.ndarray, x: tuple) -> pd.DataFrame:
+        values, used = search.log_likelihoods(gaps, *x)
+        return pd.DataFrame({"pair": [pair] * int(used.sum()), "gap": gaps[used], "ll": values[used]})
 
     return _searched(links, lsd, step, most, result, "gap long, ll double")
 
 
 def gap_size(links: DataFrame, lsd: DataFrame, step: int = GAP_STEP, most: int | None = MOST_GAP - GAP_STEP) -> DataFrame:
-    """``pair, gap, ll``: the most likely gap of the links of :func:`gap_likelihood`; the smallest of those equal to five places."""
+    """``pair, gap, ll``: the most likely gap of the links of :func:`gap_likelihood`; the smallest of those equal to five places.
+
+    All gaps of the grid are covered, most of them by bounds on ranges of gaps.
+    """
 
-    def result(pair, gaps: np.ndarray, values: np.ndarray) -> pd.DataFrame:
-        at = int(np.argmax(np.round(values, 5))) if len(values) else None
-        return pd.DataFrame({"pair": [pair][: len(values)], "gap": gaps[at : at + 1] if len(values) else gaps, "ll": values[at : at + 1] if len(values) else values})
+    def result(search: GapSearch, pair, gaps: np.ndarray, x: tuple) -> pd.DataFrame:
+        found = search.best(gaps, *x)
+        return pd.DataFrame({"pair": [pair] * (found is not None), "gap": [found[0]] if found else np.zeros(0, dtype=np.int64), "ll": [found[1]] if found else np.zeros(0)})
 
     return _searched(links, lsd, step, most, result, "gap long, ll double")
 
