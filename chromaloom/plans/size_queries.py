@@ -141,11 +141,23 @@ def _near_sites(s, d):
     return overlap_join(reads, sites, "chr_id").select("id1", "chr_id").distinct()
 
 
+def _chromosomes(s, d):
+    """The chromosomes with the contigs that lie on them."""
+    placed = view(s, d, "truth").where("chrom is not null").groupBy(F.col("chrom").alias("chrom_id")).agg(F.count(F.lit(1)).alias("n"))
+    rows = genome.chromosomes(s).join(genome.centromeres(s), "name").join(placed, "chrom_id", "left")
+    return rows.select("chrom_id", "name", F.col("len").alias("size"), "start", "middle", F.coalesce("n", F.lit(0)).alias("n_contigs"))
+
+
+def _bins(s, d):
+    """The bins of link sizes with the links in them."""
+    return Z.bins(s).join(Z.histogram(far_pairs(s, d)), "bin", "left").select("bin", "start", "stop", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 _CHROMS = ", ".join(f"({k}, '{n}', {size}, {genome.CENTROMERES[n]})" for k, (n, size) in enumerate(genome.LENGTHS))
 
 REGISTRY = {
-    "chrom_dim": (lambda s, d: genome.chromosomes(s).join(genome.centromeres(s), "name").select("chrom_id", "name", F.col("len").alias("size"), "start", "middle"), duckdb_text(f"select chrom_id, name, cast(size as bigint) as size, cast(start as bigint) as start, cast(start + 1500000 as bigint) as middle from (values {_CHROMS}) x(chrom_id, name, size, start)")),
-    "lsd_bins": (lambda s, d: Z.bins(s), duckdb_text("select * from bins", bins=BINS)),
+    "chrom_dim": (_chromosomes, duckdb_text(f"select chrom_id, name, cast(size as bigint) as size, cast(start as bigint) as start, cast(start + 1500000 as bigint) as middle, coalesce(n, 0) as n_contigs from (values {_CHROMS}) x(chrom_id, name, size, start) left join (select chrom, count(*) as n from truth where chrom is not null group by 1) t on chrom = chrom_id")),
+    "lsd_bins": (_bins, duckdb_text("select b.bin, b.start, b.stop, coalesce(n, 0) as n from bins b left join hist h on b.bin = h.bin", bins=BINS, numbered=NUMBERED, far=FAR, hist=HIST)),
     "link_bin": (lambda s, d: view(s, d, "intervals").select("id", Z.link_bin(F.col("a") * 7 + 1).alias("bin")), duckdb_text("select id, cast(case when a * 7 + 1 < 4096 then -1 else floor(16 * log2((a * 7 + 1) / 4096.0e0)) end as int) as bin from intervals")),
     "link_size_hist": (lambda s, d: Z.histogram(far_pairs(s, d)), duckdb_text("select * from hist", numbered=NUMBERED, far=FAR, hist=HIST)),
     "link_density": (lambda s, d: lsd(s, d).withColumn("density", F.round(F.col("density") * 1e6, 6)), duckdb_text("select bin, start, stop, round(density * 1e6, 6) as density from lsd", **CHAIN)),
