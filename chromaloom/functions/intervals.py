@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chromaloom.functions.ordered import PART, dealt, earlier, met, running_sum, within
+from chromaloom.functions.ordered import AT, PART, dealt, earlier, met, running_sum, within
 
 #: Bins are nested: the finest hold 2 ** FINEST bases, those of each level above 2 ** STEP times as many, the top everything.
 FINEST, STEP, TOP = 12, 3, 17
@@ -148,6 +148,36 @@ def merged(rows: DataFrame, chrom: str, a: str, b: str, gap: int = 0, same: list
     return islands.groupBy(*keys, "__island").agg(F.min("__a").alias("start"), F.max("__b").alias("stop"), F.sum("__n").alias("n")).drop("__island")
 
 
+def merged_calls(rows: DataFrame, chrom: str, a: str, b: str, values: list[str], gap: int = 0, parts: int | None = None) -> DataFrame:
+    """``chrom, values, start, stop, n``: calls in order, joined while the next has the same values and lies ``gap`` bases from the joined ones at most.
+
+    Unlike :func:`merged` a call of other values between two keeps them apart.
+    """
+    columns = [chrom, a, b, *values]
+    placed = dealt(rows.select(*columns), columns, parts)
+    ends = placed.groupBy(PART, chrom).agg(F.max_by(F.struct(*values), AT).alias("__last"))
+    ends = ends.select(PART, chrom, F.lag("__last").over(Window.partitionBy(chrom).orderBy(PART)).alias("__before"))
+    before = F.when(F.row_number().over(within([chrom])) == 1, F.col("__before")).otherwise(F.lag(F.struct(*values)).over(within([chrom])))
+    marked = met(placed, ends, [chrom]).withColumn("__change", F.when(F.struct(*values).eqNullSafe(before), 0).otherwise(1)).drop("__before")
+    runs = running_sum(marked, [chrom], F.col("__change"), "__run").select(*columns, "__run")
+    return merged(runs, chrom, a, b, gap, [*values, "__run"], parts).select(chrom, *values, "start", "stop", "n")
+
+
+def haplotype_calls(rows: DataFrame, chrom: str, a: str, b: str, gap: int = 0, parts: int | None = None) -> DataFrame:
+    """``chrom, start, stop, cn, major, minor``: copies of both haplotypes, joined as calls; the greater number has to be ``major``."""
+    right = F.when(F.col("major") >= F.col("minor"), F.col("major")).otherwise(F.raise_error(F.lit("the lesser haplotype has more copies")).cast("int"))
+    calls = merged_calls(rows.withColumn("major", right), chrom, a, b, ["major", "minor"], gap, parts)
+    return calls.select(chrom, "start", "stop", (F.col("major") + F.col("minor")).alias("cn"), "major", "minor")
+
+
+def without_support(calls: DataFrame, copy_numbers: DataFrame, chrom: str) -> DataFrame:
+    """The calls of :func:`haplotype_calls` that no copy-number call (``chrom, start, stop, cn``) of their sum holds whole."""
+    left = calls.select(chrom, F.struct("start", "stop", "major", "minor").alias("id1"), F.col("start").alias("a1"), F.col("stop").alias("b1"), F.col("cn").alias("cn1"))
+    right = copy_numbers.select(chrom, F.lit(0).alias("id2"), F.col("start").alias("a2"), F.col("stop").alias("b2"), F.col("cn").alias("cn2"))
+    held = overlap_join(left, right, chrom).where((F.col("a2") <= F.col("a1")) & (F.col("b1") <= F.col("b2")) & (F.col("cn1") == F.col("cn2")))
+    return calls.join(held.select(chrom, "id1.start", "id1.stop", "id1.major", "id1.minor").distinct(), [chrom, "start", "stop", "major", "minor"], "left_anti").select(*calls.columns)
+
+
 def windows_of(rows: DataFrame, chrom: str, a: str, b: str, n: int, parts: int | None = None) -> DataFrame:
     """``chrom, start, stop``: the span of every n intervals of a chromosome in order; the last window of all is left out, as it was never closed.
 

@@ -77,6 +77,19 @@ def _fasta_sizes(s, d):
     return R.fasta_sizes(body.unionByName(heads)).select("name", "size")
 
 
+def _haplotypes(s, d):
+    rows = view(s, d, "intervals").select("chr_id", "a", "b", F.floor((F.col("cn") + 1) / 2).cast("int").alias("major"), F.floor(F.col("cn") / 2).cast("int").alias("minor"))
+    return I.haplotype_calls(rows, "chr_id", "a", "b", 20)
+
+
+_HRCN = """select chr_id, min(a) as start, max(b) as stop, major + minor as cn, major, minor from (
+  select *, sum(new) over (partition by chr_id, run order by a, b) as island from (
+    select *, case when a - 20 <= max(b) over (partition by chr_id, run order by a, b rows between unbounded preceding and 1 preceding) then 0 else 1 end as new from (
+      select *, sum(change) over (partition by chr_id order by a, b, major, minor rows unbounded preceding) as run from (
+        select *, case when major = lag(major) over w and minor = lag(minor) over w then 0 else 1 end as change
+        from (select distinct on (chr_id, a, b, cn) chr_id, a, b, cast((cn + 1) // 2 as int) as major, cast(cn // 2 as int) as minor from intervals) x window w as (partition by chr_id order by a, b, major, minor)) y) z) u) v
+  group by chr_id, run, island, major, minor"""
+
 REGISTRY = {
     "interval_overlap_join": (lambda s, d: I.overlap_join(*_sides(s, d), "chr_id").select("id1", "id2", "start", "stop"), duckdb_text("""select x.id as id1, y.id as id2, greatest(x.a, y.a) as start, least(x.b, y.b) as stop
       from intervals x join intervals y on x.chr_id = y.chr_id and x.a < y.b and y.a < x.b where x.cn = 0 and y.cn = 1""")),
@@ -93,6 +106,8 @@ REGISTRY = {
       select *, case when a <= max(b) over (partition by chr_id order by a, b, id rows between unbounded preceding and 1 preceding) then 0 else 1 end as new from intervals) x) y group by chr_id, island""")),
     "merge_equal_calls": (lambda s, d: I.merged(view(s, d, "intervals"), "chr_id", "a", "b", gap=20, same=["cn"]), duckdb_text("""select chr_id, cn, min(a) as start, max(b) as stop, count(*) as n from (select *, sum(new) over (partition by chr_id, cn order by a, b, id) as island from (
       select *, case when a - 20 <= max(b) over (partition by chr_id, cn order by a, b, id rows between unbounded preceding and 1 preceding) then 0 else 1 end as new from intervals) x) y group by chr_id, cn, island""")),
+    "hrcn_calls": (_haplotypes, duckdb_text(_HRCN)),
+    "hrcn_stats": (lambda s, d: _haplotypes(s, d).groupBy("chr_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("stop") - F.col("start")).alias("len")), duckdb_text("select chr_id, count(*) as n, cast(sum(stop - start) as bigint) as len from h group by 1", h=_HRCN)),
     "merge_windows": (lambda s, d: I.windows_of(view(s, d, "intervals"), "chr_id", "a", "b", 25), duckdb_text("""select chr_id, start, stop from (select *, row_number() over (order by chr_id desc, w desc) as back from (
       select chr_id, w, min(a) as start, max(b) as stop from (select *, (row_number() over (partition by chr_id order by a, b) - 1) // 25 as w from intervals) x group by 1, 2) y) z where back > 1""")),
     "cn_stats": (lambda s, d: I.call_stats(view(s, d, "intervals"), "chr_id", "a", "b", "cn"), duckdb_text("select chr_id, cn, count(*) as n, cast(sum(b - a) as bigint) as len from intervals group by 1, 2")),

@@ -85,3 +85,9 @@ def write_bed(rows: DataFrame, path: str) -> None:
     """``chrom, start, stop`` and further columns as BED."""
     rest = [c for c in rows.columns if c not in ("chrom", "start", "stop")]
     write_lines(rows.select("chrom", "start", "stop", F.concat_ws("\t", "chrom", "start", "stop", *rest).alias("line")), path, ["chrom", "start", "stop"])
+
+
+def write_haplotype_calls(calls: DataFrame, path: str, chromosomes: DataFrame, parts: int | None = None) -> None:
+    """The calls of :func:`chromaloom.functions.intervals.haplotype_calls` as BED with the copies, and those of both haplotypes; ``chromosomes`` has ``chrom, name``, and ``chrom`` their order."""
+    line = F.concat_ws("\t", "name", "start", "stop", "cn", "major", "minor").alias("line")
+    write_lines(calls.join(chromosomes, "chrom").select("chrom", "start", "stop", line), path, ["chrom", "start", "stop"], parts=parts)

@@ -202,3 +202,31 @@ def test_pairs_and_rows_of_large_tables_keep_apart(spark):
     assert rows.schema["pair"].dataType.simpleString().startswith("struct<cluster_id:") and rows.select("pair").distinct().count() > 1
     order = size_queries._blast_lines(spark, "/root/testdata/sf0.001").schema["row_no"].dataType.simpleString()
     assert order == "struct<query_id:bigint,hit:bigint>"
+
+
+def test_calls_are_joined_in_order(many_ranges, tmp_path):
+    from chromaloom.sources import sinks
+    from tests.test_ordered_text import whole_text
+
+    rng, rows, at = random.Random(9), [], 0
+    for _ in range(600):
+        at += rng.choice([0, 0, 5, 40])
+        rows.append((rng.choice([1, 1, 1, 2]), at, at + 10, *rng.choice([(1, 1), (1, 1), (2, 0), (2, 1)])))
+        at += 10
+    want = []
+    for c in (1, 2):
+        for _, a, b, major, minor in sorted(r for r in rows if r[0] == c):
+            if want and want[-1][0] == c and want[-1][4:] == [major, minor] and a - want[-1][2] <= 5:
+                want[-1][2] = max(b, want[-1][2])
+            else:
+                want.append([c, a, b, major + minor, major, minor])
+    frame = many_ranges.createDataFrame(rows, "chrom int, a long, b long, major int, minor int")
+    calls = I.haplotype_calls(frame, "chrom", "a", "b", 5, parts=8)
+    assert sorted(map(list, calls.collect())) == want
+    names = many_ranges.createDataFrame([(1, "chrA"), (2, "chrB")], "chrom int, name string")
+    sinks.write_haplotype_calls(calls, str(tmp_path / "bed"), names, 4)
+    assert whole_text(tmp_path / "bed") == "".join("\t".join(map(str, ["chr" + "_AB"[c], *rest])) + "\n" for c, *rest in want)
+    held = many_ranges.createDataFrame([(c, a, b, cn + (k % 50 == 0)) for k, (c, a, b, cn, _, _) in enumerate(want)], "chrom int, start long, stop long, cn int")
+    assert sorted(map(list, I.without_support(calls, held, "chrom").collect())) == [w for k, w in enumerate(want) if k % 50 == 0]
+    with pytest.raises(Exception, match="lesser haplotype"):
+        I.haplotype_calls(many_ranges.createDataFrame([(1, 0, 5, 0, 1)], "chrom int, a long, b long, major int, minor int"), "chrom", "a", "b").collect()
