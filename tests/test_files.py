@@ -195,6 +195,20 @@ def test_streamed_matrix_equals_the_whole(spark, tmp_path):
     assert sum(r.z for r in spark.table("links_now").collect()) * 2 == sum(r[2] for r in whole)
 
 
+def test_mates_that_come_in_different_batches(spark, tmp_path):
+    _, _, pairs = planted(spark)
+    reads = [(f"q{r.qid}" + end, 0, tid, pos, mapq) for r in pairs.limit(250).collect() for end, tid, pos, mapq in (("/1", r.tid1, r.pos1, r.mapq1), ("/2", r.tid2, r.pos2, r.mapq2))]
+    want = sorted(tuple(r) for r in L.link_matrix(spark.createDataFrame([(k, a[2], b[2], a[3], b[3], a[4], b[4]) for k, (a, b) in enumerate(zip(reads[::2], reads[1::2], strict=True))], link_stream.PAIRS)).collect())
+    reads += [("alone", 0, 1, 5, 30), ("lost/1", 4, -1, -1, 0), ("lost/2", 0, 2, 9, 30)]
+    random.Random(5).shuffle(reads)
+    for k in range(4):
+        spark.createDataFrame(reads[k::4], link_stream.READS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = link_stream.mate_pairs(link_stream.read_stream(spark, str(tmp_path / "in"), 1))
+    link_stream.keep_deltas(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert len(list((tmp_path / "out").glob("batch=*"))) >= 4
+    assert sorted(tuple(r) for r in link_stream.summed_deltas(spark, str(tmp_path / "out")).collect()) == want
+
+
 def test_regions_grow_from_the_longest_hit(spark):
     from chromaloom.functions.intervals import grown_region
 
