@@ -143,8 +143,20 @@ def _pair(one: Column, other: Column) -> list[Column]:
     return [F.least(one, other).alias("u"), F.greatest(one, other).alias("v")]
 
 
+def _met_before(bits: np.ndarray, start: int) -> np.ndarray:
+    """Which pairs, by the bits that differ in each segment, share a bucket of an earlier start from which they stay within all budgets."""
+    budget, before = BUDGET * np.arange(1, SEGMENTS + 1), np.zeros(len(bits), dtype=bool)
+    for s in range(start):
+        at = np.flatnonzero((bits[:, s] == 0) & (bits[:, (s + 1) % SEGMENTS] == 0) & ~before)
+        before[at] = (np.cumsum(np.roll(bits[at], -s, axis=1), axis=1, dtype=np.int16) <= budget).all(axis=1)
+    return before
+
+
 def bucket_pairs(nodes: np.ndarray, labels: np.ndarray, ring: np.ndarray, start: int, nearest: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of one bucket that are of different components and stay within all budgets from ``start``: for each text the nearest, and whether there are more."""
+    """Pairs of one bucket that are of different components and stay within all budgets from ``start``: for each text the nearest, and whether there are more.
+
+    A pair that shares several such buckets is met in the one of the earliest start.
+    """
     turned = np.roll(ring, -start, axis=1)
     budget = BUDGET * np.arange(1, SEGMENTS + 1)
     one, other, more = [], [], False
@@ -155,6 +167,9 @@ def bucket_pairs(nodes: np.ndarray, labels: np.ndarray, ring: np.ndarray, start:
         own = asking[k : k + ROWS_AT_ONCE]
         apart = np.cumsum(np.bitwise_count(turned[own][:, None, :] ^ turned[None, :, :]), axis=2, dtype=np.int16)
         far = np.where((apart <= budget).all(axis=2) & (labels[own][:, None] != labels[None, :]), apart[:, :, -1], np.int16(SEGMENTS * 32 + 1))
+        rows, columns = np.nonzero(far <= SEGMENTS * 32)
+        again = _met_before(np.bitwise_count(ring[own[rows]] ^ ring[columns]), start)
+        far[rows[again], columns[again]] = SEGMENTS * 32 + 1
         for row, at in zip(far, own, strict=True):
             near = np.flatnonzero(row <= SEGMENTS * 32)
             if len(near) > nearest:
