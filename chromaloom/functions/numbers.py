@@ -31,7 +31,17 @@ def pearson(rows: DataFrame, x: str, y: str) -> DataFrame:
     def finite(c: str) -> Column:
         return F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf"))
 
-    return rows.where(finite(x) & finite(y)).agg(F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias("r"))
+    return rows.where(finite(x) & finite(y)).agg(correlation(F.col(x).cast("double"), F.col(y).cast("double")).alias("r"))
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's correlation as an aggregate: not a number where either side does not vary, null without pairs.
+
+    ``corr`` divides by the spread whatever it is, which is an error in ANSI mode.
+    """
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.when(spread == 0, float("nan")).otherwise(F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0)))
 
 
 def log_sum_exp(a: Column, b: Column) -> Column:
