@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chromaloom.functions.ordered import AT, PART, dealt, earlier, met, running_sum, within
+from chromaloom.functions.ordered import AT, PART, at_borders, dealt, earlier, met, running_sum, within
 
 #: Bins are nested: the finest hold 2 ** FINEST bases, those of each level above 2 ** STEP times as many, the top everything.
 FINEST, STEP, TOP = 12, 3, 17
@@ -115,14 +115,31 @@ def overlap_join(left: DataFrame, right: DataFrame, chrom: str) -> DataFrame:
     return pairs.withColumn("start", F.greatest("a1", "a2")).withColumn("stop", F.least("b1", "b2")).drop("__level", "__bin")
 
 
-def point_lookup(points: DataFrame, calls: DataFrame, chrom: str) -> DataFrame:
-    """``points`` with the value of the first call that holds the point, -1 without one; a call is looked for from its one bin."""
-    placed = placed_in_bins(calls, "a", "b")
-    up = points.select("pid", chrom, "pos").join(F.broadcast(_levels(placed)), F.lit(True))
-    up = up.withColumn("__level", F.col("__above")).withColumn("__bin", _bin(F.col("pos"), F.col("__level"))).drop("__above")
-    held = up.join(placed, [chrom, "__level", "__bin"]).where(contains_point(F.col("a"), F.col("b"), F.col("pos")))
-    first = held.groupBy("pid").agg(F.min(F.struct("a", "b", "cn")).alias("first"))
-    return points.join(first, "pid", "left").select("pid", chrom, "pos", F.coalesce(F.col("first.cn"), F.lit(-1)).alias("cn"))
+def point_lookup(points: DataFrame, calls: DataFrame, chrom: str, parts: int | None = None) -> DataFrame:
+    """``points`` with the value of the first call that holds the point, -1 without one; of calls with one start the shorter is first.
+
+    In order, a call is the first to hold any point only if it ends beyond all
+    calls before it, and then from the furthest of those ends on.  These
+    stretches do not overlap, so the last one begun before a point decides,
+    however many calls lie over it: two ordered scans, no join.
+    """
+    keys = [chrom]
+    placed = dealt(calls.where((F.col("a") < F.col("b")) & F.col(chrom).isNotNull()).select(chrom, "a", "b", "cn"), [chrom, "a", "b", "cn"], parts)
+    reach = at_borders(placed, keys).groupBy(PART, *keys).agg(F.max("b").alias("__b"))
+    reach = reach.select(PART, *keys, F.max("__b").over(earlier(keys)).alias("__reach"))
+    before = F.greatest(F.max("b").over(within(keys).rowsBetween(Window.unboundedPreceding, -1)), F.col("__reach"))
+    firsts = met(placed, reach, keys).withColumn("__before", before).where(F.col("__before").isNull() | (F.col("b") > F.col("__before")))
+    stretches = firsts.select(chrom, F.greatest("a", "__before").alias("pos"), F.lit(False).alias("__point"), F.lit(None).cast(points.schema["pid"].dataType).alias("pid"), F.struct(F.col("b").alias("stop"), "cn").alias("__held"))
+    asked = points.select(chrom, "pos", F.lit(True).alias("__point"), "pid", F.lit(None).cast(stretches.schema["__held"].dataType).alias("__held"))
+    both = dealt(stretches.unionByName(asked), [chrom, "pos", "__point", "pid"], parts)
+    last = at_borders(both, keys).where("__held is not null").groupBy(PART, *keys).agg(F.max_by("__held", AT).alias("__last"))
+    # a range without stretches hands on nothing of its own
+    ranges = at_borders(both, keys).select(PART, *keys).distinct()
+    handed = met(ranges, last, keys).select(PART, *keys, F.last("__last", True).over(earlier(keys)).alias("__handed"))
+    own = F.last("__held", True).over(within(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = met(both.withColumn("__own", own).where("__point"), handed, keys).withColumn("__held", F.coalesce("__own", "__handed"))
+    held = F.when(F.col("pos") < F.col("__held.stop"), F.col("__held.cn"))
+    return found.select("pid", chrom, "pos", F.coalesce(held, F.lit(-1)).alias("cn"))
 
 
 def merged(rows: DataFrame, chrom: str, a: str, b: str, gap: int = 0, same: list[str] | None = None, parts: int | None = None) -> DataFrame:
@@ -135,13 +152,14 @@ def merged(rows: DataFrame, chrom: str, a: str, b: str, gap: int = 0, same: list
     # of intervals with one start the longest decides
     starts = rows.groupBy(*keys, F.col(a).alias("__a")).agg(F.max(b).alias("__b"), F.count(F.lit(1)).alias("__n"))
     placed = dealt(starts, [*keys, "__a"], parts)
-    reach = placed.groupBy(PART, *keys).agg(F.max("__b").alias("__b"))
+    border = at_borders(placed, keys)
+    reach = border.groupBy(PART, *keys).agg(F.max("__b").alias("__b"))
     reach = reach.select(PART, *keys, F.max("__b").over(earlier(keys)).alias("__reach"))
     # greatest() passes over nulls: the first interval of a range has none before it there, that of a group nowhere
     before = F.greatest(F.max("__b").over(within(keys).rowsBetween(Window.unboundedPreceding, -1)), F.col("__reach"))
     fresh = F.when(before.isNull() | (F.col("__a") - before > gap), F.col("__a"))
     marked = met(placed, reach, keys).withColumn("__fresh", fresh)
-    opened = marked.groupBy(PART, *keys).agg(F.max("__fresh").alias("__fresh"))
+    opened = met(border, reach, keys).withColumn("__fresh", fresh).groupBy(PART, *keys).agg(F.max("__fresh").alias("__fresh"))
     opened = opened.select(PART, *keys, F.max("__fresh").over(earlier(keys)).alias("__open"))
     island = F.coalesce(F.max("__fresh").over(within(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.col("__open"))
     islands = met(marked, opened, keys).withColumn("__island", island)
@@ -155,7 +173,7 @@ def merged_calls(rows: DataFrame, chrom: str, a: str, b: str, values: list[str],
     """
     columns = [chrom, a, b, *values]
     placed = dealt(rows.select(*columns), columns, parts)
-    ends = placed.groupBy(PART, chrom).agg(F.max_by(F.struct(*values), AT).alias("__last"))
+    ends = at_borders(placed, [chrom]).groupBy(PART, chrom).agg(F.max_by(F.struct(*values), AT).alias("__last"))
     ends = ends.select(PART, chrom, F.lag("__last").over(Window.partitionBy(chrom).orderBy(PART)).alias("__before"))
     before = F.when(F.row_number().over(within([chrom])) == 1, F.col("__before")).otherwise(F.lag(F.struct(*values)).over(within([chrom])))
     marked = met(placed, ends, [chrom]).withColumn("__change", F.when(F.struct(*values).eqNullSafe(before), 0).otherwise(1)).drop("__before")

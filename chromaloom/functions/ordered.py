@@ -2,8 +2,8 @@
 
 A window keyed by chromosome or file puts all its rows into one task.  Here rows
 are dealt by ranges of the whole order and written once; every range gives a
-short summary for each group it holds, the summaries (as many rows as ranges and
-groups) are added up in order, and what earlier ranges hand on is joined back.
+short summary for the groups in which it begins and ends, the summaries (two
+rows a range) are added up in order, and what earlier ranges hand on is broadcast.
 A running value is then the one within the range, and what was handed on.
 """
 
@@ -59,22 +59,39 @@ def earlier(keys: list[str]) -> Window:
     return Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def met(rows: DataFrame, summaries: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` beside the summary of their range and group; a null group is a group too."""
-    renamed = summaries.withColumnsRenamed({k: f"{k}__of" for k in [PART, *keys]})
+def _beside(rows: DataFrame, small: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """``rows`` joined with a table of two rows a range at most; a null group is a group too."""
+    renamed = small.withColumnsRenamed({k: f"{k}__of" for k in [PART, *keys]})
     condition = F.lit(True)
     for k in [PART, *keys]:
         condition = condition & F.col(k).eqNullSafe(F.col(f"{k}__of"))
-    return rows.join(renamed, condition, "left").drop(*(f"{k}__of" for k in [PART, *keys]))
+    return rows.join(F.broadcast(renamed), condition, how).drop(*(f"{k}__of" for k in [PART, *keys]))
+
+
+def at_borders(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of the groups in which a range begins or ends, two a range: no other group goes on from range to range.
+
+    Summaries are made of these rows alone, so they are as few as the ranges
+    however many groups there are.
+    """
+    group = F.struct(*keys)
+    ends = placed.groupBy(PART).agg(F.min_by(group, AT).alias("__one"), F.max_by(group, AT).alias("__two"))
+    groups = ends.select(PART, F.explode(F.array("__one", "__two")).alias("__group")).select(PART, "__group.*").distinct()
+    return _beside(placed, groups, keys, "left_semi")
+
+
+def met(rows: DataFrame, summaries: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` beside the summary of their range and group, made of :func:`at_borders`; nulls for other groups."""
+    return _beside(rows, summaries, keys, "left")
 
 
 def running_sum(placed: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
     """Rows of :func:`dealt` with the sum of ``value`` over a group's rows up to this one."""
-    rows = placed.withColumn("__v", value.cast("long"))
-    handed = rows.groupBy(PART, *keys).agg(F.sum("__v").alias("__sum"))
-    handed = handed.select(PART, *keys, F.coalesce(F.sum("__sum").over(earlier(keys)), F.lit(0)).alias("__handed"))
+    handed = at_borders(placed, keys).groupBy(PART, *keys).agg(F.sum(value.cast("long")).alias("__sum"))
+    handed = handed.select(PART, *keys, F.sum("__sum").over(earlier(keys)).alias("__handed"))
     own = F.sum("__v").over(within(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return met(rows.withColumn(name, own), handed, keys).withColumn(name, F.col(name) + F.col("__handed")).drop("__v", "__handed")
+    rows = placed.withColumn("__v", value.cast("long")).withColumn(name, own)
+    return met(rows, handed, keys).withColumn(name, F.col(name) + F.coalesce("__handed", F.lit(0))).drop("__v", "__handed")
 
 
 def ranked(rows: DataFrame, order: list[str | Column], name: str, parts: int | None = None) -> DataFrame:
