@@ -92,9 +92,9 @@ def _farthest(tree: Tree, start: int) -> list[int]:
     return path[::-1]
 
 
-def longest_path(tree: Tree) -> list[int]:
-    """The longest path of the first tree that has an edge, from its end with the lower number; empty without one."""
-    start = next((n for n, near in enumerate(tree) if near), None)
+def longest_path(tree: Tree, first: int = 0) -> list[int]:
+    """The longest path of the first tree that has an edge, from its end with the lower number; empty without one. Nodes before ``first`` have none."""
+    start = next((n for n in range(first, len(tree)) if tree[n]), None)
     if start is None:
         return []
     path = _farthest(tree, _farthest(tree, start)[-1])
@@ -164,16 +164,20 @@ def smooth_thorns(group: Group, tree: Tree) -> Tree:
 
 def shreds_of(group: Group, tree: Tree) -> tuple[list[int], list[list[int]]]:
     """The trunk, and the paths left when longest paths are peeled off, then single contigs that have links."""
-    left = [set(near) for near in tree]
+    left = [list(near) for near in tree]
     whole = longest_path(tree)
-    path, gone, shreds = whole, set(), []
+    path, gone, shreds, first = whole, set(), [], 0
     while path:
+        gone.update(path)
         for node in path:
-            gone.add(node)
             for other in left[node]:
-                left[other].discard(node)
-            left[node] = set()
-        path = longest_path([[n for n in tree[k] if n in left[k]] for k in range(group.size)])
+                if other not in gone:
+                    left[other].remove(node)
+            left[node] = []
+        # nodes never get edges back, so none before the last first one is looked at again
+        while first < group.size and not left[first]:
+            first += 1
+        path = longest_path(left, first)
         if path:
             shreds.append(path)
     shreds += [[n] for n in range(group.size) if n not in gone and (group.near[n] or group.size == 1)]
@@ -184,23 +188,64 @@ def reinsert(group: Group, tree: Tree, min_sites: int) -> list[int]:
     """The trunk with each shred of enough sites put where it gains most links; at the end if nowhere does."""
     if group.size == 1:
         return [0]
-    order, shreds = shreds_of(group, tree)
+    trunk, shreds = shreds_of(group, tree)
+    order = _Line(trunk)
     for shred in shreds:
         if sum(group.sites[n] for n in shred) <= min_sites:
             continue
-        best, place, turned = 0.0, len(order), False
-        for at in range(len(order) + 1):
-            before = order[at - 1] if at else None
-            after = order[at] if at < len(order) else None
+        # only beside a contig with links to an end of the shred is anything gained
+        beside = {n for end in (shred[0], shred[-1]) for n in group.near[end] if n in order.mark}
+        places = {p for n in beside for p in ((order.before[n], n), (n, order.after[n]))}
+        best, place, turned = 0.0, (order.last, None), False
+        for before, after in sorted(places, key=lambda p: -1.0 if p[0] is None else order.mark[p[0]]):
             for rc in (False, True) if len(shred) > 1 else (False,):
                 x, y = (after, before) if rc else (before, after)
                 gain = (group.density(x, shred[0]) if x is not None else 0.0) + (group.density(y, shred[-1]) if y is not None else 0.0)
                 if x is not None and y is not None:
                     gain -= group.density(x, y)
                 if gain > best:
-                    best, place, turned = gain, at, rc
-        order[place:place] = shred[::-1] if turned else shred
-    return order
+                    best, place, turned = gain, (before, after), rc
+        order.insert(shred[::-1] if turned else shred, *place)
+    return list(order)
+
+
+class _Line:
+    """Contigs in order, each with those beside it and a mark that rises along the order."""
+
+    def __init__(self, contigs: list[int]):
+        self.before: dict[int, int | None] = {}
+        self.after: dict[int, int | None] = {}
+        self.mark: dict[int, float] = {}
+        self.first: int | None = None
+        self.last: int | None = None
+        self.insert(contigs, None, None)
+
+    def __iter__(self):
+        at = self.first
+        while at is not None:
+            yield at
+            at = self.after[at]
+
+    def insert(self, contigs: list[int], before: int | None, after: int | None) -> None:
+        """Put contigs between two neighbours; None stands for what is beyond an end."""
+        low = 0.0 if before is None else self.mark[before]
+        step = 1.0 if after is None else (self.mark[after] - low) / (len(contigs) + 1)
+        last = before
+        for k, contig in enumerate(contigs, 1):
+            self.before[contig], self.mark[contig] = last, low + k * step
+            if last is None:
+                self.first = contig
+            else:
+                self.after[last] = contig
+            last = contig
+        if last is not None:
+            self.after[last] = after
+        if after is None:
+            self.last = last
+        else:
+            self.before[after] = last
+        if step < 1e-9 * (1.0 + low):  # marks come too close to be told apart: new ones
+            self.mark = {contig: k + 1.0 for k, contig in enumerate(self)}
 
 
 def orient(group: Group, order: list[int]) -> tuple[list[bool], list[float]]:
@@ -244,6 +289,13 @@ def pair_table(cells: DataFrame) -> DataFrame:
     return summed.withColumn("cluster_id", F.col("cluster_id").cast("int").alias("cluster_id"))
 
 
+def _cogrouped(contigs: DataFrame, pairs: DataFrame):
+    """Both by cluster, dealt to a set number of tasks: groups are few bytes and much work, so small partitions must not be put together."""
+    parts = int(contigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one, two = (rows.repartition(parts, "cluster_id").groupBy("cluster_id") for rows in (contigs, pairs))
+    return one.cogroup(two)
+
+
 def _group(contigs: pd.DataFrame, pairs: pd.DataFrame) -> Group:
     sites = contigs.sort_values("local_id")["re"].astype(int).tolist()
     held = {(int(r.c1), int(r.c2)): (int(r.n), [r.ff, r.fr, r.rf, r.rr]) for r in pairs.sort_values(["c1", "c2"]).itertuples(index=False)}
@@ -272,7 +324,7 @@ def group_orderings(cells: DataFrame, clusters: DataFrame, contigs: DataFrame, m
                 rows += [(int(left["cluster_id"].iloc[0]), kind, k, n, rc, q) for k, (n, rc, q) in enumerate(zip(order, turned, quality, strict=True))]
         return pd.DataFrame(rows, columns=["cluster_id", "kind", "pos", "local_id", "rc", "q"])
 
-    return members.groupBy("cluster_id").cogroup(pair_table(cells).groupBy("cluster_id")).applyInPandas(run, _SCHEMA)
+    return _cogrouped(members, pair_table(cells)).applyInPandas(run, _SCHEMA)
 
 
 def group_trees(cells: DataFrame, clusters: DataFrame, contigs: DataFrame, min_sites: int = 15, smoothed: bool = False) -> DataFrame:
@@ -288,7 +340,7 @@ def group_trees(cells: DataFrame, clusters: DataFrame, contigs: DataFrame, min_s
             rows = [(int(left["cluster_id"].iloc[0]), a, b) for a in range(group.size) for b in tree[a] if a < b]
         return pd.DataFrame(rows, columns=["cluster_id", "a", "b"])
 
-    return members.groupBy("cluster_id").cogroup(pair_table(cells).groupBy("cluster_id")).applyInPandas(run, "cluster_id int, a int, b int")
+    return _cogrouped(members, pair_table(cells)).applyInPandas(run, "cluster_id int, a int, b int")
 
 
 def longest_paths(edges: DataFrame) -> DataFrame:
@@ -317,7 +369,7 @@ def orient_ordering(cells: DataFrame, ordering: DataFrame, clusters: DataFrame)
         turned, quality = orient(group, contigs)
         return pd.DataFrame({"cluster_id": placed["cluster_id"].astype("int32"), "pos": placed["pos"], "local_id": contigs, "rc": turned, "q": quality})
 
-    return order.groupBy("cluster_id").cogroup(pair_table(cells).groupBy("cluster_id")).applyInPandas(run, "cluster_id int, pos int, local_id int, rc boolean, q double")
+    return _cogrouped(order, pair_table(cells)).applyInPandas(run, "cluster_id int, pos int, local_id int, rc boolean, q double")
 
 
 def shuffled(ordering: DataFrame, seed: int = 1) -> DataFrame:
