@@ -42,17 +42,23 @@ def best_path(n_nodes: int, edges: list[tuple[int, int, float]], start: int, end
 
 def posteriors(n_nodes: int, edges: list[tuple[int, int, float]], start: int, end: int) -> tuple[float, list[float]]:
     """ln of the sum over all paths, and of each edge's share of it, by forward and backward sums."""
-    forward, backward = np.full(n_nodes, _MINUS), np.full(n_nodes, _MINUS)
+    total, shares = posteriors_of_many(n_nodes, [(u, v) for u, v, _ in edges], np.array([[w] for _, _, w in edges]).reshape(len(edges), 1), start, end)
+    return float(total[0]), shares[:, 0].tolist()
+
+
+def posteriors_of_many(n_nodes: int, edges: list[tuple[int, int]], weights: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`posteriors` of graphs with the same edges at once: ``weights`` and the shares have a row for each edge, a column for each graph."""
+    forward, backward = np.full((2, n_nodes, weights.shape[1]), _MINUS)
     forward[start], backward[end] = 0.0, 0.0
-    by_end = sorted(range(len(edges)), key=lambda k: edges[k][1])
-    for k in by_end:
-        u, v, w = edges[k]
-        forward[v] = np.logaddexp(forward[v], forward[u] + w)
+    for k in sorted(range(len(edges)), key=lambda k: edges[k][1]):
+        u, v = edges[k]
+        forward[v] = np.logaddexp(forward[v], forward[u] + weights[k])
     for k in sorted(range(len(edges)), key=lambda k: -edges[k][0]):
-        u, v, w = edges[k]
-        backward[u] = np.logaddexp(backward[u], backward[v] + w)
-    total = float(forward[end])
-    return total, [float(forward[u] + w + backward[v] - total) for u, v, w in edges]
+        u, v = edges[k]
+        backward[u] = np.logaddexp(backward[u], backward[v] + weights[k])
+    total = forward[end]
+    shares = [forward[u] + w + backward[v] - total for (u, v), w in zip(edges, weights, strict=True)]
+    return total, np.array(shares).reshape(weights.shape)
 
 
 @dataclass

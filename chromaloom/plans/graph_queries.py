@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from chromaloom.operators import agglomeration as A
@@ -102,18 +103,35 @@ def best_path(s, d):
 
 
 def forward_backward(s, d):
-    """``dag, total, most``: ln of the sum over paths, and the share of the likeliest edge."""
+    """``dag, total, most``: ln of the sum over paths, and the share of the likeliest edge.
 
-    def run(batches):
-        for rows in batches:
-            out = []
-            for dag, items in zip(rows["dag"], rows["x"], strict=True):
-                n, edges = _edges(items)
-                total, shares = K.posteriors(n, edges, 0, n - 1)
-                out.append((dag, total, float(np.exp(max(shares)))))
-            yield pd.DataFrame(out, columns=["dag", "total", "most"])
+    Orders of as many items have the same edges, so those of a batch are summed together.
+    """
 
-    return _dags(s, d).mapInPandas(run, "dag long, total double, most double")
+    def run(batches):
+        for batch in batches:
+            held = batch.column(1)
+            size, first = held.value_lengths().to_numpy(zero_copy_only=False), held.offsets.to_numpy()[:-1] - held.offsets[0].as_py()
+            items = held.flatten()
+            part, weight = (items.field(k).to_numpy(zero_copy_only=False) for k in ("l_partkey", "w"))
+            total, most = np.empty(len(size)), np.empty(len(size))
+            for n in np.unique(size).tolist():
+                rows = np.flatnonzero(size == n)
+                at = first[rows]
+                edges, weights = [], []
+                for k in range(n):
+                    for a in (0, 1):
+                        for source in (0,) if k == 0 else (2 * k - 1, 2 * k):
+                            edges.append((source, 2 * k + 1 + a))
+                            weights.append(weight[at + k] * np.where((part[at + k] + source + a) % 2 != 0, 1.0, 0.5))
+                for source in (2 * n - 1, 2 * n) if n else (0,):
+                    edges.append((source, 2 * n + 1))
+                    weights.append(np.zeros(len(rows)))
+                total[rows], shares = K.posteriors_of_many(2 * n + 2, edges, np.array(weights), 0, 2 * n + 1)
+                most[rows] = np.exp(shares.max(axis=0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), pa.array(most)], ["dag", "total", "most"])
+
+    return _dags(s, d).select(F.col("dag").cast("long"), "x").mapInArrow(run, "dag long, total double, most double")
 
 
 REGISTRY = {
