@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chromaloom.functions.ordered import AT, PART, dealt, met, within
+from chromaloom.functions.ordered import AT, PART, at_borders, dealt, met, within
 
 
 def aligned(reads: DataFrame) -> DataFrame:
@@ -49,18 +49,21 @@ def consecutive_pairs(reads: DataFrame, name: str = "qname", order: str = "row_n
     columns = [c for c in reads.columns if c != file]
     placed = dealt(reads, [file, order], parts)
     by_range, over_ranges = within([file]), Window.partitionBy(file).orderBy(PART)
-    ends = placed.groupBy(PART, file).agg(F.max_by(name, AT).alias("__last"), F.min_by(F.struct(*columns), AT).alias("__first"))
+    border = at_borders(placed, [file])
+    ends = border.groupBy(PART, file).agg(F.max_by(name, AT).alias("__last"), F.min_by(F.struct(*columns), AT).alias("__first"))
     ends = ends.select(PART, file, F.lag("__last").over(over_ranges).alias("__before"), F.lead("__first").over(over_ranges).alias("__after"))
     place = F.row_number().over(by_range)
     before = F.when(place == 1, F.col("__before")).otherwise(F.lag(name).over(by_range))
-    marked = met(placed, ends, [file]).withColumn("__place", place)
-    marked = marked.withColumn("__new", F.when(before.isNull() | ~names_match(before, F.col(name)), F.col("__place")))
+
+    def mark(rows: DataFrame) -> DataFrame:
+        return met(rows, ends, [file]).withColumn("__place", place).withColumn("__new", F.when(before.isNull() | ~names_match(before, F.col(name)), F.col("__place")))
+
     # by range: reads, where its last run starts (nowhere, if an earlier range's goes on through it), whether its first read starts one
-    runs = marked.groupBy(PART, file).agg(F.count(F.lit(1)).alias("__n"), F.max("__new").alias("__start"), F.min_by("__new", AT).isNotNull().alias("__fresh"))
+    runs = mark(border).groupBy(PART, file).agg(F.count(F.lit(1)).alias("__n"), F.max("__new").alias("__start"), F.min_by("__new", AT).isNotNull().alias("__fresh"))
     runs = runs.withColumn("__length", F.when(F.col("__start").isNull(), F.col("__n")).otherwise(F.col("__n") - F.col("__start") + 1)).withColumn("__group", F.count("__start").over(over_ranges))
     runs = runs.withColumn("__sofar", F.sum("__length").over(Window.partitionBy(file, "__group").orderBy(PART)))
     runs = runs.select(PART, file, F.lag("__sofar").over(over_ranges).alias("__handed"), F.lead("__fresh").over(over_ranges).alias("__next_fresh"))
-    joined = met(marked, runs, [file])
+    joined = met(mark(placed), runs, [file])
     start = F.max("__new").over(by_range.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     in_run = F.when(start.isNull(), F.col("__handed") + F.col("__place")).otherwise(F.col("__place") - start + 1)
     following = F.lead(F.struct(*columns)).over(by_range)
