@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from chromaloom.functions.intervals import merged
 from chromaloom.functions.ordered import dealt, running_sum
 
 #: IUPAC codes and their complements, and the bases each stands for.
@@ -55,8 +58,40 @@ def motif_positions(rows: DataFrame, key: str, sequence: str, motif: str, parts:
 
 
 def motif_windows(rows: DataFrame, key: str, sequence: str, motif: str, reach: int, parts: int | None = None) -> DataFrame:
-    """``key, start, stop``: windows of ``reach`` around motif sites, merged where they touch, cut to the sequence."""
-    sites = motif_positions(rows, key, sequence, motif, parts)
-    windows = merged(sites.select(key, (F.col("pos") - reach).alias("a"), (F.col("pos") + reach).alias("b")), key, "a", "b", parts=parts)
-    sizes = rows.select(key, F.length(sequence).alias("size"))
-    return windows.join(sizes, key).select(key, F.greatest("start", F.lit(0)).alias("start"), F.least("stop", "size").alias("stop"))
+    """``key, start, stop``: windows of ``reach`` around motif sites, merged where they touch, cut to the sequence.
+
+    The sites of a text are joined where the text lies, so a text is read once
+    and only its windows move; windows of several rows of one key are merged
+    too, and cut to the longest.
+    """
+    pattern = re.compile(motif_pattern(motif))
+    upper = str.maketrans("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+    def run(batches):
+        for batch in batches:
+            at, spans = [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                first = last = None
+                for found in pattern.finditer(text.translate(upper)) if text else ():
+                    here = found.start()
+                    if last is not None and here - last > 2 * reach:
+                        at.append(row)
+                        spans.append((first, last, len(text)))
+                        first = None
+                    first, last = here if first is None else first, here
+                if last is not None:
+                    at.append(row)
+                    spans.append((first, last, len(text)))
+            columns = [pa.array([s[k] for s in spans], pa.int32()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], ["key", "first", "last", "size"])
+
+    texts = rows.select(F.col(key).alias("key"), F.col(sequence).alias("sequence"))
+    schema = StructType([StructField("key", texts.schema["key"].dataType), *(StructField(n, IntegerType()) for n in ("first", "last", "size"))])
+    spans = texts.mapInArrow(run, schema)
+    spans = spans.repartition(parts, "key") if parts else spans
+    in_key = Window.partitionBy("key").orderBy("first", "last")
+    before = F.max("last").over(in_key.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("new", F.when(F.col("first") - before <= 2 * reach, 0).otherwise(1))
+    islands = marked.withColumn("island", F.sum("new").over(in_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    windows = islands.groupBy("key", "island").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("size").alias("size"))
+    return windows.select(F.col("key").alias(key), F.greatest(F.col("first") - reach, F.lit(0)).alias("start"), F.least(F.col("last") + reach, "size").alias("stop"))
