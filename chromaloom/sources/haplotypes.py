@@ -77,7 +77,8 @@ def simulated_fragments(lines: DataFrame, parts: int | None = None) -> DataFrame
     expected = declared(lines)
     counts = rows.groupBy("file").agg(F.count(F.lit(1)).alias("found"))
     sides = expected.join(counts, "file", "left").select("file", "n_loci", "fragment_size", F.coalesce(_differs("fragments", "found", "n_fragments"), F.when(~F.length("haplotype").cast("bigint").eqNullSafe(F.col("n_loci")), F.lit("a haplotype of another length"))).alias("problem"))
-    numbered = _numbered(rows, "fragment", parts).join(sides, "file")
+    # a row a file: beside it lines stay where they are, as those of one file would meet in one task
+    numbered = _numbered(rows, "fragment", parts).join(F.broadcast(sides), "file")
     size = F.length("alleles")
     problem = F.coalesce(
         F.col("problem"),
@@ -138,7 +139,8 @@ def clone_calls(lines: DataFrame, excluded: DataFrame | None = None, parts: int
         found = calls.groupBy("file").agg(F.count(F.lit(1)).alias("calls_found"), (F.max("clone") + 1).alias("clones_found"), F.count_distinct("variant").alias("variants_found"))
         problems = [_differs(what, f"{what}_found", f"n_{what}") for what in ("clones", "calls", "variants")]
         sides = declared(lines).join(found, "file", "left").select("file", F.coalesce(*problems).alias("problem"))
-        calls = calls.join(sides, "file")
+        # a row a file: beside it calls stay where they are
+        calls = calls.join(F.broadcast(sides), "file")
         wrong = F.coalesce(wrong, F.col("problem"))
     return calls.select("file", _refused(wrong, F.col("clone")).alias("clone"), "chrom", "start", "stop", "q", "variant", "pos", "ref", "alt", "call")
 
