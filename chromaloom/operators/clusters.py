@@ -47,18 +47,19 @@ def _pair_weights(sized: DataFrame, keys: list[str]) -> DataFrame:
     return grouped.applyInPandas(run, "w long").agg(F.sum("w").alias("w"))
 
 
-def enrichment(links: DataFrame, clusters: DataFrame, contigs: DataFrame) -> DataFrame:
+def enrichment(links: DataFrame, clusters: DataFrame, contigs: DataFrame, half: bool = False) -> DataFrame:
     """``intra_density, inter_density, enrichment`` over all ordered pairs of clustered contigs, each with itself too.
 
     Only pairs with links are listed, for the numerators; the weights of all
-    pairs are summed from residues of lengths.
+    pairs are summed from residues of lengths.  With ``half`` the links are one
+    triangle of a symmetric matrix, whose cells count twice.
     """
     sized = clusters.join(contigs, "tid").select("tid", "cluster_id", "len")
     one = sized.select(F.col("tid").alias("i"), F.col("cluster_id").alias("ci"), F.col("len").alias("li"))
     two = sized.select(F.col("tid").alias("j"), F.col("cluster_id").alias("cj"), F.col("len").alias("lj"))
     weight = F.call_function("shiftright", F.col("li") * F.col("lj"), F.lit(WEIGHT_BITS))
     linked = links.join(one, "i").join(two, "j").select((F.col("ci") == F.col("cj")).alias("same"), weight.alias("w"), "z")
-    top = linked.groupBy("same").agg(F.sum(F.col("w") * F.col("z")).cast("double").alias("wz"))
+    top = linked.groupBy("same").agg((F.sum(F.col("w") * F.col("z")) * (2 if half else 1)).cast("double").alias("wz"))
     everywhere, within = _pair_weights(sized, []).withColumnRenamed("w", "w_all"), _pair_weights(sized, ["cluster_id"]).withColumnRenamed("w", "w_in")
     sums = top.agg(F.coalesce(F.sum(F.when(F.col("same"), F.col("wz"))), F.lit(0.0)).alias("in"), F.coalesce(F.sum(F.when(~F.col("same"), F.col("wz"))), F.lit(0.0)).alias("out"))
     joined = sums.crossJoin(everywhere).crossJoin(within)  # one row each

@@ -80,10 +80,14 @@ def link_matrix(pairs: DataFrame) -> DataFrame:
     Pairs within a contig or at equal positions add none.  The unordered pair
     is summed before it is mirrored, which halves the shuffle.
     """
+    return mirrored(half_matrix(pairs).withColumnsRenamed({"i": "a", "j": "b"}))
+
+
+def half_matrix(pairs: DataFrame) -> DataFrame:
+    """``i, j, z`` with ``i < j``: the upper triangle of :func:`link_matrix`, which is symmetric."""
     weight = (F.col("mapq1") > 0).cast("bigint") + (F.col("mapq2") > 0).cast("bigint")
     counted = pairs.where("pos1 <> pos2 and tid1 <> tid2 and (mapq1 > 0 or mapq2 > 0)")
-    summed = counted.groupBy(F.least("tid1", "tid2").alias("a"), F.greatest("tid1", "tid2").alias("b")).agg(F.sum(weight).alias("z"))
-    return mirrored(summed)
+    return counted.groupBy(F.least("tid1", "tid2").alias("i"), F.greatest("tid1", "tid2").alias("j")).agg(F.sum(weight).alias("z"))
 
 
 def mirrored(half: DataFrame) -> DataFrame:

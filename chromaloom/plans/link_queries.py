@@ -31,7 +31,12 @@ def glm(s, d):
 
 
 def norm(s, d):
-    return L.normalise(glm(s, d), view(s, d, "contigs"))
+    return L.mirrored(half_norm(s, d).withColumnsRenamed({"i": "a", "j": "b"}))
+
+
+def half_norm(s, d):
+    """The upper triangle of the normalised matrix; a factor is the same both ways round, so it is as symmetric as the links."""
+    return L.normalise(L.half_matrix(view(s, d, "pairs")), view(s, d, "contigs"))
 
 
 def grouped(s, d):
@@ -95,7 +100,7 @@ REGISTRY = {
     "cluster_summary": (_views("clusters contigs", C.cluster_summary), duckdb_text("select cluster_id, count(*) as n, cast(sum(len) as bigint) as len, sum(len) / cast((select sum(len) from contigs) as double) as share from sized group by 1", sized=SIZED)),
     "cluster_totals": (_views("clusters contigs", C.cluster_totals), duckdb_text("""select count(*) as n_clusters, count_if(n = 1) as n_singletons, cast(sum(n) as bigint) as n_clustered, cast(sum(l) as bigint) as len_clustered,
       sum(n) / cast((select count(*) from contigs) as double) as share_n, sum(l) / cast((select sum(len) from contigs) as double) as share_len from (select cluster_id, count(*) as n, sum(len) as l from sized group by 1) x""", sized=SIZED)),
-    "cluster_enrichment": (lambda s, d: C.enrichment(norm(s, d), view(s, d, "clusters"), view(s, d, "contigs")), duckdb_text("""select i_wz / i_w as intra_density, o_wz / o_w as inter_density, (i_wz / i_w) / (o_wz / o_w) as enrichment from (
+    "cluster_enrichment": (lambda s, d: C.enrichment(half_norm(s, d), view(s, d, "clusters"), view(s, d, "contigs"), half=True), duckdb_text("""select i_wz / i_w as intra_density, o_wz / o_w as inter_density, (i_wz / i_w) / (o_wz / o_w) as enrichment from (
       select cast(sum(case when a.cluster_id = b.cluster_id then w * coalesce(z, 0) end) as double) as i_wz, cast(sum(case when a.cluster_id = b.cluster_id then w end) as double) as i_w,
         cast(sum(case when a.cluster_id <> b.cluster_id then w * coalesce(z, 0) end) as double) as o_wz, cast(sum(case when a.cluster_id <> b.cluster_id then w end) as double) as o_w
       from (select a.tid as ta, b.tid as tb, a.cluster_id as ca, b.cluster_id as cb, (a.len * b.len) >> 20 as w from sized a cross join sized b) p
