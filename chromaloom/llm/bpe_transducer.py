@@ -8,7 +8,8 @@ the encoding.  It is determinised lazily, byte by byte: a state holds the token
 boundaries still possible, each with the tokens not yet emitted; what all of them
 share is emitted at once.  A boundary survives only while the bytes after it
 spell the start of a token, so a token is emitted within a lookahead of the
-longest token.  Decoding streams through an incremental UTF-8 state machine.
+longest token.  The end of a piece that leaves the known states is walked
+without determinising, since rare words seldom meet again.  Decoding streams through an incremental UTF-8 state machine.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ from chromaloom.llm.pretokens import piece_finder
 CACHED_PIECES = 80_000
 #: The determinised states are dropped and built anew beyond this number.
 CACHED_STATES = 120_000
+#: A piece whose next transition is not known is walked on without determinising, where so few bytes are left ...
+LAST_BYTES = 3
+#: ... or so few once it has added a state: a rare word leaves a state or two, not one a byte.
+WALKED_BYTES = 64
 #: Remembered answers whether two tokens may stand side by side.
 CACHED_PAIRS = 150_000
 #: Ids that a decoder takes at once.
@@ -47,6 +52,7 @@ class Transducer:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._fits: dict[tuple[int, int], bool] = {}
+        self._older_fits: dict[tuple[int, int], bool] = {}
         self._spell()
         self._reset()
 
@@ -119,25 +125,47 @@ class Transducer:
 
     def fits(self, before: int, token: int) -> bool:
         """Whether the encoding may have ``token`` after ``before`` (-1: at the start)."""
-        if len(self._fits) >= CACHED_PAIRS:
-            self._fits.clear()
-        answer = self._fits[before, token] = self.makeable(token) and (before < 0 or self.apart(before, token))
+        if len(self._fits) >= CACHED_PAIRS // 2:
+            self._older_fits, self._fits = self._fits, {}
+        answer = self._older_fits.get((before, token))
+        if answer is None:
+            answer = self.makeable(token) and (before < 0 or self.apart(before, token))
+        self._fits[before, token] = answer
         return answer
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Determinise one transition: the state after ``byte`` and the tokens that are now certain."""
-        reached = []
-        for held, before, node in self.states[state]:
-            below = self.below.get(node << 8 | byte)
+    def _reached(self, boundaries: Iterable[tuple], byte: int) -> list[tuple]:
+        """The boundaries after ``byte``.  A text has one encoding, so one token at most ends here."""
+        reached, below_of, goes_on, token_of, known, ended = [], self.below, self.goes_on, self.token, self._fits, None
+        for held, before, node in boundaries:
+            below = below_of.get(node << 8 | byte)
             if below is None:
                 continue
-            if self.goes_on[below]:
+            if goes_on[below]:
                 reached.append((held, before, below))
-            token = self.token[below]
-            if token >= 0:
-                fits = self._fits.get((before, token))
+            if ended is None and (token := token_of[below]) >= 0:
+                fits = known.get((before, token))
+                if fits if fits is not None else self.fits(before, token):
+                    ended = ((*held, token), token, 0)
+        if ended is not None:
+            reached.append(ended)
+        return reached
+
+    def _rest(self, boundaries: Iterable[tuple], rest: bytes) -> tuple[int, ...]:
+        """The tokens from ``boundaries`` to the end of a piece, without determinising on the way."""
+        for byte in rest[:-1]:
+            boundaries = self._reached(boundaries, byte)
+        byte, below_of, token_of, known = rest[-1], self.below, self.token, self._fits
+        for held, before, node in boundaries:
+            below = below_of.get(node << 8 | byte)
+            if below is not None and (token := token_of[below]) >= 0:
+                fits = known.get((before, token))
                 if fits if fits is not None else self.fits(before, token):
-                    reached.append(((*held, token), token, 0))
+                    return (*held, token)
+        return ()
+
+    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """Determinise one transition: the state after ``byte`` and the tokens that are now certain."""
+        reached = self._reached(self.states[state], byte)
         first, sure = reached[0][0], 0
         shortest = min(len(held) for held, _, _ in reached)
         while sure < shortest and all(held[sure] == first[sure] for held, _, _ in reached):
@@ -160,10 +188,14 @@ class Transducer:
             return (whole,)
         if len(self.states) > CACHED_STATES:
             self._reset()
-        state, out, moves = 0, [], self.moves
-        for byte in piece:
+        state, out, moves, grown = 0, [], self.moves, False
+        for at, byte in enumerate(piece):
             move = moves.get(state << 8 | byte)
             if move is None:
+                if len(piece) - at <= (WALKED_BYTES if grown else LAST_BYTES):
+                    out.extend(self._rest(self.states[state], piece[at:]))
+                    return tuple(out)
+                grown = True
                 if len(self.states) > CACHED_STATES:  # a long piece makes states without end; only its own goes on
                     held = self.states[state]
                     self._reset()

@@ -59,6 +59,14 @@ def test_transducer_equals_the_library(library, monkeypatch):
     assert list(small.encode(texts[:400])) == ids[:400]
 
 
+def test_rare_pieces_add_few_states(library):
+    rng = random.Random(11)
+    texts = [" " + "".join(rng.choices("etaoinshrdlu", k=24)) for _ in range(2000)]
+    codec = bt.Codec(bt.read_ranks(open(RANKS).read()), PATTERN)
+    assert list(codec.encode(texts)) == [library.encode_ordinary(t) for t in texts]
+    assert len(codec.transducer.states) < 3 * len(texts)
+
+
 def test_utf8_machine_equals_the_whole_decoder():
     rng = random.Random(3)
     for _ in range(5000):
