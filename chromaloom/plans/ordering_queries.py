@@ -31,6 +31,17 @@ def cells(s, d):
     return L.oriented_distances(grouped(s, d), view(s, d, "contigs"))
 
 
+def heatmap_cells(s, d):
+    contigs = view(s, d, "contigs")
+    # links of contigs that are plotted only: the others' are neither summed nor moved
+    plotted = O.top_contigs(contigs, O.PLOT_N).select("tid")
+    pairs = view(s, d, "pairs")
+    for k in ("tid1", "tid2"):
+        pairs = pairs.join(plotted.withColumnRenamed("tid", k), k, "left_semi")
+    links = L.mirrored(L.normalise(L.half_matrix(pairs), contigs).withColumnsRenamed({"i": "a", "j": "b"}))
+    return O.heatmap_cells(links, view(s, d, "ordering"), contigs, O.PLOT_N)
+
+
 def _scored(function, column):
     return lambda s, d: function(cells(s, d), view(s, d, "ordering"), view(s, d, "clusters"), view(s, d, "contigs")).withColumn(column, F.round(column, 6))
 
@@ -135,7 +146,7 @@ REGISTRY = {
       from (select o.*, {_SEQ} as s from ordering o join contigs k on o.tid = k.tid) x group by 1""")),
     "genome_order": (_v("truth", O.genome_order), duckdb_text("select tid, row_number() over (order by chrom nulls last, case when chrom is null then 0 else (t0 + t1) // 2 end, tid) - 1 as rank from truth")),
     "top_contigs": (lambda s, d: O.top_contigs(view(s, d, "contigs"), 50).select("tid", "len"), duckdb_text("select tid, len from contigs where len >= (select len from contigs order by len desc limit 1 offset 50)")),
-    "heatmap_cells": (lambda s, d: O.heatmap_cells(norm(s, d), view(s, d, "ordering"), view(s, d, "contigs"), O.PLOT_N), duckdb_text("""select a.x, b.x as y, coalesce(z, 0) / 1000.0e0 as z from k a cross join k b left join norm on i = a.tid and j = b.tid where a.x <> b.x""", glm=GLM, norm=NORM, k="select o.tid, row_number() over (order by cluster_id, pos) - 1 as x from ordering o join contigs c on o.tid = c.tid where len >= coalesce((select len from contigs order by len desc limit 1 offset 1000), 0)")),
+    "heatmap_cells": (heatmap_cells, duckdb_text("""select a.x, b.x as y, coalesce(z, 0) / 1000.0e0 as z from k a cross join k b left join norm on i = a.tid and j = b.tid where a.x <> b.x""", glm=GLM, norm=NORM, k="select o.tid, row_number() over (order by cluster_id, pos) - 1 as x from ordering o join contigs c on o.tid = c.tid where len >= coalesce((select len from contigs order by len desc limit 1 offset 1000), 0)")),
     "dotplot_points": (_v("ordering truth", O.dotplot_points), duckdb_text("select o.cluster_id, o.pos as x, g.rank as y, t.chrom from ordering o join truth t on o.tid = t.tid join (select tid, row_number() over (order by chrom nulls last, case when chrom is null then 0 else (t0 + t1) // 2 end, tid) - 1 as rank from truth) g on g.tid = o.tid")),
     "contig_truth": (_v("contigs truth", T.with_truth), duckdb_text("select k.tid, name, coalesce(chrom, -1) as chrom, case when chrom is null then -1 else t0 end as t0, case when chrom is null then -1 else t1 end as t1 from contigs k left join truth t on k.tid = t.tid")),
     "high_quality": (_v("truth", lambda t: T.high_quality(t).select("tid", "chrom")), duckdb_text("select tid, chrom from truth where alignability >= 0.5 and specificity >= 0.9")),
